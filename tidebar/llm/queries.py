@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, simhash, sketch
+from . import mixing, pieces, sharding, simhash, sketch
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -28,8 +28,20 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edit_check(_table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(_table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.plan(_table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_fingerprints": op3_fingerprints,
+    "op6_sharding": op6_sharding,
+    "op10_mixing": op10_mixing,
 }

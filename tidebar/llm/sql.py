@@ -2,4 +2,46 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+OP10 = r"""
+with d as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+           md5(concat_ws(':', 'mix-1', coalesce(doc_id::varchar, 'null'), md5(coalesce(text, '')))) as digest
+    from documents
+),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (
+    select *, case (row_number() over (order by source asc nulls last) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end as weight
+    from s
+),
+l as (
+    select *,
+           sum(source_size) over () * 1.5::double - coalesce(sum(source_size) over f, 0) * 2 as room,
+           sum(weight) over () - coalesce(sum(weight) over f, 0) as open
+    from w
+    window f as (order by source_size::double / weight, source asc nulls last rows between unbounded preceding and 1 preceding)
+),
+v as (
+    select min(room::double / open) filter (where room::double / open * weight <= source_size * 2) as level from l
+),
+t as (
+    select source, source_size, least(source_size * 2.0::double, coalesce(v.level * weight, source_size * 2.0::double)) as target
+    from l, v
+),
+r as (
+    select *, case when source_size > 0 then floor(target / source_size) else 0 end as base,
+           case when source_size > 0 then target / source_size - floor(target / source_size) else 0 end as rest
+    from t
+),
+o as (
+    select d.doc_id, d.size, r.source_size, r.target, r.base, r.rest, r.target - r.base * r.source_size as lacks,
+           sum(d.size) over (partition by d.source order by d.digest rows unbounded preceding) as with_it
+    from d join r on d.source is not distinct from r.source
+)
+select doc_id, size::bigint as size, source_size, target,
+       (size * (base + case when rest > 0 and with_it - lacks <= lacks - (with_it - size) then 1 else 0 end))::bigint as taken
+from o
+"""
+
+ORACLE: dict[str, str] = {
+    "op10_mixing": OP10,
+}
