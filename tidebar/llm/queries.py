@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, sharding, simhash, sketch
+from . import attention, licenses, mixing, pieces, rules, sharding, simhash, sketch
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -28,11 +28,24 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edit_check(_table(spark, sf_dir, "documents"))
 
 
+def op4_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_table(spark, sf_dir, "documents"))
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.plan(_table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
@@ -42,6 +55,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_fingerprints": op3_fingerprints,
+    "op4_attention": op4_attention,
+    "op5_licenses": op5_licenses,
     "op6_sharding": op6_sharding,
+    "op9_rules": op9_rules,
     "op10_mixing": op10_mixing,
 }
