@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, licenses, mixing, pieces, rules, sharding, simhash, sketch
+from . import attention, licenses, lm, mixing, pieces, rules, sharding, simhash, sketch
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -41,6 +41,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    target = lm.labelled_target(docs, _table(spark, sf_dir, "labels"))
+    return lm.score(docs, lm.fit(target, docs))
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.fit(docs, _table(spark, sf_dir, "labels")))
@@ -58,6 +64,7 @@ QUERIES = {
     "op4_attention": op4_attention,
     "op5_licenses": op5_licenses,
     "op6_sharding": op6_sharding,
+    "op7_lm": op7_lm,
     "op9_rules": op9_rules,
     "op10_mixing": op10_mixing,
 }
