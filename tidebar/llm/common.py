@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,12 @@ def pieces(batch: pa.RecordBatch, text_bytes: int = 16 << 20, column: str = "tex
     step = max(1, int(n * text_bytes / max(total, 1)))
     for at in range(0, n, step):
         yield batch.slice(at, min(step, n - at))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder, and reread."""
+    spark = df.sparkSession
+    cut_lineage(spark.range(0))  # makes sure that there is a folder
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, licenses, lm, mixing, pieces, rules, sharding, simhash, sketch
+from . import attention, licenses, lm, mixing, pieces, rules, sharding, simhash, sketch, suffixes
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -47,6 +47,10 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.fit(target, docs))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.fit(docs, _table(spark, sf_dir, "labels")))
@@ -65,6 +69,7 @@ QUERIES = {
     "op5_licenses": op5_licenses,
     "op6_sharding": op6_sharding,
     "op7_lm": op7_lm,
+    "op8_suffixes": op8_suffixes,
     "op9_rules": op9_rules,
     "op10_mixing": op10_mixing,
 }

@@ -195,3 +195,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def hex_digits(fp: Column) -> Column:
     """Sixteen lowercase hexadecimal digits of a bigint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = CELL_LIMIT) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest id.
+
+    Rows that share an id and a group count as copies. Rows with a null id can't be
+    named, so they stay.
+    """
+    groups = near_groups(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, limit)
+    stay = groups.filter("id = component_id").select(F.col("id").alias("_id")).distinct()
+    kept = docs.filter(F.col(id_col).isNotNull()).withColumn("_id", F.col(id_col).cast("bigint")).join(stay, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    return kept.unionAll(docs.filter(F.col(id_col).isNull()))
