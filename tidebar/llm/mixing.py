@@ -40,13 +40,19 @@ SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _small(table: DataFrame, most_rows: int = 50_000) -> DataFrame:
+    """``table``, which is written already, marked for broadcast if it is counted to be small; else joined by exchange."""
+    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, source_size) to (source, source_size, target); one row a source, so a small table."""
     in_order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.pmod(F.row_number().over(in_order) - 1, F.lit(len(weights))) + 1)
     rows = sizes.withColumn("weight", weight)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    fullest = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    fill = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
+    fullest = fill.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns(
         {
             "room": F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("source_size").over(fullest), F.lit(0)) * F.lit(most),
@@ -55,8 +61,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
     # the level if all sources before this one are full; it fits from the first that is not full at it
     rows = rows.withColumn("level", F.col("room") / F.col("open"))
-    rows = rows.withColumn("fits", F.col("level") * F.col("weight") <= F.col("source_size") * F.lit(most))
-    level = F.min(F.when(F.col("fits"), F.col("level"))).over(everything)
+    rows = rows.withColumns({"place": F.row_number().over(fill), "fits": F.col("level") * F.col("weight") <= F.col("source_size") * F.lit(most)})
+    first = F.min(F.when(F.col("fits"), F.struct("place", "level"))).over(everything)
+    level = first["level"]
     target = F.least(F.col("source_size") * F.lit(float(most)), F.coalesce(level * F.col("weight"), F.col("source_size") * F.lit(float(most))))
     return rows.select("source", "source_size", target.alias("target"))
 
@@ -84,7 +91,7 @@ def cuts(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     per_source = per_source.withColumns({"base": F.floor(rate), "rest": rate - F.floor(rate)}).withColumn("lacks", F.col("target") - F.col("base") * F.col("source_size"))
     per_source = cut_lineage(per_source)
-    drawn = rows.join(per_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("rank", _rank()).filter("rank is not null")
+    drawn = rows.join(_small(per_source).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("rank", _rank()).filter("rank is not null")
     # for equal weights rank * rest / (1 - rest) is u / (1 - u), so that bins of its share are even
     even = F.col("rank") * F.col("rest") / (F.lit(1.0) - F.col("rest"))
     drawn = drawn.withColumn("bin", F.floor(even / (1 + even) * bins).cast("int"))
@@ -94,7 +101,7 @@ def cuts(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     edge = crossed.groupBy("source").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("n")).alias("before")), "bin").alias("edge"))
     edge = edge.select(F.col("source").alias("_e"), "edge.*").withColumnRenamed("bin", "edge_bin")
     edge = cut_lineage(edge)
-    near = drawn.join(edge, F.col("source").eqNullSafe(F.col("_e")) & (F.col("bin") == F.col("edge_bin")))
+    near = drawn.join(_small(edge), F.col("source").eqNullSafe(F.col("_e")) & (F.col("bin") == F.col("edge_bin")))
     peers = Window.partitionBy("source").orderBy("rank", "_digest")
     with_it = F.col("before") + F.sum("size").over(peers.rangeBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("with_it", with_it).withColumn("without", F.col("with_it") - F.sum("size").over(Window.partitionBy("source", "rank", "_digest")))
@@ -145,7 +152,7 @@ def plan(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken."""
     rows = cut_lineage(_narrow(docs, seed, id_col, text_col, source_col, weight_col))
-    found = cuts(rows, weights, share, most, bins)
+    found = _small(cut_lineage(cuts(rows, weights, share, most, bins)))
     joined = rows.join(found, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", _copies())
     return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -168,7 +175,7 @@ def mix(
     can be broadcast.
     """
     rows = cut_lineage(_narrow(docs, seed, id_col, text_col, source_col, weight_col))
-    found = cuts(rows, weights, share, most, bins)
+    found = _small(cut_lineage(cuts(rows, weights, share, most, bins)))
     found = found.select(*[F.col(c).alias(f"_mix_{c.lstrip('_')}") for c in found.columns])
     marked = docs.withColumns(_drawn(docs, seed, id_col, text_col, weight_col))
     joined = marked.join(found, F.col(source_col).eqNullSafe(F.col("_mix_s"))).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _copies("_mix_"))))

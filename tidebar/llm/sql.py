@@ -16,12 +16,13 @@ w as (
 l as (
     select *,
            sum(source_size) over () * 1.5::double - coalesce(sum(source_size) over f, 0) * 2 as room,
-           sum(weight) over () - coalesce(sum(weight) over f, 0) as open
+           sum(weight) over () - coalesce(sum(weight) over f, 0) as open,
+           row_number() over (order by source_size::double / weight, source asc nulls last) as place
     from w
     window f as (order by source_size::double / weight, source asc nulls last rows between unbounded preceding and 1 preceding)
 ),
 v as (
-    select min(room::double / open) filter (where room::double / open * weight <= source_size * 2) as level from l
+    select arg_min(room::double / open, place) filter (where room::double / open * weight <= source_size * 2) as level from l
 ),
 t as (
     select source, source_size, least(source_size * 2.0::double, coalesce(v.level * weight, source_size * 2.0::double)) as target
