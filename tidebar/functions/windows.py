@@ -51,7 +51,7 @@ def with_base(bars: DataFrame) -> DataFrame:
     its difference, ratio and log ratio to the close; tr: true range.
     """
     first = bars.withColumns(
-        {"i": F.row_number().over(by_symbol()) - 1, "tp": (F.col("high") + F.col("low") + F.col("close")) / 3, "c1": lag("close")}
+        {"i": F.row_number().over(by_symbol()).cast("bigint") - 1, "tp": (F.col("high") + F.col("low") + F.col("close")) / 3, "c1": lag("close")}
     )
     return first.withColumns(
         {

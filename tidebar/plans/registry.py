@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import indicators
+from . import indicators, sequence_queries
 
-_PARTS = (indicators,)
+_PARTS = (indicators, sequence_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
