@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import indicators, sequence_queries
+from . import evaluation, indicators, sequence_queries
 
-_PARTS = (indicators, sequence_queries)
+_PARTS = (indicators, sequence_queries, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
