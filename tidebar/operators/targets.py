@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import clamp, div
@@ -85,51 +85,67 @@ def _inclusive_low(x: Column, base: Column, extreme: Column) -> Column:
     return F.when(x <= -extreme, 0).when(x <= -base, 1).when(x < base, 2).when(x < extreme, 3).when(x.isNotNull(), 4)
 
 
-def _out(df: DataFrame, x: Column, cls: Column, bounds: list[Column], width: Column) -> DataFrame:
-    made = df.select("symbol", "seq", x.alias("_x"), cls.cast("int").alias("class"), *[b.alias(f"_b{k}") for k, b in enumerate(bounds)], width.alias("_w"))
-    at = [F.col(f"_b{k}") for k in range(4)]
-    return made.select("symbol", "seq", "class", F.when(F.col("class").isNotNull(), _strength(F.col("_x"), at, F.col("_w"), F.col("class"))).alias("strength"))
+@dataclass
+class _Plan:
+    """The summaries with what a target adds to them; its score, class, boundaries and the width that extremes are measured by."""
+
+    rows: DataFrame
+    x: Column
+    cls: Column
+    bounds: list[Column]
+    width: Column
+    flat: Column | None = None
+
+
+def _labelled(p: _Plan) -> DataFrame:
+    strength = F.when(F.col("class").isNotNull(), _strength(p.x, p.bounds, p.width, F.col("class")))
+    strength = strength if p.flat is None else F.when(p.flat, 0.3).otherwise(strength)
+    return p.rows.withColumn("class", p.cls.cast("int")).select("symbol", "seq", "class", strength.alias("strength"))
+
+
+def _price_levels(s: DataFrame, p: Bands) -> _Plan:
+    d = s.withColumns({"_pl_lo": ranked(F.col("s_closes"), p.low), "_pl_hi": ranked(F.col("s_closes"), p.high)})
+    lo, hi, x = F.col("_pl_lo"), F.col("_pl_hi"), F.col("h_wclose")
+    width, middle, half = (hi - lo) * p.bandwidth, (lo + hi) / 2, (hi - lo) * p.neutral / 2
+    b = [lo - width, middle - half, middle + half, hi + width]
+    cls = F.when(hi == lo, F.when(x >= lo, 3).otherwise(2)).otherwise(_strict(x, b))
+    return _Plan(d, x, cls, b, F.when(hi > lo, width), hi == lo)
 
 
 def price_levels(s: DataFrame, p: Bands = Bands()) -> DataFrame:
     """The horizon's weighted close against the levels of the sequence's closes; strict. A flat sequence gives 3 or 2, strength 0.3."""
-    low, high = ranked(F.col("s_closes"), p.low), ranked(F.col("s_closes"), p.high)
-    d = s.select("symbol", "seq", F.col("h_wclose").alias("x"), low.alias("lo"), high.alias("hi"))
-    width = (F.col("hi") - F.col("lo")) * p.bandwidth
-    middle, half = (F.col("lo") + F.col("hi")) / 2, (F.col("hi") - F.col("lo")) * p.neutral / 2
-    b = [F.col("lo") - width, middle - half, middle + half, F.col("hi") + width]
-    flat = F.col("hi") == F.col("lo")
-    cls = F.when(flat, F.when(F.col("x") >= F.col("lo"), 3).otherwise(2)).otherwise(_strict(F.col("x"), b))
-    out = _out(d, F.col("x"), cls, b, F.when(flat, None).otherwise(width))
-    even = d.select("symbol", "seq", flat.alias("_flat"))
-    return out.join(even, ["symbol", "seq"]).select("symbol", "seq", "class", F.when(F.col("_flat"), 0.3).otherwise(F.col("strength")).alias("strength"))
+    return _labelled(_price_levels(s, p))
 
 
-def stop_levels(s: DataFrame, p: Bands = Bands()) -> DataFrame:
-    """The horizon's worst move against its direction, later bars weighing more, against levels of lows (up) or highs (down)."""
-    n = F.size("h_bars")
-    up = F.col("h_wclose") >= F.col("s_wclose")
+def _stop_levels(s: DataFrame, p: Bands) -> _Plan:
+    n, ref = F.size("h_bars"), F.col("s_wclose")
+    d = s.withColumn("_sl_up", F.col("h_wclose") >= ref)
+    up = F.col("_sl_up")
     side = F.when(up, F.col("s_lows")).otherwise(F.col("s_highs"))
-    d = s.withColumns({"_up": up, "lo": ranked(side, p.low), "hi": ranked(side, p.high)})
-    ref = F.col("s_wclose")
     severity = F.transform(
         "h_bars",
         lambda r: F.struct(
-            (F.greatest(F.when(F.col("_up"), ref - r["low"]).otherwise(r["high"] - ref), F.lit(0.0)) * (0.5 + 0.5 * F.pow((r["k"] + 1) / n, F.lit(2.0)))).alias("sev"),
+            (F.greatest(F.when(up, ref - r["low"]).otherwise(r["high"] - ref), F.lit(0.0)) * (0.5 + 0.5 * F.pow((r["k"] + 1) / n, F.lit(2.0)))).alias("sev"),
             (-r["k"]).alias("early"),
-            F.when(F.col("_up"), r["low"]).otherwise(r["high"]).alias("price"),
+            F.when(up, r["low"]).otherwise(r["high"]).alias("price"),
         ),
     )
-    worst = F.array_max(severity)
-    d = d.withColumn("x", F.when(worst["sev"] > 0, worst["price"]).otherwise(ref))
-    spread = F.abs(F.col("hi") - F.col("lo"))
-    other = F.abs(ref - F.col("lo"))
-    reach = F.when(spread > 0, spread).when(other > 0, other).otherwise(F.abs(F.col("lo")) * 0.01)
-    middle, half = (F.col("lo") + F.col("hi")) / 2, reach * p.neutral / 2
-    b = [F.col("lo") - reach * p.bandwidth, middle - half, middle + half, F.col("hi") + reach * p.bandwidth]
-    x = F.col("x")
-    cls = F.when(F.col("_up"), _strict(x, b)).otherwise(F.when(x > b[3], 0).when(x > b[2], 1).when(x > b[1], 2).when(x > b[0], 3).when(x.isNotNull(), 4))
-    return d.select("symbol", "seq", cls.cast("int").alias("class"), F.round(x, 6).alias("worst"))
+    d = d.withColumns({"_sl_lo": ranked(side, p.low), "_sl_hi": ranked(side, p.high), "_sl_worst": F.array_max(severity)})
+    lo, hi, worst = F.col("_sl_lo"), F.col("_sl_hi"), F.col("_sl_worst")
+    d = d.withColumn("_sl_x", F.when(worst["sev"] > 0, worst["price"]).otherwise(ref))
+    x, spread, other = F.col("_sl_x"), F.abs(hi - lo), F.abs(ref - lo)
+    d = d.withColumn("_sl_reach", F.when(spread > 0, spread).when(other > 0, other).otherwise(F.abs(lo) * 0.01))
+    reach = F.col("_sl_reach")
+    middle, half = (lo + hi) / 2, reach * p.neutral / 2
+    b = [lo - reach * p.bandwidth, middle - half, middle + half, hi + reach * p.bandwidth]
+    falling = F.when(x > b[3], 0).when(x > b[2], 1).when(x > b[1], 2).when(x > b[0], 3).when(x.isNotNull(), 4)
+    return _Plan(d, x, F.when(up, _strict(x, b)).otherwise(falling), b, reach * p.bandwidth)
+
+
+def stop_levels(s: DataFrame, p: Bands = Bands()) -> DataFrame:
+    """The horizon's worst move against its direction, later bars weighing more, against levels of lows (up) or highs (down)."""
+    plan = _stop_levels(s, p)
+    return plan.rows.select("symbol", "seq", plan.cls.cast("int").alias("class"), F.round(plan.x, 6).alias("worst"))
 
 
 def consistency(path: Column, length: int) -> Column:
@@ -153,69 +169,86 @@ def consistency(path: Column, length: int) -> Column:
     return F.when(n == 0, 0.01).otherwise(F.greatest(F.sqrt(div(square, n)), F.lit(0.005)))
 
 
-def direction(s: DataFrame, length: int, p: Direction = Direction()) -> DataFrame:
-    """Change of momentum from sequence to horizon over 1 plus the coefficient of variation; inclusive at every threshold."""
+def _direction(s: DataFrame, length: int, p: Direction) -> _Plan:
     first, last = F.get("s_path", F.lit(0)), F.get("s_path", F.lit(length - 1))
     rise = lambda a, b: F.when(F.abs(a) < 1e-10, 0.0).otherwise(div(b - a, a))
     cv = F.when(F.abs(F.col("s_mean")) > 1e-10, F.col("s_std") / F.col("s_mean")).otherwise(0.01)
     change = (rise(F.col("h_first"), F.col("h_last")) - rise(first, last)) / (1 + cv)
-    d = s.select("symbol", "seq", change.alias("x"), (consistency(F.col("s_path"), length) * p.sensitivity * p.base).alias("t"))
-    base, extreme = F.greatest(F.col("t"), F.lit(p.min_base)), F.greatest(F.col("t") * p.extreme, F.lit(p.min_extreme))
-    x = F.col("x")
+    d = s.withColumns({"_d_x": change, "_d_t": consistency(F.col("s_path"), length) * p.sensitivity * p.base})
+    x, t = F.col("_d_x"), F.col("_d_t")
+    base, extreme = F.greatest(t, F.lit(p.min_base)), F.greatest(t * p.extreme, F.lit(p.min_extreme))
     cls = F.when(x <= -extreme, 0).when(x <= -base, 1).when(F.abs(x) <= base, 2).when(x <= extreme, 3).when(x.isNotNull(), 4)
-    return _out(d, x, cls, [-extreme, -base, base, extreme], extreme)
+    return _Plan(d, x, cls, [-extreme, -base, base, extreme], extreme)
 
 
-def volatility(s: DataFrame, p: Volatility = Volatility()) -> DataFrame:
-    """Relative change of the true range share, plus the weighed log volume ratio limited to 2."""
+def direction(s: DataFrame, length: int, p: Direction = Direction()) -> DataFrame:
+    """Change of momentum from sequence to horizon over 1 plus the coefficient of variation; inclusive at every threshold."""
+    return _labelled(_direction(s, length, p))
+
+
+def _volatility(s: DataFrame, p: Volatility) -> _Plan:
     before = F.greatest(F.coalesce("s_atr", F.lit(0.0)), F.lit(p.least))
     after = F.greatest(F.coalesce("h_atr", F.lit(0.0)), F.lit(p.least))
-    volume = F.when((F.col("s_volume") > 0) & (F.col("h_volume") > 0), clamp(F.log(F.col("h_volume") / F.col("s_volume")), -2, 2)).otherwise(0.0)
-    d = s.select("symbol", "seq", ((after - before) / before + volume * p.volume_weight).alias("x"))
+    amount = F.when((F.col("s_volume") > 0) & (F.col("h_volume") > 0), clamp(F.log(F.col("h_volume") / F.col("s_volume")), -2, 2)).otherwise(0.0)
+    d = s.withColumn("_v_x", (after - before) / before + amount * p.volume_weight)
     base, extreme = F.lit(p.bandwidth), F.lit(p.bandwidth * p.extreme)
-    return _out(d, F.col("x"), _inclusive_low(F.col("x"), base, extreme), [-extreme, -base, base, extreme], extreme)
+    return _Plan(d, F.col("_v_x"), _inclusive_low(F.col("_v_x"), base, extreme), [-extreme, -base, base, extreme], extreme)
 
 
-def sentiment(s: DataFrame, p: Sentiment = Sentiment()) -> DataFrame:
-    """Log volume ratio less the horizon's price change, against the sequence's own divergences."""
+def volatility(s: DataFrame, p: Volatility = Volatility()) -> DataFrame:
+    """Relative change of the true range share, plus the weighed log volume ratio limited to 2."""
+    return _labelled(_volatility(s, p))
+
+
+def _sentiment(s: DataFrame, p: Sentiment) -> _Plan:
     ratio = F.col("h_volume") / F.greatest(F.col("s_volume"), F.lit(1.0))
     move = F.when(F.col("h_mid0") > 0, F.col("h_mid1") / F.col("h_mid0") - 1).otherwise(0.0)
     scale = F.greatest(F.abs(F.coalesce(ranked(F.col("s_divs"), p.high, "ceil"), F.lit(1.0))), F.lit(0.1))
-    d = s.select("symbol", "seq", (F.when(ratio > 0, F.log(ratio)) - move).alias("x"), (scale * p.sensitivity).alias("t"))
-    base, extreme = F.col("t"), F.col("t") * p.extreme
-    return _out(d, F.col("x"), _inclusive_low(F.col("x"), base, extreme), [-extreme, -base, base, extreme], extreme)
+    d = s.withColumns({"_s_x": F.when(ratio > 0, F.log(ratio)) - move, "_s_t": scale * p.sensitivity})
+    x, base, extreme = F.col("_s_x"), F.col("_s_t"), F.col("_s_t") * p.extreme
+    return _Plan(d, x, _inclusive_low(x, base, extreme), [-extreme, -base, base, extreme], extreme)
 
 
-def volume(s: DataFrame, p: Volume = Volume()) -> DataFrame:
-    """Log ratio of smoothed volumes against the log range of the sequence's volumes; strict. No volume gives 2, strength 0.5."""
+def sentiment(s: DataFrame, p: Sentiment = Sentiment()) -> DataFrame:
+    """Log volume ratio less the horizon's price change, against the sequence's own divergences."""
+    return _labelled(_sentiment(s, p))
+
+
+def _volume(s: DataFrame, p: Volume) -> _Plan:
     low, high = ranked(F.col("s_volumes"), p.low), ranked(F.col("s_volumes"), p.high, "ceil")
     typical = F.when(low > 1e-10, F.log(high / low)).otherwise(0.693)
-    d = s.filter("s_smooth >= 1e-10").select("symbol", "seq", F.log(F.col("h_smooth") / F.col("s_smooth")).alias("x"), (typical * p.bandwidth).alias("t"))
-    b = [-F.col("t") * p.extreme, -F.col("t"), F.col("t"), F.col("t") * p.extreme]
-    return _out(d, F.col("x"), _strict(F.col("x"), b), b, F.col("t") * p.extreme)
+    held = F.col("s_smooth") >= 1e-10
+    d = s.withColumns({"_w_x": F.when(held, F.log(F.col("h_smooth") / F.col("s_smooth"))), "_w_t": typical * p.bandwidth})
+    x, t = F.col("_w_x"), F.col("_w_t")
+    b = [-t * p.extreme, -t, t, t * p.extreme]
+    return _Plan(d, x, F.when(held, _strict(x, b)).otherwise(2), b, t * p.extreme)
+
+
+def volume(s: DataFrame, p: Volume = Volume()) -> DataFrame:
+    """Log ratio of smoothed volumes against the log range of the sequence's volumes; strict. No volume gives class 2."""
+    return _labelled(_volume(s, p))
 
 
 def all_targets(s: DataFrame, length: int) -> DataFrame:
-    """(symbol, seq, target, class): every target as rows."""
-    made = {
-        "price_level": price_levels(s),
-        "stop_level": stop_levels(s),
-        "direction": direction(s, length),
-        "volatility": volatility(s),
-        "sentiment": sentiment(s),
-        "volume": volume(s),
+    """(symbol, seq, target, class): every target as rows, from one pass over the summaries."""
+    plans = {
+        "price_level": lambda d: _price_levels(d, Bands()),
+        "stop_level": lambda d: _stop_levels(d, Bands()),
+        "direction": lambda d: _direction(d, length, Direction()),
+        "volatility": lambda d: _volatility(d, Volatility()),
+        "sentiment": lambda d: _sentiment(d, Sentiment()),
+        "volume": lambda d: _volume(d, Volume()),
     }
-    out = None
-    for name, table in made.items():
-        rows = table.select("symbol", "seq", F.lit(name).alias("target"), "class")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    found = {}
+    for name, make in plans.items():
+        plan = make(s)
+        s, found[name] = plan.rows, plan.cls.cast("int")
+    rows = F.array(*[F.struct(F.lit(n).alias("target"), c.alias("class")) for n, c in found.items()])
+    return s.select("symbol", "seq", F.inline(rows))
 
 
 def class_distribution(targets: DataFrame) -> DataFrame:
     """Count and percentage of each class of each target; undefined classes are left out."""
-    from pyspark.sql import Window
-
     counts = targets.filter("class is not null").groupBy("target", "class").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("target")))
 
