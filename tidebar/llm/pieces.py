@@ -29,7 +29,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ DROPOUT = 0.1
 SEED = 20240
 STREAMS = 4
 BLOCK = 64
-CACHE = 300_000
+CACHE = 600_000
 _LONG = 40
 _TOGETHER = 60_000
 _OWN = "own mark"
@@ -61,6 +61,14 @@ def _mixed(key: np.ndarray, left: np.ndarray, right: np.ndarray, piece: np.ndarr
     return x ^ (x >> np.uint64(32))
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
+def _unpacked(raw: bytes) -> list[int]:
+    return np.frombuffer(raw, np.int32).tolist()
+
+
 class Encoder:
     """Agenda merges over one vocabulary; made once per worker from the model file's bytes."""
 
@@ -69,7 +77,7 @@ class Encoder:
             raise ValueError("dropout must be in [0, 1)")
         self.model, self.dropout, self.seed = model, dropout, seed
         self.below = int(dropout * 2**64)
-        self.kept: dict[int | None, dict[str, list[int]]] = {}
+        self.kept: dict[int | None, dict[str, bytes]] = {}
 
     @cached_property
     def _vocabulary(self) -> tuple[dict[str, int], list[float], list[int], list]:
@@ -167,8 +175,8 @@ class Encoder:
             open_, at = open_[go], at[go]
         return out
 
-    def merge_many(self, items: list[tuple[str, int | None]]) -> list[list[int]]:
-        """``merge`` of many short chunks at once, one agenda step of each at a time."""
+    def merge_many(self, items: list[tuple[str, int | None]]) -> list[bytes]:
+        """``merge`` of many short chunks at once, one agenda step of each at a time; ids as packed 32-bit numbers."""
         of_char, rank, _, _, _, _ = self._tables
         n = len(items)
         size = np.fromiter((len(c) + 1 for c, _ in items), np.int64, n)
@@ -223,15 +231,15 @@ class Encoder:
         here = final != -1
         count = np.bincount(np.repeat(np.arange(n), size)[here], minlength=n)
         ends = np.cumsum(count)
-        flat = final[here].tolist()
-        out = [flat[a:b] for a, b in zip((ends - count).tolist(), ends.tolist())]
+        flat = final[here].astype(np.int32).tobytes()
+        out = [flat[a:b] for a, b in zip((4 * (ends - count)).tolist(), (4 * ends).tolist())]
         octets = self._vocabulary[2]
         for k in np.unique(np.repeat(np.arange(n), size)[apart]).tolist():
-            out[k] = [i for p in out[k] for i in ([p] if p >= 0 else [octets[b] for b in chr(-2 - p).encode("utf-8", "surrogatepass")])]
+            out[k] = _packed([i for p in _unpacked(out[k]) for i in ([p] if p >= 0 else [octets[b] for b in chr(-2 - p).encode("utf-8", "surrogatepass")])])
         return out
 
-    def _learn(self, chunks: list[str], stream: int | None) -> dict[str, list[int]]:
-        """Pieces of each chunk."""
+    def _learn(self, chunks: list[str], stream: int | None) -> dict[str, bytes]:
+        """Packed pieces of each chunk."""
         found = {}
         plain = [c for c in chunks if 0 < len(c) <= _LONG]
         for at in range(0, len(plain), _TOGETHER):
@@ -239,7 +247,7 @@ class Encoder:
             found.update(zip(some, self.merge_many([(c, stream) for c in some])))
         for c in chunks:
             if not 0 < len(c) <= _LONG:
-                found[c] = self.merge(c, stream)
+                found[c] = _packed(self.merge(c, stream))
         return found
 
     def merge(self, chunk: str, stream: int | None) -> list[int]:
@@ -289,8 +297,8 @@ class Encoder:
         k = np.arange(n, dtype=np.uint64)
         return (_mixed(base, k, k, k) % np.uint64(STREAMS)).tolist()
 
-    def encode_many(self, texts: list[str | None], keys: list[int], sampled: bool = True) -> list[list[int]]:
-        """Piece ids of each text. A text's key picks the streams of its blocks."""
+    def encode_many(self, texts: list[str | None], keys: list[int], sampled: bool = True) -> list[bytes]:
+        """Packed piece ids of each text. A text's key picks the streams of its blocks."""
         sampled = sampled and self.dropout > 0
         blocks: list[list[tuple[int | None, list[str]]]] = []
         needed: dict[int | None, set[str]] = {}
@@ -318,20 +326,16 @@ class Encoder:
                 look[stream] = (kept, found)
         out = []
         for own in blocks:
-            ids: list[int] = []
+            parts: list[bytes] = []
             for stream, words in own:
                 kept, found = look[stream]
-                if found is None:
-                    ids.extend(chain.from_iterable(map(kept.__getitem__, words)))
-                else:
-                    for w in words:
-                        ids += kept.get(w) or found[w]
-            out.append(ids)
+                parts += map(kept.__getitem__, words) if found is None else [kept.get(w) or found[w] for w in words]
+            out.append(b"".join(parts))
         return out
 
     def encode(self, text: str | None, key: int = 0, sampled: bool = True) -> list[int]:
         """Piece ids of one text."""
-        return self.encode_many([text], [key], sampled)[0]
+        return _unpacked(self.encode_many([text], [key], sampled)[0])
 
     @cached_property
     def _shown(self) -> tuple[list[str], frozenset[int]]:
@@ -392,12 +396,12 @@ def encode_table(
             for batch in parts_of(whole, 4 << 20):
                 keys, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
                 coded = coder.encode_many(texts, [-1 if k is None else k for k in keys])
-                same = [coder.decode(c) == (t or "") for c, t in zip(coded, texts)] if checked else [None] * len(texts)
+                same = [coder.decode(_unpacked(c)) == (t or "") for c, t in zip(coded, texts)] if checked else [None] * len(texts)
                 flat = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum([len(c) for c in coded])]), pa.int32()),
-                    pa.array(np.fromiter((i for c in coded for i in c), np.int32)),
+                    pa.array(np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]), pa.int32()),
+                    pa.array(np.frombuffer(b"".join(coded), np.int32)),
                 )
-                columns = [flat, pa.array([len(c) for c in coded], pa.int64()), pa.array(same, pa.bool_())]
+                columns = [flat, pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(same, pa.bool_())]
                 yield pa.record_batch([*batch.columns[:-2], *columns], names=[*others, *(n for n, _ in added)])
 
     return kept.mapInArrow(run, schema)
