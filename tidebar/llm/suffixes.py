@@ -299,7 +299,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     crowded = windows.join(twice, ["h1", "h2"]).select("anchor", "content", "start", F.lit(1).alias("number"))
     whole = named.filter("times > 1").select("anchor", "content", F.lit(0).alias("start"), F.col("one.n").alias("number"))
     found = cut_lineage(found.unionAll(crowded).unionAll(whole))
-    per_tile = found.groupBy("anchor", "content").agg(F.collect_set(F.struct("start", "number")).alias("runs"))
+    # written, so that the join below has a plain exchange on each side and a frequent tile can be split
+    per_tile = cut_lineage(found.groupBy("anchor", "content").agg(F.collect_set(F.struct("start", "number")).alias("runs")))
     back = places.join(per_tile, ["anchor", "content"]).select(
         "_sa_k1", "_sa_k2", F.transform("runs", lambda r: F.struct((r["start"] + F.col("at")).alias("start"), r["number"].alias("number"))).alias("runs")
     )
