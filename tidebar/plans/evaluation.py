@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.windows import with_base
 from ..operators import folds as R
+from ..operators import fractal
 from ..operators import metrics as M
 from ..operators import preprocess as P
 from ..operators import trend as T
@@ -190,7 +190,6 @@ add(
     lambda s, d: _r(M.directional_accuracy(base(s, d).withColumn("before", T.lag("chg")), "before", "chg", "symbol"), "directional_accuracy"),
     f"{B}, k as (select symbol, chg, {S.lag('chg')} as before from b) select symbol, {_q('directional_accuracy: avg((sign(before) = sign(chg))::int)')} from k where before is not null and chg is not null group by symbol",
 )
-_PROBS = "softmax5"
 
 
 def _probabilities(s: SparkSession, d: str) -> DataFrame:
@@ -287,5 +286,5 @@ add(
 add("stream_dedup", stream.replayed_unique, "select distinct event_type as symbol, epoch(date_trunc('minute', ts))::bigint as t from events")
 
 
-def _with_base(df: DataFrame) -> DataFrame:
-    return with_base(df)
+# pattern measures in Arrow batches; no SQL form, tested on hand-made windows
+add("fractal_measures", lambda s, d: shown(fractal.measures(bars(s, d)), ["hurst", "fractal_dimension"]))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.windows import by_symbol
+
 CORE = ("timestamp", "open", "high", "low", "close", "volume")
 
 # Accepted spellings of header names.
@@ -46,15 +48,15 @@ def normalize_header(df: DataFrame) -> DataFrame:
     return renamed
 
 
-def parse_time(c: Column, unit: str = "auto") -> Column:
-    """A timestamp from an RFC 3339 string or an epoch number in s, ms, us or ns (auto: by its size)."""
-    number = F.expr("try_cast(`timestamp` as bigint)")
-    if unit != "auto":
-        divisor = {"s": 1, "ms": 10**3, "us": 10**6, "ns": 10**9}[unit]
-        return F.timestamp_micros((number.cast("decimal(38,6)") / divisor * 10**6).cast("bigint"))
+def parse_time(c: str = "timestamp", unit: str = "auto") -> Column:
+    """A timestamp from an RFC 3339 string or an epoch number in s, ms, us or ns (auto: told by its size)."""
+    number = F.col(c).try_cast("bigint")
     size = F.abs(number)
-    micros = F.when(size < 10**11, number * 10**6).when(size < 10**14, number * 10**3).when(size < 10**17, number).otherwise(F.expr("`timestamp`").try_cast("bigint") / 1000)
-    return F.coalesce(F.timestamp_micros(micros.cast("bigint")), F.to_timestamp(c.cast("string")) if False else F.try_to_timestamp(c.cast("string")))
+    micros = {"s": number * 10**6, "ms": number * 10**3, "us": number, "ns": F.floor(number / 1000)}
+    if unit != "auto":
+        return F.timestamp_micros(micros[unit].cast("bigint"))
+    told = F.when(size < 10**11, micros["s"]).when(size < 10**14, micros["ms"]).when(size < 10**17, micros["us"]).otherwise(micros["ns"])
+    return F.coalesce(F.timestamp_micros(told.cast("bigint")), F.try_to_timestamp(F.col(c).cast("string")))
 
 
 def as_bars(raw: DataFrame, symbol: Column | str, unit: str = "auto") -> DataFrame:
@@ -64,7 +66,7 @@ def as_bars(raw: DataFrame, symbol: Column | str, unit: str = "auto") -> DataFra
     """
     named = normalize_header(raw)
     others = [c for c in named.columns if c not in ("timestamp", "symbol")]
-    time = F.col("timestamp") if isinstance(named.schema["timestamp"].dataType, (T.TimestampType, T.TimestampNTZType)) else parse_time(F.col("timestamp"), unit)
+    time = F.col("timestamp") if isinstance(named.schema["timestamp"].dataType, (T.TimestampType, T.TimestampNTZType)) else parse_time("timestamp", unit)
     tag = F.lit(symbol) if isinstance(symbol, str) else symbol
     return named.select(tag.alias("symbol"), time.cast("timestamp").alias("ts"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in others]).filter("ts is not null")
 
@@ -91,10 +93,9 @@ def symbol_paths(root: str, symbols: list[str]) -> list[str]:
 
 def drop_null_first_row(bars: DataFrame) -> DataFrame:
     """Drops a symbol's first row if any of its values is null."""
-    from ..functions.windows import index
-
     holes = F.greatest(*[F.col(f"`{c}`").isNull().cast("int") for c in bars.columns]) == 1
-    return bars.withColumn("_i", index()).filter(~((F.col("_i") == 0) & holes)).drop("_i")
+    first = F.row_number().over(by_symbol()) == 1
+    return bars.withColumn("_first", first).filter(~(F.col("_first") & holes)).drop("_first")
 
 
 def data_info(bars: DataFrame) -> DataFrame:
