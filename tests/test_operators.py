@@ -224,3 +224,25 @@ def test_csv_tail_and_ring_buffer(spark, tmp_path):
 def test_sliding_bars(spark, sf_dir):
     events = stream.event_stream(spark, sf_dir)
     assert stream._replay(spark, stream.bar_stream(events, "2 hours", "1 hour"), "complete").agg(F.sum("volume")).first()[0] == 2000.0
+
+
+def test_predictions_and_augmentation(spark, tmp_path):
+    from tidebar.operators import augment, predictions
+
+    rows = spark.createDataFrame([([0.1, 0.2, 0.4, 0.2, 0.1], 2), ([0.0, 0.0, 0.0, 0.0, 1.0], 4)], "p array<double>, a int")
+    made = rows.withColumns(predictions.direction_metrics(F.col("p"), F.lit(0.02))).withColumn("label", predictions.label(F.col("p"))).collect()
+    assert [r.label for r in made] == ["sideways", "pump"] and made[0].expected_move == pytest.approx(0) and made[1].risk_reward == 10
+    assert [sum(r.c) for r in predictions.bias_corrected(rows, "p", "a").select(F.col("corrected").alias("c")).collect()] == pytest.approx([1, 1])
+    assert rows.select(predictions.smoothed_label(F.lit(1)).alias("s")).first().s == pytest.approx([0.02, 0.92, 0.02, 0.02, 0.02])
+    predictions.write_json(rows, str(tmp_path / "j"))
+    predictions.write_csv(rows.select("a"), str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2 and spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
+    b = sequences.tensors(make(spark, walk(80)), ["open", "close"], 20, 10, 5)
+    for kind in augment.KINDS:
+        one = {r.seq: r.features for r in augment.augment(b, kind, 3, exempt=1).collect()}
+        assert one == {r.seq: r.features for r in augment.augment(b.repartition(3), kind, 3, exempt=1).collect()}
+        for r in b.collect():
+            x, y = np.array(r.features), np.array(one[r.seq])
+            assert x.shape == y.shape and np.allclose(x[:, 0], y[:, 0]) and not np.allclose(x[:, 1], y[:, 1])
+    with pytest.raises(ValueError):
+        augment.augment(b, "none")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, indicators, sequence_queries
+from . import evaluation, indicators, prediction_queries, sequence_queries
 
-_PARTS = (indicators, sequence_queries, evaluation)
+_PARTS = (indicators, sequence_queries, evaluation, prediction_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
