@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import balance as B
+from ..operators import diversity as D
+from ..operators import inverse, model
 from ..operators import sequences as Q
 from ..operators import targets as T
 from . import sqlkit as S
@@ -199,3 +201,32 @@ ORACLE["overlap_ratio"] = f"""with {_MEMBERS}, o as (select a.symbol, greatest(0
     select symbol, count(*) as n_pairs, round(avg(r), 6) as mean_overlap from o group by symbol"""
 QUERIES["shuffle_order"] = lambda spark, sf_dir: B.shuffled(Q.starts(bars(spark, sf_dir), LENGTH, STEP, HORIZON), 7).select("symbol", "seq", "order")
 ORACLE["shuffle_order"] = f"with {_MEMBERS} select symbol, seq, md5(concat_ws(':', 7, symbol, seq)) as \"order\" from st"
+
+# inverse mapping and diversity
+QUERIES["price_bins"] = lambda spark, sf_dir: inverse.price_bins(_summary(spark, sf_dir)).select(
+    "symbol", "seq", "class", *[F.round(F.col(c) + S.TIE, 6).alias(c) for c in ("low", "high", "change_pct")]
+)
+ORACLE["price_bins"] = f"""with {_SUMMARY}, d as (select symbol, seq, s_wclose as ref, {_rank('s_closes', 0.1)} as lo, {_rank('s_closes', 0.9)} as hi from s),
+    e as (select *, [lo - 0.5 * (hi - lo), lo - 0.25 * (hi - lo), (lo + hi) / 2 - (hi - lo) * 0.15, (lo + hi) / 2 + (hi - lo) * 0.15, hi + 0.25 * (hi - lo), hi + 0.5 * (hi - lo)] as b from d)
+    select symbol, seq, k::int as class, round(b[k + 1] + {S.TIE!r}, 6) as low, round(b[k + 2] + {S.TIE!r}, 6) as high, round(((b[k + 1] + b[k + 2]) / 2 - ref) / nullif(ref, 0) * 100 + {S.TIE!r}, 6) as change_pct
+    from e, (select unnest(range(0, 5)) as k)"""
+QUERIES["temporal_diversity"] = lambda spark, sf_dir: D.temporal(_labelled(spark, sf_dir).filter("class is not null"), "symbol", "class").withColumn("temporal", F.round(F.col("temporal") + S.TIE, 6))
+ORACLE["temporal_diversity"] = (
+    f"with {_SUMMARY}, l as ({_DIR}), g as (select symbol, class, (seq - lag(seq) over (partition by symbol, class order by seq))::double as g from l where class is not null) "
+    f"select symbol, class, round(greatest(1 - coalesce(stddev_pop(g) / nullif(avg(g), 0), 0), 0) + {S.TIE!r}, 6) as temporal from g group by symbol, class"
+)
+_SHAPES = ("close", "volume", "high")
+QUERIES["feature_diversity"] = lambda spark, sf_dir: D.feature_space(bars(spark, sf_dir), list(_SHAPES)).withColumn("diversity", F.round(F.col("diversity") + S.TIE, 6))
+ORACLE["feature_diversity"] = f"with {S.BASE}" + " ".join(
+    (" union all " if k else " ")
+    + f"select '{c}' as feature, round(1 - sum(abs(share - 0.2)) / 1.6 + {S.TIE!r}, 6) as diversity from (select k, count(x.bin) * 1.0::double / (select count(*) from b) as share from (select unnest(range(0, 5)) as k) left join (select least(floor(({c} - (select min({c}) from b)) * 5 / nullif((select max({c}) - min({c}) from b), 0)), 4)::int as bin from b) x on x.bin = k group by k)"
+    for k, c in enumerate(_SHAPES)
+)
+QUERIES["market_conditions"] = lambda spark, sf_dir: D.market_conditions(_summary(spark, sf_dir))
+ORACLE["market_conditions"] = f"""with {_SUMMARY}, r as (select symbol, (h_wclose - s_wclose) / nullif(s_wclose, 0) as m, row_number() over (partition by symbol order by (h_wclose - s_wclose) / nullif(s_wclose, 0)) - 1 as r, count(*) over (partition by symbol) as n from s),
+    q as (select *, max(case when r = floor((n - 1) * 0.33::double + 0.5) then m end) over (partition by symbol) as a, max(case when r = floor((n - 1) * 0.67::double + 0.5) then m end) over (partition by symbol) as z from r)
+    select symbol, case when m < a then 'bear' when m > z then 'bull' else 'side' end as market, count(*) as n from q group by all"""
+QUERIES["repeated_sequences"] = lambda spark, sf_dir: D.repeated_sequences(Q.tensors(bars(spark, sf_dir), ["close"], LENGTH, STEP, HORIZON, False)).select("symbol", "seq", "n")
+ORACLE["repeated_sequences"] = f"with {_SUMMARY}, k as (select symbol, seq, list(close order by k) filter (where part = 's') as l from m group by symbol, seq) select symbol, min(seq) as seq, count(*) as n from k group by symbol, l having count(*) > 1"
+# trained on the earlier part of each symbol; no SQL form
+QUERIES["backtest_forest"] = lambda spark, sf_dir: model.backtest(model.sequence_features(_summary(spark, sf_dir)), T.direction(_summary(spark, sf_dir), LENGTH))
