@@ -39,6 +39,7 @@ THRESHOLD = 0.5
 STEPS = 120
 RATE = 0.05
 RIDGE = 1e-5
+_TEXTS = 400
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b" \t\n\x0b\x0c\r"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -123,27 +124,37 @@ def train(texts: list[bytes], y: np.ndarray, counts: dict[int, int], steps: int
         aside = np.zeros(len(y), bool)
     share = {k: counts[k] / sum(counts.values()) for k in (0, 1)}
 
-    def part(which: np.ndarray) -> tuple:
+    def part(which: np.ndarray) -> list[tuple]:
+        """Feature numbers, values, rows, labels and weights of the chosen texts, in blocks."""
         chosen = np.flatnonzero(which)
-        size = np.array([len(each[i][0]) for i in chosen])
-        own = y[chosen]
-        weight = np.where(own == 1, share[1] / max(1e-9, own.mean()), share[0] / max(1e-9, 1 - own.mean())) / len(own)
-        return np.concatenate([each[i][0] for i in chosen]), np.concatenate([each[i][1] for i in chosen]), np.repeat(np.arange(len(chosen)), size), own, weight
+        mean = float(y[chosen].mean())
+        blocks = []
+        for at in range(0, len(chosen), _TEXTS):
+            some = chosen[at : at + _TEXTS]
+            own = y[some]
+            weight = np.where(own == 1, share[1] / max(1e-9, mean), share[0] / max(1e-9, 1 - mean)) / len(chosen)
+            row = np.repeat(np.arange(len(some), dtype=np.int32), [len(each[i][0]) for i in some])
+            blocks.append((np.concatenate([each[i][0] for i in some]), np.concatenate([each[i][1] for i in some]), row, own, weight))
+        return blocks
 
     def logits(x: np.ndarray, at, value, row, own) -> np.ndarray:
         return np.bincount(row, weights=x[at] * value, minlength=len(own)) + x[-1]
 
-    at, value, row, own, weight = part(~aside)
+    fitted, rest = part(~aside), part(aside if aside.any() else ~aside)
+    each.clear()
 
     def gradient(x: np.ndarray) -> np.ndarray:
-        off = weight * (_sigmoid(logits(x, at, value, row, own)) - own)
-        g = np.append(np.bincount(at, weights=value * off[row], minlength=2 * SIZE), off.sum())
+        g = np.zeros_like(x)
+        for at, value, row, own, weight in fitted:
+            off = weight * (_sigmoid(logits(x, at, value, row, own)) - own)
+            g[:-1] += np.bincount(at, weights=value * off[row], minlength=2 * SIZE)
+            g[-1] += off.sum()
         g[:-1] += RIDGE * x[:-1]
         return g
 
     x = _adam(gradient, np.zeros(2 * SIZE + 1), steps, RATE)
-    at, value, row, own, weight = part(aside if aside.any() else ~aside)
-    raw = logits(x, at, value, row, own)
+    raw = np.concatenate([logits(x, at, value, row, own) for at, value, row, own, _ in rest])
+    own, weight = (np.concatenate([block[k] for block in rest]) for k in (3, 4))
 
     def slope(ab: np.ndarray) -> np.ndarray:
         off = weight * (_sigmoid(ab[0] * raw + ab[1]) - own)
