@@ -20,8 +20,11 @@ sort, so the suffixes that can matter are dealt out first:
    suffixes follow from them, and both are merged. Windows
    that repeat are neighbours then, and adjacent prefixes of ``LENGTH`` bytes are
    compared byte by byte.
-   Anchors with over ``CROWD`` different tiles are not put in one task: their
-   windows are dealt out by hash, and those that occur twice repeat.
+   Anchors with over ``CROWD`` different tiles are not put in one task. Their tiles
+   are cut into parts of ``PART`` window starts, at fixed distances from the anchor.
+   The windows of a part share a core of ``LENGTH - PART + 1`` bytes: parts with a
+   core of their own have nothing to match, equal parts repeat, and only of
+   different parts with one core the windows are compared, by hash.
 4. Repeated window starts go back to the tile's occurrences and their documents.
 
 Copies of a text have equal tiles, so they cost one fetch. Documents are keyed by
@@ -51,6 +54,7 @@ from .common import byte_values, cut_lineage, pieces
 LENGTH = 400
 GRAM = 100
 CROWD = 64
+PART = 16
 RUN_BYTES = 1 << 20
 _PLACE_BITS = 31
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -177,8 +181,8 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist()))
 
 
-_TILE = pa.schema([("_sa_k1", pa.int64()), ("_sa_k2", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
-_TILE_DDL = "_sa_k1 bigint, _sa_k2 bigint, anchor bigint, content bigint, at int, n int"
+_TILE = pa.schema([("_sa_k1", pa.int64()), ("_sa_k2", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.int32())])
+_TILE_DDL = "_sa_k1 bigint, _sa_k2 bigint, anchor bigint, content bigint, at array<int>, n int"
 
 
 def _keyed(raw: bytes) -> tuple[int, int]:
@@ -193,7 +197,10 @@ def _find_tiles(length: int, gram: int):
                 for raw in byte_values(batch.column(0)):
                     if len(raw) >= length:
                         key = _keyed(raw)
-                        rows += [(*key, *t) for t in tiles(raw, length, gram)]
+                        same: dict[tuple[int, int, int], list[int]] = {}  # a text's equal tiles make one row
+                        for anchor, content, at, n in tiles(raw, length, gram):
+                            same.setdefault((anchor, content, n), []).append(at)
+                        rows += [(*key, anchor, content, ats, n) for (anchor, content, n), ats in same.items()]
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _TILE)], schema=_TILE)
 
@@ -260,28 +267,81 @@ def _sort_runs(length: int, run_bytes: int):
     return run
 
 
-def _spread(length: int):
-    """Tiles to one row a window: its two hashes, and where it starts."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int32())])
+def _wide(raw: bytes, seed: int) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(raw, seed)
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _cut_parts(length: int, gram: int):
+    """Crowded tiles to one row a part: the hashes of its core and of all of it, its tile, first start, number of starts and bytes."""
+    schema = pa.schema([(n, pa.int64()) for n in ("h1", "h2", "part", "anchor", "content")] + [("start", pa.int32()), ("number", pa.int32()), ("raw", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for anchor, content, tile in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                raw = np.frombuffer(tile, np.uint8)
-                one = _spans_hash(raw, length).view(np.int64)
-                two = _spans_hash(raw[::-1] ^ np.uint8(0x5A), length)[::-1].view(np.int64)
+                n = len(tile) - length + 1
+                place = int(_least_place(_spans_hash(np.frombuffer(tile, np.uint8), gram), length - gram + 1)[0])
+                # distance of a start to the anchor, cut at multiples of PART
+                for q in range(max(0, place - n + 1) // PART, place // PART + 1):
+                    last = min(n - 1, place - q * PART)
+                    first = max(0, place - q * PART - PART + 1)
+                    if last < first:
+                        continue
+                    core = tile[place - q * PART : place - q * PART - PART + 1 + length]
+                    raw = tile[first : last + length]
+                    rows.append((*_wide(core, q), _wide(raw, q)[0], anchor, content, first, last - first + 1, raw))
+            if rows:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+_PART_DDL = "h1 bigint, h2 bigint, part bigint, anchor bigint, content bigint, start int, number int, raw binary"
+
+
+def _spread(length: int):
+    """Parts (h1, h2, part, raw) to one row a window: its two hashes, its part, and where it starts there."""
+    schema = pa.schema([(n, pa.int64()) for n in ("w1", "w2", "h1", "h2", "part")] + [("within", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[] for _ in schema]
+            for h1, h2, part, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                octets = np.frombuffer(raw, np.uint8)
+                one = _spans_hash(octets, length).view(np.int64)
+                two = _spans_hash(octets[::-1] ^ np.uint8(0x5A), length)[::-1].view(np.int64)
                 n = len(one)
-                yield pa.record_batch([pa.array(one), pa.array(two), pa.array(np.full(n, anchor)), pa.array(np.full(n, content)), pa.array(np.arange(n, dtype=np.int32))], schema=schema)
+                for held, made in zip(columns, (one, two, np.full(n, h1), np.full(n, h2), np.full(n, part), np.arange(n, dtype=np.int32))):
+                    held.append(made)
+            if columns[0]:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], schema=schema)
 
     return run
 
 
+def _crowded_runs(tiles_: DataFrame, length: int, gram: int) -> DataFrame:
+    """(anchor, content, start, number) of the repeated windows of crowded tiles."""
+    parts = cut_lineage(tiles_.mapInArrow(_cut_parts(length, gram), _PART_DDL))
+    key = ["h1", "h2", "part"]
+    kinds = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("times"), F.first("number").alias("number"), F.first("raw").alias("raw"))
+    kinds = cut_lineage(kinds)
+    cores = kinds.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h1", "h2")
+    windows = kinds.join(cores, ["h1", "h2"]).select(*key, "raw").mapInArrow(_spread(length), "w1 bigint, w2 bigint, h1 bigint, h2 bigint, part bigint, within int")
+    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("w1", "w2")
+    some = windows.join(twice, ["w1", "w2"]).select(*key, "within", F.lit(1).alias("number"))
+    whole = kinds.filter("times > 1").select(*key, F.lit(0).alias("within"), "number")
+    runs = cut_lineage(some.unionAll(whole).groupBy(*key).agg(F.collect_set(F.struct("within", "number")).alias("runs")))
+    hit = parts.select(*key, "anchor", "content", "start").join(runs, key)
+    return hit.select("anchor", "content", "start", F.inline("runs")).select("anchor", "content", (F.col("start") + F.col("within")).alias("start"), "number")
+
+
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, run_bytes: int = RUN_BYTES) -> DataFrame:
     """(_sa_k1, _sa_k2, spans): for each text with repeated strings, its key and the (start, number) of repeated window starts."""
     texts = docs.select(F.col(text_col).alias("text"))
     places = cut_lineage(texts.mapInArrow(_find_tiles(length, gram), _TILE_DDL))
-    one = F.min_by(F.struct("_sa_k1", "_sa_k2", "at", "n"), F.struct("_sa_k1", "_sa_k2", "at"))
-    named = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), one.alias("one"))
+    one = F.min(F.struct("_sa_k1", "_sa_k2", F.get("at", F.lit(0)).alias("at"), "n"))
+    named = places.groupBy("anchor", "content").agg(F.sum(F.size("at")).alias("times"), one.alias("one"))
     per_anchor = named.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all"))
     named = cut_lineage(named.join(per_anchor.filter("all > 1"), "anchor"))
 
@@ -294,16 +354,13 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     light = cut.filter("not crowded").select("anchor", "content", "tile").repartition("anchor").sortWithinPartitions("anchor", "content")
     found = light.mapInArrow(_sort_runs(length, run_bytes), _FOUND_DDL)
-    windows = cut.filter("crowded").select("anchor", "content", "tile").mapInArrow(_spread(length), "h1 bigint, h2 bigint, anchor bigint, content bigint, start int")
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h1", "h2")
-    crowded = windows.join(twice, ["h1", "h2"]).select("anchor", "content", "start", F.lit(1).alias("number"))
+    crowded = _crowded_runs(cut.filter("crowded").select("anchor", "content", "tile"), length, gram)
     whole = named.filter("times > 1").select("anchor", "content", F.lit(0).alias("start"), F.col("one.n").alias("number"))
     found = cut_lineage(found.unionAll(crowded).unionAll(whole))
     # written, so that the join below has a plain exchange on each side and a frequent tile can be split
     per_tile = cut_lineage(found.groupBy("anchor", "content").agg(F.collect_set(F.struct("start", "number")).alias("runs")))
-    back = places.join(per_tile, ["anchor", "content"]).select(
-        "_sa_k1", "_sa_k2", F.transform("runs", lambda r: F.struct((r["start"] + F.col("at")).alias("start"), r["number"].alias("number"))).alias("runs")
-    )
+    moved = F.transform("at", lambda a: F.transform("runs", lambda r: F.struct((r["start"] + a).alias("start"), r["number"].alias("number"))))
+    back = places.join(per_tile, ["anchor", "content"]).select("_sa_k1", "_sa_k2", F.flatten(moved).alias("runs"))
     return back.distinct().groupBy("_sa_k1", "_sa_k2").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
 
