@@ -23,7 +23,7 @@ its own slot). An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
