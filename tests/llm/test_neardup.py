@@ -109,3 +109,41 @@ def test_edit_check_with_null_and_repeated_ids(spark):
     rows = [(None, "x y z"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "q")]
     assert sketch.edit_check(docs_of(spark, rows)).count() == 4
     assert sketch.edit_check(docs_of(spark, [(None, "x"), (None, "y")])).count() == 2
+
+
+def test_near_copies_by_five_word_sets(spark):
+    from tidebar.llm import nearcopies
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    rows, bits = [], 0
+    for k in range(40):
+        base = [rng.choice(words) for _ in range(200)]
+        edited = list(base)
+        for at in (50, 120, 170):
+            edited[at] = "edited"
+        far = base[:100] + [rng.choice(words) for _ in range(100)]
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, " ".join(edited)), (3 * k + 2, " ".join(far))]
+        bits += bin(simhash.fingerprint(rows[-3][1].encode()) ^ simhash.fingerprint(rows[-2][1].encode())).count("1") > 2
+    assert bits > 20  # most are out of reach of two bits
+    import corpus_pipeline
+
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs_of(spark, rows), "").collect()}
+    assert kept == {i for i, _ in rows if i % 3 != 1}
+    crowd = " ".join(rng.choice(words) for _ in range(300)).split()
+    many = []
+    for k in range(30):
+        own = list(crowd)
+        own[rng.randrange(300)] = f"own{k}"
+        many.append((k, " ".join(own)))
+    assert [r.doc_id for r in nearcopies.one_of_each(docs_of(spark, many)).collect()] == [0]
+    assert nearcopies.one_of_each(docs_of(spark, rows).filter("false")).count() == 0
+
+
+def test_near_copies_rows_without_or_with_equal_ids(spark):
+    from tidebar.llm import nearcopies
+
+    same = "one text that comes more than once here"
+    rows = [(7, same), (7, "another text under the same number as that"), (None, same), (None, "only null rows hold this text of words"), (None, "only null rows hold this text of words"), (9, None), (8, " ")]
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in nearcopies.one_of_each(docs_of(spark, rows)).collect())
+    assert kept == [(-1, rows[3][1]), (7, rows[1][1]), (7, same), (8, " ")]
