@@ -181,3 +181,30 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
     assert all(r.lossless and coder.decode(r.piece_ids) == texts[r.doc_id] for r in final)
     assert pipeline.run(spark, sf_dir).count() == len(final)
     assert pipeline.ORACLE_SQL is None and WORD.findall("a b")
+
+
+def test_passages_of_just_over_fifty_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 5)))
+    texts = [[word() for _ in range(rng.randrange(60, 200))] for _ in range(30)]
+    passage, short = [word() for _ in range(51)], [word() for _ in range(50)]
+    assert len(" ".join(passage)) < 400
+    for k, t in enumerate(texts[:9]):
+        t[20:20] = passage[: 51 if k < 6 else 50] if k % 2 else short
+    texts[9] = list("中文字符没有空格" * 0 + "".join(chr(0x4E00 + 7 * k) for k in range(60)))
+    texts[10] = texts[9][:55] + ["x"]
+    docs = [(k, ("" if k in (9, 10) else " ").join(t)) for k, t in enumerate(texts)]
+    seen = Counter(tuple(t[i : i + 51]) for t in texts for i in range(len(t) - 50))
+    got = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, docs_of(spark, docs), "").collect()}
+    cut = 0
+    for k, t in enumerate(texts):
+        gone = {j for i in range(len(t) - 50) if seen[tuple(t[i : i + 51])] > 1 for j in range(i, i + 51)}
+        cut += bool(gone)
+        want = [w for j, w in enumerate(t) if j not in gone]
+        assert got[k].split() == (["".join(want)] if k in (9, 10) else want)
+    assert cut == 5
+    whole = " ".join(passage)
+    out = corpus_pipeline.passages(spark, docs_of(spark, [(1, whole), (2, whole.replace(" ", "\n", 3)), (3, None), (4, "")]), "").collect()
+    assert sorted(r.doc_id for r in out) == [3, 4]

@@ -40,6 +40,7 @@ reserved; other columns pass through ``remove`` and are ignored by ``report``.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -347,7 +348,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     wanted = named.filter("kinds > 1").select("one.*", "anchor", "content", (F.col("kinds") > crowd).alias("crowded"))
     asked = wanted.groupBy("_sa_k1", "_sa_k2").agg(F.collect_list(F.struct("anchor", "content", "crowded", "at", "n")).alias("wanted"))
-    keyed = texts.filter(F.octet_length("text") >= length).mapInArrow(_with_key(length, ["text"]), "text string, _sa_k1 bigint, _sa_k2 bigint")
+    keyed = texts.filter(F.octet_length("text") >= length).mapInArrow(_with_key(length, ["text"]), T.StructType([texts.schema["text"], *(T.StructField(k, T.LongType()) for k in ("_sa_k1", "_sa_k2"))]))
     # one copy of a text answers for all: its key is in ``asked`` once, and equal answers are dropped
     cut = keyed.join(asked, ["_sa_k1", "_sa_k2"]).select("text", "wanted").mapInArrow(_cut_out(length), "anchor bigint, content bigint, crowded boolean, tile binary")
     cut = cut_lineage(cut.dropDuplicates(["anchor", "content"]))
@@ -432,3 +433,82 @@ def remove(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
                 yield pa.record_batch(columns, names=names)
 
     return rows.mapInArrow(run, docs.schema)
+
+
+WORDS = 51
+_SYMBOL = 4
+#: A word is a run without blanks; characters of scripts that are written without blanks count one by one.
+_WORD = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|[^ \t\n\r\x0b\x0c\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+")
+
+
+def word_symbols(text: str) -> bytes:
+    """A 32-bit hash of each word, one after the other."""
+    digest = xxhash.xxh32_intdigest
+    return np.array([digest(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall(text)], "<u4").tobytes()
+
+
+def without_words(text: str, gone: np.ndarray) -> str:
+    """``text`` without the words that are marked, and without the blanks before each but the first of a run."""
+    out, at = [], 0
+    spans = [m.span() for m in _WORD.finditer(text)]
+    for start, number in _runs(gone):
+        out.append(text[at : spans[start][0]])
+        at = spans[start + number - 1][1]
+    return "".join([*out, text[at:]])
+
+
+def whole_words(size: int, spans: list, words: int = WORDS) -> np.ndarray:
+    """Which words are covered by a repeated run of at least ``words``; ``spans`` are of the symbols' bytes.
+
+    A window of bytes that starts within a word covers one word less, so runs that are shorter are dropped.
+    """
+    edge = np.zeros(size + 1, np.int64)
+    for r in spans or ():
+        first = -(-r["start"] // _SYMBOL)
+        last = (r["start"] + r["number"] - 1) // _SYMBOL
+        if last >= first:
+            edge[first] += 1
+            edge[last + words] -= 1
+    return np.cumsum(edge)[:size] > 0
+
+
+def remove_passages(docs: DataFrame, words: int = WORDS, **options) -> DataFrame:
+    """``docs`` with every run of ``words`` words that starts elsewhere too taken out of ``text``.
+
+    The texts' words become symbols of four bytes, on which ``repeated_spans`` finds what
+    repeats. Blanks between words are not compared. Rows of which nothing but blanks
+    is left have an empty text.
+    """
+    length = words * _SYMBOL
+    options.setdefault("gram", length // 4)
+    names = docs.columns
+    at = names.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_sa_symbols", T.BinaryType())])
+
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                made = pa.array([word_symbols(t.decode("utf-8", "surrogatepass")) for t in byte_values(batch.column(at))], pa.binary())
+                yield pa.record_batch([*batch.columns, made], names=[*names, "_sa_symbols"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                texts = []
+                for text, spans, size in zip(*(batch.column(k).to_pylist() for k in (at, len(names), len(names) + 1))):
+                    if text and spans:
+                        gone = whole_words(size // _SYMBOL, spans, words)
+                        if gone.any():
+                            text = without_words(text, gone)
+                            text = text if text.strip() else ""
+                    texts.append(text)
+                columns = list(batch.columns[:-2])
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.record_batch(columns, names=names)
+
+    marked = docs.mapInArrow(symbols, schema)
+    spans = repeated_spans(marked, "_sa_symbols", length, **options)
+    renamed = marked.withColumnRenamed("text", "_sa_text").withColumnRenamed("_sa_symbols", "text")
+    rows = _joined(renamed, spans, length)
+    rows = rows.select(*[F.col("_sa_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], "_sa_spans", F.octet_length("text").alias("_sa_size"))
+    return rows.mapInArrow(cut, docs.schema)
