@@ -103,3 +103,18 @@ def test_labelled_target(spark):
     docs = docs_of(spark, [(1, "x"), (2, "y"), (3, "z"), (3, "z")])
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 1), (None, 1)], "doc_id bigint, quality int")
     assert sorted(r.text for r in lm.labelled_target(docs, labels).collect()) == ["x", "z", "z"]
+
+
+def test_every_occurrence_draws_on_its_own(model):
+    e = pieces.Encoder(model, 0.3, 1)
+    texts = ["international waters"] * 300
+    assert len(set(e.encode_many(texts, list(range(300))))) > 16  # four streams: at most four
+    within = e.encode_many(["international " * 64], [5])[0]
+    plain = e.encode("international", 0, False)
+    assert e.decode(pieces._unpacked(within)) == "international " * 64 and len(pieces._unpacked(within)) > 64 * len(plain)
+    some = [*TEXTS, "the quick brown fox jumps over lazy dogs " * 9]
+    for k, text in enumerate(some):
+        cut = e.chunks(text)
+        one_by_one = [i for c, key in zip(cut, e._keys(k, len(cut)).tolist()) for i in e.merge(c, None, key)]
+        assert e.encode(text, k) == one_by_one
+    assert e.encode_many(some, list(range(len(some)))) == [e.encode_many([t], [k])[0] for k, t in enumerate(some)]

@@ -3,16 +3,16 @@
 A text is cut where no merge can cross (see ``Encoder.chunks``), and each chunk
 is merged on an agenda: the candidate with the best score, leftmost first, joins
 its two neighbours and may bring up new candidates. With dropout, each candidate
-taken from the agenda is skipped when a hash keyed with the seed, the chunk, its
-stream and the candidate's place falls below the rate. The same seed always gives
+taken from the agenda is skipped when a hash keyed with the seed, the document, the
+chunk's place in it and the candidate's place falls below the rate. The same seed always gives
 the same pieces on any machine and in any order of rows; another seed gives
 others. Without dropout the result is that of the vocabulary's own encoder.
 
-``STREAMS`` bounds how many different segmentations one chunk can take under one
-seed: each block of ``BLOCK`` chunks draws its stream from the document's key and
-the block's place. A worker keeps the first ``CACHE`` outcomes that it meets.
-Chunks that are not in it are merged together, one agenda step of each at a time,
-in array operations; long ones go one by one.
+Every occurrence of a chunk draws on its own. A worker keeps the plain outcome of
+chunks that it meets often, about ``CACHE`` of them, with the candidates that led to it: where
+an occurrence skips none of these, its outcome is the plain one. The others are
+merged together, one agenda step of each at a time, in array operations; long ones
+go one by one.
 
 Decoding is lossless: characters that the vocabulary lacks, and the mark that
 stands for a space where a text itself contains it, are written as byte pieces.
@@ -27,9 +27,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +43,7 @@ from .common import pieces as parts_of
 SPACE = "▁"
 DROPOUT = 0.1
 SEED = 20240
-STREAMS = 4
-BLOCK = 64
-CACHE = 600_000
+CACHE = 300_000
 _LONG = 40
 _TOGETHER = 60_000
 _OWN = "own mark"
@@ -55,7 +53,15 @@ _ALL = (1 << 64) - 1
 
 def _mixed(key: np.ndarray, left: np.ndarray, right: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """Keyed 64-bit hash of candidates; arrays of uint64."""
-    x = key ^ (left * np.uint64(_M1)) ^ (right * np.uint64(_M2)) ^ (piece * np.uint64(_M3))
+    return _drawn(key ^ _draw_part(left, right, piece))
+
+
+def _draw_part(left: np.ndarray, right: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """What ``_mixed`` combines with the key."""
+    return (left.astype(np.uint64) * np.uint64(_M1)) ^ (right.astype(np.uint64) * np.uint64(_M2)) ^ (piece.astype(np.uint64) * np.uint64(_M3))
+
+
+def _drawn(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(_M2)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(_M3)
     return x ^ (x >> np.uint64(32))
@@ -77,7 +83,9 @@ class Encoder:
             raise ValueError("dropout must be in [0, 1)")
         self.model, self.dropout, self.seed = model, dropout, seed
         self.below = int(dropout * 2**64)
-        self.kept: dict[int | None, dict[str, bytes]] = {}
+        self.kept: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        self.taken: list[np.ndarray] = []
 
     @cached_property
     def _vocabulary(self) -> tuple[dict[str, int], list[float], list[int], list]:
@@ -175,16 +183,21 @@ class Encoder:
             open_, at = open_[go], at[go]
         return out
 
-    def merge_many(self, items: list[tuple[str, int | None]]) -> list[bytes]:
-        """``merge`` of many short chunks at once, one agenda step of each at a time; ids as packed 32-bit numbers."""
+    def merge_many(self, items: list[tuple[str, int | None]], keys: np.ndarray | None = None, trace: list | None = None) -> list[bytes]:
+        """``merge`` of many short chunks at once, one agenda step of each at a time; ids as packed 32-bit numbers.
+
+        ``keys``: the keys of the draws, in place of the streams. ``trace`` takes the
+        merges of each step: number of the chunk and the unkeyed part of the draw.
+        """
         of_char, rank, _, _, _, _ = self._tables
         n = len(items)
         size = np.fromiter((len(c) + 1 for c, _ in items), np.int64, n)
         points = np.frombuffer("".join([" " + c for c, _ in items]).encode("utf-32-le", "surrogatepass"), np.uint32)
         raw = points
         points = np.where(raw == 32, np.uint32(ord(SPACE)), raw)
-        sampled = items[0][1] is not None
-        keys = np.fromiter((self._key(c, t) for c, t in items), np.uint64, n) if sampled else None
+        sampled = keys is not None or items[0][1] is not None
+        if sampled and keys is None:
+            keys = np.fromiter((self._key(c, t) for c, t in items), np.uint64, n)
         symbol = of_char[points].astype(np.int64)
         apart = (symbol < 0) | (raw == ord(SPACE))  # unknown characters and own space marks join nothing
         symbol[apart] = -2 - points[apart].astype(np.int64)
@@ -217,6 +230,8 @@ class Encoder:
             alive = best >> 32 > 0
             lengths = np.diff(np.append(starts, len(symbol)))
             at = len(symbol) - 1 - (best[alive] & 0xFFFFFFFF)
+            if trace is not None:
+                trace.append((word[at], _draw_part(place[at], place[at + 1], joins[at])))
             symbol[at] = joins[at]
             keep = np.repeat(alive, lengths)
             final[origin[~keep]] = symbol[~keep]
@@ -250,13 +265,15 @@ class Encoder:
                 found[c] = _packed(self.merge(c, stream))
         return found
 
-    def merge(self, chunk: str, stream: int | None) -> list[int]:
-        """Piece ids of one chunk; ``stream`` None: no dropout."""
+    def merge(self, chunk: str, stream: int | None, key: int | None = None) -> list[int]:
+        """Piece ids of one chunk; ``stream`` None: no dropout. ``key``: that of the draws, in place of a stream."""
         ids, scores, octets, _ = self._vocabulary
         symbols = self._symbols(chunk)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        key = 0 if stream is None else self._key(chunk, stream)
+        sampled = key is not None or stream is not None
+        if sampled and key is None:
+            key = self._key(chunk, stream)
         agenda: list[tuple[float, int, int, str]] = []
 
         def propose(left: int, right: int) -> None:
@@ -271,7 +288,7 @@ class Encoder:
             _, left, right, both = heapq.heappop(agenda)
             if after[left] != right or not symbols[left] or symbols[left] + symbols[right] != both:
                 continue  # one side has been merged since
-            if stream is not None and self._skips(key, left, right, ids[both]):
+            if sampled and self._skips(key, left, right, ids[both]):
                 continue
             symbols[left] = both
             symbols[right] = ""
@@ -292,46 +309,72 @@ class Encoder:
             k = after[k]
         return out
 
-    def _streams(self, key: int, n: int) -> list[int]:
+    def _keys(self, key: int, n: int) -> np.ndarray:
+        """The key of each of a document's chunks."""
         base = np.uint64(xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True), self.seed & _ALL))
         k = np.arange(n, dtype=np.uint64)
-        return (_mixed(base, k, k, k) % np.uint64(STREAMS)).tolist()
+        return _mixed(base, k, k, k)
+
+    def _meet(self, chunks: list[str]) -> None:
+        """Keeps the plain outcome of new short chunks, and the draws that must all fail to skip for it."""
+        for at in range(0, len(chunks), _TOGETHER):
+            some = chunks[at : at + _TOGETHER]
+            trace: list[tuple[np.ndarray, np.ndarray]] = []
+            outcomes = self.merge_many([(c, None) for c in some], trace=trace)
+            word = np.concatenate([w for w, _ in trace]) if trace else np.empty(0, np.int64)
+            part = np.concatenate([p for _, p in trace]) if trace else np.empty(0, np.uint64)
+            order = np.argsort(word, kind="stable")
+            parts = np.split(part[order], np.cumsum(np.bincount(word, minlength=len(some)))[:-1])
+            for c, o, p in zip(some, outcomes, parts):
+                self.kept[c] = len(self.plain)
+                self.plain.append(o)
+                self.taken.append(p.copy())
 
     def encode_many(self, texts: list[str | None], keys: list[int], sampled: bool = True) -> list[bytes]:
-        """Packed piece ids of each text. A text's key picks the streams of its blocks."""
+        """Packed piece ids of each text. A text's key and a chunk's place key the chunk's draws."""
         sampled = sampled and self.dropout > 0
-        blocks: list[list[tuple[int | None, list[str]]]] = []
-        needed: dict[int | None, set[str]] = {}
-        for text, key in zip(texts, keys):
-            cut = self.chunks(text)
-            if sampled:
-                count = -(-len(cut) // BLOCK)
-                own = [(t, cut[k * BLOCK : (k + 1) * BLOCK]) for k, t in enumerate(self._streams(key, count))]
-            else:
-                own = [(None, cut)]
-            blocks.append(own)
-            for stream, words in own:
-                needed.setdefault(stream, set()).update(words)
-        look = {}
-        for stream, words in needed.items():
-            kept = self.kept.setdefault(stream, {})
-            words.difference_update(kept)
-            found = self._learn(list(words), stream)
-            room = CACHE // (STREAMS if sampled else 1) - len(kept)
-            if len(found) <= room:
-                kept.update(found)
-                look[stream] = (kept, None)
-            else:
-                kept.update((c, p) for c, p in islice(found.items(), max(0, room)) if len(c) <= _LONG)
-                look[stream] = (kept, found)
-        out = []
-        for own in blocks:
-            parts: list[bytes] = []
-            for stream, words in own:
-                kept, found = look[stream]
-                parts += map(kept.__getitem__, words) if found is None else [kept.get(w) or found[w] for w in words]
-            out.append(b"".join(parts))
-        return out
+        cuts = [self.chunks(text) for text in texts]
+        words = [c for cut in cuts for c in cut]
+        if len(self.kept) > CACHE:
+            self.kept, self.plain, self.taken = {}, [], []
+        times = Counter(words)
+        self._meet([c for c, n in times.items() if (n > 1 or not sampled) and 0 < len(c) <= _LONG and c not in self.kept])
+        number = np.fromiter((self.kept.get(c, -1) for c in words), np.int64, len(words))
+        plain = self.plain
+        out = [plain[k] if k >= 0 else b"" for k in number.tolist()]
+        if not sampled:
+            for k in np.flatnonzero(number < 0).tolist():
+                out[k] = _packed(self.merge(words[k], None))
+        elif words:
+            draws = np.concatenate([self._keys(key, len(cut)) for key, cut in zip(keys, cuts)])
+            new = np.flatnonzero(number < 0).tolist()
+            once = [k for k in new if 0 < len(words[k]) <= _LONG]
+            for a in range(0, len(once), _TOGETHER):
+                some = once[a : a + _TOGETHER]
+                for k, o in zip(some, self.merge_many([(words[k], None) for k in some], draws[some])):
+                    out[k] = o
+            for k in new:
+                if not 0 < len(words[k]) <= _LONG:
+                    out[k] = _packed(self.merge(words[k], None, int(draws[k])))
+            here = np.flatnonzero(number >= 0)
+            met, at = np.unique(number[here], return_inverse=True)
+            taken = [self.taken[k] for k in met.tolist()]
+            sizes = np.fromiter(map(len, taken), np.int64, len(taken))
+            flat = np.concatenate([*taken, np.empty(0, np.uint64)])
+            starts = np.cumsum(sizes) - sizes
+            for a in range(0, len(here), _TOGETHER):
+                some, kind = here[a : a + _TOGETHER], at[a : a + _TOGETHER]
+                n = sizes[kind]
+                owner = np.repeat(np.arange(len(some)), n)
+                inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                skips = _drawn(draws[some][owner] ^ flat[starts[kind][owner] + inner]) < np.uint64(self.below)
+                other = some[np.bincount(owner[skips], minlength=len(some)) > 0]
+                if len(other):
+                    found = self.merge_many([(words[k], None) for k in other.tolist()], draws[other])
+                    for k, o in zip(other.tolist(), found):
+                        out[k] = o
+        ends = np.cumsum([len(cut) for cut in cuts]).tolist()
+        return [b"".join(out[e - len(cut) : e]) for e, cut in zip(ends, cuts)]
 
     def encode(self, text: str | None, key: int = 0, sampled: bool = True) -> list[int]:
         """Piece ids of one text."""
@@ -393,7 +436,7 @@ def encode_table(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(shared.value, dropout, seed)
         for whole in batches:
-            for batch in parts_of(whole, 4 << 20):
+            for batch in parts_of(whole, 2 << 20):
                 keys, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
                 coded = coder.encode_many(texts, [-1 if k is None else k for k in keys])
                 same = [coder.decode(_unpacked(c)) == (t or "") for c, t in zip(coded, texts)] if checked else [None] * len(texts)
