@@ -132,7 +132,7 @@ def test_near_copies_by_five_word_sets(spark):
     assert kept == {i for i, _ in rows if i % 3 != 1}
     crowd = " ".join(rng.choice(words) for _ in range(300)).split()
     many = []
-    for k in range(30):
+    for k in range(90):
         own = list(crowd)
         own[rng.randrange(300)] = f"own{k}"
         many.append((k, " ".join(own)))
