@@ -43,9 +43,9 @@ from .common import pieces as parts_of
 SPACE = "▁"
 DROPOUT = 0.1
 SEED = 20240
-CACHE = 300_000
+CACHE = 100_000
 _LONG = 40
-_TOGETHER = 60_000
+_TOGETHER = 30_000
 _OWN = "own mark"
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _ALL = (1 << 64) - 1
@@ -436,7 +436,7 @@ def encode_table(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(shared.value, dropout, seed)
         for whole in batches:
-            for batch in parts_of(whole, 2 << 20):
+            for batch in parts_of(whole, 1 << 20):
                 keys, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
                 coded = coder.encode_many(texts, [-1 if k is None else k for k in keys])
                 same = [coder.decode(_unpacked(c)) == (t or "") for c, t in zip(coded, texts)] if checked else [None] * len(texts)
