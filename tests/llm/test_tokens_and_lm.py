@@ -118,3 +118,35 @@ def test_every_occurrence_draws_on_its_own(model):
         one_by_one = [i for c, key in zip(cut, e._keys(k, len(cut)).tolist()) for i in e.merge(c, None, key)]
         assert e.encode(text, k) == one_by_one
     assert e.encode_many(some, list(range(len(some)))) == [e.encode_many([t], [k])[0] for k, t in enumerate(some)]
+
+
+def test_every_word_and_pair_has_its_own_count(spark):
+    rare = " ".join(f"w{k} v{k % 7}" for k in range(70_000))  # more words than fit in 65,536
+    texts = ["a b a b c", "a a b", "", "c c c d", "x" * 70 + " d d " + "x" * 70, None, rare]
+    good = ["a b a b c", "w5 v5 w5 v5"]
+    background, target = docs_of(spark, enumerate(texts)), docs_of(spark, enumerate(good))
+    made = {}
+    for name, corpus in (("t", good), ("b", texts)):
+        one, two = Counter(), Counter()
+        for t in corpus:
+            s = ["^", *(t or "").split()]
+            one.update(s)
+            two.update(zip(s, s[1:]))
+        made[name] = one, two, sum(n for w, n in one.items() if w != "^")
+    size = len(made["b"][0]) - 1
+    scale = {"t": 1.0, "b": made["t"][2] / made["b"][2]}
+
+    def loss(name, v, w):
+        one, two, total = made[name]
+        k = scale[name]
+        share = (one[w] * k + 1) / (total * k + size + 1)
+        return -math.log((min(two[v, w] * k, one[v] * k) + lm.MU * share) / (one[v] * k + lm.MU))
+
+    models = lm.fit(target, background)
+    for docs in (background, docs_of(spark, enumerate([*texts, "never seen a b"]))):
+        for r in lm.score(docs, models).collect():
+            s = ["^", *("never seen a b" if r.doc_id == len(texts) else texts[r.doc_id] or "").split()]
+            each = [(loss("t", v, w), loss("b", v, w)) for v, w in zip(s, s[1:])]
+            assert r.n_tokens == len(each)
+            assert r.score == pytest.approx(sum(a - b for a, b in each) / max(1, len(each)), abs=1e-9)
+    assert lm.score(background.filter("false"), models).count() == 0

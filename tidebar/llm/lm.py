@@ -1,6 +1,12 @@
 """Cross-entropy difference scores from two matched bigram models.
 
-Both models share one vocabulary: the most frequent words of the background
+By default every word and every pair of words has a count of its own, held as a
+distributed table: blocks of texts send the distinct keys that they hold, with
+their counts, to the part of each key; parts sum over all blocks and answer each
+block that asks. A frequent key comes once a block, so none is crowded. Keys are
+64-bit hashes.
+
+With a ``size`` both models fit in memory and share one vocabulary: the most frequent words of the background
 corpus, all of it counted, at most ``VOCABULARY``; where words of one frequency
 don't all fit, none of them is taken. Any other word is one unknown token. They
 also share order, smoothing and layout. Counts of word pairs are kept in
@@ -19,13 +25,14 @@ blocks are summed in a stream, so no task holds more than one sum and a batch.
 
 Defined results: a null or empty text, or one without words, has 0 tokens and
 losses and score 0. Without a target all scores are those of an empty target
-model. Null ids and repeated rows are rows like others. Words of over
-``LONGEST`` bytes are unknown. An empty table gives an empty result. Other
+model. Null ids and repeated rows are rows like others. With a ``size``,
+words of over ``LONGEST`` bytes are unknown. An empty table gives an empty result. Other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +54,8 @@ _BLOCK = 1 << 14
 _KEPT_WORDS = 1 << 19
 _FLUSH = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BOUNDARY = np.uint64(0x5851F42D4C957F2D)
+BLOCK_BYTES = 16 << 20
 
 
 def _mark(word: bytes) -> int:
@@ -196,14 +206,206 @@ class Models:
         return out[0], out[1]
 
 
-def fit(target: DataFrame, background: DataFrame, size: int = VOCABULARY, bits: int = PAIR_BITS, mu: float = MU) -> Models:
-    """Models of the texts of two tables."""
+class Hashes(dict):
+    """Hash of each word; fills itself as words come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = made = xxhash.xxh3_64_intdigest(word)
+        return made
+
+    def of(self, text: bytes) -> np.ndarray:
+        """A boundary, then the hash of each word."""
+        if len(self) > _KEPT_WORDS // 4:
+            self.clear()
+        words = text.lower().split()
+        out = np.full(len(words) + 1, _BOUNDARY, np.uint64)
+        out[1:] = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return out
+
+
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    """Odd keys."""
+    return hashes | np.uint64(1)
+
+
+def pair_keys(hashes: np.ndarray) -> np.ndarray:
+    """Even keys of a text's neighbours."""
+    key = (hashes[:-1] ^ (hashes[:-1] >> np.uint64(29))) * _MIX + hashes[1:]
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (key ^ (key >> np.uint64(30))) & ~np.uint64(1)
+
+
+def _summed(keys: np.ndarray, counts_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts_ = keys[order], counts_[order]
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[cuts], np.add.reduceat(counts_, cuts, axis=0) if len(cuts) else counts_
+
+
+def _zipped(table: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(table).tobytes())
+
+
+def _unzipped(raw: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
+class Tables:
+    """Two tables of texts whose counts are gathered when texts are scored."""
+
+    def __init__(self, target: DataFrame, background: DataFrame, mu: float = MU):
+        self.target, self.background, self.mu = target, background, mu
+
+
+_COUNTED, _ASKS, _TARGET = 1, 2, 4
+_ROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("tokens", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+_ROW_DDL = "block bigint, part int, kind int, tokens bigint, keys binary, n binary"
+
+
+def _blocks(docs: DataFrame, kind: int, parts: int) -> DataFrame:
+    """(doc_id, text) to rows of blocks: part -1 holds the texts, where asked for, the others the distinct keys of one part and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, hashes = (kind << 60) | (TaskContext.get().partitionId() << 24), Hashes()
+        ids, texts, held, size, done = [], [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate([f(h) for h in held for f in (word_keys, pair_keys)]), return_counts=True)
+            at = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+            tokens = sum(len(h) - 1 for h in held)
+            packed = zstandard.ZstdCompressor(level=1).compress(pickle.dumps((ids, texts))) if kind & _ASKS else b""
+            rows = [(base + done, -1, kind, tokens, packed, b"")]
+            rows += [(base + done, k, kind, 0, keys[a:b].tobytes(), _zipped(n[a:b].astype(np.uint32))) for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if b > a]
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
+
+        for whole in batches:
+            for batch in pieces(whole, 1 << 20):
+                for i, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
+                    ids.append(i)
+                    texts.append(text)
+                    held.append(hashes.of(text))
+                    size += len(text)
+                    if size > BLOCK_BYTES:
+                        yield flush()
+                        ids, texts, held, size, done = [], [], [], 0, done + 1
+        if ids:
+            yield flush()
+
+    return docs.mapInArrow(run, _ROW_DDL)
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part to (block, part, words, n): the target's and the background's counts of each key that a block asks for.
+
+    Block -1 tells how many words of the part the background has.
+    """
+    part, asks, keys, n = None, [], [], []
+
+    def gather() -> None:
+        if len(keys) > 1:
+            k, c = _summed(np.concatenate(keys), np.concatenate(n))
+            keys[:], n[:] = [k], [c]
+
+    def rows():
+        gather()
+        words = int(((keys[0] & np.uint64(1) == 1) & (n[0][:, 1] > 0) & (keys[0] != word_keys(_BOUNDARY))).sum())
+        yield [-1], [part], [words], [b""]
+        for block, raw in asks:
+            asked = np.frombuffer(raw, np.uint64)
+            yield [block], [part], [0], [_zipped(n[0][np.searchsorted(keys[0], asked)])]
+
+    def emit():
+        for row in rows():
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["block", "part", "words", "n"])
+
+    for batch in batches:
+        for block, at, kind, raw, counted in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if at != part:
+                if part is not None:
+                    yield from emit()
+                part, asks, keys, n = at, [], [], []
+            own = np.frombuffer(raw, np.uint64)
+            counts_ = np.zeros((len(own), 2), np.int64)  # a key that is only asked for counts 0
+            if kind & (_COUNTED | _TARGET):
+                counts_[:, 0 if kind & _TARGET else 1] = _unzipped(counted, np.uint32)
+            keys.append(own)
+            n.append(counts_)
+            if kind & _ASKS:
+                asks.append((block, raw))
+            if sum(map(len, keys[1:])) > max(1 << 20, len(keys[0])):
+                gather()
+    if part is not None:
+        yield from emit()
+
+
+def _score_tables(docs: DataFrame, tables: Tables, id_col: str, text_col: str) -> DataFrame:
+    kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    parts = max(8, 4 * docs.select(text_col).rdd.getNumPartitions())
+    texts = lambda df: df.select(F.lit(None).cast("bigint").alias("doc_id"), "text")
+    if docs is tables.background and text_col == "text":
+        rows = _blocks(kept, _ASKS | _COUNTED, parts)
+    else:
+        rows = _blocks(kept, _ASKS, parts).unionAll(_blocks(texts(tables.background), _COUNTED, parts))
+    rows = cut_lineage(rows.unionAll(_blocks(texts(tables.target), _TARGET, parts)))
+    dealt = rows.filter("part >= 0").select("block", "part", "kind", "keys", "n").repartition("part").sortWithinPartitions("part")
+    answers = cut_lineage(dealt.mapInArrow(_answers, "block bigint, part int, words bigint, n binary"))
+    of = {r["kind"]: r["tokens"] for r in rows.filter("part = -1").groupBy("kind").agg(F.sum("tokens").alias("tokens")).collect()}  # a row a kind
+    n_target, n_background = of.get(_TARGET, 0), sum(v for k, v in of.items() if k & _COUNTED)
+    words = answers.filter("block = -1").agg(F.sum("words")).first()[0] or 0
+    factors = np.array([1.0, n_target / n_background if n_target and n_background else 1.0])
+    totals, mu = np.array([n_target, n_background * factors[1]]) + words + 1, tables.mu
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((n, pa.float64()) for n in ("loss_target", "loss_background", "score"))])
+
+    def scored(packed: bytes, counted: list[np.ndarray]) -> pa.RecordBatch:
+        ids, texts = pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
+        hashes = Hashes()
+        held = [hashes.of(t) for t in texts]
+        keys = np.unique(np.concatenate([f(h) for h in held for f in (word_keys, pair_keys)]))
+        table = np.concatenate(counted).reshape(-1, 2)
+        out = []
+        for i, h in zip(ids, held):
+            if len(h) == 1:
+                out.append((i, 0, 0.0, 0.0, 0.0))
+                continue
+            single = table[np.searchsorted(keys, word_keys(h))] * factors
+            pairs = np.minimum(table[np.searchsorted(keys, pair_keys(h))] * factors, single[:-1])
+            share = (single[1:] + 1) / totals
+            a, b = (np.log(single[:-1] + mu) - np.log(pairs + mu * share)).mean(axis=0).tolist()
+            out.append((i, len(h) - 1, a, b, a - b))
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, packed, counted = None, b"", []
+        for batch in batches:
+            for at, part, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if at != block:
+                    if block is not None:
+                        yield scored(packed, counted)
+                    block, packed, counted = at, b"", []
+                if part == -1:
+                    packed = raw
+                else:
+                    counted.append(_unzipped(raw, np.int64))
+        if block is not None:
+            yield scored(packed, counted)
+
+    asking = rows.filter((F.col("part") == -1) & (F.col("kind").bitwiseAND(_ASKS) != 0)).select("block", "part", F.col("keys").alias("raw"))
+    back = asking.unionAll(answers.filter("block <> -1").select("block", "part", F.col("n").alias("raw")))
+    return back.repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, "doc_id bigint, n_tokens bigint, loss_target double, loss_background double, score double")
+
+
+def fit(target: DataFrame, background: DataFrame, size: int | None = None, bits: int = PAIR_BITS, mu: float = MU) -> Models | Tables:
+    """Models of the texts of two tables; with a ``size``, of at most so many words and in memory."""
+    if size is None:
+        return Tables(target, background, mu)
     known = vocabulary(background, size)
     return Models(known, counts(target, known, bits), counts(background, known, bits), bits, mu)
 
 
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, models: Models | Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, loss_target, loss_background and score, their difference."""
+    if isinstance(models, Tables):
+        return _score_tables(docs, models, id_col, text_col)
     kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(models)  # fixed by VOCABULARY and PAIR_BITS
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((n, pa.float64()) for n in ("loss_target", "loss_background", "score"))])
