@@ -118,3 +118,55 @@ def test_license_suppression():
     kept = licenses.resolve({d("gpl", 5, 4, 20), d("lgpl", 6, 0, 20), d("mit", 3, 30, 33), d("gpl-3.0", 8, 4, 25)})
     assert [x.label for x in kept] == ["lgpl", "gpl-3.0", "mit"]
     assert len(licenses.rules()) > 200
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        (" * GNU Lesser\n * General Public License", {"lgpl"}),
+        ("under the BSD 2 Clause License", {"bsd-2-clause"}),
+        ("Permission is hereby granted, free of\n# charge, to any person\n# obtaining a copy", {"mit"}),
+        ("provided WITHOUT\n// WARRANTY OF ANY KIND", {"disclaimer"}),
+        ("released under GPLv3", {"gpl-3.0"}),
+        ("gplv2", {"gpl-2.0"}),
+        ("GPL-3", {"gpl-3.0"}),
+        ("LGPLv3", {"lgpl-3.0"}),
+        ("lgplv2.1", {"lgpl-2.1"}),
+        ("AGPLv3", {"agpl-3.0"}),
+        ("MPLv2.0", {"mpl-2.0"}),
+        ("GNU General Public License v3", {"gpl-3.0"}),
+        ("Apache-2.0", {"apache-2.0"}),
+        ("Mozilla\n * Public License, v. 2.0", {"mpl-2.0"}),
+    ],
+)
+def test_license_wrapped_and_compact(text, labels):
+    assert {d.label for d in licenses.detect(text)} == labels
+
+
+def test_license_keywords_are_no_stricter_than_rules():
+    def spellings(items):
+        """Two matches of an expression, with the first and the last choice everywhere."""
+        parser = licenses.parser
+        for last in (0, -1):
+            def text(items):
+                out = ""
+                for op, value in items:
+                    if op is parser.LITERAL:
+                        out += chr(value)
+                    elif op is parser.IN:
+                        out += "\n" if value[0][0] is parser.CATEGORY else chr(value[0][1][0] if value[0][0] is parser.RANGE else value[0][1])
+                    elif op is parser.SUBPATTERN:
+                        out += text(value[-1])
+                    elif op is parser.BRANCH:
+                        out += text(value[1][last])
+                    elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT):
+                        out += text(value[2]) * (value[0] if last else max(1, value[0]))
+                return out
+            yield text(items)
+
+    for rule in licenses.rules():
+        if rule.keywords == ("spdx-license-identifier",):
+            continue  # spelled without gaps
+        for text in spellings(licenses.parser.parse(rule.pattern.pattern)):
+            assert rule.pattern.search(text), (rule.label, text)
+            assert any(k in text for k in rule.keywords), (rule.label, text)

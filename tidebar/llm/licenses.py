@@ -1,6 +1,7 @@
 """License scans by ordered signature rules.
 
-A rule is a label, a priority, keywords and a regular expression. All keywords of
+A rule is a label, a priority and a regular expression; its keywords are words that
+every match holds, taken from the expression, however it is wrapped. All keywords of
 all rules are looked up in one pass of an Aho-Corasick automaton over the
 lower-cased text; only rules with a keyword present run, and only on windows
 around its hits. Detections are intervals of the text. They are resolved in order
@@ -26,6 +27,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from re import _parser as parser
 
 import ahocorasick
 import pyarrow as pa
@@ -38,188 +40,188 @@ BASE = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all",
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 WINDOW = 240
 
-# Signatures. Each line: label | priority | keywords, comma-separated | expression (on lower-cased
+# Signatures. Each line: label | priority | expression (on lower-cased
 # text; a blank stands for any run of blanks, comment marks and punctuation between words).
 # Priority: 9 identifiers, 8 full titles with version, 7 distinctive sentences, 5 titles, 3 short names, 2 hints.
 _SIGNATURES = r"""
-mit|5|mit license|(the )?mit license
-mit|7|free of charge|permission is hereby granted free of charge to any person obtaining a copy
-mit|7|substantial portions|copyright notice and this permission notice shall be included in all copies or substantial portions
-mit|3|mit|licensed under (the )?mit
-mit-0|8|mit no attribution|mit no attribution
-x11|5|x11 license|x11 license
-expat|5|expat license|expat license
-isc|5|isc license|(the )?isc license
-isc|7|with or without fee|permission to use copy modify and or distribute this software for any purpose with or without fee
-0bsd|8|zero-clause,0bsd|(bsd zero clause|zero clause bsd|0bsd)( license)?
-bsd-2-clause|8|2-clause,two-clause,simplified bsd,freebsd license|(simplified bsd|freebsd|(2|two) clause bsd|bsd (2|two) clause)( license)?
-bsd-3-clause|8|3-clause,three-clause,new bsd,revised bsd,modified bsd|(new bsd|revised bsd|modified bsd|(3|three) clause bsd|bsd (3|three) clause)( license)?
-bsd-4-clause|8|4-clause,four-clause,original bsd|(original bsd|(4|four) clause bsd|bsd (4|four) clause)( license)?
-bsd|5|bsd license,bsd-style|bsd (style )?license
-bsd|7|source and binary forms|redistribution and use in source and binary forms with or without modification are permitted
-bsd-3-clause|7|endorse or promote|may not be used to endorse or promote products derived from this software without specific prior written permission
-bsd-4-clause|7|advertising materials|all advertising materials mentioning features or use of this software must display
-apache-2.0|8|apache|apache (software )?license (version )?2 0
-apache-2.0|7|apache|licensed under the apache license
-apache-2.0|8|apache.org/licenses|apache org licenses license 2 0
-apache-1.1|8|apache|apache (software )?license (version )?1 1
-apache-1.0|8|apache|apache (software )?license (version )?1 0
-apache|5|apache|apache (software )?license
-apache|3|apache|(under|apache) (the )?apache 2
-gpl-3.0|8|general public license|gnu general public license (as published by the free software foundation )?(either )?(version|v) 3
-gpl-2.0|8|general public license|gnu general public license (as published by the free software foundation )?(either )?(version|v) 2
-gpl-1.0|8|general public license|gnu general public license (as published by the free software foundation )?(either )?(version|v) 1
-gpl|5|general public license|(gnu )?general public license
-gpl-3.0|8|gplv3,gpl v3,gpl-3,gpl 3,gpl version 3|gpl (v|version )?3
-gpl-2.0|8|gplv2,gpl v2,gpl-2,gpl 2,gpl version 2|gpl (v|version )?2
-gpl|3|gpl|(licensed under|released under|terms of) (the )?(gnu )?gpl
-gpl|7|redistribute it and/or modify|you can redistribute it and or modify it under the terms of the gnu general public license
-gpl-linking-exception|8|linking exception|gpl (v2 |v3 )?(with )?(classpath|linking) exception
-lgpl-3.0|8|lesser general,lgplv3,lgpl v3,lgpl-3|(gnu lesser general public license (version|v) ?3|lgpl (v|version )?3)
-lgpl-2.1|8|lesser general,lgplv2,lgpl v2,lgpl-2|(gnu lesser general public license (version|v) ?2 1|lgpl (v|version )?2 1)
-lgpl-2.0|8|library general|gnu library general public license (version|v) ?2
-lgpl|6|lesser general,library general|(gnu )?(lesser|library) general public license
-lgpl|3|lgpl|(licensed|released) under (the )?(gnu )?lgpl
-agpl-3.0|8|affero,agpl|(gnu affero general public license (version|v) ?3|agpl (v|version )?3)
-agpl|6|affero|(gnu )?affero general public license
-agpl|3|agpl|(licensed|released) under (the )?(gnu )?agpl
-fdl-1.3|8|free documentation|gnu free documentation license (version|v) ?1 3
-fdl-1.2|8|free documentation|gnu free documentation license (version|v) ?1 2
-fdl|5|free documentation|(gnu )?free documentation license
-mpl-2.0|8|mozilla public,mpl 2,mpl-2|(mozilla public license (version|v)? ?2 0|mpl (v|version )?2 0)
-mpl-1.1|8|mozilla public,mpl 1,mpl-1|(mozilla public license (version|v)? ?1 1|mpl (v|version )?1 1)
-mpl-1.0|8|mozilla public|mozilla public license (version|v)? ?1 0
-mpl|5|mozilla public|mozilla public license
-mpl-2.0|7|subject to the terms of the mozilla|this source code form is subject to the terms of the mozilla public license
-epl-2.0|8|eclipse public,epl 2,epl-2|(eclipse public license (version|v)? ?2 0|epl (v|version )?2 0)
-epl-1.0|8|eclipse public,epl 1,epl-1|(eclipse public license (version|v)? ?1 0|epl (v|version )?1 0)
-epl|5|eclipse public|eclipse public license
-edl-1.0|8|eclipse distribution|eclipse distribution license( (version|v)? ?1 0)?
-cddl-1.1|8|cddl,common development|(common development and distribution license|cddl) (version|v)? ?1 1
-cddl-1.0|8|cddl,common development|(common development and distribution license|cddl) (version|v)? ?1 0
-cddl|5|cddl,common development|common development and distribution license
-cpl-1.0|8|common public|common public license( (version|v)? ?1 0)?
-cpal-1.0|8|common public attribution|common public attribution license( (version|v)? ?1 0)?
-ipl-1.0|8|ibm public|ibm public license( (version|v)? ?1 0)?
-eupl-1.2|8|european union public,eupl|(european union public licence|eupl) (version|v)? ?1 2
-eupl-1.1|8|european union public,eupl|(european union public licence|eupl) (version|v)? ?1 1
-eupl|5|european union public|european union public licen[cs]e
-osl-3.0|8|open software license|open software license (version|v)? ?3 0
-osl|5|open software license|open software license
-afl-3.0|8|academic free|academic free license (version|v)? ?3 0
-afl|5|academic free|academic free license
-artistic-2.0|8|artistic|artistic license (version|v)? ?2 0
-artistic-1.0|8|artistic|artistic license (version|v)? ?1 0
-artistic|5|artistic license|(the )?artistic license
-perl|5|same terms as perl|(under the )?same terms as perl( itself)?
-bsl-1.0|8|boost software|boost software license( (version|v)? ?1 0)?
-busl-1.1|8|business source|business source license( (version|v)? ?1 1)?
-sspl-1.0|8|server side public,sspl|(server side public license|sspl)( (version|v)? ?1)?
-elastic-2.0|8|elastic license|elastic license( (version|v)? ?2 0)?
-commons-clause|8|commons clause|commons clause( license condition)?
-polyform|8|polyform|polyform (noncommercial|small business|free trial|shield|perimeter|strict|internal use) license
-unlicense|5|unlicense|(the )?unlicense
-unlicense|7|released into the public domain|this is free and unencumbered software released into the public domain
-wtfpl|8|wtfpl,do what the fuck|(wtfpl|do what the fuck you want to public license)
-zlib|8|zlib|zlib( libpng)? licen[cs]e
-zlib|7|provided 'as-is',provided as-is|this software is provided as is without any express or implied warranty
-libpng|8|libpng|(png reference library|libpng) license
-openssl|8|openssl license|openssl license
-ssleay|8|ssleay|(original )?ssleay license
-openldap|8|openldap|openldap public license
-php-3.01|8|php license|php license( (version|v)? ?3 01)?
-python-2.0|8|python software foundation,psf license|(python software foundation license|psf license)( (version|v)? ?2)?
-ruby|8|ruby license,ruby's license|ruby( s)? license
-postgresql|8|postgresql licen|postgresql licen[cs]e
-sleepycat|8|sleepycat|sleepycat license
-vim|8|vim license|vim license
-curl|8|curl license|curl license
-ijg|8|independent jpeg|independent jpeg group( s)?( license)?
-freetype|8|freetype|(the )?freetype (project )?license
-imagemagick|8|imagemagick license|imagemagick license
-json|8|for good, not evil|software shall be used for good not evil
-beerware|8|beer-ware,beerware|beer ?ware license
-ncsa|8|illinois/ncsa,ncsa open|(university of )?(illinois )?ncsa open source license
-ms-pl|8|microsoft public|microsoft public license
-ms-rl|8|microsoft reciprocal|microsoft reciprocal license
-ms-eula|5|microsoft software license|microsoft software license terms
-apsl-2.0|8|apple public source|apple public source license( (version|v)? ?2 0)?
-qpl-1.0|8|q public license|q public license( (version|v)? ?1 0)?
-sil-ofl-1.1|8|open font license,ofl|(sil )?open font license( (version|v)? ?1 1)?
-gust-font|8|gust font|gust font license
-bitstream-vera|8|bitstream vera|bitstream vera( fonts?)? (license|copyright)
-ubuntu-font|8|ubuntu font|ubuntu font licen[cs]e
-upl-1.0|8|universal permissive|universal permissive license( (version|v)? ?1 0)?
-w3c|8|w3c software|w3c software (notice and )?(document )?license
-unicode|8|unicode license,unicode, inc|unicode( inc)? license agreement
-mulan-psl-2.0|8|mulan|mulan permissive software license( (version|v)? ?2)?
-cecill-2.1|8|cecill|cecill (free software license agreement )?(version|v)? ?2 1
-cecill|5|cecill|cecill( b| c)?( license)?
-ecl-2.0|8|educational community|educational community license( (version|v)? ?2 0)?
-nposl|8|non-profit open|non profit open software license
-rpl-1.5|8|reciprocal public|reciprocal public license( 1 5)?
-simpl-2.0|8|simple public license|simple public license( 2 0)?
-zpl-2.1|8|zope public|zope public license( (version|v)? ?2 1)?
-ntp|8|ntp license|ntp license
-hpnd|8|historical permission|historical permission notice and disclaimer
-bzip2|8|bzip2|bzip2 license
-lppl-1.3c|8|latex project public|latex project public license( (version|v)? ?1 3c?)?
-oldap|8|oldap|oldap( 2 8)?
-cc0-1.0|8|cc0,creative commons zero|(cc0|creative commons zero)( (version|v)? ?1 0)?( universal)?
-cc-by-nc-nd|8|noncommercial-noderivs,noncommercial-noderivatives,by-nc-nd,by nc nd|(cc by nc nd|attribution non ?commercial no ?deriv(ative)?s)( ?[234] ?[05])?
-cc-by-nc-sa|8|noncommercial-sharealike,by-nc-sa,by nc sa|(cc by nc sa|attribution non ?commercial share ?alike)( ?[234] ?[05])?
-cc-by-nc|7|by-nc,by nc,attribution-noncommercial|(cc by nc|attribution non ?commercial)( ?[234] ?[05])?
-cc-by-nd|7|by-nd,by nd,attribution-noderiv|(cc by nd|attribution no ?deriv(ative)?s)( ?[234] ?[05])?
-cc-by-sa|7|by-sa,by sa,attribution-sharealike,attribution sharealike|(cc by sa|attribution share ?alike)( ?[234] ?[05])?
-cc-by-4.0|6|cc by 4,cc-by 4,cc-by-4,attribution 4|(cc by|creative commons attribution) 4 0( international)?
-cc-by-3.0|6|cc by 3,cc-by 3,cc-by-3,attribution 3|(cc by|creative commons attribution) 3 0( unported)?
-cc-by-2.0|6|cc by 2,cc-by 2,cc-by-2,attribution 2|(cc by|creative commons attribution) 2 0( generic)?
-cc|3|creative commons|creative commons( license)?
-cc-url|9|creativecommons.org|creativecommons org (licenses|publicdomain) [a-z]+( [a-z]+){0,2} [1-4] 0
-odbl-1.0|8|odbl,open database license|(open database license|odbl)( (version|v)? ?1 0)?
-odc-by-1.0|8|open data commons attribution,odc-by|(open data commons attribution license|odc by)( (version|v)? ?1 0)?
-pddl-1.0|8|public domain dedication and license,pddl|(public domain dedication and license|pddl)( (version|v)? ?1 0)?
-cdla-permissive|8|cdla-permissive,community data license|(community data license agreement permissive|cdla permissive)
-cdla-sharing|8|cdla-sharing,community data license|(community data license agreement sharing|cdla sharing)
-ogl-uk-3.0|8|open government|open government licen[cs]e( (version|v)? ?3 0)?
-etalab-2.0|8|etalab,licence ouverte|(etalab open licen[cs]e|licence ouverte)( (version|v)? ?2 0)?
-dl-de-by-2.0|8|datenlizenz deutschland|datenlizenz deutschland (namensnennung|zero)( (version|v)? ?2 0)?
-openrail|8|openrail,rail license|(bigscience |creativeml )?open ?rail( m| d)?( license)?
-llama-community|8|llama community,llama 2 community,llama 3 community|llama ([23] )?community license( agreement)?
-gemma-terms|8|gemma terms|gemma terms of use
-public-domain|5|public domain|(in|into|to) the public domain
-public-domain|3|public domain|public domain
-proprietary|5|proprietary|proprietary and confidential
-proprietary|3|proprietary|proprietary (software|license|information)
-trade-secret|5|trade secret|(contains|constitutes?) (confidential )?(information and )?trade secrets?
-no-redistribution|7|reproduction,redistribution|(unauthori[sz]ed|no) (copying|reproduction|redistribution)( or (copying|redistribution|distribution))?( of this (file|work|document))?( is| are)? (strictly )?(prohibited|permitted|allowed)
-no-commercial|6|non-commercial,noncommercial,commercial use|(non ?commercial use only|commercial use (is )?(strictly )?(prohibited|not permitted|forbidden)|for non ?commercial (use|purposes))
-research-only|6|research|for (academic|research)( and| or)?( (academic|research|educational))? (use|purposes) only
-educational-only|6|educational|for educational (use|purposes) only
-evaluation-only|6|evaluation|for evaluation (use|purposes) only
-personal-use|6|personal|for (your )?personal (use|non commercial use) only
-reserved|7|all rights reserved|all rights reserved
-reserved|5|rights reserved|(some|certain|no) rights reserved
-alle-rechte|7|alle rechte|alle rechte vorbehalten
-tous-droits|7|tous droits|tous droits r[eé]serv[eé]s
-todos-derechos|7|todos los derechos|todos los derechos reservados
-copyright|3|copyright|copyright (c |© )?((19|20)[0-9]{2})( (19|20)?[0-9]{2,4})?
-copyright|3|©|© ?((19|20)[0-9]{2})
-copyright|2|(c)|\(c\) ?((19|20)[0-9]{2})
-disclaimer|7|without warranty|without warranty of any kind( express or implied)?
-disclaimer|7|merchantability|(implied )?warrant(y|ies) of merchantability( and| or)?( fitness for a particular purpose)?
-disclaimer|7|as is|provided (on an )?as is (basis|without)?
-liability|7|in no event shall|in no event shall (the )?(authors?|copyright (holders?|owners?)|regents|contributors?)
-patent-grant|7|patent license|(royalty free|irrevocable|perpetual)( worldwide)?( non exclusive)? patent license
-copyleft|5|copyleft|copyleft
-dual|5|dual-licensed,dual licensed|dual licensed( under)?
-eula|5|end user license|end user licen[cs]e agreement
-license-file|3|license file,license.txt,license.md,copying file|see (the )?(accompanying )?(licen[cs]e|copying)( txt| md)?( file)?( for)?
-terms-of-use|3|terms of use,terms of service|(subject to|governed by)( the| our)? terms of (use|service)
-licensed-under|2|licensed under|licensed under (the |a )?[a-z0-9]+
-lizenz|3|lizenziert|lizenziert unter( der)?
-licence-fr|3|sous licence|sous licence( libre)?
-licencia-es|3|bajo licencia,bajo la licencia|bajo (la )?licencia
+mit|5|(the )?mit license
+mit|7|permission is hereby granted free of charge to any person obtaining a copy
+mit|7|copyright notice and this permission notice shall be included in all copies or substantial portions
+mit|3|licensed under (the )?mit
+mit-0|8|mit no attribution
+x11|5|x11 license
+expat|5|expat license
+isc|5|(the )?isc license
+isc|7|permission to use copy modify and or distribute this software for any purpose with or without fee
+0bsd|8|(bsd zero clause|zero clause bsd|0bsd)( license)?
+bsd-2-clause|8|(simplified bsd|freebsd|(2|two) clause bsd|bsd (2|two) clause)( license)?
+bsd-3-clause|8|(new bsd|revised bsd|modified bsd|(3|three) clause bsd|bsd (3|three) clause)( license)?
+bsd-4-clause|8|(original bsd|(4|four) clause bsd|bsd (4|four) clause)( license)?
+bsd|5|bsd (style )?license
+bsd|7|redistribution and use in source and binary forms with or without modification are permitted
+bsd-3-clause|7|may not be used to endorse or promote products derived from this software without specific prior written permission
+bsd-4-clause|7|all advertising materials mentioning features or use of this software must display
+apache-2.0|8|apache (software )?(license )?(version |v ?)?2 0
+apache-2.0|7|licensed under the apache license
+apache-2.0|8|apache org licenses license 2 0
+apache-1.1|8|apache (software )?(license )?(version |v ?)?1 1
+apache-1.0|8|apache (software )?(license )?(version |v ?)?1 0
+apache|5|apache (software )?license
+apache|3|(under|apache) (the )?apache 2
+gpl-3.0|8|gnu general public license (as published by the free software foundation )?(either )?(version|v) ?3
+gpl-2.0|8|gnu general public license (as published by the free software foundation )?(either )?(version|v) ?2
+gpl-1.0|8|gnu general public license (as published by the free software foundation )?(either )?(version|v) ?1
+gpl|5|(gnu )?general public license
+gpl-3.0|8|gpl ?(v ?|version )?3
+gpl-2.0|8|gpl ?(v ?|version )?2
+gpl|3|(licensed under|released under|terms of) (the )?(gnu )?gpl
+gpl|7|you can redistribute it and or modify it under the terms of the gnu general public license
+gpl-linking-exception|8|gpl ?((v ?)?[23] )?(with )?(classpath|linking) exception
+lgpl-3.0|8|(gnu lesser general public license (version|v) ?3|lgpl ?(v ?|version )?3)
+lgpl-2.1|8|(gnu lesser general public license (version|v) ?2 1|lgpl ?(v ?|version )?2 1)
+lgpl-2.0|8|gnu library general public license (version|v) ?2
+lgpl|6|(gnu )?(lesser|library) general public license
+lgpl|3|(licensed|released) under (the )?(gnu )?lgpl
+agpl-3.0|8|(gnu affero general public license (version|v) ?3|agpl ?(v ?|version )?3)
+agpl|6|(gnu )?affero general public license
+agpl|3|(licensed|released) under (the )?(gnu )?agpl
+fdl-1.3|8|gnu free documentation license (version|v) ?1 3
+fdl-1.2|8|gnu free documentation license (version|v) ?1 2
+fdl|5|(gnu )?free documentation license
+mpl-2.0|8|(mozilla public license (version ?|v ?)?2 0|mpl ?(v ?|version )?2 0)
+mpl-1.1|8|(mozilla public license (version ?|v ?)?1 1|mpl ?(v ?|version )?1 1)
+mpl-1.0|8|mozilla public license (version ?|v ?)?1 0
+mpl|5|mozilla public license
+mpl-2.0|7|this source code form is subject to the terms of the mozilla public license
+epl-2.0|8|(eclipse public license (version ?|v ?)?2 0|epl ?(v ?|version )?2 0)
+epl-1.0|8|(eclipse public license (version ?|v ?)?1 0|epl ?(v ?|version )?1 0)
+epl|5|eclipse public license
+edl-1.0|8|eclipse distribution license( (version ?|v ?)?1 0)?
+cddl-1.1|8|(common development and distribution license|cddl) (version ?|v ?)?1 1
+cddl-1.0|8|(common development and distribution license|cddl) (version ?|v ?)?1 0
+cddl|5|common development and distribution license
+cpl-1.0|8|common public license( (version ?|v ?)?1 0)?
+cpal-1.0|8|common public attribution license( (version ?|v ?)?1 0)?
+ipl-1.0|8|ibm public license( (version ?|v ?)?1 0)?
+eupl-1.2|8|(european union public licence|eupl) (version ?|v ?)?1 2
+eupl-1.1|8|(european union public licence|eupl) (version ?|v ?)?1 1
+eupl|5|european union public licen[cs]e
+osl-3.0|8|open software license (version ?|v ?)?3 0
+osl|5|open software license
+afl-3.0|8|academic free license (version ?|v ?)?3 0
+afl|5|academic free license
+artistic-2.0|8|artistic license (version ?|v ?)?2 0
+artistic-1.0|8|artistic license (version ?|v ?)?1 0
+artistic|5|(the )?artistic license
+perl|5|(under the )?same terms as perl( itself)?
+bsl-1.0|8|boost software license( (version ?|v ?)?1 0)?
+busl-1.1|8|business source license( (version ?|v ?)?1 1)?
+sspl-1.0|8|(server side public license|sspl)( (version ?|v ?)?1)?
+elastic-2.0|8|elastic license( (version ?|v ?)?2 0)?
+commons-clause|8|commons clause( license condition)?
+polyform|8|polyform (noncommercial|small business|free trial|shield|perimeter|strict|internal use) license
+unlicense|5|(the )?unlicense
+unlicense|7|this is free and unencumbered software released into the public domain
+wtfpl|8|(wtfpl|do what the fuck you want to public license)
+zlib|8|zlib( libpng)? licen[cs]e
+zlib|7|this software is provided as is without any express or implied warranty
+libpng|8|(png reference library|libpng) license
+openssl|8|openssl license
+ssleay|8|(original )?ssleay license
+openldap|8|openldap public license
+php-3.01|8|php license( (version ?|v ?)?3 01)?
+python-2.0|8|(python software foundation license|psf license)( (version ?|v ?)?2)?
+ruby|8|ruby( s)? license
+postgresql|8|postgresql licen[cs]e
+sleepycat|8|sleepycat license
+vim|8|vim license
+curl|8|curl license
+ijg|8|independent jpeg group( s)?( license)?
+freetype|8|(the )?freetype (project )?license
+imagemagick|8|imagemagick license
+json|8|software shall be used for good not evil
+beerware|8|beer ?ware license
+ncsa|8|(university of )?(illinois )?ncsa open source license
+ms-pl|8|microsoft public license
+ms-rl|8|microsoft reciprocal license
+ms-eula|5|microsoft software license terms
+apsl-2.0|8|apple public source license( (version ?|v ?)?2 0)?
+qpl-1.0|8|q public license( (version ?|v ?)?1 0)?
+sil-ofl-1.1|8|(sil )?open font license( (version ?|v ?)?1 1)?
+gust-font|8|gust font license
+bitstream-vera|8|bitstream vera( fonts?)? (license|copyright)
+ubuntu-font|8|ubuntu font licen[cs]e
+upl-1.0|8|universal permissive license( (version ?|v ?)?1 0)?
+w3c|8|w3c software (notice and )?(document )?license
+unicode|8|unicode( inc)? license agreement
+mulan-psl-2.0|8|mulan permissive software license( (version ?|v ?)?2)?
+cecill-2.1|8|cecill (free software license agreement )?(version ?|v ?)?2 1
+cecill|5|cecill( b| c)?( license)?
+ecl-2.0|8|educational community license( (version ?|v ?)?2 0)?
+nposl|8|non profit open software license
+rpl-1.5|8|reciprocal public license( 1 5)?
+simpl-2.0|8|simple public license( 2 0)?
+zpl-2.1|8|zope public license( (version ?|v ?)?2 1)?
+ntp|8|ntp license
+hpnd|8|historical permission notice and disclaimer
+bzip2|8|bzip2 license
+lppl-1.3c|8|latex project public license( (version ?|v ?)?1 3c?)?
+oldap|8|oldap( 2 8)?
+cc0-1.0|8|(cc0|creative commons zero)( (version ?|v ?)?1 0)?( universal)?
+cc-by-nc-nd|8|(cc by nc nd|attribution non ?commercial no ?deriv(ative)?s)( ?[234] ?[05])?
+cc-by-nc-sa|8|(cc by nc sa|attribution non ?commercial share ?alike)( ?[234] ?[05])?
+cc-by-nc|7|(cc by nc|attribution non ?commercial)( ?[234] ?[05])?
+cc-by-nd|7|(cc by nd|attribution no ?deriv(ative)?s)( ?[234] ?[05])?
+cc-by-sa|7|(cc by sa|attribution share ?alike)( ?[234] ?[05])?
+cc-by-4.0|6|(cc by|creative commons attribution) 4 0( international)?
+cc-by-3.0|6|(cc by|creative commons attribution) 3 0( unported)?
+cc-by-2.0|6|(cc by|creative commons attribution) 2 0( generic)?
+cc|3|creative commons( license)?
+cc-url|9|creativecommons org (licenses|publicdomain) [a-z]+( [a-z]+){0,2} [1-4] 0
+odbl-1.0|8|(open database license|odbl)( (version ?|v ?)?1 0)?
+odc-by-1.0|8|(open data commons attribution license|odc by)( (version ?|v ?)?1 0)?
+pddl-1.0|8|(public domain dedication and license|pddl)( (version ?|v ?)?1 0)?
+cdla-permissive|8|(community data license agreement permissive|cdla permissive)
+cdla-sharing|8|(community data license agreement sharing|cdla sharing)
+ogl-uk-3.0|8|open government licen[cs]e( (version ?|v ?)?3 0)?
+etalab-2.0|8|(etalab open licen[cs]e|licence ouverte)( (version ?|v ?)?2 0)?
+dl-de-by-2.0|8|datenlizenz deutschland (namensnennung|zero)( (version ?|v ?)?2 0)?
+openrail|8|(bigscience |creativeml )?open ?rail( m| d)?( license)?
+llama-community|8|llama ([23] )?community license( agreement)?
+gemma-terms|8|gemma terms of use
+public-domain|5|(in|into|to) the public domain
+public-domain|3|public domain
+proprietary|5|proprietary and confidential
+proprietary|3|proprietary (software|license|information)
+trade-secret|5|(contains|constitutes?) (confidential )?(information and )?trade secrets?
+no-redistribution|7|(unauthori[sz]ed|no) (copying|reproduction|redistribution)( or (copying|redistribution|distribution))?( of this (file|work|document))?( is| are)? (strictly )?(prohibited|permitted|allowed)
+no-commercial|6|(non ?commercial use only|commercial use (is )?(strictly )?(prohibited|not permitted|forbidden)|for non ?commercial (use|purposes))
+research-only|6|for (academic|research)( and| or)?( (academic|research|educational))? (use|purposes) only
+educational-only|6|for educational (use|purposes) only
+evaluation-only|6|for evaluation (use|purposes) only
+personal-use|6|for (your )?personal (use|non commercial use) only
+reserved|7|all rights reserved
+reserved|5|(some|certain|no) rights reserved
+alle-rechte|7|alle rechte vorbehalten
+tous-droits|7|tous droits r[eé]serv[eé]s
+todos-derechos|7|todos los derechos reservados
+copyright|3|copyright (c |© )?((19|20)[0-9]{2})( (19|20)?[0-9]{2,4})?
+copyright|3|© ?((19|20)[0-9]{2})
+copyright|2|\(c\) ?((19|20)[0-9]{2})
+disclaimer|7|without warranty of any kind( express or implied)?
+disclaimer|7|(implied )?warrant(y|ies) of merchantability( and| or)?( fitness for a particular purpose)?
+disclaimer|7|provided (on an )?as is (basis|without)?
+liability|7|in no event shall (the )?(authors?|copyright (holders?|owners?)|regents|contributors?)
+patent-grant|7|(royalty free|irrevocable|perpetual)( worldwide)?( non exclusive)? patent license
+copyleft|5|copyleft
+dual|5|dual licensed( under)?
+eula|5|end user licen[cs]e agreement
+license-file|3|see (the )?(accompanying )?(licen[cs]e|copying)( txt| md)?( file)?( for)?
+terms-of-use|3|(subject to|governed by)( the| our)? terms of (use|service)
+licensed-under|2|licensed under (the |a )?[a-z0-9]+
+lizenz|3|lizenziert unter( der)?
+licence-fr|3|sous licence( libre)?
+licencia-es|3|bajo (la )?licencia
 """
 
 # Identifiers of the short-identifier notation; each gives one rule of priority 9.
@@ -253,6 +255,33 @@ def _expression(spelled: str) -> str:
     return r"(?<!\w)" + spelled.replace(" ?", r"(?:" + _GAP + ")?").replace(" ", _GAP) + r"(?!\w)"
 
 
+def needed(expression: str) -> set[str]:
+    """Strings without gaps of which every match of the expression holds one: its keywords."""
+
+    def of(items) -> set[str] | None:
+        found, run = [], ""
+        for op, value in [*items, (None, None)]:
+            if op is parser.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append({run})
+                run = ""
+            if op is parser.SUBPATTERN:
+                found.append(of(value[-1]))
+            elif op is parser.BRANCH:
+                each = [of(x) for x in value[1]]
+                found.append(None if None in each else set().union(*each))
+            elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] > 0:
+                found.append(of(value[2]))
+        return max((x for x in found if x), key=lambda x: min(map(len, x)), default=None)
+
+    words = of(parser.parse(expression))
+    if words is None:
+        raise ValueError(f"no keyword in {expression}")
+    return words
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All signatures in order, identifiers first."""
@@ -261,8 +290,9 @@ def rules() -> tuple[Rule, ...]:
         spelled = r"spdx-license-identifier:\s{0,4}\(?(?:[\w.+-]{1,40}\s{1,3}(?:or|and|with)\s{1,3}){0,3}" + re.escape(name.lower()) + r"(?![\w.-])"
         found.append(Rule(len(found), name.lower(), 9, ("spdx-license-identifier",), re.compile(spelled)))
     for line in _SIGNATURES.strip().splitlines():
-        label, priority, words, spelled = line.split("|", 3)
-        found.append(Rule(len(found), label, int(priority), tuple(w.lower() for w in words.split(",") if w), re.compile(_expression(spelled.lower()))))
+        label, priority, spelled = line.split("|", 2)
+        expression = _expression(spelled.lower())
+        found.append(Rule(len(found), label, int(priority), tuple(sorted(needed(expression))), re.compile(expression)))
     return tuple(found)
 
 
