@@ -150,3 +150,17 @@ def test_every_word_and_pair_has_its_own_count(spark):
             assert r.n_tokens == len(each)
             assert r.score == pytest.approx(sum(a - b for a, b in each) / max(1, len(each)), abs=1e-9)
     assert lm.score(background.filter("false"), models).count() == 0
+
+
+def test_labelled_rows_are_the_target(spark):
+    rows = [(k, f"a{k % 5} b c{k % 3} " * (k % 4)) for k in range(40)] + [(None, "a1 b"), (7, "a2 b again"), (7, "a2 b again"), (50, None)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(45)] + [(7, 1), (None, 1)], "doc_id bigint, quality int")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score)
+    one = sorted(lm.score(docs, lm.fit_labelled(docs, labels)).collect(), key=key)
+    two = sorted(lm.score(docs, lm.fit(lm.labelled_target(docs, labels), docs)).collect(), key=key)
+    assert len(one) == len(rows) and [r.n_tokens for r in one] == [r.n_tokens for r in two]
+    assert [r.score for r in one] == pytest.approx([r.score for r in two]) and any(r.score for r in one)
+    part = docs.filter("doc_id < 20")
+    for a in lm.score(part, lm.fit_labelled(docs, labels)).collect():
+        assert any(a.doc_id == b.doc_id and a.score == pytest.approx(b.score) for b in one)

@@ -4,7 +4,8 @@ By default every word and every pair of words has a count of its own, held as a
 distributed table: blocks of texts send the distinct keys that they hold, with
 their counts, to the part of each key; parts sum over all blocks and answer each
 block that asks. A frequent key comes once a block, so none is crowded. Keys are
-64-bit hashes.
+48-bit hashes, sent as compressed differences. A block's rows come in the order of id
+and text hash, so counting and scoring see the same blocks whenever a task is run again.
 
 With a ``size`` both models fit in memory and share one vocabulary: the most frequent words of the background
 corpus, all of it counted, at most ``VOCABULARY``; where words of one frequency
@@ -25,14 +26,14 @@ blocks are summed in a stream, so no task holds more than one sum and a batch.
 
 Defined results: a null or empty text, or one without words, has 0 tokens and
 losses and score 0. Without a target all scores are those of an empty target
-model. Null ids and repeated rows are rows like others. With a ``size``,
+model. Null ids and repeated rows are rows like others. Very long texts are whole; memory
+follows the longest. With a ``size``,
 words of over ``LONGEST`` bytes are unknown. An empty table gives an empty result. Other
 columns are ignored.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,11 +41,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut_lineage, pieces
+from .common import byte_values, packed, pieces, shuffle_width, written
 
 VOCABULARY = 1 << 16
 PAIR_BITS = 20
@@ -83,7 +83,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
         if seen:
             yield rows()
 
-    counted = cut_lineage(docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    counted = written(docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     # words by level of frequency: exact below 1024, then 64 levels an octave; a few thousand rows at most
     level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) - 640 + 1024)
     levels = sorted(((r[0], r[1]) for r in counted.groupBy(level.alias("level")).count().collect()), reverse=True)
@@ -224,15 +224,19 @@ class Hashes(dict):
 
 
 def word_keys(hashes: np.ndarray) -> np.ndarray:
-    """Odd keys."""
-    return hashes | np.uint64(1)
+    """Odd keys of 49 bits."""
+    return (hashes >> np.uint64(16)) << np.uint64(1) | np.uint64(1)
 
 
 def pair_keys(hashes: np.ndarray) -> np.ndarray:
     """Even keys of a text's neighbours."""
     key = (hashes[:-1] ^ (hashes[:-1] >> np.uint64(29))) * _MIX + hashes[1:]
     key = (key ^ (key >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (key ^ (key >> np.uint64(30))) & ~np.uint64(1)
+    return ((key ^ (key >> np.uint64(30))) >> np.uint64(16)) << np.uint64(1)
+
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(17)) * np.uint64(parts)) >> np.uint64(32)
 
 
 def _summed(keys: np.ndarray, counts_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,155 +247,246 @@ def _summed(keys: np.ndarray, counts_: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _zipped(table: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(table).tobytes())
+    """Numbers by planes of bytes, compressed: high planes are mostly zero."""
+    planes = np.ascontiguousarray(table).view(np.uint8).reshape(-1, table.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unzipped(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences."""
+    return _zipped(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys_of(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unzipped(raw, np.uint64), dtype=np.uint64)
 
 
 class Tables:
-    """Two tables of texts whose counts are gathered when texts are scored."""
+    """Tables of texts whose counts are gathered when texts are scored.
 
-    def __init__(self, target: DataFrame, background: DataFrame, mu: float = MU):
-        self.target, self.background, self.mu = target, background, mu
+    The target is a table of texts, or a label table (doc_id, ...) whose labelled
+    rows of the background are the target.
+    """
 
+    def __init__(self, target: DataFrame | None, background: DataFrame, mu: float = MU, labelled: DataFrame | None = None):
+        self.target, self.background, self.mu, self.labelled = target, background, mu, labelled
 
-_COUNTED, _ASKS, _TARGET = 1, 2, 4
-_ROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("tokens", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
-_ROW_DDL = "block bigint, part int, kind int, tokens bigint, keys binary, n binary"
 
+_COUNTED, _ASKS, _TARGET, _LABEL = 1, 2, 4, 8
+_DEALT_DDL = "block int, kind int, doc_id bigint, tie bigint, packed binary"
+_ROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("background", pa.int64()), ("target", pa.int64()), ("asks", pa.bool_()), ("keys", pa.binary()), ("n", pa.binary())])
+_ROW_DDL = "block bigint, part int, background bigint, target bigint, asks boolean, keys binary, n binary"
+_ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("background", pa.int64()), ("target", pa.int64()), ("words", pa.int64()), ("n", pa.binary())])
+_ANSWER_DDL = "block bigint, part int, background bigint, target bigint, words bigint, n binary"
+_SEQUENCE = 1 << 24
 
-def _blocks(docs: DataFrame, kind: int, parts: int) -> DataFrame:
-    """(doc_id, text) to rows of blocks: part -1 holds the texts, where asked for, the others the distinct keys of one part and their counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, hashes = (kind << 60) | (TaskContext.get().partitionId() << 24), Hashes()
-        ids, texts, held, size, done = [], [], [], 0, 0
-
-        def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate([f(h) for h in held for f in (word_keys, pair_keys)]), return_counts=True)
-            at = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
-            tokens = sum(len(h) - 1 for h in held)
-            packed = zstandard.ZstdCompressor(level=1).compress(pickle.dumps((ids, texts))) if kind & _ASKS else b""
-            rows = [(base + done, -1, kind, tokens, packed, b"")]
-            rows += [(base + done, k, kind, 0, keys[a:b].tobytes(), _zipped(n[a:b].astype(np.uint32))) for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if b > a]
-            return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
+def _deal(docs: DataFrame, kind: int, width: int, by_id: bool) -> DataFrame:
+    """(doc_id, text) to rows with their block, the text packed. Labels are matched within a block, so ``by_id`` deals by id (null: by text)."""
+    ids = F.coalesce(F.xxhash64("doc_id"), F.lit(0)) if by_id else F.xxhash64("doc_id", "text")
+    hashed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(ids)
+    rows = docs.select(F.pmod(hashed, F.lit(width)).cast("int").alias("block"), "doc_id", "text")
+    names = [x.split()[0] for x in _DEALT_DDL.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 1 << 20):
-                for i, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
-                    ids.append(i)
-                    texts.append(text)
-                    held.append(hashes.of(text))
-                    size += len(text)
-                    if size > BLOCK_BYTES:
-                        yield flush()
-                        ids, texts, held, size, done = [], [], [], 0, done + 1
-        if ids:
-            yield flush()
+            for batch in pieces(whole, 4 << 20):
+                texts = byte_values(batch.column(2))
+                ties = pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts], pa.int64())
+                yield pa.record_batch([batch.column(0), pa.array([kind] * len(texts), pa.int32()), batch.column(1), ties, packed(texts)], names=names)
+
+    return rows.mapInArrow(run, _DEALT_DDL)
+
+
+class _Block:
+    """Texts that are counted and ask together."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.target: list[bool] = []
+        self.size = 0
 
-    return docs.mapInArrow(run, _ROW_DDL)
+    def add(self, hashes: np.ndarray, size: int, target: bool = False) -> None:
+        self.held.append(hashes)
+        self.target.append(target)
+        self.size += size
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all texts, and how many of them each has."""
+        each = [np.concatenate([word_keys(h), pair_keys(h)]) for h in self.held]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
+
+def _count(parts: int):
+    """Rows sorted by block and id, labels first, to rows of blocks: for each part the distinct keys and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        block, done, labelled = None, 0, None
+        asking, other = {}, {}  # by what the texts count for
+
+        def flush(at: _Block, kind: int, name: int) -> pa.RecordBatch:
+            keys, sizes = at.keys()
+            own, which = np.unique(keys, return_inverse=True)
+            of_target = np.array(at.target) | bool(kind & _TARGET)
+            n = [np.bincount(which, minlength=len(own)) if kind & _COUNTED else np.zeros(len(own), np.int64)]
+            n.append(np.bincount(which, weights=np.repeat(of_target, sizes), minlength=len(own)).astype(np.int64) if of_target.any() else np.zeros(len(own), np.int64))
+            tokens = np.array([len(h) - 1 for h in at.held])
+            totals = int(tokens.sum()) if kind & _COUNTED else 0, int(tokens[of_target].sum())
+            cuts = np.searchsorted(_part_of(own, parts), np.arange(parts + 1, dtype=np.uint64)).tolist()
+            asks = bool(kind & _ASKS)
+            rows = [(name, k, *(totals if k == 0 else (0, 0)), asks, _steps(own[a:b]), _zipped(np.concatenate([n[0][a:b], n[1][a:b]]).astype(np.uint32))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a or k == 0]
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
+
+        for batch in batches:
+            for own, kind, doc_id, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4))):
+                if own != block:
+                    for group in (asking, other):
+                        for k, at in group.items():
+                            yield flush(at, k, block * _SEQUENCE + done)
+                        group.clear()
+                    block, done, labelled = own, 0, None
+                if kind & _LABEL:
+                    labelled = doc_id
+                    continue
+                text = zstandard.ZstdDecompressor().decompress(raw)
+                group = asking if kind & _ASKS else other
+                at = group.setdefault(kind, _Block())
+                at.add(hashes.of(text), len(text), bool(kind & _COUNTED) and doc_id is not None and doc_id == labelled)
+                if at.size > BLOCK_BYTES:
+                    yield flush(group.pop(kind), kind, block * _SEQUENCE + done)
+                    done += bool(kind & _ASKS)
+        for group in (asking, other):
+            for k, at in group.items():
+                yield flush(at, k, block * _SEQUENCE + done)
+
+    return run
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part to (block, part, words, n): the target's and the background's counts of each key that a block asks for.
+    """Rows sorted by part to the target's and the background's counts of each key that a block asks for.
 
-    Block -1 tells how many words of the part the background has.
+    Block -1 tells the tokens that came with the part, and how many words of the part the background has.
     """
-    part, asks, keys, n = None, [], [], []
+    part, asks, keys, n, totals = None, [], [], [], [0, 0]
 
     def gather() -> None:
         if len(keys) > 1:
             k, c = _summed(np.concatenate(keys), np.concatenate(n))
             keys[:], n[:] = [k], [c]
 
-    def rows():
+    def emit() -> Iterator[pa.RecordBatch]:
         gather()
-        words = int(((keys[0] & np.uint64(1) == 1) & (n[0][:, 1] > 0) & (keys[0] != word_keys(_BOUNDARY))).sum())
-        yield [-1], [part], [words], [b""]
+        words = int(((keys[0] & np.uint64(1) == 1) & (n[0][:, 0] > 0) & (keys[0] != word_keys(np.array([_BOUNDARY]))[0])).sum())
+        rows = [(-1, part, *totals, words, b"")]
         for block, raw in asks:
-            asked = np.frombuffer(raw, np.uint64)
-            yield [block], [part], [0], [_zipped(n[0][np.searchsorted(keys[0], asked)])]
-
-    def emit():
-        for row in rows():
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["block", "part", "words", "n"])
+            found = n[0][np.searchsorted(keys[0], _keys_of(raw))]
+            rows.append((block, part, 0, 0, 0, _zipped(np.ascontiguousarray(found.T).ravel())))
+        for at in range(0, len(rows), 64):
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 64]), _ANSWER)], schema=_ANSWER)
 
     for batch in batches:
-        for block, at, kind, raw, counted in zip(*(batch.column(k).to_pylist() for k in range(5))):
+        for block, at, background, target, asking, raw, counted in zip(*(batch.column(k).to_pylist() for k in range(7))):
             if at != part:
                 if part is not None:
                     yield from emit()
-                part, asks, keys, n = at, [], [], []
-            own = np.frombuffer(raw, np.uint64)
-            counts_ = np.zeros((len(own), 2), np.int64)  # a key that is only asked for counts 0
-            if kind & (_COUNTED | _TARGET):
-                counts_[:, 0 if kind & _TARGET else 1] = _unzipped(counted, np.uint32)
+                part, asks, keys, n, totals = at, [], [], [], [0, 0]
+            totals[0] += background
+            totals[1] += target
+            own = _keys_of(raw)
             keys.append(own)
-            n.append(counts_)
-            if kind & _ASKS:
+            n.append(_unzipped(counted, np.uint32).astype(np.int64).reshape(2, -1).T)
+            if asking:
                 asks.append((block, raw))
-            if sum(map(len, keys[1:])) > max(1 << 20, len(keys[0])):
+            if sum(map(len, keys[1:])) > max(1 << 19, len(keys[0])):
                 gather()
     if part is not None:
         yield from emit()
 
 
 def _score_tables(docs: DataFrame, tables: Tables, id_col: str, text_col: str) -> DataFrame:
-    kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = max(8, 4 * docs.select(text_col).rdd.getNumPartitions())
-    texts = lambda df: df.select(F.lit(None).cast("bigint").alias("doc_id"), "text")
-    if docs is tables.background and text_col == "text":
-        rows = _blocks(kept, _ASKS | _COUNTED, parts)
-    else:
-        rows = _blocks(kept, _ASKS, parts).unionAll(_blocks(texts(tables.background), _COUNTED, parts))
-    rows = cut_lineage(rows.unionAll(_blocks(texts(tables.target), _TARGET, parts)))
-    dealt = rows.filter("part >= 0").select("block", "part", "kind", "keys", "n").repartition("part").sortWithinPartitions("part")
-    answers = cut_lineage(dealt.mapInArrow(_answers, "block bigint, part int, words bigint, n binary"))
-    of = {r["kind"]: r["tokens"] for r in rows.filter("part = -1").groupBy("kind").agg(F.sum("tokens").alias("tokens")).collect()}  # a row a kind
-    n_target, n_background = of.get(_TARGET, 0), sum(v for k, v in of.items() if k & _COUNTED)
-    words = answers.filter("block = -1").agg(F.sum("words")).first()[0] or 0
+    width = shuffle_width(docs.sparkSession)
+    parts = 4 * width
+    of = lambda df, i, t: df.select(i.cast("bigint").alias("doc_id"), F.col(t).alias("text"))
+    none, by_id = F.lit(None), tables.labelled is not None
+    own = docs is tables.background and (text_col == "text" or not by_id) and (not by_id or id_col == "doc_id")
+    asking = _deal(of(docs, F.col(id_col), text_col), _ASKS | (_COUNTED if own else 0), width, by_id and own)
+    rows = asking
+    if not own:
+        rows = rows.unionAll(_deal(of(tables.background, F.col("doc_id") if by_id else none, "text"), _COUNTED, width, by_id))
+    if tables.target is not None:
+        rows = rows.unionAll(_deal(of(tables.target, none, "text"), _TARGET, width, False))
+    if by_id:
+        block = F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int")
+        rows = rows.unionAll(tables.labelled.select(block.alias("block"), F.lit(_LABEL).alias("kind"), "doc_id", F.lit(0).cast("bigint").alias("tie"), F.lit(None).cast("binary").alias("packed")))
+    in_order = ["block", F.col("doc_id").asc_nulls_first(), F.col("kind").desc(), "tie"]
+    laid = rows.repartitionById(width, F.col("block")).sortWithinPartitions(*in_order)
+    counted = laid.mapInArrow(_count(parts), _ROW_DDL).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "block")
+    answers = written(counted.mapInArrow(_answers, _ANSWER_DDL))
+    row = answers.filter("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("background", "target", "words")]).first()
+    n_background, n_target, words = row
     factors = np.array([1.0, n_target / n_background if n_target and n_background else 1.0])
     totals, mu = np.array([n_target, n_background * factors[1]]) + words + 1, tables.mu
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((n, pa.float64()) for n in ("loss_target", "loss_background", "score"))])
 
-    def scored(packed: bytes, counted: list[np.ndarray]) -> pa.RecordBatch:
-        ids, texts = pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
-        hashes = Hashes()
-        held = [hashes.of(t) for t in texts]
-        keys = np.unique(np.concatenate([f(h) for h in held for f in (word_keys, pair_keys)]))
-        table = np.concatenate(counted).reshape(-1, 2)
-        out = []
-        for i, h in zip(ids, held):
+    def scored(ids: list, held: _Block, counted: list[bytes]) -> pa.RecordBatch:
+        keys, which = np.unique(held.keys()[0], return_inverse=True)
+        each = [_unzipped(raw, np.int64).reshape(2, -1)[::-1].T for raw in counted]
+        table = np.concatenate(each) if each else np.zeros((0, 2), np.int64)
+        assert len(table) == len(keys), "a block has been answered in part"
+        out, at = [], 0
+        for i, h in zip(ids, held.held):
+            own = which[at : at + 2 * len(h) - 1]
+            at += len(own)
             if len(h) == 1:
                 out.append((i, 0, 0.0, 0.0, 0.0))
                 continue
-            single = table[np.searchsorted(keys, word_keys(h))] * factors
-            pairs = np.minimum(table[np.searchsorted(keys, pair_keys(h))] * factors, single[:-1])
+            single = table[own[: len(h)]] * factors
+            pairs = np.minimum(table[own[len(h) :]] * factors, single[:-1])
             share = (single[1:] + 1) / totals
             a, b = (np.log(single[:-1] + mu) - np.log(pairs + mu * share)).mean(axis=0).tolist()
             out.append((i, len(h) - 1, a, b, a - b))
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, packed, counted = None, b"", []
+        block, done, ids, held, hashes = None, 0, [], _Block(), Hashes()
+        told: dict[int, list[bytes]] = {}
         for batch in batches:
-            for at, part, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if at != block:
-                    if block is not None:
-                        yield scored(packed, counted)
-                    block, packed, counted = at, b"", []
-                if part == -1:
-                    packed = raw
-                else:
-                    counted.append(_unzipped(raw, np.int64))
-        if block is not None:
-            yield scored(packed, counted)
+            for own, sequence, doc_id, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4))):
+                if own != block:
+                    if ids:
+                        yield scored(ids, held, told.pop(done, []))
+                    block, done, ids, held, told = own, 0, [], _Block(), {}
+                if sequence >= 0:
+                    told.setdefault(sequence, []).append(raw)
+                    continue
+                text = zstandard.ZstdDecompressor().decompress(raw)
+                ids.append(doc_id)
+                held.add(hashes.of(text), len(text))
+                if held.size > BLOCK_BYTES:  # as they were counted: same rows in the same order
+                    yield scored(ids, held, told.pop(done, []))
+                    done, ids, held = done + 1, [], _Block()
+        if ids:
+            yield scored(ids, held, told.pop(done, []))
+
+    # answers come before the texts of their block, by sequence and part
+    found = answers.filter("block <> -1").select(
+        F.shiftright("block", 24).cast("int").alias("block"), F.col("block").bitwiseAND(F.lit(_SEQUENCE - 1)).cast("int").alias("sequence"), F.lit(None).cast("bigint").alias("doc_id"), F.col("part").cast("bigint").alias("tie"), F.col("n").alias("packed")
+    )
+    back = found.unionAll(asking.select("block", F.lit(-1).alias("sequence"), "doc_id", "tie", "packed"))
+    back = back.repartitionById(width, F.col("block")).sortWithinPartitions("block", F.col("sequence") < 0, "sequence", F.col("doc_id").asc_nulls_first(), "tie")
+    return back.mapInArrow(run, "doc_id bigint, n_tokens bigint, loss_target double, loss_background double, score double")
+
 
-    asking = rows.filter((F.col("part") == -1) & (F.col("kind").bitwiseAND(_ASKS) != 0)).select("block", "part", F.col("keys").alias("raw"))
-    back = asking.unionAll(answers.filter("block <> -1").select("block", "part", F.col("n").alias("raw")))
-    return back.repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, "doc_id bigint, n_tokens bigint, loss_target double, loss_background double, score double")
+def fit_labelled(docs: DataFrame, labels: DataFrame, label_col: str = "quality", mu: float = MU) -> Tables:
+    """Models of ``docs`` and of those of them that are labelled 1."""
+    good = labels.filter(F.col(label_col) == 1).select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()
+    return Tables(None, docs, mu, good)
 
 
 def fit(target: DataFrame, background: DataFrame, size: int | None = None, bits: int = PAIR_BITS, mu: float = MU) -> Models | Tables:

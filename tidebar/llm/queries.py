@@ -43,8 +43,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    target = lm.labelled_target(docs, _table(spark, sf_dir, "labels"))
-    return lm.score(docs, lm.fit(target, docs))
+    return lm.score(docs, lm.fit_labelled(docs, _table(spark, sf_dir, "labels")))
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
