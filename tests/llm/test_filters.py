@@ -170,3 +170,38 @@ def test_license_keywords_are_no_stricter_than_rules():
         for text in spellings(licenses.parser.parse(rule.pattern.pattern)):
             assert rule.pattern.search(text), (rule.label, text)
             assert any(k in text for k in rule.keywords), (rule.label, text)
+
+
+def test_license_gaps_of_any_length():
+    for gap in (" ", " " * 100, "\n" + " " * 300 + "# " * 50, " * " * 400):
+        assert {d.label for d in licenses.detect(f"licensed under the apache{gap}license version 2.0")} == {"apache-2.0"}
+    found = licenses.detect("x" * 50 + " GNU" + " " * 5000 + "Lesser -- General,\n\nPublic / License!")
+    assert [(d.label, d.start) for d in found] == [("lgpl", 51)]
+    assert {d.label for d in licenses.detect("# SPDX-License-Identifier:          (MIT OR Apache-2.0 AND\tBSD-3-Clause WITH x) and more, zlib")} == {"mit", "apache-2.0", "bsd-3-clause"}
+
+
+def test_license_resolution_is_not_quadratic():
+    import time
+
+    rng = random.Random(1)
+    raw = {licenses.Detection(rng.choice("abc"), rng.randrange(2, 9), s, s + rng.randrange(1, 30)) for s in range(0, 400)}
+    kept = []
+    for d in sorted(raw, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
+        if not any(k.start <= d.start and d.end <= k.end for k in kept):
+            kept.append(d)
+    assert licenses.resolve(raw) == sorted(kept, key=lambda d: (d.start, d.end, d.label))
+    began = time.time()
+    assert len(licenses.resolve({licenses.Detection("a", 3, 5 * k, 5 * k + 4) for k in range(60_000)})) == 60_000
+    assert time.time() - began < 10
+
+
+def test_training_rows_do_not_follow_the_partitions(spark):
+    from tidebar.llm.labelled import sample
+
+    docs = docs_of(spark, [(k % 30, f"text {k} " * (k % 7)) for k in range(600)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id bigint, quality int")
+    take = lambda n, **more: sorted(map(str, sample(docs.repartition(n), labels, "quality", **more)[0].collect()))
+    assert take(3) == take(7) and len(take(3)) == 30
+    assert take(3, per_class=4) == take(7, per_class=4) and len(take(3, per_class=4)) == 8
+    some = take(3, most_bytes=300)
+    assert some == take(5, most_bytes=300) and 0 < len(some) < 30

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most labelled rows of each class that a model is fitted on.
+#: Most labelled ids of each class that a model is fitted on.
 PER_CLASS = 3000
+#: Most bytes of their texts that a model is fitted on, whole texts in the order of their ids' hashes.
+MOST_BYTES = 128 << 20
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column | None = None, per_class: int = PER_CLASS) -> tuple[DataFrame, dict[int, int]]:
-    """Rows (doc_id, text, y) of at most ``per_class`` labelled ids a class, and the number of labelled ids of each class.
+def sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, usable: Column | None = None, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES
+) -> tuple[DataFrame, dict[int, int]]:
+    """Rows (doc_id, text, y) of at most ``per_class`` labelled ids a class and ``most_bytes`` in all, and the number of labelled ids of each class.
 
-    Which ids are taken depends on their hash alone. Labels other than 0 and 1 and
+    Which rows are taken depends on hashes alone: ids in the order of theirs, and of
+    several texts with one id the one with the least. Labels other than 0 and 1 and
     null ids are passed over; an id with several labels counts as 1 if its mean is
-    at least a half. Only the taken ids, whose number is bounded, are broadcast.
+    at least a half. Only the taken ids, whose number is bounded, are broadcast, and
+    only their rows are ordered in one task.
     """
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
     rows = rows if usable is None else rows.filter(usable)
@@ -23,7 +29,11 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column |
     by_hash = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     taken = F.broadcast(by_hash[0].unionAll(by_hash[1]))
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(taken, "doc_id")
-    return found.limit(4 * per_class), counts
+    text = F.coalesce("text", F.lit(""))
+    found = found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64(text), F.octet_length(text))).alias("text"))
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto))
+    return found.filter(F.col("bytes") <= most_bytes).select("doc_id", "text", "y"), counts
 
 
 def held_out(doc_id: Column) -> Column:

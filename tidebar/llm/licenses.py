@@ -1,10 +1,12 @@
 """License scans by ordered signature rules.
 
-A rule is a label, a priority and a regular expression; its keywords are words that
-every match holds, taken from the expression, however it is wrapped. All keywords of
-all rules are looked up in one pass of an Aho-Corasick automaton over the
-lower-cased text; only rules with a keyword present run, and only on windows
-around its hits. Detections are intervals of the text. They are resolved in order
+A rule is a label, a priority and a regular expression over words: texts are matched
+with every run of blanks, comment marks and punctuation, of any length, as one blank.
+A rule's keywords are words that every match holds, taken from the expression. All
+keywords of all rules are looked up in one pass of an Aho-Corasick automaton over the
+lower-cased text; only rules with a keyword present run, and only around its hits, as
+far as the rule's longest match can reach. Short identifiers are read from the line
+that declares them. Detections are intervals of the text. They are resolved in order
 of priority, then length, then place: one that lies inside a kept detection of
 at least its priority is suppressed ("GPL" inside "GNU Lesser General Public
 License"). The labels of what remains are the document's.
@@ -16,17 +18,19 @@ The score is 1 - product of (1 - weight) over the distinct labels, the weight
 following the priority of the label's strongest detection: 0 without any.
 
 Defined results: a null text counts as empty: no words, no labels, score 0. Null
-ids and repeated rows are rows like others. Windows bound the work of an
-expression, so very long texts take time in proportion. An empty table gives an
-empty result. Other columns are ignored.
+ids and repeated rows are rows like others. Very long texts are whole and take time
+in proportion. Detections that tie in priority, length and place keep the first label
+by name. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 from re import _parser as parser
 
 import ahocorasick
@@ -38,10 +42,11 @@ from .common import byte_values, pieces
 
 BASE = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-WINDOW = 240
+#: What is matched: words, and two signs of copyright; all else between them is one blank.
+_TOKEN = re.compile(r"\(c\)|©|[^\W_]+")
 
-# Signatures. Each line: label | priority | expression (on lower-cased
-# text; a blank stands for any run of blanks, comment marks and punctuation between words).
+# Signatures. Each line: label | priority | expression (on lower-cased words;
+# a blank stands for all that is between two words).
 # Priority: 9 identifiers, 8 full titles with version, 7 distinctive sentences, 5 titles, 3 short names, 2 hints.
 _SIGNATURES = r"""
 mit|5|(the )?mit license
@@ -205,7 +210,7 @@ reserved|5|(some|certain|no) rights reserved
 alle-rechte|7|alle rechte vorbehalten
 tous-droits|7|tous droits r[eé]serv[eé]s
 todos-derechos|7|todos los derechos reservados
-copyright|3|copyright (c |© )?((19|20)[0-9]{2})( (19|20)?[0-9]{2,4})?
+copyright|3|copyright (\(c\) |c |© )?((19|20)[0-9]{2})( (19|20)?[0-9]{2,4})?
 copyright|3|© ?((19|20)[0-9]{2})
 copyright|2|\(c\) ?((19|20)[0-9]{2})
 disclaimer|7|without warranty of any kind( express or implied)?
@@ -236,7 +241,9 @@ _IDENTIFIERS = (
     "X11 Zlib ZPL-2.1"
 )
 _WEIGHT = {9: 0.95, 8: 0.9, 7: 0.8, 6: 0.7, 5: 0.6, 3: 0.4, 2: 0.2}
-_GAP = r"[\s\W_]{1,12}"
+_SPDX = "spdx-license-identifier"
+_DECLARED = re.compile(_SPDX + r"\s*:([^\n]*)")
+_NAME = re.compile(r"[\w.+-]+")
 
 
 @dataclass(frozen=True)
@@ -251,8 +258,8 @@ class Rule:
 
 
 def _expression(spelled: str) -> str:
-    """The spelled form with each blank turned into a gap; an optional part keeps its own gap."""
-    return r"(?<!\w)" + spelled.replace(" ?", r"(?:" + _GAP + ")?").replace(" ", _GAP) + r"(?!\w)"
+    """Matches of the spelled form begin and end with words."""
+    return r"(?<!\w)" + spelled + r"(?!\w)"
 
 
 def needed(expression: str) -> set[str]:
@@ -261,7 +268,7 @@ def needed(expression: str) -> set[str]:
     def of(items) -> set[str] | None:
         found, run = [], ""
         for op, value in [*items, (None, None)]:
-            if op is parser.LITERAL:
+            if op is parser.LITERAL and value != ord(" "):
                 run += chr(value)
                 continue
             if run:
@@ -287,8 +294,7 @@ def rules() -> tuple[Rule, ...]:
     """All signatures in order, identifiers first."""
     found = []
     for name in _IDENTIFIERS.split():
-        spelled = r"spdx-license-identifier:\s{0,4}\(?(?:[\w.+-]{1,40}\s{1,3}(?:or|and|with)\s{1,3}){0,3}" + re.escape(name.lower()) + r"(?![\w.-])"
-        found.append(Rule(len(found), name.lower(), 9, ("spdx-license-identifier",), re.compile(spelled)))
+        found.append(Rule(len(found), name.lower(), 9, (_SPDX,), re.compile(re.escape(name.lower()))))
     for line in _SIGNATURES.strip().splitlines():
         label, priority, spelled = line.split("|", 2)
         expression = _expression(spelled.lower())
@@ -324,17 +330,45 @@ class Detection:
     end: int
 
 
-def _windows(ends: list[int], size: int) -> list[tuple[int, int]]:
+def _windows(hits: list[int], reach: int, size: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for at in ends:
-        a, b = max(0, at - WINDOW), min(size, at + WINDOW)
+    for at in sorted(hits):
+        a, b = max(0, at - reach), min(size, at + reach)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
 
 
+@lru_cache(maxsize=1)
+def _reach() -> tuple[int, ...]:
+    """How far a match of each rule can reach from a place inside it."""
+    return tuple(parser.parse(r.pattern.pattern).getwidth()[1] + 1 for r in rules())
+
+
+@lru_cache(maxsize=1)
+def _identifiers() -> dict[str, Rule]:
+    return {r.label: r for r in rules() if r.keywords == (_SPDX,)}
+
+
+def _declared(lowered: str) -> set[Detection]:
+    """Identifiers that declaring lines name, joined by ``or``, ``and`` and ``with``."""
+    out: set[Detection] = set()
+    for line in _DECLARED.finditer(lowered):
+        joined = True
+        for m in _NAME.finditer(lowered, *line.span(1)):
+            if m[0] in ("or", "and", "with"):
+                joined = True
+            elif joined:
+                joined = False
+                if m[0] in _identifiers():
+                    out.add(Detection(m[0], 9, m.start(), m.end()))
+            else:
+                break  # the line goes on with other words
+    return out
+
+
 def detect(text: str) -> list[Detection]:
     """Kept detections of a text, by place."""
     lowered = _lower(text)
@@ -342,21 +376,42 @@ def detect(text: str) -> list[Detection]:
     for end, orders in _automaton().iter(lowered):
         for order in orders:
             hits.setdefault(order, []).append(end)
-    raw: set[Detection] = set()
+    if not hits:
+        return []
+    raw = _declared(lowered) if any(rules()[order].keywords == (_SPDX,) for order in hits) else set()
+    tokens = list(_TOKEN.finditer(lowered))
+    spelled = " ".join([m[0] for m in tokens])
+    places = [m.start() for m in tokens]
+    own = list(accumulate((len(m[0]) + 1 for m in tokens), initial=0))  # where each token starts in ``spelled``
+    inside = lambda at: (k := bisect_right(places, at) - 1) >= 0 and (k, own[k] + at - places[k])
+    back = lambda at: (k := bisect_right(own, at) - 1, places[k] + at - own[k])[1]
     for order, ends in hits.items():
         rule = rules()[order]
-        for a, b in _windows(ends, len(lowered)):
-            raw.update(Detection(rule.label, rule.priority, m.start(), m.end()) for m in rule.pattern.finditer(lowered, a, b))
+        if rule.keywords == (_SPDX,):
+            continue
+        at = [where[1] for where in map(inside, ends) if where]
+        for a, b in _windows(at, min(_reach()[order], len(spelled)), len(spelled)):
+            raw.update(Detection(rule.label, rule.priority, back(m.start()), back(m.end() - 1) + 1) for m in rule.pattern.finditer(spelled, a, b))
     return resolve(raw)
 
 
 def resolve(raw) -> list[Detection]:
-    """Drops detections that lie inside a kept one of at least their priority and another label."""
+    """Drops detections that lie inside a kept one, which has at least their priority."""
+    starts = sorted({d.start for d in raw})
+    reach = [-1] * (len(starts) + 1)  # a tree of prefix maxima: how far kept detections reach that start up to a place
     kept: list[Detection] = []
     for d in sorted(raw, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
-        near = [k for k in kept if k.start <= d.start and d.end <= k.end]
-        if not near:
-            kept.append(d)
+        k = at = bisect_right(starts, d.start)
+        most = -1
+        while k:
+            most = max(most, reach[k])
+            k &= k - 1
+        if most >= d.end:
+            continue
+        kept.append(d)
+        while at <= len(starts):
+            reach[at] = max(reach[at], d.end)
+            at += at & -at
     return sorted(kept, key=lambda d: (d.start, d.end, d.label))
 
 
