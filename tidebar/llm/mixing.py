@@ -6,13 +6,16 @@ times its own size; what it can't take is shared again by weight among the rest.
 The resulting level is found in closed form: ordered by size over weight, the
 first k sources are full, and the rest get their weight times a common level.
 
-Each document expects target / source size copies. The whole part is allocated
-for certain; for the rest documents are ranked by random odds over inclusion
-odds, (u / (1 - u)) / (p / (1 - p)), u from a keyed digest of the document, and
-are taken in that order while the sum of sizes stays nearest to what the source
-still lacks: a sample of fixed size, in words. A ``weight`` column, if named,
-makes the inclusion odds unequal within a source; across sources they differ by
-target.
+Each document gets the whole part of target / source size as certain copies. The
+words that its source still lacks come from one more copy of some documents, with
+unequal inclusion probabilities p = c * weight, where c makes their expected words
+what is lacking. Those with p of 1 or more are certain too. The others are ranked by
+random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), u from a keyed digest
+of the document, and are taken in that order while the sum of sizes stays nearest to
+what is lacking: a sample of fixed size, in words. A document's weight is the number
+of binary digits of its size, so that longer ones are likelier, or a column of whole
+numbers from 0 (never more than the certain copies), null as 0. c is found in closed
+form from the sizes summed by source and weight, of which there should be few values.
 
 No source is sorted as a whole: ranks are cut into ``BINS`` ranges, sizes are
 summed per range, and only rows of the range in which a source's target falls
@@ -20,9 +23,9 @@ are ordered: about a ``BINS``-th of the source's rows.
 
 Defined results: a null text has size 0. Rows with a null id draw by text like
 others. Rows equal in id and text draw equal numbers and are taken together.
-Documents of size 0 take 0. If all sizes are 0, targets are 0. An empty table gives an empty
-result. Other columns are ignored by ``plan`` and kept by ``mix``; names that begin with
-``_mix_``, ``_digest``, ``_odds`` and ``_copy`` are reserved.
+Documents of size 0 take 0. If all sizes are 0, targets are 0. Very long texts are
+whole. An empty table gives an empty result. Other columns are ignored by ``plan`` and
+kept by ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import numbered, renamed, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -68,74 +71,102 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def _drawn(docs: DataFrame, seed: str, id_col: str, text_col: str, weight_col: str | None) -> dict:
-    """Columns with a row's keyed digest and its weight."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    row = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(text.cast("binary")))
-    return {"_digest": F.md5(row.cast("binary")), "_odds": F.col(weight_col).cast("double") if weight_col else F.lit(1.0)}
+def _digest(seed: str) -> Column:
+    """A keyed digest of a row's id and text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    row = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text.cast("binary")))
+    return F.md5(row.cast("binary"))
 
 
-def _rank(rest: str = "rest") -> Column:
-    """Random odds over inclusion odds; null where the inclusion probability is 0."""
-    u = (F.conv(F.substring("_digest", 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
-    p = F.least(F.col(rest) * F.col("_odds"), F.lit(1 - 1e-9))
-    return F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+def chances(levels: DataFrame) -> DataFrame:
+    """(source, lacks, weight, n), n words of each weight, to (source, chance, certain).
+
+    ``chance`` is the c of p = c * weight; ``certain`` are the words of p of 1 or more.
+    """
+    down = Window.partitionBy("source").orderBy(F.col("weight").desc())
+    heavier = F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    mass = F.sum(F.col("weight") * F.col("n")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    rows = levels.filter("weight > 0 and n > 0").withColumns({"heavier": heavier, "chance": (F.col("lacks") - heavier) / mass})
+    # the first weight, from the heaviest, that is not certain if all heavier ones are
+    first = rows.filter(F.col("chance") * F.col("weight") < 1).groupBy("source").agg(F.max_by(F.struct("chance", "heavier"), "weight").alias("first"))
+    return first.select("source", F.col("first.chance").alias("chance"), F.col("first.heavier").alias("certain"))
+
+
+def _chance(lead: str = "") -> Column:
+    """A row's probability of one more copy; where none of a source's weights leaves a chance open, all above 0 are certain."""
+    return F.when(F.col("weight") > 0, F.coalesce(F.col(f"{lead}chance") * F.col("weight"), F.lit(1.0))).otherwise(0.0)
+
+
+def _rank(lead: str = "") -> Column:
+    """Random odds over inclusion odds; null where the probability is 0 or certain."""
+    u = (F.conv(F.substring("digest", 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+    p = _chance(lead)
+    return F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p)))
 
 
 def cuts(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, bins: int = BINS) -> DataFrame:
-    """One row a source: source_size, target, base (certain copies), rest, and the rank and digest up to which rows get one more.
+    """One row a source: source_size, target, base (certain copies), chance, and the rank and digest up to which rows get one more.
 
-    ``rows``: source, size, _digest, _odds.
+    ``rows``: source, size, digest, weight.
     """
-    per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    levels = written(rows.groupBy("source", "weight").agg(F.sum("size").alias("n")))
+    per_source = targets(levels.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    per_source = per_source.withColumns({"base": F.floor(rate), "rest": rate - F.floor(rate)}).withColumn("lacks", F.col("target") - F.col("base") * F.col("source_size"))
-    per_source = cut_lineage(per_source)
-    drawn = rows.join(_small(per_source).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("rank", _rank()).filter("rank is not null")
-    # for equal weights rank * rest / (1 - rest) is u / (1 - u), so that bins of its share are even
-    even = F.col("rank") * F.col("rest") / (F.lit(1.0) - F.col("rest"))
+    per_source = per_source.withColumn("base", F.floor(rate)).withColumn("lacks", F.col("target") - F.col("base") * F.col("source_size"))
+    per_source = written(per_source)
+    open_ = per_source.filter("lacks > 0").select(F.col("source").alias("s"), "lacks")
+    found = chances(levels.join(open_, F.col("source").eqNullSafe(F.col("s"))).select("source", "lacks", "weight", "n"))
+    found = found.select(F.col("source").alias("s"), "chance", "certain")
+    # a source that lacks nothing has chance 0; one without an open chance (null) takes all of its rows with a weight
+    chance = F.when(F.col("lacks") > 0, F.col("chance")).otherwise(0.0)
+    per_source = per_source.join(found, F.col("source").eqNullSafe(F.col("s")), "left").withColumns({"chance": chance, "lacks": F.col("lacks") - F.coalesce("certain", F.lit(0))})
+    per_source = written(per_source.select("source", "source_size", "target", "base", "chance", "lacks"))
+    drawn = rows.join(_small(per_source).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("rank", _rank()).filter("rank is not null")
+    # ranks grow as u / (1 - u) over p / (1 - p), so that bins of an even share of the ranks times the mean odds are about even
+    mean = F.least(F.greatest(F.try_divide("lacks", "source_size"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    even = F.col("rank") * mean / (1 - mean)
     drawn = drawn.withColumn("bin", F.floor(even / (1 + even) * bins).cast("int"))
-    per_bin = drawn.groupBy("source", "bin").agg(F.sum("size").alias("n"), F.first("lacks").alias("lacks"))
+    per_bin = drawn.groupBy("source", "bin").agg(F.sum("size").alias("n"), F.first("lacks").alias("lacks"), F.min("rank").alias("least"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     crossed = per_bin.withColumn("upto", F.sum("n").over(upto)).filter("upto > lacks")
-    edge = crossed.groupBy("source").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("n")).alias("before")), "bin").alias("edge"))
-    edge = edge.select(F.col("source").alias("_e"), "edge.*").withColumnRenamed("bin", "edge_bin")
-    edge = cut_lineage(edge)
-    near = drawn.join(_small(edge), F.col("source").eqNullSafe(F.col("_e")) & (F.col("bin") == F.col("edge_bin")))
-    peers = Window.partitionBy("source").orderBy("rank", "_digest")
+    edge = crossed.groupBy("source").agg(F.min_by(F.struct("bin", "least", (F.col("upto") - F.col("n")).alias("before")), "bin").alias("edge"))
+    edge = edge.select(F.col("source").alias("e"), "edge.*").withColumnRenamed("bin", "edge_bin")
+    edge = written(edge)
+    near = drawn.join(_small(edge), F.col("source").eqNullSafe(F.col("e")) & (F.col("bin") == F.col("edge_bin")))
+    peers = Window.partitionBy("source").orderBy("rank", "digest")
     with_it = F.col("before") + F.sum("size").over(peers.rangeBetween(Window.unboundedPreceding, 0))
-    near = near.withColumn("with_it", with_it).withColumn("without", F.col("with_it") - F.sum("size").over(Window.partitionBy("source", "rank", "_digest")))
+    near = near.withColumn("with_it", with_it).withColumn("without", F.col("with_it") - F.sum("size").over(Window.partitionBy("source", "rank", "digest")))
     # a row is taken while the sum with it is no farther from what lacks than the sum without it
     taken = near.filter(F.col("with_it") - F.col("lacks") <= F.col("lacks") - F.col("without"))
-    last = taken.groupBy("source").agg(F.max(F.struct("rank", "_digest")).alias("last")).select(F.col("source").alias("_l"), F.col("last.rank").alias("last_rank"), F.col("last._digest").alias("last_digest"))
+    last = taken.groupBy("source").agg(F.max(F.struct("rank", "digest")).alias("last")).select(F.col("source").alias("l"), F.col("last.rank").alias("last_rank"), F.col("last.digest").alias("last_digest"))
     return (
-        per_source.join(edge, F.col("source").eqNullSafe(F.col("_e")), "left")
-        .join(last, F.col("source").eqNullSafe(F.col("_l")), "left")
+        per_source.join(edge, F.col("source").eqNullSafe(F.col("e")), "left")
+        .join(last, F.col("source").eqNullSafe(F.col("l")), "left")
         .select(
-            F.col("source").alias("_s"),
+            F.col("source").alias("s"),
             "source_size",
             "target",
             F.col("base").cast("int").alias("base"),
-            "rest",
-            # no row of the edge taken: up to the bin's lower end; no edge: all
-            F.when(F.col("edge_bin").isNull(), F.lit(float("inf")))
-            .otherwise(F.coalesce("last_rank", F.col("edge_bin") / (F.lit(bins) - F.col("edge_bin")) * (F.lit(1.0) - F.col("rest")) / F.col("rest")))
-            .alias("last_rank"),
+            "chance",
+            # no row of the edge taken: those before its least rank; no edge: all
+            F.when(F.col("edge_bin").isNull(), F.lit(float("inf"))).otherwise(F.coalesce("last_rank", "least")).alias("last_rank"),
             F.coalesce("last_digest", F.lit("")).alias("last_digest"),
         )
     )
 
 
-def _copies(lead: str = "") -> Column:
-    rank, last = _rank(f"{lead}rest"), F.col(f"{lead}last_rank")
-    within = (rank < last) | ((rank == last) & (F.col("_digest") <= F.col(f"{lead}last_digest")))
-    return F.col(f"{lead}base") + F.coalesce(within, F.lit(False)).cast("int")
+def _copies() -> Column:
+    rank, last = _rank(), F.col("last_rank")
+    within = (rank < last) | ((rank == last) & (F.col("digest") <= F.col("last_digest")))
+    return F.col("base") + ((_chance() >= 1) | F.coalesce(within, F.lit(False))).cast("int")
 
 
 def _narrow(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str, weight_col: str | None) -> DataFrame:
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint")
-    made = {"size": size, **_drawn(docs, seed, id_col, text_col, weight_col)}
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *[c.alias(n) for n, c in made.items()])
+    named = {"doc_id": id_col, "text": text_col, "source": source_col, **({"weight": weight_col} if weight_col else {})}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in named.items()])
+    rows = rows.withColumn("size", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("bigint"))
+    weight = F.coalesce(F.col("weight").cast("int"), F.lit(0)) if weight_col else F.length(F.bin("size"))
+    return rows.select("doc_id", "source", "size", _digest(seed).alias("digest"), weight.alias("weight"))
 
 
 def plan(
@@ -151,9 +182,9 @@ def plan(
     weight_col: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken."""
-    rows = cut_lineage(_narrow(docs, seed, id_col, text_col, source_col, weight_col))
-    found = _small(cut_lineage(cuts(rows, weights, share, most, bins)))
-    joined = rows.join(found, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", _copies())
+    rows = written(_narrow(docs, seed, id_col, text_col, source_col, weight_col))
+    found = _small(written(cuts(rows, weights, share, most, bins)))
+    joined = rows.join(found, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
     return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -174,9 +205,13 @@ def mix(
     Only the small table of cuts meets the texts; they are not exchanged where it
     can be broadcast.
     """
-    rows = cut_lineage(_narrow(docs, seed, id_col, text_col, source_col, weight_col))
-    found = _small(cut_lineage(cuts(rows, weights, share, most, bins)))
-    found = found.select(*[F.col(c).alias(f"_mix_{c.lstrip('_')}") for c in found.columns])
-    marked = docs.withColumns(_drawn(docs, seed, id_col, text_col, weight_col))
-    joined = marked.join(found, F.col(source_col).eqNullSafe(F.col("_mix_s"))).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _copies("_mix_"))))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = written(_narrow(docs, seed, id_col, text_col, source_col, weight_col))
+    found = _small(written(cuts(rows, weights, share, most, bins)))
+    held, at = numbered(docs), {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    text = F.coalesce(F.col(at[text_col]), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORD)).cast("bigint")
+    weight = F.coalesce(F.col(at[weight_col]).cast("int"), F.lit(0)) if weight_col else F.length(F.bin(size))
+    row = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(at[id_col]).cast("string"), F.lit("null")), F.md5(text.cast("binary")))
+    marked = held.withColumns({"digest": F.md5(row.cast("binary")), "weight": weight})
+    joined = marked.join(found, F.col(at[source_col]).eqNullSafe(F.col("s"))).withColumn("copy", F.explode(F.array_repeat(F.lit(1), _copies())))
+    return joined.select(*renamed(held, docs.columns))

@@ -29,17 +29,35 @@ t as (
     from l, v
 ),
 r as (
-    select *, case when source_size > 0 then floor(target / source_size) else 0 end as base,
-           case when source_size > 0 then target / source_size - floor(target / source_size) else 0 end as rest
-    from t
+    select *, case when source_size > 0 then floor(target / source_size) else 0 end as base from t
+),
+n as (
+    select d.source, len(bin(d.size)) as weight, any_value(r.target - r.base * r.source_size) as lacks, sum(d.size)::bigint as n
+    from d join r on d.source is not distinct from r.source group by 1, 2 having sum(d.size) > 0
+),
+h as (
+    select *, coalesce(sum(n) over (partition by source order by weight desc rows between unbounded preceding and 1 preceding), 0) as heavier,
+           sum(weight * n) over (partition by source order by weight desc rows between current row and unbounded following) as mass
+    from n
+),
+c as (
+    select source, max_by((lacks - heavier::double) / mass::double, weight) as chance, max_by(heavier, weight) as certain
+    from h where lacks > 0 and (lacks - heavier::double) / mass::double * weight < 1 group by source
+),
+p as (
+    select d.*, r.source_size, r.target, r.base, r.target - r.base * r.source_size - coalesce(c.certain, 0) as lacks,
+           case when r.target - r.base * r.source_size > 0 then coalesce(c.chance * len(bin(d.size)), 1.0::double) else 0 end as p,
+           ((('0x' || d.digest[:12])::bigint)::double + 0.5) / 281474976710656.0::double as u
+    from d join r on d.source is not distinct from r.source left join c on d.source is not distinct from c.source
+),
+k as (
+    select *, case when p > 0 and p < 1 then (u / (1 - u)) / (p / (1 - p)) end as rank from p
 ),
 o as (
-    select d.doc_id, d.size, r.source_size, r.target, r.base, r.rest, r.target - r.base * r.source_size as lacks,
-           sum(d.size) over (partition by d.source order by d.digest rows unbounded preceding) as with_it
-    from d join r on d.source is not distinct from r.source
+    select *, sum(size) over (partition by source, rank is null order by rank, digest rows unbounded preceding) as with_it from k
 )
 select doc_id, size::bigint as size, source_size, target,
-       (size * (base + case when rest > 0 and with_it - lacks <= lacks - (with_it - size) then 1 else 0 end))::bigint as taken
+       (size * (base + case when p >= 1 or (rank is not null and with_it - lacks <= lacks - (with_it - size)) then 1 else 0 end))::bigint as taken
 from o
 """
 
