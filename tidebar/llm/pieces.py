@@ -426,8 +426,9 @@ def encode_table(
     added = [("piece_ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("lossless", T.BooleanType())]
     taken = {name for name, _ in added}
     others = [c for c in docs.columns if c != text_col and c not in taken]
-    kept = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{key_col}`").cast("bigint").alias("_key"), F.col(f"`{text_col}`").alias("text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema
+    held = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]
+    kept = docs.select(*held, F.col(f"`{key_col}`").cast("bigint").alias("key"), F.col(f"`{text_col}`").alias("text"))
+    schema = docs.select(*held).schema
     for name, kind in added:
         schema = schema.add(name, kind)
     sc = docs.sparkSession.sparkContext
@@ -445,9 +446,9 @@ def encode_table(
                     pa.array(np.frombuffer(b"".join(coded), np.int32)),
                 )
                 columns = [flat, pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(same, pa.bool_())]
-                yield pa.record_batch([*batch.columns[:-2], *columns], names=[*others, *(n for n, _ in added)])
+                yield pa.record_batch([*batch.columns[:-2], *columns], names=[f.name for f in schema])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*others, *(n for n, _ in added))
 
 
 def decode_table(coded: DataFrame, model: bytes, ids_col: str = "piece_ids") -> DataFrame:

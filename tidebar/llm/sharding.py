@@ -18,7 +18,8 @@ split into several cells, so that no task orders a whole shard.
 
 Defined results: a null text counts as the empty one, has size 1 and checksum 0,
 and shares its group. Null ids and repeated rows are rows like others (each gets
-its own slot). An empty table gives an empty result. Other columns are ignored.
+its own slot; ties go to any). Very long texts are whole. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import written
 
 SHARDS = 8
 DIGITS = 3
@@ -115,9 +116,9 @@ def plan_cuts(rows: DataFrame, shards: int = SHARDS, digits: int = DIGITS, open_
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, digest) of every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.md5(text.cast("binary")).alias("digest"),
@@ -130,7 +131,9 @@ def _shard_of(digest: Column, cuts: list[str]) -> Column:
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", digits: int = DIGITS, open_limit: int = OPEN_LIMIT) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot."""
-    rows = cut_lineage(sized(docs, id_col, text_col))
+    # null ids would all fall into one cell of a crowded block
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id"))
+    rows = written(sized(docs, id_col, text_col).withColumn("spread", spread))
     cuts = plan_cuts(rows, shards, digits, open_limit)
     block = F.substring("digest", 1, digits)
     placed = rows.withColumn("shard", _shard_of(F.col("digest"), cuts).cast("int")).withColumn("block", block)
@@ -143,7 +146,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     if split:
         table = F.create_map(*[F.lit(x) for pair in sorted(split.items()) for x in pair])
         parts = F.coalesce(F.try_element_at(table, F.col("block")), F.lit(1))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("spread"), parts).cast("int"))
 
     cells = placed.groupBy("shard", "block", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,22 +10,25 @@ exact while a side has fewer than ``k`` shingles.
 A fingerprint is written as a string: each hash takes eight base64 characters.
 
 ``edit_check`` compares each document with an edited text whose tail comes from
-the document that follows by id. Ids are cut into buckets at sampled ids; the
+the document that follows by id. Documents are cut into buckets at sampled ids, and
+within an id that many share at hashes of the text; the
 document that opens a bucket is also sent to the bucket before it, so a single
 exchange of compressed texts serves every neighbour. Nothing but the bucket
 bounds reaches the driver.
 
 Defined results: a null or empty text, or one without words, has the empty
 fingerprint; two empty fingerprints have likeness 1, an empty and another one 0.
-Documents with equal ids are ordered by text; null ids come last. Repeated rows
-are documents of their own. An empty table gives an empty result. Other columns
-are ignored.
+Documents with equal ids are ordered by a hash of the text; null ids come last. Repeated
+rows are documents of their own. Very long texts are whole; two are held at a time. An
+empty table gives an empty result. Other columns are ignored, or kept by ``sketches``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, pieces, shuffle_width
+from .common import byte_values, packed, pieces, shuffle_width
 
 K = 128
 SHINGLE = 5
@@ -132,19 +135,20 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 
 def sketches(docs: DataFrame, text_col: str = "text", k: int = K, width: int = SHINGLE) -> DataFrame:
-    """``docs`` with its text replaced by column ``fingerprint``."""
-    others = [c for c in docs.columns if c != text_col]
-    kept = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text_col).alias("text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add("fingerprint", "string")
+    """``docs`` with its text replaced by column ``fingerprint`` (one of that name goes)."""
+    others = [c for c in docs.columns if c not in (text_col, "fingerprint")]
+    held = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]
+    kept = docs.select(*held, F.col(f"`{text_col}`").alias("text"))
+    schema = docs.select(*held).schema.add("fingerprint", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(width)
         for whole in batches:
             for batch in pieces(whole):
                 marks = [to_text(smallest(hasher.shingles(t), k)) for t in byte_values(batch.column(batch.num_columns - 1))]
-                yield pa.record_batch([*batch.columns[:-1], pa.array(marks, pa.string())], names=[*others, "fingerprint"])
+                yield pa.record_batch([*batch.columns[:-1], pa.array(marks, pa.string())], names=[f.name for f in schema])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*others, "fingerprint")
 
 
 def merge_by(marks: DataFrame, *keys: str, k: int = K) -> DataFrame:
@@ -204,45 +208,72 @@ _OUT = pa.schema(
 )
 _PACKED = "bucket int, doc_id bigint, own boolean, tie bigint, packed binary"
 _ROWS_OUT = 512
+_Place = tuple[bool, int, int]  # no id, id, hash of the text: the order of documents
+_ANY = -(1 << 63)
 
 
-def _bounds(docs: DataFrame, id_col: str, buckets: int) -> list[int]:
-    """Ids that exist and cut the rows into about ``buckets`` even parts, the least id first."""
+def _bounds(rows: DataFrame, buckets: int) -> list[_Place]:
+    """Places that cut the rows (doc_id, tie, text) into about ``buckets`` even parts, the least place first.
+
+    An id that fills several parts, null among them, is cut within, by its texts' hashes.
+    """
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = F.percentile_approx(F.col(id_col).cast("bigint"), F.lit(shares), F.lit(50 * buckets)) if shares else F.lit(None)
-    row = docs.agg(F.min(F.col(id_col).cast("bigint")), cuts).first()
-    return sorted({row[0], *(row[1] or [])}) if row[0] is not None else []
+    cuts = F.percentile_approx("doc_id", F.lit(shares), F.lit(50 * buckets)) if shares else F.lit(None)
+    row = rows.agg(F.min("doc_id").alias("least"), cuts.alias("cuts"), F.count("doc_id").alias("n"), F.count(F.lit(1)).alias("all")).first()
+    cut_at = [row["least"], *(row["cuts"] or [])] if row["n"] else []
+    if any(abs(i) > 1 << 52 for i in cut_at):
+        cut_at = _next_ids(rows, sorted(set(cut_at)))  # quantiles are of doubles: not all of these exist
+    found = Counter(cut_at)
+    parts: dict[int | None, int] = {i: n for i, n in found.items() if n > 1}
+    if (row["all"] - row["n"]) * buckets > 2 * row["all"]:
+        parts[None] = max(2, round((row["all"] - row["n"]) * buckets / row["all"]))
+    places = {(False, i, _ANY) for i in found if i not in parts}
+    if parts:  # a few ids, each of several parts
+        inside = F.col("doc_id").isin([i for i in parts if i is not None]) | (F.col("doc_id").isNull() if None in parts else F.lit(False))
+        most = max(parts.values())
+        ties = F.percentile_approx("tie", F.lit([k / most for k in range(1, most)]), F.lit(50 * most))
+        for r in rows.filter(inside).groupBy("doc_id").agg(F.min("tie").alias("least"), ties.alias("ties")).collect():
+            places |= {(r["doc_id"] is None, r["doc_id"] or 0, t) for t in (r["least"], *r["ties"])}
+    return sorted(places)
+
+
+def _next_ids(rows: DataFrame, cuts: list[int]) -> list[int]:
+    """The least id from each of the cuts to the next, where there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least: dict[int, int] = {}
+            for i in batch.column(0).drop_null().to_pylist():
+                at = max(0, bisect_right(cuts, i) - 1)
+                least[at] = min(i, least.get(at, i))
+            yield pa.record_batch([pa.array(list(least), pa.int32()), pa.array(list(least.values()), pa.int64())], names=["at", "id"])
+
+    found = rows.select("doc_id").mapInArrow(run, "at int, id bigint").groupBy("at").agg(F.min("id").alias("id")).collect()  # a row a part
+    return sorted(r["id"] for r in found)
 
 
-def _deal(bounds: list[int]):
-    """Rows with their bucket; a bucket's first id also goes to the bucket before it, marked as not its own."""
-    cuts = np.array(bounds, np.int64)
-    last = max(0, len(cuts) - 1)
+def _deal(bounds: list[_Place]):
+    """(doc_id, tie, text) to packed rows with their bucket; those that a bucket can open with also go to the bucket before it, not as its own."""
+    last = max(0, len(bounds) - 1)
     schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("own", pa.bool_()), ("tie", pa.int64()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
         for whole in batches:
-            for batch in pieces(whole):
-                ids, texts = batch.column(0).to_pylist(), byte_values(batch.column(1))
-                packed = [press.compress(t) for t in texts]
-                ties = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
-                at = [last if i is None else int(np.searchsorted(cuts, i, side="right")) - 1 for i in ids]
-                extra = [k for k, i in enumerate(ids) if i is not None and cuts[at[k]] == i]
-                if len(cuts) == 0:
-                    extra = list(range(len(ids)))
-                before = [(at[k] - 1) % max(1, len(cuts)) for k in extra]
+            for batch in pieces(whole, 4 << 20):
+                ids, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                raw = packed(byte_values(batch.column(2))).to_pylist()
+                places = [(i is None, i or 0, t) for i, t in zip(ids, ties)]
+                at = [max(0, bisect_right(bounds, p) - 1) for p in places]
+                extra = [k for k, p in enumerate(places) if not bounds or bounds[at[k]] in (p, (*p[:2], _ANY)) or not last and p[0]]
                 rows = [*range(len(ids)), *extra]
-                yield pa.record_batch(
-                    [
-                        pa.array([*at, *before], pa.int32()),
-                        pa.array([ids[k] for k in rows], pa.int64()),
-                        pa.array([True] * len(ids) + [False] * len(extra)),
-                        pa.array([ties[k] for k in rows], pa.int64()),
-                        pa.array([packed[k] for k in rows], pa.binary()),
-                    ],
-                    schema=schema,
-                )
+                columns = [
+                    [*at, *((at[k] - 1) % (last + 1) for k in extra)],
+                    [ids[k] for k in rows],
+                    [True] * len(ids) + [False] * len(extra),
+                    [ties[k] for k in rows],
+                    [raw[k] for k in rows],
+                ]
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
@@ -300,9 +331,8 @@ def _compare(k: int, width: int):
 def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = SHINGLE) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likenesses (see the module's notes)."""
     wide = shuffle_width(docs.sparkSession)
-    bounds = _bounds(docs, id_col, wide)
-    kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = kept.mapInArrow(_deal(bounds), _PACKED)
+    kept = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.shiftright(F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), 11).alias("tie"), F.col(f"`{text_col}`").alias("text"))
+    dealt = kept.mapInArrow(_deal(_bounds(kept, wide)), _PACKED)
     laid = dealt.repartitionById(wide, F.col("bucket")).sortWithinPartitions("bucket", F.desc("own"), F.col("doc_id").asc_nulls_last(), "tie")
     return laid.mapInArrow(
         _compare(k, width),
