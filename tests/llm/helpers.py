@@ -29,9 +29,10 @@ def components(nodes, linked) -> dict:
     return {n: find(n) for n in nodes}
 
 
-def covered(texts: list[bytes], length: int) -> list[list[bool]]:
-    """Bytes under a string of ``length`` bytes that starts twice or more."""
-    seen: dict[bytes, int] = {}
+def covered(texts: list, length: int) -> list[list[bool]]:
+    """Bytes (or words) under a run of ``length`` of them that starts twice or more."""
+    texts = [t if isinstance(t, bytes) else tuple(t) for t in texts]
+    seen: dict = {}
     for t in texts:
         for i in range(len(t) - length + 1):
             seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1

@@ -1,47 +1,49 @@
-"""Removal of repeated byte strings by difference-cover suffix sorting.
+"""Removal of repeated strings by difference-cover suffix sorting.
 
-Every byte that is covered by a string of ``LENGTH`` bytes which also starts
-elsewhere is removed, wherever the other one is; matches stay within documents.
+A text is a sequence of symbols: its bytes, or its words (32-bit hashes; blanks are
+not compared). Every symbol that is covered by a run of a ``Measure``'s length which
+also starts elsewhere is marked, wherever the other one is; matches stay within
+documents. Several measures are taken in one pass.
 
-A suffix array of the whole corpus would move each byte several times through a
+A suffix array of the whole corpus would move each symbol several times through a
 sort, so the suffixes that can matter are dealt out first:
 
-1. Each window of ``LENGTH`` bytes has an anchor: the least hash among the strings
-   of ``GRAM`` bytes that start in its first ``LENGTH - GRAM + 1`` places, leftmost if equal. It
+1. Each window of ``length`` symbols has an anchor: the least hash among the strings
+   of ``gram`` symbols that start in its first ``length - gram + 1`` places, leftmost if equal. It
    depends on the window's content only, so equal windows have equal anchors. The
-   windows of one anchor place are neighbours; with the bytes they cover they form
+   windows of one anchor place are neighbours; with the symbols they cover they form
    a tile. A tile is named by its anchor's hash and its content's.
-2. Tiles are counted. A tile that occurs twice repeats as a whole. An anchor with
-   one tile and one occurrence has nothing to match. What remains are anchors with
-   different tiles: one occurrence of each such tile fetches its bytes.
+2. Anchors are counted. One that occurs once has nothing to match; its tile goes no
+   further. Of the others, a tile that occurs twice repeats as a whole, and where
+   tiles of one anchor differ, one occurrence of each fetches its symbols.
 3. Those tiles, ordered by anchor, form runs of bounded size whose suffixes are
    sorted by the difference-cover method: triples at places not divisible by 3 are
    sorted and named, the names are sorted recursively until all differ, the other
    suffixes follow from them, and both are merged. Windows
-   that repeat are neighbours then, and adjacent prefixes of ``LENGTH`` bytes are
-   compared byte by byte.
+   that repeat are neighbours then, and adjacent prefixes of ``length`` symbols are
+   compared symbol by symbol.
    Anchors with over ``CROWD`` different tiles are not put in one task. Their tiles
-   are cut into parts of ``PART`` window starts, at fixed distances from the anchor.
-   The windows of a part share a core of ``LENGTH - PART + 1`` bytes: parts with a
+   are cut into parts of at most ``PART`` window starts, at fixed distances from the anchor.
+   The windows of a part share a core of ``length - PART + 1`` symbols: parts with a
    core of their own have nothing to match, equal parts repeat, and only of
-   different parts with one core the windows are compared, by hash.
-4. Repeated window starts go back to the tile's occurrences and their documents.
+   different parts with one core the windows are compared, by 128 bits of hashes.
+4. Repeated window starts go back to the tile's texts and their documents.
 
-Copies of a text have equal tiles, so they cost one fetch. Documents are keyed by
-hashes of their text; all copies of one share a result.
+Copies of a text are one text from step 2 on; rows of one text differ by a salt of
+their other columns, so that only some fetch and none crowd one task.
 
-Defined results: a null text counts as empty. Texts of fewer than ``LENGTH`` bytes
-never lose any. Repeated rows repeat each other's strings like any copies. Null
+Defined results: a null text counts as empty. Texts shorter than a measure's length
+never lose any by it. Repeated rows repeat each other's strings like any copies. Null
 ids are rows like others. An empty table gives an empty result. Very long texts
-are whole; memory follows the longest. Names that begin with ``_sa_`` are
-reserved; other columns pass through ``remove`` and are ignored by ``report``.
+are whole; memory follows the longest. Other columns, whatever their names, pass
+through ``remove`` and ``remove_passages`` and are ignored by ``report``.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +52,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, cut_lineage, pieces
+from .common import byte_values, discard, numbered, packed, pieces, renamed, salt, unpacked, written
 
 LENGTH = 400
 GRAM = 100
+WORDS = 51
+WORDS_GRAM = 12
 CROWD = 64
 PART = 16
 RUN_BYTES = 1 << 20
@@ -61,10 +65,97 @@ _PLACE_BITS = 31
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _spans_hash(raw: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of the ``width`` bytes from each place, by doubling."""
-    n = len(raw) - width + 1
-    step, table = 1, (raw.astype(np.uint64) + np.uint64(1)) * _A
+@dataclass(frozen=True)
+class Measure:
+    """What repeats: runs of ``length`` bytes or words, dealt by the least string of ``gram`` of them."""
+
+    unit: str = "bytes"
+    length: int = LENGTH
+    gram: int = GRAM
+
+    @property
+    def least_bytes(self) -> int:
+        """No text of fewer bytes holds a run."""
+        return self.length if self.unit == "bytes" else 2 * self.length - 1
+
+    def symbols(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, np.uint8) if self.unit == "bytes" else word_hashes(raw)
+
+    def loads(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, np.uint8 if self.unit == "bytes" else np.uint32)
+
+    @property
+    def part(self) -> int:
+        """Window starts in a part of a crowded tile."""
+        return min(PART, max(1, self.length // 2))
+
+    @property
+    def lead(self) -> int:
+        """Keeps the anchors of measures apart."""
+        return xxhash.xxh3_64_intdigest(f"{self.unit} {self.length} {self.gram}".encode())
+
+
+BYTES = Measure()
+PASSAGES = Measure("words", WORDS, WORDS_GRAM)
+
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+#: Characters of scripts that are written without blanks are words one by one: first and last code points.
+_ALONE_RANGES = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
+_ALONE = np.zeros(1 << 16, bool)  # by the first two of a character's three bytes
+for _low, _high in _ALONE_RANGES:
+    for _c in range(_low, _high + 1, 64):
+        _raw = chr(_c).encode()
+        _ALONE[_raw[0] << 8 | _raw[1]] = True
+_OCTET = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x5851F42D4C957F2D
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last."""
+    octets = np.frombuffer(raw, np.uint8)
+    solid = ~_BLANK[octets]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    if len(octets) > 2 and octets.max() >= 0xE0:
+        at = np.flatnonzero(_ALONE[octets[:-2].astype(np.int32) << 8 | octets[1:-1]])
+        if len(at):
+            first[at] = last[at + 2] = True
+            before, after = at[at > 0] - 1, at[at + 3 < len(octets)] + 3
+            last[before] = solid[before]
+            first[after] = solid[after]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of ``_BASE`` and of its inverse, as many as asked."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 15), base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 32-bit hash of each word, from differences of one sum over the text."""
+    starts, ends = word_bounds(raw)
+    if not len(starts):
+        return np.empty(0, np.uint32)
+    up, down = _powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_OCTET[np.frombuffer(raw, np.uint8)] * up[: len(raw)], out=total[1:])
+    x = (total[ends] - total[starts]) * down[starts]
+    x = (x ^ (x >> np.uint64(32))) * _B
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(32)).astype(np.uint32)
+
+
+def _spans_hash(symbols: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the ``width`` symbols from each place, by doubling."""
+    n = len(symbols) - width + 1
+    step, table = 1, (symbols.astype(np.uint64) + np.uint64(1)) * _A
     done, out = 0, None
     while True:
         if width & step:
@@ -93,17 +184,17 @@ def _least_place(values: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & low).astype(np.int64)
 
 
-def tiles(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
+def tiles(symbols: np.ndarray, measure: Measure = BYTES) -> list[tuple[int, int, int, int]]:
     """(anchor hash, content hash, first window start, number of starts) of each tile of a text."""
-    if len(raw) < length:
+    if len(symbols) < measure.length:
         return []
-    hashes = _spans_hash(np.frombuffer(raw, np.uint8), gram)
-    places = _least_place(hashes, length - gram + 1)
+    hashes = _spans_hash(symbols, measure.gram)
+    places = _least_place(hashes, measure.length - measure.gram + 1)
     cuts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
     sizes = np.diff(np.append(cuts, len(places)))
-    names = hashes[places[cuts]].view(np.int64).tolist()
-    digest = xxhash.xxh3_64_intdigest
-    return [(name, digest(raw[at : at + n + length - 1]) - (1 << 63), at, n) for name, at, n in zip(names, cuts.tolist(), sizes.tolist())]
+    names = (hashes[places[cuts]] ^ np.uint64(measure.lead)).view(np.int64).tolist()
+    digest, more = xxhash.xxh3_64_intdigest, measure.length - 1
+    return [(name, digest(symbols[at : at + n + more]) - (1 << 63), at, n) for name, at, n in zip(names, cuts.tolist(), sizes.tolist())]
 
 
 def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -155,12 +246,13 @@ def difference_cover_order(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text, which of its windows of ``length`` bytes start again elsewhere in any of the texts."""
-    buffer = np.frombuffer(b"".join(texts), np.uint8)
+def repeated_starts(texts: list[np.ndarray], length: int = LENGTH) -> list[np.ndarray]:
+    """For each sequence of symbols, which of its windows of ``length`` start again elsewhere in any of them."""
+    buffer = np.concatenate(texts)
+    ranks = buffer.astype(np.int64) if buffer.dtype == np.uint8 else np.unique(buffer, return_inverse=True)[1].astype(np.int64)
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
-    order = difference_cover_order(buffer.astype(np.int64) + 1)
+    order = difference_cover_order(ranks + 1)
     room = np.repeat(ends, sizes) - np.arange(len(buffer))
     order = order[room[order] >= length]
     again = np.zeros(len(buffer), bool)
@@ -182,84 +274,102 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist()))
 
 
-_TILE = pa.schema([("_sa_k1", pa.int64()), ("_sa_k2", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.int32())])
-_TILE_DDL = "_sa_k1 bigint, _sa_k2 bigint, anchor bigint, content bigint, at array<int>, n int"
+def _rows(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*columns), schema)], schema=schema)
+
+
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {"int64": "bigint", "int32": "int", "binary": "binary", "bool": "boolean", "list<item: int32>": "array<int>"}
+    return ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in schema)
 
 
 def _keyed(raw: bytes) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh64_intdigest(raw, 7) - (1 << 63)
 
 
-def _find_tiles(length: int, gram: int):
+_KEY = [("k1", pa.int64()), ("k2", pa.int64())]
+_TILE = pa.schema([*_KEY, ("salt", pa.int32()), ("kind", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.int32())])
+
+
+def _find_tiles(measures: tuple[Measure, ...]):
+    """(text, salt) to the tiles of each measure; ``kind`` is its place among them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 4 << 20):
+            for batch in pieces(whole, 2 << 20):
                 rows = []
-                for raw in byte_values(batch.column(0)):
-                    if len(raw) >= length:
-                        key = _keyed(raw)
+                for raw, own in zip(byte_values(batch.column(0)), batch.column(1).to_pylist()):
+                    key = _keyed(raw)
+                    for kind, measure in enumerate(measures):
                         same: dict[tuple[int, int, int], list[int]] = {}  # a text's equal tiles make one row
-                        for anchor, content, at, n in tiles(raw, length, gram):
+                        for anchor, content, at, n in tiles(measure.symbols(raw), measure):
                             same.setdefault((anchor, content, n), []).append(at)
-                        rows += [(*key, anchor, content, ats, n) for (anchor, content, n), ats in same.items()]
+                        rows += [(*key, own, kind, anchor, content, ats, n) for (anchor, content, n), ats in same.items()]
                 if rows:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _TILE)], schema=_TILE)
+                    yield _rows(rows, _TILE)
 
     return run
 
 
-def _with_key(length: int, names: list[str]):
-    """Adds a text's key as ``_sa_k1`` and ``_sa_k2`` (null: too short to have tiles)."""
+_PACKED = pa.schema([*_KEY, ("salt", pa.int32()), ("packed", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
-        for whole in batches:
-            for batch in pieces(whole):
-                keys = [_keyed(t) if len(t) >= length else (None, None) for t in byte_values(batch.column(at))]
-                yield pa.record_batch([*batch.columns, *(pa.array(k, pa.int64()) for k in zip(*keys))], names=[*names, "_sa_k1", "_sa_k2"])
 
-    return run
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, salt) to the text's key, the salt and the packed text."""
+    for whole in batches:
+        for batch in pieces(whole, 4 << 20):
+            texts = byte_values(batch.column(0))
+            keys = [pa.array(k, pa.int64()) for k in zip(*map(_keyed, texts))]
+            yield pa.record_batch([*keys, batch.column(1), packed(texts)], schema=_PACKED)
 
 
-def _cut_out(length: int):
-    """Rows of text and wanted tiles to one row a tile with its bytes."""
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("crowded", pa.bool_()), ("tile", pa.binary())])
+_CUT = pa.schema([("kind", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("crowded", pa.bool_()), ("tile", pa.binary())])
+
+
+def _cut_out(measures: tuple[Measure, ...]):
+    """Packed texts and wanted tiles to one row a tile with its symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 2 << 20):
+            for batch in pieces(whole, 1 << 20, "packed"):
                 rows = []
-                for raw, wanted in zip(byte_values(batch.column(0)), batch.column(1).to_pylist()):
-                    rows += [(w["anchor"], w["content"], w["crowded"], raw[w["at"] : w["at"] + w["n"] + length - 1]) for w in wanted]
+                for raw, wanted in zip(unpacked(batch.column(0)), batch.column(1).to_pylist()):
+                    symbols: dict[int, np.ndarray] = {}
+                    for w in wanted:
+                        measure = measures[w["kind"]]
+                        if w["kind"] not in symbols:
+                            symbols[w["kind"]] = measure.symbols(raw)
+                        tile = symbols[w["kind"]][w["at"] : w["at"] + w["n"] + measure.length - 1]
+                        rows.append((w["kind"], w["anchor"], w["content"], w["crowded"], tile.tobytes()))
                 if rows:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    yield _rows(rows, _CUT)
 
     return run
 
 
 _FOUND = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("number", pa.int32())])
-_FOUND_DDL = "anchor bigint, content bigint, start int, number int"
 
 
-def _sort_runs(length: int, run_bytes: int):
-    """Tiles ordered by anchor to (anchor, content, start, number): runs of repeated windows of the tile."""
+def _sort_runs(measures: tuple[Measure, ...], run_bytes: int):
+    """Tiles ordered by kind and anchor to (anchor, content, start, number): runs of repeated windows of the tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
-        size = 0
+        size, kind = 0, 0
 
-        def emit():
-            rows = []
-            for (anchor, content, _), flags in zip(held, repeated_starts([t for _, _, t in held], length)):
+        def emit() -> Iterator[pa.RecordBatch]:
+            measure, rows = measures[kind], []
+            for (anchor, content, _), flags in zip(held, repeated_starts([measure.loads(t) for _, _, t in held], measure.length)):
                 rows += [(anchor, content, *r) for r in _runs(flags)]
             if rows:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
+                yield _rows(rows, _FOUND)
 
         for batch in batches:
-            for anchor, content, tile in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if size >= run_bytes and held[-1][0] != anchor:
+            for own, anchor, content, tile in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if held and (own != kind or size >= run_bytes and held[-1][0] != anchor):
                     yield from emit()
                     held, size = [], 0
+                kind = own
                 held.append((anchor, content, tile))
                 size += len(tile)
         if held:
@@ -268,247 +378,237 @@ def _sort_runs(length: int, run_bytes: int):
     return run
 
 
-def _wide(raw: bytes, seed: int) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(raw, seed)
+def _wide(symbols: np.ndarray, seed: int) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(symbols, seed)
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _cut_parts(length: int, gram: int):
-    """Crowded tiles to one row a part: the hashes of its core and of all of it, its tile, first start, number of starts and bytes."""
-    schema = pa.schema([(n, pa.int64()) for n in ("h1", "h2", "part", "anchor", "content")] + [("start", pa.int32()), ("number", pa.int32()), ("raw", pa.binary())])
+_PART_ROW = pa.schema([*((n, pa.int64()) for n in ("h1", "h2", "part")), ("kind", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("number", pa.int32()), ("raw", pa.binary())])
+
+
+def _cut_parts(measures: tuple[Measure, ...]):
+    """Crowded tiles to one row a part: the hashes of its core and of all of it, its tile, first start, number of starts and symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for anchor, content, tile in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                n = len(tile) - length + 1
-                place = int(_least_place(_spans_hash(np.frombuffer(tile, np.uint8), gram), length - gram + 1)[0])
-                # distance of a start to the anchor, cut at multiples of PART
-                for q in range(max(0, place - n + 1) // PART, place // PART + 1):
-                    last = min(n - 1, place - q * PART)
-                    first = max(0, place - q * PART - PART + 1)
+            for kind, anchor, content, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                measure = measures[kind]
+                tile, length = measure.loads(raw), measure.length
+                n, step = len(tile) - length + 1, measure.part
+                place = int(_least_place(_spans_hash(tile, measure.gram), length - measure.gram + 1)[0])
+                # distance of a start to the anchor, cut at multiples of the parts' size
+                for q in range(max(0, place - n + 1) // step, place // step + 1):
+                    last = min(n - 1, place - q * step)
+                    first = max(0, place - q * step - step + 1)
                     if last < first:
                         continue
-                    core = tile[place - q * PART : place - q * PART - PART + 1 + length]
-                    raw = tile[first : last + length]
-                    rows.append((*_wide(core, q), _wide(raw, q)[0], anchor, content, first, last - first + 1, raw))
+                    core = tile[place - q * step : place - q * step - step + 1 + length]
+                    own = tile[first : last + length]
+                    rows.append((*_wide(core, q * len(measures) + kind), _wide(own, q * len(measures) + kind)[0], kind, anchor, content, first, last - first + 1, own.tobytes()))
             if rows:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield _rows(rows, _PART_ROW)
 
     return run
 
 
-_PART_DDL = "h1 bigint, h2 bigint, part bigint, anchor bigint, content bigint, start int, number int, raw binary"
+_WINDOW = pa.schema([*((n, pa.int64()) for n in ("w1", "w2", "h1", "h2", "part")), ("within", pa.int32())])
 
 
-def _spread(length: int):
-    """Parts (h1, h2, part, raw) to one row a window: its two hashes, its part, and where it starts there."""
-    schema = pa.schema([(n, pa.int64()) for n in ("w1", "w2", "h1", "h2", "part")] + [("within", pa.int32())])
+def _spread(measures: tuple[Measure, ...]):
+    """Parts (h1, h2, part, kind, raw) to one row a window: its two hashes, its part, and where it starts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in schema]
-            for h1, h2, part, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                octets = np.frombuffer(raw, np.uint8)
-                one = _spans_hash(octets, length).view(np.int64)
-                two = _spans_hash(octets[::-1] ^ np.uint8(0x5A), length)[::-1].view(np.int64)
+            columns: list[list[np.ndarray]] = [[] for _ in _WINDOW]
+            for h1, h2, part, kind, raw in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                measure = measures[kind]
+                symbols = measure.loads(raw)
+                one = _spans_hash(symbols, measure.length).view(np.int64) ^ np.int64(kind)
+                two = _spans_hash(symbols[::-1] ^ symbols.dtype.type(0x5A), measure.length)[::-1].view(np.int64)
                 n = len(one)
                 for held, made in zip(columns, (one, two, np.full(n, h1), np.full(n, h2), np.full(n, part), np.arange(n, dtype=np.int32))):
                     held.append(made)
             if columns[0]:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], schema=schema)
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], schema=_WINDOW)
 
     return run
 
 
-def _crowded_runs(tiles_: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, content, start, number) of the repeated windows of crowded tiles."""
-    parts = cut_lineage(tiles_.mapInArrow(_cut_parts(length, gram), _PART_DDL))
+def _crowded_runs(crowded: DataFrame, measures: tuple[Measure, ...]) -> DataFrame:
+    """(anchor, content, start, number) of the repeated windows of crowded tiles (kind, anchor, content, tile)."""
+    parts = written(crowded.mapInArrow(_cut_parts(measures), _ddl(_PART_ROW)))
     key = ["h1", "h2", "part"]
-    kinds = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("times"), F.first("number").alias("number"), F.first("raw").alias("raw"))
-    kinds = cut_lineage(kinds)
+    kinds = written(parts.groupBy(*key, "kind", "number", "raw").agg(F.count(F.lit(1)).alias("times")))
     cores = kinds.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h1", "h2")
-    windows = kinds.join(cores, ["h1", "h2"]).select(*key, "raw").mapInArrow(_spread(length), "w1 bigint, w2 bigint, h1 bigint, h2 bigint, part bigint, within int")
+    windows = written(kinds.join(cores, ["h1", "h2"]).select(*key, "kind", "raw").mapInArrow(_spread(measures), _ddl(_WINDOW)))
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("w1", "w2")
     some = windows.join(twice, ["w1", "w2"]).select(*key, "within", F.lit(1).alias("number"))
     whole = kinds.filter("times > 1").select(*key, F.lit(0).alias("within"), "number")
-    runs = cut_lineage(some.unionAll(whole).groupBy(*key).agg(F.collect_set(F.struct("within", "number")).alias("runs")))
+    runs = written(some.unionAll(whole).groupBy(*key).agg(F.collect_set(F.struct("within", "number")).alias("runs")))
+    discard(kinds, windows)
     hit = parts.select(*key, "anchor", "content", "start").join(runs, key)
     return hit.select("anchor", "content", "start", F.inline("runs")).select("anchor", "content", (F.col("start") + F.col("within")).alias("start"), "number")
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """(_sa_k1, _sa_k2, spans): for each text with repeated strings, its key and the (start, number) of repeated window starts."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    places = cut_lineage(texts.mapInArrow(_find_tiles(length, gram), _TILE_DDL))
-    one = F.min(F.struct("_sa_k1", "_sa_k2", F.get("at", F.lit(0)).alias("at"), "n"))
-    named = places.groupBy("anchor", "content").agg(F.sum(F.size("at")).alias("times"), one.alias("one"))
-    per_anchor = named.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all"))
-    named = cut_lineage(named.join(per_anchor.filter("all > 1"), "anchor"))
-
-    wanted = named.filter("kinds > 1").select("one.*", "anchor", "content", (F.col("kinds") > crowd).alias("crowded"))
-    asked = wanted.groupBy("_sa_k1", "_sa_k2").agg(F.collect_list(F.struct("anchor", "content", "crowded", "at", "n")).alias("wanted"))
-    keyed = texts.filter(F.octet_length("text") >= length).mapInArrow(_with_key(length, ["text"]), T.StructType([texts.schema["text"], *(T.StructField(k, T.LongType()) for k in ("_sa_k1", "_sa_k2"))]))
-    # one copy of a text answers for all: its key is in ``asked`` once, and equal answers are dropped
-    cut = keyed.join(asked, ["_sa_k1", "_sa_k2"]).select("text", "wanted").mapInArrow(_cut_out(length), "anchor bigint, content bigint, crowded boolean, tile binary")
-    cut = cut_lineage(cut.dropDuplicates(["anchor", "content"]))
-
-    light = cut.filter("not crowded").select("anchor", "content", "tile").repartition("anchor").sortWithinPartitions("anchor", "content")
-    found = light.mapInArrow(_sort_runs(length, run_bytes), _FOUND_DDL)
-    crowded = _crowded_runs(cut.filter("crowded").select("anchor", "content", "tile"), length, gram)
-    whole = named.filter("times > 1").select("anchor", "content", F.lit(0).alias("start"), F.col("one.n").alias("number"))
-    found = cut_lineage(found.unionAll(crowded).unionAll(whole))
-    # written, so that the join below has a plain exchange on each side and a frequent tile can be split
-    per_tile = cut_lineage(found.groupBy("anchor", "content").agg(F.collect_set(F.struct("start", "number")).alias("runs")))
-    moved = F.transform("at", lambda a: F.transform("runs", lambda r: F.struct((r["start"] + a).alias("start"), r["number"].alias("number"))))
-    back = places.join(per_tile, ["anchor", "content"]).select("_sa_k1", "_sa_k2", F.flatten(moved).alias("runs"))
-    return back.distinct().groupBy("_sa_k1", "_sa_k2").agg(F.flatten(F.collect_list("runs")).alias("spans"))
-
-
-def covered(size: int, spans: list, length: int = LENGTH) -> np.ndarray:
-    """Which bytes of a text of ``size`` bytes are covered by its repeated windows."""
-    edge = np.zeros(size + 1, np.int64)
-    for r in spans or ():
-        edge[r["start"]] += 1
-        edge[r["start"] + r["number"] - 1 + length] -= 1
-    return np.cumsum(edge)[:size] > 0
-
-
-def _joined(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
-    """``docs`` (with ``text``) with its spans; texts too short for any are not exchanged."""
-    names = docs.columns
-    longer = F.coalesce(F.octet_length("text") >= length, F.lit(False))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_sa_k1", T.LongType()), T.StructField("_sa_k2", T.LongType())])
-    keyed = docs.filter(longer).mapInArrow(_with_key(length, names), schema)
-    joined = keyed.join(spans, ["_sa_k1", "_sa_k2"], "left").select(*[F.col(f"`{c}`") for c in names], F.col("spans").alias("_sa_spans"))
-    none = F.lit(None).cast("array<struct<start:int,number:int>>").alias("_sa_spans")
-    return joined.unionAll(docs.filter(~longer).select("*", none))
-
-
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
-    spans = repeated_spans(docs, text_col, length, **options)
-    rows = _joined(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), spans, length)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-
-    def row(raw: bytes, spans: list | None) -> tuple:
-        if not spans:
-            return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
-        gone = covered(len(raw), spans, length)
-        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        return len(raw), int(gone.sum()), len(_runs(gone)), hashlib.sha256(kept).hexdigest()
+def repeated_spans(docs: DataFrame, measures: tuple[Measure, ...], text_col: str = "text", crowd: int = CROWD, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """(k1, k2, spans0, spans1, ...): a text's key and, for each measure, the (start, number) of its repeated windows."""
+    least = min(m.least_bytes for m in measures)
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"), salt(docs, text_col).alias("salt")).filter(F.octet_length("text") >= least)
+    places = written(texts.mapInArrow(_find_tiles(measures), _ddl(_TILE)))
+    shared = written(places.groupBy("anchor").agg(F.sum(F.size("at")).alias("all")).filter("all > 1").select("anchor"))
+    # both sides of this and the following joins are read from files, so that a frequent key can be split
+    named = ["k1", "k2", "kind", "anchor", "content", "at", "n"]
+    once = written(places.join(shared, "anchor").groupBy(*named).agg(F.count(F.lit(1)).alias("copies"), F.min("salt").alias("salt")))
+    discard(places, shared)
+
+    one = F.min(F.struct("k1", "k2", "salt", F.get("at", F.lit(0)).alias("at"), "n"))
+    found = written(once.groupBy("kind", "anchor", "content").agg(F.sum(F.size("at") * F.col("copies")).alias("times"), one.alias("one")))
+    per_anchor = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+    wanted = found.join(per_anchor, "anchor").select("one.*", "kind", "anchor", "content", (F.col("kinds") > crowd).alias("crowded"))
+    asked = written(wanted.groupBy("k1", "k2", "salt").agg(F.collect_list(F.struct("kind", "anchor", "content", "crowded", "at", "n")).alias("wanted")))
+    fetched = texts.mapInArrow(_pack, _ddl(_PACKED)).join(asked, ["k1", "k2", "salt"]).select("packed", "wanted").mapInArrow(_cut_out(measures), _ddl(_CUT))
+    cut = written(fetched.dropDuplicates(["anchor", "content"]))
+    discard(per_anchor, asked)
+
+    light = cut.filter("not crowded").select("kind", "anchor", "content", "tile").repartition("anchor").sortWithinPartitions("kind", "anchor", "content")
+    sorted_ = light.mapInArrow(_sort_runs(measures, run_bytes), _ddl(_FOUND))
+    crowded = _crowded_runs(cut.filter("crowded").select("kind", "anchor", "content", "tile"), measures)
+    whole = found.filter("times > 1").select("anchor", "content", F.lit(0).alias("start"), F.col("one.n").alias("number"))
+    per_tile = written(sorted_.unionAll(crowded).unionAll(whole).groupBy("anchor", "content").agg(F.collect_set(F.struct("start", "number")).alias("runs")))
+    discard(cut, found)
+    moved = F.flatten(F.transform("at", lambda a: F.transform("runs", lambda r: F.struct((r["start"] + a).alias("start"), r["number"].alias("number")))))
+    back = once.join(per_tile, ["anchor", "content"]).select("k1", "k2", "kind", moved.alias("runs"))
+    each = [F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col("runs")))).alias(f"spans{k}") for k in range(len(measures))]
+    spans = written(back.groupBy("k1", "k2").agg(*each))
+    discard(once, per_tile)
+    return spans
+
+
+def _lists(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Starts and numbers of each row's spans."""
+    flat = column.flatten()
+    start, number = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return [(start[a:b], number[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def covered(size: int, spans: tuple[np.ndarray, np.ndarray], length: int) -> np.ndarray:
+    """Which of a text's symbols are covered by its repeated windows."""
+    start, number = spans
+    edge = np.bincount(start, minlength=size + 1) - np.bincount(start + number - 1 + length, minlength=size + 1)
+    return np.cumsum(edge[:size]) > 0
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame, text_at: int, measures: tuple[Measure, ...]) -> DataFrame:
+    """``docs`` (columns c0, c1, ...) with its text packed and its spans; texts too short for any are not exchanged."""
+    least = min(m.least_bytes for m in measures)
+    text = f"c{text_at}"
+    others = [c for c in docs.columns if c != text]
+    kinds = {f.name: f for f in docs.schema.fields}
+    schema = T.StructType([*(kinds[c] for c in others), T.StructField("packed", T.BinaryType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole):
-                columns = zip(*(row(t, s) for t, s in zip(byte_values(batch.column(1)), batch.column(2).to_pylist())))
-                yield pa.record_batch([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+            for batch in pieces(whole, 4 << 20, text):
+                column = batch.column(batch.num_columns - 1)
+                null = column.is_null().to_pylist()
+                texts = byte_values(column)
+                keys = [_keyed(t) if len(t) >= least else (None, None) for t in texts]
+                raw = packed(None if n else t for n, t in zip(null, texts))
+                yield pa.record_batch([*batch.columns[:-1], raw, *(pa.array(k, pa.int64()) for k in zip(*keys))], names=[f.name for f in schema])
 
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    rows = docs.select(*others, text).mapInArrow(run, schema)
+    wide = [f.name for f in spans.schema.fields if f.name not in ("k1", "k2")]
+    longer = rows.filter("k1 is not null").join(spans, ["k1", "k2"], "left").select(*others, "packed", *wide)
+    none = [F.lit(None).cast(spans.schema[w].dataType).alias(w) for w in wide]
+    return longer.unionAll(rows.filter("k1 is null").select(*others, "packed", *none))
 
 
-def remove(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """``docs`` with its repeated strings taken out of ``text``; what is left of a character cut in two goes too.
+_REPORT = pa.schema(
+    [("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string()), *((n, pa.int64()) for n in ("n_repeated_words", "n_passages"))]
+)
 
-    Rows whose whole text repeats are kept with an empty text.
-    """
-    spans = repeated_spans(docs, "text", length, **options)
-    rows = _joined(docs, spans, length)
-    names = docs.columns
-    at = names.index("text")
 
-    def cut(raw: bytes | None, spans: list | None) -> str | None:
-        if raw is None or not spans:
-            return None if raw is None else raw.decode("utf-8", "ignore")
-        kept = np.frombuffer(raw, np.uint8)[~covered(len(raw), spans, length)].tobytes()
-        return kept.decode("utf-8", "ignore")
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measure: Measure = BYTES, passages: Measure = PASSAGES, **options) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256 by ``measure``; n_repeated_words and n_passages by ``passages``.
+
+    The last two count the words in runs of words that start elsewhere too, and
+    their maximal runs; a run of over 50 words is often shorter than 400 bytes.
+    """
+    measures = (measure, passages)
+    narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("c0"), F.col(f"`{text_col}`").alias("c1"))
+    rows = _with_spans(narrow, repeated_spans(narrow, measures, "c1", **options), 1, measures)
+
+    def row(raw: bytes, own: tuple, words: tuple) -> tuple:
+        n = s = w = p = 0
+        kept = raw
+        if len(own[0]):
+            gone = covered(len(raw), own, measure.length)
+            n, s = int(gone.sum()), len(_runs(gone))
+            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        if len(words[0]):
+            gone = covered(int((words[0] + words[1]).max()) - 1 + passages.length, words, passages.length)
+            w, p = int(gone.sum()), len(_runs(gone))
+        return len(raw), n, s, hashlib.sha256(kept).hexdigest(), w, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole):
-                raw = batch.column(at).cast(pa.binary()).to_pylist()
-                texts = pa.array([cut(t, s) for t, s in zip(raw, batch.column(len(names)).to_pylist())], pa.string())
-                columns = list(batch.columns[:-1])
-                columns[at] = texts
-                yield pa.record_batch(columns, names=names)
+            for batch in pieces(whole, 2 << 20, "packed"):
+                texts = [t or b"" for t in unpacked(batch.column(1))]
+                made = [row(*x) for x in zip(texts, _lists(batch.column(2)), _lists(batch.column(3)))]
+                yield pa.record_batch([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*made), list(_REPORT)[1:]))], schema=_REPORT)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_repeated_words bigint, n_passages bigint")
 
 
-WORDS = 51
-_SYMBOL = 4
-#: A word is a run without blanks; characters of scripts that are written without blanks count one by one.
-_WORD = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|[^ \t\n\r\x0b\x0c\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+")
+def _without_bytes(raw: bytes, spans: tuple, measure: Measure) -> bytes:
+    return np.frombuffer(raw, np.uint8)[~covered(len(raw), spans, measure.length)].tobytes()
 
 
-def word_symbols(text: str) -> bytes:
-    """A 32-bit hash of each word, one after the other."""
-    digest = xxhash.xxh32_intdigest
-    return np.array([digest(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall(text)], "<u4").tobytes()
+def _without_words(raw: bytes, spans: tuple, measure: Measure) -> bytes:
+    """The text without the words that repeat and the blanks within each run; empty if only blanks are left."""
+    starts, ends = word_bounds(raw)
+    out, at = [], 0
+    for first, number in _runs(covered(len(starts), spans, measure.length)):
+        out.append(raw[at : starts[first]])
+        at = int(ends[first + number - 1])
+    left = b"".join([*out, raw[at:]])
+    return left if left.strip(b" \t\n\r\x0b\x0c") else b""
 
 
-def without_words(text: str, gone: np.ndarray) -> str:
-    """``text`` without the words that are marked, and without the blanks before each but the first of a run."""
-    out, at = [], 0
-    spans = [m.span() for m in _WORD.finditer(text)]
-    for start, number in _runs(gone):
-        out.append(text[at : spans[start][0]])
-        at = spans[start + number - 1][1]
-    return "".join([*out, text[at:]])
+def _taken_out(docs: DataFrame, measure: Measure, text_col: str, **options) -> DataFrame:
+    names = docs.columns
+    at = names.index(text_col)
+    held = numbered(docs)
+    rows = _with_spans(held, repeated_spans(held, (measure,), f"c{at}", **options), at, (measure,))
+    without = _without_bytes if measure.unit == "bytes" else _without_words
+    others = [c for c in held.columns if c != f"c{at}"]
+    schema = T.StructType([*(held.schema[c] for c in others), T.StructField(f"c{at}", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 2 << 20, "packed"):
+                texts = unpacked(batch.column(len(others)))
+                cut = [without(t, s, measure) if t and len(s[0]) else t for t, s in zip(texts, _lists(batch.column(len(others) + 1)))]
+                made = pa.array([None if t is None else t.decode("utf-8", "ignore") for t in cut], pa.string())
+                yield pa.record_batch([*batch.columns[: len(others)], made], names=[f.name for f in schema])
 
+    return rows.mapInArrow(run, schema).select(*renamed(held, names))
 
-def whole_words(size: int, spans: list, words: int = WORDS) -> np.ndarray:
-    """Which words are covered by a repeated run of at least ``words``; ``spans`` are of the symbols' bytes.
 
-    A window of bytes that starts within a word covers one word less, so runs that are shorter are dropped.
-    """
-    edge = np.zeros(size + 1, np.int64)
-    for r in spans or ():
-        first = -(-r["start"] // _SYMBOL)
-        last = (r["start"] + r["number"] - 1) // _SYMBOL
-        if last >= first:
-            edge[first] += 1
-            edge[last + words] -= 1
-    return np.cumsum(edge)[:size] > 0
-
-
-def remove_passages(docs: DataFrame, words: int = WORDS, **options) -> DataFrame:
-    """``docs`` with every run of ``words`` words that starts elsewhere too taken out of ``text``.
-
-    The texts' words become symbols of four bytes, on which ``repeated_spans`` finds what
-    repeats. Blanks between words are not compared. Rows of which nothing but blanks
-    is left have an empty text.
+def remove(docs: DataFrame, length: int = LENGTH, gram: int | None = None, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with its repeated strings of ``length`` bytes taken out of its text; what is left of a character cut in two goes too.
+
+    Rows whose whole text repeats are kept with an empty text.
     """
-    length = words * _SYMBOL
-    options.setdefault("gram", length // 4)
-    names = docs.columns
-    at = names.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_sa_symbols", T.BinaryType())])
+    return _taken_out(docs, Measure("bytes", length, gram or length // 4), text_col, **options)
 
-    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole):
-                made = pa.array([word_symbols(t.decode("utf-8", "surrogatepass")) for t in byte_values(batch.column(at))], pa.binary())
-                yield pa.record_batch([*batch.columns, made], names=[*names, "_sa_symbols"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole):
-                texts = []
-                for text, spans, size in zip(*(batch.column(k).to_pylist() for k in (at, len(names), len(names) + 1))):
-                    if text and spans:
-                        gone = whole_words(size // _SYMBOL, spans, words)
-                        if gone.any():
-                            text = without_words(text, gone)
-                            text = text if text.strip() else ""
-                    texts.append(text)
-                columns = list(batch.columns[:-2])
-                columns[at] = pa.array(texts, pa.string())
-                yield pa.record_batch(columns, names=names)
-
-    marked = docs.mapInArrow(symbols, schema)
-    spans = repeated_spans(marked, "_sa_symbols", length, **options)
-    renamed = marked.withColumnRenamed("text", "_sa_text").withColumnRenamed("_sa_symbols", "text")
-    rows = _joined(renamed, spans, length)
-    rows = rows.select(*[F.col("_sa_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], "_sa_spans", F.octet_length("text").alias("_sa_size"))
-    return rows.mapInArrow(cut, docs.schema)
+def remove_passages(docs: DataFrame, words: int = WORDS, gram: int | None = None, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with every run of ``words`` words that starts elsewhere too taken out of its text.
+
+    Blanks between words are not compared. Rows of which nothing but blanks is left
+    have an empty text.
+    """
+    return _taken_out(docs, Measure("words", words, gram or max(1, words // 4)), text_col, **options)
