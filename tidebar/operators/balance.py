@@ -106,3 +106,88 @@ def mean_overlap(starts: DataFrame, length: int, step: int) -> DataFrame:
 def shuffled(rows: DataFrame, seed: int) -> DataFrame:
     """Adds ``order``, a keyed digest: sorting by it is the same shuffle on every run."""
     return rows.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("symbol"), F.col("seq").cast("string")).cast("binary")))
+
+
+def global_balance(targets: DataFrame) -> DataFrame:
+    """As many rows of every class of every target as the rarest of them all has, the strongest first."""
+    rows = targets.filter("class is not null")
+    least = rows.groupBy("target", "class").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
+    order = Window.partitionBy("target", "class").orderBy(F.desc("strength"), "symbol", "seq")
+    return rows.withColumn("_r", F.row_number().over(order)).join(F.broadcast(least), F.col("_r") <= F.col("least")).drop("_r", "least")
+
+
+def exact_split(labelled: DataFrame, val: int, test: int, train: int) -> DataFrame:
+    """Adds ``split``: of each class exactly so many rows, validation and then test at even strides, the first of the rest for training.
+
+    Rows beyond are left out. A class with fewer rows than all three ask for is an error.
+    """
+    own = Window.partitionBy("class").orderBy("symbol", "seq")
+    rows = labelled.filter("class is not null")
+    stride = lambda r, n, k: F.ceil((r + 1) * k / n) > F.ceil(r * k / n)
+    n = F.count(F.lit(1)).over(Window.partitionBy("class"))
+    short = F.raise_error(F.concat(F.lit("too few rows of class "), F.col("class").cast("string")))
+    rows = rows.withColumns({"_n": n, "_r": F.row_number().over(own) - 1})
+    rows = rows.withColumn("_n", F.when(F.col("_n") >= val + test + train, F.col("_n")).otherwise(short.cast("bigint")))
+    rows = rows.withColumn("_v", stride(F.col("_r"), F.col("_n"), val))
+    rest = Window.partitionBy("class", "_v").orderBy("symbol", "seq")
+    rows = rows.withColumn("_r", F.row_number().over(rest) - 1)
+    rows = rows.withColumn("_t", ~F.col("_v") & stride(F.col("_r"), F.col("_n") - val, test))
+    left = Window.partitionBy("class", "_v", "_t").orderBy("symbol", "seq")
+    rows = rows.withColumn("_r", F.row_number().over(left))
+    split = F.when(F.col("_v"), "val").when(F.col("_t"), "test").when(F.col("_r") <= train, "train")
+    return rows.withColumn("split", split).filter("split is not null").drop("_n", "_r", "_v", "_t")
+
+
+def diverse(labelled: DataFrame, count: int, gap: int = 0) -> DataFrame:
+    """At most ``count`` rows of each class: the strongest of equal spans of the class's starts first, then by strength.
+
+    There are ``count`` / 10 spans, 3 to 10. A span's strongest row that starts less than
+    ``gap`` bars after that of the span before it has no precedence.
+    """
+    buckets = min(max(count // 10, 3), 10)
+    own = Window.partitionBy("class")
+    low, high = F.min("seq").over(own), F.max("seq").over(own)
+    rows = labelled.filter("class is not null")
+    rows = rows.withColumn("_b", F.least(F.floor(F.try_divide((F.col("seq") - low) * float(buckets), high - low + 1)), F.lit(buckets - 1)).cast("int"))
+    strongest = F.row_number().over(Window.partitionBy("class", "_b").orderBy(F.desc("strength"), "symbol", "seq")) == 1
+    rows = rows.withColumn("_first", strongest)
+    before = F.lag("seq").over(Window.partitionBy("class", "_first").orderBy("_b"))
+    rows = rows.withColumn("_first", F.col("_first") & F.coalesce(F.col("seq") - before >= gap, F.lit(True)))
+    order = Window.partitionBy("class").orderBy(F.desc("_first"), F.desc("strength"), "symbol", "seq")
+    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= count).drop("_b", "_first", "_r")
+
+
+def even_sample(rows: DataFrame, count: int) -> DataFrame:
+    """``count`` rows of each symbol at an even stride in time, all where there are fewer."""
+    own = Window.partitionBy("symbol")
+    r, n = F.row_number().over(own.orderBy("seq")) - 1, F.count(F.lit(1)).over(own)
+    kept = rows.withColumns({"_r": r, "_n": n})
+    taken = F.ceil((F.col("_r") + 1) * count / F.col("_n")) > F.ceil(F.col("_r") * count / F.col("_n"))
+    return kept.filter((F.col("_n") <= count) | taken).drop("_r", "_n")
+
+
+def selected(targets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The targets of chosen sequences (symbol, seq)."""
+    return targets.join(chosen.select("symbol", "seq").distinct(), ["symbol", "seq"], "left_semi")
+
+
+def extracted(targets: DataFrame, names: list[tuple[str, int]]) -> DataFrame:
+    """One row a sequence with a class column ``{target}_{horizon}`` for each named target; sequences that lack any are left out."""
+    made = [F.max(F.when((F.col("target") == t) & (F.col("horizon") == h), F.col("class"))).alias(f"{t}_{h}") for t, h in names]
+    return targets.groupBy("symbol", "seq").agg(*made).na.drop()
+
+
+def with_targets(tensors: DataFrame, targets: DataFrame) -> DataFrame:
+    """Sequences with all of their targets as a map from name to class."""
+    own = targets.filter("class is not null").groupBy("symbol", "seq").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", "class")))).alias("targets"))
+    return tensors.join(own, ["symbol", "seq"])
+
+
+def window_plan(rows: int, least: int = 1000, most: int = 6) -> int:
+    """How many expanding training windows suit so many rows: of 2 to ``most`` with at least ``least`` rows each, the best by size and number.
+
+    Each candidate is scored by 0.6 of the share of the rows that its first window
+    holds and 0.4 of its number over the most.
+    """
+    fitting = range(2, max(2, min(most, rows // least)) + 1)
+    return max(fitting, key=lambda k: (0.6 / k + 0.4 * k / most, -k))

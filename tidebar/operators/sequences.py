@@ -55,12 +55,15 @@ def starts(bars: DataFrame, length: int, step: int, horizon: int) -> DataFrame:
     return b.filter((F.col("i") % step == 0) & (F.col("i") + length + horizon <= F.col("n_bars"))).select("symbol", F.col("i").alias("seq"))
 
 
-def members(bars: DataFrame, length: int, step: int, horizon: int) -> DataFrame:
-    """A row for each bar of each sequence (``part`` s, place ``k`` from 0) and of its horizon (``part`` h)."""
+def members(bars: DataFrame, length: int, step: int, horizon: int, reach: int | None = None) -> DataFrame:
+    """A row for each bar of each sequence (``part`` s, place ``k`` from 0) and of its horizon (``part`` h).
+
+    Sequences leave room for ``reach`` bars, the longest of several horizons.
+    """
     b = indexed(bars)
     span = length + horizon
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - span + 1) / step)).cast("int")
-    last = F.floor(F.least(F.col("i"), F.col("n_bars") - span) / step).cast("int")
+    last = F.floor(F.least(F.col("i"), F.col("n_bars") - length - (reach or horizon)) / step).cast("int")
     held = b.filter(last >= first).withColumn("_s", F.explode(F.sequence(first, last)))
     held = held.withColumn("seq", F.col("_s").cast("bigint") * step).withColumn("_k", F.col("i") - F.col("seq"))
     inside = F.col("_k") < length
@@ -95,9 +98,9 @@ def last_sequence(bars: DataFrame, length: int) -> DataFrame:
     return b.filter((F.col("n_bars") >= length) & (F.col("i") >= F.col("n_bars") - length)).drop("n_bars")
 
 
-def summaries(bars: DataFrame, length: int, step: int, horizon: int, decay: float = 0.9, smoothing: int = 3) -> DataFrame:
+def summaries(bars: DataFrame, length: int, step: int, horizon: int, decay: float = 0.9, smoothing: int = 3, reach: int | None = None) -> DataFrame:
     """One row a sequence with what the targets need of it and of its horizon."""
-    m = members(bars, length, step, horizon)
+    m = members(bars, length, step, horizon, reach)
     seq, hor = F.col("part") == "s", F.col("part") == "h"
     place = lambda n: F.pow((F.col("k") + 1) / F.lit(float(n)), F.lit(2.0))
     of = lambda part, x: F.when(part, x)

@@ -6,7 +6,7 @@ class, strength). Boundaries are strict or inclusive as each target states.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,6 +85,18 @@ def _inclusive_low(x: Column, base: Column, extreme: Column) -> Column:
     return F.when(x <= -extreme, 0).when(x <= -base, 1).when(x < base, 2).when(x < extreme, 3).when(x.isNotNull(), 4)
 
 
+@dataclass(frozen=True)
+class Parameters:
+    """Parameters of all targets."""
+
+    price_level: Bands = Bands()
+    stop_level: Bands = Bands()
+    direction: Direction = Direction()
+    volatility: Volatility = Volatility()
+    sentiment: Sentiment = Sentiment()
+    volume: Volume = Volume()
+
+
 @dataclass
 class _Plan:
     """The summaries with what a target adds to them; its score, class, boundaries and the width that extremes are measured by."""
@@ -95,11 +107,17 @@ class _Plan:
     bounds: list[Column]
     width: Column
     flat: Column | None = None
+    falling: Column | None = None
+
+    def strength(self, cls: Column) -> Column:
+        """Strength of a class; where ``falling``, the classes run from the highest boundary down."""
+        side = cls if self.falling is None else F.when(self.falling, 4 - cls).otherwise(cls)
+        made = F.when(cls.isNotNull(), _strength(self.x, self.bounds, self.width, side))
+        return made if self.flat is None else F.when(self.flat, 0.3).otherwise(made)
 
 
 def _labelled(p: _Plan) -> DataFrame:
-    strength = F.when(F.col("class").isNotNull(), _strength(p.x, p.bounds, p.width, F.col("class")))
-    strength = strength if p.flat is None else F.when(p.flat, 0.3).otherwise(strength)
+    strength = p.strength(F.col("class"))
     return p.rows.withColumn("class", p.cls.cast("int")).select("symbol", "seq", "class", strength.alias("strength"))
 
 
@@ -139,13 +157,14 @@ def _stop_levels(s: DataFrame, p: Bands) -> _Plan:
     middle, half = (lo + hi) / 2, reach * p.neutral / 2
     b = [lo - reach * p.bandwidth, middle - half, middle + half, hi + reach * p.bandwidth]
     falling = F.when(x > b[3], 0).when(x > b[2], 1).when(x > b[1], 2).when(x > b[0], 3).when(x.isNotNull(), 4)
-    return _Plan(d, x, F.when(up, _strict(x, b)).otherwise(falling), b, reach * p.bandwidth)
+    return _Plan(d, x, F.when(up, _strict(x, b)).otherwise(falling), b, reach * p.bandwidth, falling=~up)
 
 
 def stop_levels(s: DataFrame, p: Bands = Bands()) -> DataFrame:
     """The horizon's worst move against its direction, later bars weighing more, against levels of lows (up) or highs (down)."""
     plan = _stop_levels(s, p)
-    return plan.rows.select("symbol", "seq", plan.cls.cast("int").alias("class"), F.round(plan.x, 6).alias("worst"))
+    rows = plan.rows.withColumn("class", plan.cls.cast("int"))
+    return rows.select("symbol", "seq", "class", plan.strength(F.col("class")).alias("strength"), F.round(plan.x, 6).alias("worst"))
 
 
 def consistency(path: Column, length: int) -> Column:
@@ -229,22 +248,77 @@ def volume(s: DataFrame, p: Volume = Volume()) -> DataFrame:
     return _labelled(_volume(s, p))
 
 
-def all_targets(s: DataFrame, length: int) -> DataFrame:
-    """(symbol, seq, target, class): every target as rows, from one pass over the summaries."""
-    plans = {
-        "price_level": lambda d: _price_levels(d, Bands()),
-        "stop_level": lambda d: _stop_levels(d, Bands()),
-        "direction": lambda d: _direction(d, length, Direction()),
-        "volatility": lambda d: _volatility(d, Volatility()),
-        "sentiment": lambda d: _sentiment(d, Sentiment()),
-        "volume": lambda d: _volume(d, Volume()),
+def _plans(length: int, p: Parameters) -> dict:
+    return {
+        "price_level": lambda d: _price_levels(d, p.price_level),
+        "stop_level": lambda d: _stop_levels(d, p.stop_level),
+        "direction": lambda d: _direction(d, length, p.direction),
+        "volatility": lambda d: _volatility(d, p.volatility),
+        "sentiment": lambda d: _sentiment(d, p.sentiment),
+        "volume": lambda d: _volume(d, p.volume),
     }
-    found = {}
-    for name, make in plans.items():
+
+
+def all_targets(s: DataFrame, length: int, p: Parameters = Parameters()) -> DataFrame:
+    """(symbol, seq, target, class, strength): every target as rows, from one pass over the summaries."""
+    found = []
+    for name, make in _plans(length, p).items():
         plan = make(s)
-        s, found[name] = plan.rows, plan.cls.cast("int")
-    rows = F.array(*[F.struct(F.lit(n).alias("target"), c.alias("class")) for n, c in found.items()])
-    return s.select("symbol", "seq", F.inline(rows))
+        s = plan.rows.withColumn(f"_c_{name}", plan.cls.cast("int"))
+        s = s.withColumn(f"_f_{name}", plan.strength(F.col(f"_c_{name}")))
+        found.append(F.struct(F.lit(name).alias("target"), F.col(f"_c_{name}").alias("class"), F.col(f"_f_{name}").alias("strength")))
+    return s.select("symbol", "seq", F.inline(F.array(*found)))
+
+
+def by_horizon(bars: DataFrame, length: int, step: int, horizons: tuple[int, ...], p: Parameters = Parameters()) -> DataFrame:
+    """(horizon, symbol, seq, target, class, strength): all targets of several horizons over the same sequences."""
+    from .sequences import summaries
+
+    parts = [all_targets(summaries(bars, length, step, h, reach=max(horizons)), length, p).select(F.lit(h).alias("horizon"), "*") for h in horizons]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+#: The parameter of each target that calibration varies.
+VARIED = {"price_level": "bandwidth", "stop_level": "bandwidth", "direction": "sensitivity", "volatility": "bandwidth", "sentiment": "sensitivity", "volume": "bandwidth"}
+
+
+def candidates(s: DataFrame, length: int, grid: dict[str, tuple[float, ...]]) -> DataFrame:
+    """(target, value, n, n0 .. n4): class counts of every candidate value of every target, in one pass over the summaries."""
+    made = []
+    for target, values in grid.items():
+        for value in values:
+            own = replace(getattr(Parameters(), target), **{VARIED[target]: value})
+            plan = _plans(length, replace(Parameters(), **{target: own}))[target](s)
+            name = f"_k{len(made)}"
+            s = plan.rows.withColumn(name, plan.cls.cast("int"))
+            made.append(F.struct(F.lit(target).alias("target"), F.lit(float(value)).alias("value"), F.col(name).alias("class")))
+    rows = s.select(F.inline(F.array(*made))).filter("class is not null")
+    return rows.groupBy("target", "value").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("class") == k, 1)).alias(f"n{k}") for k in range(5)])
+
+
+def calibrated(counts: DataFrame) -> DataFrame:
+    """(target, value, score): the candidate of each target whose classes are best balanced, the least value of equals.
+
+    The score is the mean distance of the shares from 20 % over 20, with 1000 more if a
+    class is missing, or ten for each time that the largest share exceeds ten of the smallest.
+    """
+    share = [F.col(f"n{k}") * 100.0 / F.col("n") for k in range(5)]
+    off = sum((F.abs(p - 20) for p in share[1:]), F.abs(share[0] - 20)) / 5
+    ratio = F.try_divide(F.greatest(*share), F.least(*share))
+    score = off / 20 + F.when(F.least(*share) == 0, 1000.0).when(ratio > 10, (ratio - 10) * 10).otherwise(0.0)
+    best = counts.withColumn("score", F.round(score, 6)).groupBy("target").agg(F.min(F.struct("score", "value")).alias("best"))
+    return best.select("target", "best.value", "best.score")
+
+
+def parameters(found: DataFrame) -> Parameters:
+    """Calibrated parameters from the rows of ``calibrated``, one a target."""
+    out = Parameters()
+    for r in found.collect():
+        out = replace(out, **{r["target"]: replace(getattr(out, r["target"]), **{VARIED[r["target"]]: r["value"]})})
+    return out
 
 
 def class_distribution(targets: DataFrame) -> DataFrame:

@@ -21,34 +21,43 @@ STEP = Q.step_size(0.5, LENGTH)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-_SPAN = LENGTH + HORIZON
-_MEMBERS = f"""{S.BASE},
-n as (select *, count(*) over (partition by symbol) as n_bars from b),
-st as (select symbol, i as seq from n where i % {STEP} = 0 and i + {_SPAN} <= n_bars),
-m as (select n.*, st.seq, case when n.i - st.seq < {LENGTH} then 's' else 'h' end as part,
-             case when n.i - st.seq < {LENGTH} then n.i - st.seq else n.i - st.seq - {LENGTH} end as k
-      from st join n on n.symbol = st.symbol and n.i >= st.seq and n.i < st.seq + {_SPAN})"""
 _S, _H = "filter (where part = 's')", "filter (where part = 'h')"
-_SUMMARY = f"""{_MEMBERS},
-m1 as (select *, (open + high + low + close) / 4 as o4, (open + close) / 2 as mid,
-              case when tr > 0 and close > 0 and k >= 1 then tr / close end as share,
-              case when volume > 0 then ln(volume / greatest(lag(volume) over (partition by symbol, seq, part order by k), 1)) end as dv,
-              lag(volume) over (partition by symbol, seq, part order by k) as pv from m),
-s as (select symbol, seq,
-       sum(close * pow((k + 1) / {LENGTH}.0::double, 2)) {_S} / sum(pow((k + 1) / {LENGTH}.0::double, 2)) {_S} as s_wclose,
-       sum(close * pow((k + 1) / {HORIZON}.0::double, 2)) {_H} / sum(pow((k + 1) / {HORIZON}.0::double, 2)) {_H} as h_wclose,
-       list(close order by close) {_S} as s_closes, list(low order by low) {_S} as s_lows, list(high order by high) {_S} as s_highs,
-       list(volume order by volume) {_S} as s_volumes,
-       list(dv order by dv) filter (where part = 's' and dv is not null) as s_divs,
-       list(o4 order by k) {_S} as s_path, list(low order by k) {_H} as h_lows, list(high order by k) {_H} as h_highs,
-       max(case when part = 'h' and k = 0 then o4 end) as h_first, max(case when part = 'h' and k = {HORIZON - 1} then o4 end) as h_last,
-       max(case when part = 'h' and k = 0 then mid end) as h_mid0, max(case when part = 'h' and k = {HORIZON - 1} then mid end) as h_mid1,
-       avg(o4) {_S} as s_mean, stddev_pop(o4) {_S} as s_std, avg(share) {_S} as s_atr,
-       sum(share * pow(0.9::double, {HORIZON} - k - 1)) {_H} / nullif(sum(pow(0.9::double, {HORIZON} - k - 1)) filter (where part = 'h' and share is not null), 0) as h_atr,
-       avg(volume) {_S} as s_volume, avg(volume) {_H} as h_volume,
-       coalesce(avg(volume) filter (where part = 's' and k >= {LENGTH - 3} and volume > 0), 1) as s_smooth,
-       coalesce(avg(volume) filter (where part = 'h' and k >= {HORIZON - 3} and volume > 0), 1) as h_smooth
-      from m1 group by symbol, seq)"""
+
+
+def _members(horizon: int = HORIZON, reach: int = HORIZON) -> str:
+    return f"""{S.BASE},
+    n as (select *, count(*) over (partition by symbol) as n_bars from b),
+    st as (select symbol, i as seq from n where i % {STEP} = 0 and i + {LENGTH + reach} <= n_bars),
+    m as (select n.*, st.seq, case when n.i - st.seq < {LENGTH} then 's' else 'h' end as part,
+                 case when n.i - st.seq < {LENGTH} then n.i - st.seq else n.i - st.seq - {LENGTH} end as k
+          from st join n on n.symbol = st.symbol and n.i >= st.seq and n.i < st.seq + {LENGTH + horizon})"""
+
+
+def summary_sql(horizon: int = HORIZON, reach: int = HORIZON) -> str:
+    """Common tables that end in ``s``, a row a sequence; sequences leave room for the longest horizon, ``reach``."""
+    return f"""{_members(horizon, reach)},
+    m1 as (select *, (open + high + low + close) / 4 as o4, (open + close) / 2 as mid,
+                  case when tr > 0 and close > 0 and k >= 1 then tr / close end as share,
+                  case when volume > 0 then ln(volume / greatest(lag(volume) over (partition by symbol, seq, part order by k), 1)) end as dv,
+                  lag(volume) over (partition by symbol, seq, part order by k) as pv from m),
+    s as (select symbol, seq,
+           sum(close * pow((k + 1) / {LENGTH}.0::double, 2)) {_S} / sum(pow((k + 1) / {LENGTH}.0::double, 2)) {_S} as s_wclose,
+           sum(close * pow((k + 1) / {horizon}.0::double, 2)) {_H} / sum(pow((k + 1) / {horizon}.0::double, 2)) {_H} as h_wclose,
+           list(close order by close) {_S} as s_closes, list(low order by low) {_S} as s_lows, list(high order by high) {_S} as s_highs,
+           list(volume order by volume) {_S} as s_volumes,
+           list(dv order by dv) filter (where part = 's' and dv is not null) as s_divs,
+           list(o4 order by k) {_S} as s_path, list(low order by k) {_H} as h_lows, list(high order by k) {_H} as h_highs,
+           max(case when part = 'h' and k = 0 then o4 end) as h_first, max(case when part = 'h' and k = {horizon - 1} then o4 end) as h_last,
+           max(case when part = 'h' and k = 0 then mid end) as h_mid0, max(case when part = 'h' and k = {horizon - 1} then mid end) as h_mid1,
+           avg(o4) {_S} as s_mean, stddev_pop(o4) {_S} as s_std, avg(share) {_S} as s_atr,
+           sum(share * pow(0.9::double, {horizon} - k - 1)) {_H} / nullif(sum(pow(0.9::double, {horizon} - k - 1)) filter (where part = 'h' and share is not null), 0) as h_atr,
+           avg(volume) {_S} as s_volume, avg(volume) {_H} as h_volume,
+           coalesce(avg(volume) filter (where part = 's' and k >= {LENGTH - 3} and volume > 0), 1) as s_smooth,
+           coalesce(avg(volume) filter (where part = 'h' and k >= {horizon - 3} and volume > 0), 1) as h_smooth
+          from m1 group by symbol, seq)"""
+
+
+_MEMBERS, _SUMMARY = _members(), summary_sql()
 
 
 def _rank(c: str, p: float, rule: str = "floor") -> str:
@@ -124,20 +133,24 @@ _register("direction", lambda s: T.direction(s, LENGTH))
 _register("volatility", T.volatility)
 _register("sentiment", T.sentiment)
 _register("volume", T.volume)
-QUERIES["target_stop_level"] = lambda spark, sf_dir: T.stop_levels(_summary(spark, sf_dir))
-ORACLE["target_stop_level"] = f"with {_SUMMARY} {_STOP}"
+QUERIES["target_stop_level"] = lambda spark, sf_dir: T.stop_levels(_summary(spark, sf_dir)).withColumn("strength", F.round(F.col("strength") + S.TIE, 6))
+# the classes of a fall run from the highest boundary down
+_STOP_STRENGTH = _STRENGTH.replace("class =", "(case when up then class else 4 - class end) =").replace("case when (case", "case when class is null then null when (case", 1)
+_STOP = _STOP.replace("select symbol, seq, class, worst from (select *,", f"select symbol, seq, class, worst, {_STOP_STRENGTH} as strength from (select *, reach * 0.25 as w,")
+ORACLE["target_stop_level"] = f"with {_SUMMARY} select symbol, seq, class, worst, round(strength::double + {S.TIE!r}, 6) as strength from ({_STOP})"
 
-_ALL = "select symbol, seq, 'stop_level' as target, class from (" + _STOP + ")"
+_ALL = "select symbol, seq, 'stop_level' as target, class, strength from (" + _STOP + ")"
 for _n in _D:
-    _ALL += f" union all select symbol, seq, '{_n}' as target, {_CLASS[_n]} as class from ({_D[_n]})"
+    _made = f"case when hi = lo then 0.3 else {_STRENGTH} end" if _n == "price_level" else _STRENGTH
+    _ALL += f" union all select symbol, seq, '{_n}' as target, class, {_made} as strength from (select *, {_CLASS[_n]} as class from ({_D[_n]}))"
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.all_targets(_summary(spark, sf_dir), LENGTH)
 
 
-QUERIES["all_targets"] = _targets
-ORACLE["all_targets"] = f"with {_SUMMARY} select symbol, seq, target, class from ({_ALL})"
+QUERIES["all_targets"] = lambda spark, sf_dir: _targets(spark, sf_dir).withColumn("strength", F.round(F.col("strength") + S.TIE, 6))
+ORACLE["all_targets"] = f"with {_SUMMARY} select symbol, seq, target, class, round(strength::double + {S.TIE!r}, 6) as strength from ({_ALL})"
 QUERIES["class_distribution"] = lambda spark, sf_dir: T.class_distribution(_targets(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
 ORACLE["class_distribution"] = (
     f"with {_SUMMARY}, a as ({_ALL}) select target, class, count(*) as n, round(count(*) * 100.0::double / sum(count(*)) over (partition by target), 6) as percent from a where class is not null group by target, class"
