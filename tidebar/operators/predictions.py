@@ -138,6 +138,24 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - div(dot, norm(a) * norm(b))
 
 
+def assembled(rows: DataFrame, raw: str, targets: tuple[str, ...], names: tuple[str, ...] = LABELS) -> DataFrame:
+    """Adds ``prediction``: of each target its probabilities (softmax of its five logits in ``raw``), label and combined confidence."""
+    from .metrics import combined_confidence, softmax
+
+    parts = rows.withColumns({f"_p{k}": softmax(F.slice(raw, 5 * k + 1, 5)) for k in range(len(targets))})
+    made = [F.struct(F.col(f"_p{k}").alias("p"), label(F.col(f"_p{k}"), names).alias("label"), combined_confidence(F.col(f"_p{k}")).alias("confidence")).alias(t) for k, t in enumerate(targets)]
+    return parts.withColumn("prediction", F.struct(*made)).drop(*[f"_p{k}" for k in range(len(targets))])
+
+
+def post_processed(rows: DataFrame, value: str, confidence: str, least: float) -> DataFrame:
+    """The steps in order: confidence outliers out, confidence by market regime, too little confidence out. ``value`` passes through."""
+    from .metrics import iqr_filter
+
+    adjusted = rows.withColumn("_adj", adjusted_confidence(F.col(confidence), market_regime(20)))
+    kept = iqr_filter(adjusted, confidence).withColumn(confidence, F.col("_adj")).drop("_adj")
+    return kept.filter(F.col(confidence) >= least)
+
+
 def write_json(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("overwrite").json(path)
 

@@ -103,3 +103,28 @@ def enough_rows(bars: DataFrame, horizon: int) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) >= 2 * horizon).alias("enough"))
 
 
+def prediction_readiness(bars: DataFrame, least: int) -> DataFrame:
+    """By symbol: rows, bad bars, repeated times, and whether there are enough rows without repeated times to predict from."""
+    n, repeated = F.count(F.lit(1)), F.count(F.lit(1)) - F.count_distinct("ts")
+    bad = F.count_if(~F.coalesce(valid_bar(), F.lit(False)))
+    return bars.groupBy("symbol").agg(n.alias("n_rows"), bad.alias("n_bad"), repeated.alias("n_repeated"), ((n >= least) & (repeated == 0)).alias("ready"))
+
+
+def required_rows(length: int, horizon: int, warmup: int) -> int:
+    """Bars that one sequence with its horizon needs after the features' warm-up."""
+    return warmup + length + horizon
+
+
+def check_periods(**periods: int) -> None:
+    """Every period must be positive; ``fast`` below ``slow`` where both are given."""
+    bad = [n for n, v in periods.items() if v < 1]
+    if bad:
+        raise ValueError(f"periods must be positive: {', '.join(sorted(bad))}")
+    if "fast" in periods and "slow" in periods and periods["fast"] >= periods["slow"]:
+        raise ValueError("the fast period must be below the slow one")
+
+
+def check_schema(rows: DataFrame, expected: dict[str, str]) -> list[str]:
+    """What differs from the expected columns and simple type names, in words."""
+    found = dict(rows.dtypes)
+    return [f"{c}: missing" if c not in found else f"{c}: {found[c]} instead of {t}" for c, t in expected.items() if found.get(c) != t]
