@@ -20,8 +20,9 @@ tables are written to the checkpoint folder, so lost executors are survived.
 Defined results: a null or empty text, or one without words, has fingerprint
 zero, which links like any other. Null doc_ids are kept as rows and never name a
 component unless all ids of the component are null. Repeated rows come back as
-often as they came in. An empty table gives an empty result. Other columns are
-ignored.
+often as they came in. Very long texts are whole; memory follows the longest. Ties
+(equal fingerprints, equal ids) need no order. An empty table gives an empty result.
+Other columns are ignored by ``near_groups``.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut_lineage, pieces
+from .common import byte_values, numbered, pieces, renamed, shuffle_width, written
 from .components import connected
 
 SEED = 42
@@ -65,7 +66,11 @@ def shingle_hashes(text: bytes, width: int = SHINGLE, seed: int = SEED) -> np.nd
 
 def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
     """The SimHash of one text as an unsigned 64-bit number."""
-    hashes = shingle_hashes(text, width, seed)
+    return majority(shingle_hashes(text, width, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     if not len(hashes):
         return 0
     table = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _BYTE_OFFSET).ravel(), minlength=2048)
@@ -75,7 +80,7 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp bigint) for every row of ``docs``."""
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     out = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +174,11 @@ def near_links(fps: DataFrame, limit: int = CELL_LIMIT) -> DataFrame:
     Every link is a true one. Pairs that meet only in overfull cells may be
     connected through a third fingerprint instead of directly.
     """
-    cells = fps.select(F.explode(grid_cells(F.col("fp"))).alias("cell"), "fp")
+    # fingerprints are few bytes, so that they would be coalesced into few tasks before they are multiplied
+    dealt = fps.repartition(shuffle_width(fps.sparkSession), "fp")
+    cells = dealt.select(F.explode(grid_cells(F.col("fp"))).alias("cell"), "fp")
     found = cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_verified(limit), "a bigint, b bigint")
-    found = cut_lineage(found.distinct())
+    found = written(found.distinct())
     crowd = found.filter("b is null").select(F.col("a").alias("fp"))
     one_off = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k)) for k in range(64)])
     balls = crowd.select(F.explode(one_off).alias("ball"), "fp")
@@ -182,11 +189,11 @@ def near_links(fps: DataFrame, limit: int = CELL_LIMIT) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = CELL_LIMIT) -> DataFrame:
     """One row per document: id, fp (bigint), component_id, the smallest id reachable over links of at most 2 bits."""
-    rows = cut_lineage(fingerprints(docs, id_col, text_col))
+    rows = written(fingerprints(docs, id_col, text_col))
     classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected(near_links(classes.select("fp"), limit))
     classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = cut_lineage(classes)
+    classes = written(classes)
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = classes.join(named, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("id", "fp", "component_id")
@@ -201,9 +208,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each near-duplicate group: that of the smallest id.
 
     Rows that share an id and a group count as copies. Rows with a null id can't be
-    named, so they stay.
+    named, so they stay. Other columns pass through, whatever their names.
     """
-    groups = near_groups(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, limit)
-    stay = groups.filter("id = component_id").select(F.col("id").alias("_id")).distinct()
-    kept = docs.filter(F.col(id_col).isNotNull()).withColumn("_id", F.col(id_col).cast("bigint")).join(stay, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
-    return kept.unionAll(docs.filter(F.col(id_col).isNull()))
+    names = docs.columns
+    held = numbered(docs)
+    number, text = F.col(f"c{names.index(id_col)}").cast("bigint"), F.col(f"c{names.index(text_col)}")
+    named = held.filter(number.isNotNull())
+    groups = near_groups(named.select(number.alias("doc_id"), text.alias("text")), limit=limit)
+    stay = groups.filter("id = component_id").select("id").distinct()
+    kept = named.withColumn("id", number).join(stay, "id", "left_semi").dropDuplicates(["id"]).drop("id")
+    return kept.unionAll(held.filter(number.isNull())).select(*renamed(held, names))
