@@ -1,21 +1,62 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line."""
+"""Times operators over minute bars of every user at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line.
+
+Bars are resampled from the events and written once; that is timed apart. Each operator
+then reads the written bars and is run ``RUNS`` times: ``cold`` holds the first run,
+``queries`` the best of the others.
+"""
 
 from __future__ import annotations
 
 import json
 import os
+import shutil
+import tempfile
 import time
 
-HEADLINE = (
-    "bars", "sma", "bollinger", "engineered_features", "momentum", "stochastic", "cci", "mfi", "volatility_features", "obv", "vwap",
-    "consolidation", "regime", "ema", "rsi", "macd", "atr", "cross_correlation", "cross_sentiment", "sequence_zscores", "all_targets",
-    "balance_to_min", "column_stats", "normalize", "regression", "calibration_error",
-)
+RUNS = 3
+
+
+def operators() -> dict:
+    """Name to a function of (bars, bars with their base columns) that gives the operator's rows."""
+    from tidebar.functions.windows import staged
+    from tidebar.operators import balance, channels, folds, metrics, pipelines, preprocess, sequences, targets, trend, volatility
+
+    def summaries(b):
+        return sequences.summaries(b, 24, 12, 6)
+
+    return {
+        "sma": lambda b, w: w.withColumns({f"sma_{n}": trend.sma("close", n) for n in (5, 20)}),
+        "bollinger": lambda b, w: w.withColumns(trend.bollinger()),
+        "engineered_features": lambda b, w: w.withColumns(trend.engineered()),
+        "stochastic": lambda b, w: staged(w, {"k": trend.stochastic_k(14)}, {"d": trend.sma("k", 3)}),
+        "mfi": lambda b, w: staged(w, trend.money_flow(), {"mfi": trend.mfi(14)}),
+        "donchian": lambda b, w: w.withColumns(channels.donchian(20)),
+        "adx": lambda b, w: staged(w, channels.movement(), channels.directional(14), {"adx": channels.adx(14)}),
+        "obv": lambda b, w: staged(w, {"signed": volatility.signed_volume()}, {"obv": volatility.obv()}),
+        "vwap": lambda b, w: w.withColumns({"vwap_20": volatility.periodic_vwap(20), "vwap": volatility.cumulative_vwap()}),
+        "realized_volatility": lambda b, w: w.withColumn("realized_vol", volatility.realized_vol()),
+        "ema": lambda b, w: folds.fold(b, lambda: folds.EmaFold(9), lambda: folds.EmaFold(21)),
+        "rsi": lambda b, w: folds.fold(b, lambda: folds.RsiFold(14)),
+        "macd": lambda b, w: folds.fold(b, folds.MacdFold),
+        "atr": lambda b, w: folds.fold(b, lambda: folds.AtrFold(14)),
+        "all_indicators": lambda b, w: folds.fold(
+            staged(w, {**trend.bollinger(), **trend.engineered(), **channels.donchian(20), **trend.money_flow()}, {"mfi": trend.mfi(14), "vwap_20": volatility.periodic_vwap(20)}), lambda: folds.RsiFold(14), lambda: folds.AtrFold(14), folds.MacdFold
+        ),
+        "sequence_summaries": lambda b, w: summaries(b),
+        "all_targets": lambda b, w: targets.all_targets(summaries(b), 24),
+        "balance_to_min": lambda b, w: balance.balance_to_min(targets.volatility(summaries(b))),
+        "column_stats": lambda b, w: preprocess.column_stats(b, "close"),
+        "saved_statistics": lambda b, w: pipelines.apply(b, pipelines.fit(b, ["close", "volume"]), ["close", "volume"]),
+        "regression": lambda b, w: metrics.regression(w, "c1", "close", "symbol"),
+    }
 
 
 def main() -> None:
     from pyspark.sql import SparkSession
 
+    from tidebar.functions.windows import with_base
+    from tidebar.sources.bars import resample
+
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -29,17 +70,44 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    import __spark_entry__ as entry
+    folder = tempfile.mkdtemp(prefix="tidebar-bench-")
 
-    found = entry.queries()
-    found[HEADLINE[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()  # starts the JVM's compiler
-    times = {}
-    for name in HEADLINE:
+    def timed(work) -> float:
         began = time.perf_counter()
-        found[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - began, 3)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
-    spark.stop()
+        work()
+        return round(time.perf_counter() - began, 3)
+
+    try:
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        events.count()  # starts the JVM's compiler
+        minutes = resample(events, "minute", "user_id").selectExpr("cast(symbol as string) as symbol", "ts", "open", "high", "low", "close", "volume")
+        resampled = timed(lambda: minutes.write.parquet(f"{folder}/bars"))
+        bars = spark.read.parquet(f"{folder}/bars")
+        rows = bars.count()
+        cold, warm = {}, {}
+        for name, make in operators().items():
+            runs = [timed(lambda: make(bars, with_base(bars)).write.format("noop").mode("overwrite").save()) for _ in range(RUNS)]
+            cold[name], warm[name] = runs[0], min(runs[1:])
+        total = round(sum(warm.values()), 3)
+        print(
+            json.dumps(
+                {
+                    "metric": "total_seconds",
+                    "value": total,
+                    "unit": "sec",
+                    "queries": warm,
+                    "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+                    "rows": rows,
+                    "cpus": int(cpus),
+                    "resample": resampled,
+                    "cold": cold,
+                    "rows_per_second": {n: round(rows / s) for n, s in warm.items()},
+                }
+            )
+        )
+    finally:
+        spark.stop()
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 if __name__ == "__main__":
