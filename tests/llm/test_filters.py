@@ -205,3 +205,62 @@ def test_training_rows_do_not_follow_the_partitions(spark):
     assert take(3, per_class=4) == take(7, per_class=4) and len(take(3, per_class=4)) == 8
     some = take(3, most_bytes=300)
     assert some == take(5, most_bytes=300) and 0 < len(some) < 30
+
+
+def test_attention_scores_by_a_plain_forward_pass():
+    import math
+
+    import numpy as np
+
+    from tidebar.llm import attention as A
+
+    rows = toy(40)
+    model = A.train([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], float), {0: 14, 1: 26}, epochs=2)
+    texts = [rows[0][1].encode(), b"", b"one", ("many words here " * 90).encode()]
+    for text, got in zip(texts, A.scores(model, texts)):
+        passages = A.encode(text)
+        assert len(passages) == max(1, -(-len(text.split()) // A.PASSAGE))
+        hidden, energy = [], []
+        for x in passages:
+            z = [(float(v) - float(s)) / float(w) for v, s, w in zip(x, model["shift"], model["scale"])]
+            h = [math.tanh(sum(z[i] * float(model["W"][i, j]) for i in range(len(z))) + float(model["b"][j])) for j in range(A.WIDTH)]
+            gate = [math.tanh(sum(h[j] * float(model["V"][j, k]) for j in range(A.WIDTH))) / (1 + math.exp(-sum(h[j] * float(model["U"][j, k]) for j in range(A.WIDTH)))) for k in range(A.GATES)]
+            hidden.append(h)
+            energy.append(sum(g * float(w) for g, w in zip(gate, model["w"])))
+        weight = [math.exp(e - max(energy)) for e in energy]
+        mean = [sum(w * h[j] for w, h in zip(weight, hidden)) / sum(weight) for j in range(A.WIDTH)]
+        want = 1 / (1 + math.exp(-(sum(m * float(c) for m, c in zip(mean, model["c"])) + float(model["c0"][0]))))
+        assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_rules_probability_by_plain_counting():
+    import math
+
+    import numpy as np
+    import xxhash
+
+    from tidebar.llm.sketch import Hasher
+
+    rows = toy(60)
+    model = rules.train([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], float), {0: 20, 1: 40}, steps=20)
+    mask = (1 << 64) - 1
+    a, b = int(rules._A), int(rules._B)
+    for text in (rows[3][1].encode(), b"two words", "é a".encode(), b""):
+        grams, terms = Counter(), Counter()
+        for k in range(1, 4):
+            for at in range(len(text) - k):
+                h = 0
+                for c in text[at : at + k + 1]:
+                    h = (h * 257 + c) & mask
+                grams[((h + k) * a & mask) >> (64 - rules.BITS)] += 1
+        words = [xxhash.xxh3_64_intdigest(w) for w in text.split()]
+        for w in words:
+            terms[(w * b & mask) >> (64 - rules.BITS)] += 1
+        for v, w in zip(words, words[1:]):
+            terms[(((v * a & mask) ^ w) * b & mask) >> (64 - rules.BITS)] += 1
+        raw = model["bias"]
+        for table, shift in ((grams, 0), (terms, rules.SIZE)):
+            length = math.sqrt(sum(math.log1p(n) ** 2 for n in table.values())) or 1.0
+            raw += sum(float(model["weights"][k + shift]) * math.log1p(n) / length for k, n in table.items())
+        want = 1 / (1 + math.exp(-(model["slope"] * raw + model["offset"])))
+        assert rules.probability(model, text, Hasher().words(text.split())) == pytest.approx(want, abs=1e-5)
