@@ -191,3 +191,9 @@ def window_plan(rows: int, least: int = 1000, most: int = 6) -> int:
     """
     fitting = range(2, max(2, min(most, rows // least)) + 1)
     return max(fitting, key=lambda k: (0.6 / k + 0.4 * k / most, -k))
+
+
+def overlaps(starts: DataFrame, length: int) -> DataFrame:
+    """Adds ``ratio``: the share of a sequence that the one before it covers too; null for a symbol's first."""
+    before = F.lag("seq").over(Window.partitionBy("symbol").orderBy("seq"))
+    return starts.withColumn("ratio", F.greatest(length - (F.col("seq") - before), F.lit(0)) / F.lit(float(length)))

@@ -90,3 +90,11 @@ def with_market(bars: DataFrame, base: str, second: str) -> DataFrame:
     named: list[Column] = [F.coalesce(F.col(n), F.lit(0.0)).alias(f"cross_{n}") for _, n in made]
     out = bars.join(market.select("ts", *named), "ts", "left")
     return out.select(*bars.columns, *[f"cross_{n}" for _, n in made])
+
+
+def require(bars: DataFrame, symbols: list[str], least: int = 2) -> list[str]:
+    """The named symbols that the bars have; fewer than ``least`` are an error. One row a symbol is looked at."""
+    found = {r[0] for r in bars.filter(F.col("symbol").isin(symbols)).select("symbol").distinct().collect()}
+    if len(found) < least:
+        raise ValueError(f"{least} symbols are needed, found {sorted(found)}")
+    return [s for s in symbols if s in found]

@@ -98,6 +98,13 @@ def last_sequence(bars: DataFrame, length: int) -> DataFrame:
     return b.filter((F.col("n_bars") >= length) & (F.col("i") >= F.col("n_bars") - length)).drop("n_bars")
 
 
+def prediction_sequence(bars: DataFrame, features: list[str], length: int) -> DataFrame:
+    """The last ``length`` bars of every symbol that has as many, place ``k`` from 0, each feature also z-scored as ``{feature}_z``."""
+    rows = last_sequence(bars, length).withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).cast("bigint") - 1)
+    own = Window.partitionBy("symbol")
+    return rows.withColumns({f"{c}_z": (F.col(c) - F.avg(c).over(own)) / F.greatest(F.stddev_pop(c).over(own), F.lit(1e-6)) for c in features})
+
+
 def summaries(bars: DataFrame, length: int, step: int, horizon: int, decay: float = 0.9, smoothing: int = 3, reach: int | None = None) -> DataFrame:
     """One row a sequence with what the targets need of it and of its horizon."""
     m = members(bars, length, step, horizon, reach)

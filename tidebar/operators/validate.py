@@ -128,3 +128,12 @@ def check_schema(rows: DataFrame, expected: dict[str, str]) -> list[str]:
     """What differs from the expected columns and simple type names, in words."""
     found = dict(rows.dtypes)
     return [f"{c}: missing" if c not in found else f"{c}: {found[c]} instead of {t}" for c, t in expected.items() if found.get(c) != t]
+
+
+def repeated_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """Every row of keys that occur more than once, with its ``place`` among them, from 1."""
+    from pyspark.sql import Window as W
+
+    own = W.partitionBy(*keys)
+    marked = rows.withColumns({"_n": F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy(*keys))})
+    return marked.filter("_n > 1").drop("_n")
