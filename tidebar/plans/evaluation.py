@@ -246,7 +246,7 @@ add(
 
 
 class _Smooth(R.Fold):
-    """Exponential smoothing of the close with k 0.3, from the first bar."""
+    """Exponential smoothing of predictions (in the place of the close) with k 0.3, from the first one."""
 
     names = ("smoothed",)
 
@@ -257,10 +257,15 @@ class _Smooth(R.Fold):
         return (self.of(bar[3]),)
 
 
+def _smoothed(s: SparkSession, d: str) -> DataFrame:
+    predicted = _probabilities(s, d).select("symbol", "ts", "open", "high", "low", F.col("confidence").alias("close"), "volume")
+    return shown(R.fold(predicted, _Smooth), ["smoothed"])
+
+
 add(
     "smoothed_predictions",
-    lambda s, d: shown(R.fold(bars(s, d), _Smooth), ["smoothed"]),
-    f"with recursive {S.BASE}, r as (select symbol, ts, i, close as e from b where i = 0 union all select b.symbol, b.ts, b.i, 0.3::double * b.close + 0.7::double * r.e from r join b on b.symbol = r.symbol and b.i = r.i + 1) select symbol, epoch(ts)::bigint as t, {_q('smoothed: e')} from r",
+    _smoothed,
+    f"{_PSQL.replace('with ', 'with recursive ', 1)}, r as (select symbol, ts, i, confidence as s from p where i = 0 union all select p.symbol, p.ts, p.i, 0.3::double * p.confidence + 0.7::double * r.s from r join p on p.symbol = r.symbol and p.i = r.i + 1) select symbol, epoch(ts)::bigint as t, {_q('smoothed: s')} from r",
 )
 
 # joins and aggregates over the star schema that bar work leans on
@@ -276,7 +281,7 @@ add(
 )
 
 # streaming: the whole table through a stream, and its batch statement
-add("stream_bars", stream.replayed_bars, f"with {S.BARS} select symbol, epoch(ts)::bigint as t, {_q('high: high', 'low: low', 'volume: volume')} from bars")
+add("stream_bars", stream.replayed_bars, f"with {S.BARS} select symbol, epoch(ts)::bigint as t, {_q(*[f'{c}: {c}' for c in ('open', 'high', 'low', 'close', 'volume')])} from bars")
 add(
     "stream_sessions",
     stream.replayed_sessions,

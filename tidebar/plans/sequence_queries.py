@@ -239,7 +239,9 @@ QUERIES["market_conditions"] = lambda spark, sf_dir: D.market_conditions(_summar
 ORACLE["market_conditions"] = f"""with {_SUMMARY}, r as (select symbol, (h_wclose - s_wclose) / nullif(s_wclose, 0) as m, row_number() over (partition by symbol order by (h_wclose - s_wclose) / nullif(s_wclose, 0)) - 1 as r, count(*) over (partition by symbol) as n from s),
     q as (select *, max(case when r = floor((n - 1) * 0.33::double + 0.5) then m end) over (partition by symbol) as a, max(case when r = floor((n - 1) * 0.67::double + 0.5) then m end) over (partition by symbol) as z from r)
     select symbol, case when m < a then 'bear' when m > z then 'bull' else 'side' end as market, count(*) as n from q group by all"""
-QUERIES["repeated_sequences"] = lambda spark, sf_dir: D.repeated_sequences(Q.tensors(bars(spark, sf_dir), ["close"], LENGTH, STEP, HORIZON, False)).select("symbol", "seq", "n")
-ORACLE["repeated_sequences"] = f"with {_SUMMARY}, k as (select symbol, seq, list(close order by k) filter (where part = 's') as l from m group by symbol, seq) select symbol, min(seq) as seq, count(*) as n from k group by symbol, l having count(*) > 1"
+# four bars each, so that some sequences of event counts do repeat
+QUERIES["repeated_sequences"] = lambda spark, sf_dir: D.repeated_sequences(Q.tensors(bars(spark, sf_dir), ["volume"], 4, 4, 1, False)).select("symbol", "seq", "n")
+ORACLE["repeated_sequences"] = f"""with {S.BASE}, n as (select *, count(*) over (partition by symbol) as n_bars from b), k as (select x.symbol, x.i as seq, list(y.volume order by y.i) as l from n x join n y on y.symbol = x.symbol and y.i >= x.i and y.i < x.i + 4 where x.i % 4 = 0 and x.i + 5 <= x.n_bars group by x.symbol, x.i)
+    select symbol, min(seq) as seq, count(*) as n from k group by symbol, l having count(*) > 1"""
 # trained on the earlier part of each symbol; no SQL form
 QUERIES["backtest_forest"] = lambda spark, sf_dir: model.backtest(model.sequence_features(_summary(spark, sf_dir)), T.direction(_summary(spark, sf_dir), LENGTH))

@@ -92,7 +92,7 @@ def _replay(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 
 def replayed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _replay(spark, bar_stream(event_stream(spark, sf_dir)), "complete")
-    return done.select("symbol", F.unix_timestamp("ts").alias("t"), *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("high", "low", "volume")])
+    return done.select("symbol", F.unix_timestamp("ts").alias("t"), *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
 def replayed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
