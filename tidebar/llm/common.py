@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -15,6 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+try:
+    _LIBC = ctypes.CDLL(None)
+except (OSError, TypeError):
+    _LIBC = None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``.
 
@@ -96,6 +103,9 @@ def byte_values(column: pa.Array) -> list[bytes]:
     return [v if v is not None else b"" for v in column.cast(binary).to_pylist()]
 
 
+_FRAME = b"\x28\xb5\x2f\xfd"
+
+
 def packed(texts: Iterable[bytes | None]) -> pa.Array:
     """Texts compressed one by one, for exchanges; null stays null."""
     press = zstandard.ZstdCompressor(level=3)
@@ -103,9 +113,9 @@ def packed(texts: Iterable[bytes | None]) -> pa.Array:
 
 
 def unpacked(column: pa.Array) -> list[bytes | None]:
-    """The texts that ``packed`` compressed."""
+    """The texts that ``packed`` compressed; others are as they are: no UTF-8 text begins like a compressed one."""
     undo = zstandard.ZstdDecompressor()
-    return [None if raw is None else undo.decompress(raw) for raw in column.to_pylist()]
+    return [undo.decompress(raw) if raw is not None and raw.startswith(_FRAME) else raw for raw in column.to_pylist()]
 
 
 def pieces(batch: pa.RecordBatch, text_bytes: int = 16 << 20, column: str = "text"):
@@ -120,3 +130,12 @@ def pieces(batch: pa.RecordBatch, text_bytes: int = 16 << 20, column: str = "tex
     step = max(1, int(n * text_bytes / max(total, 1)))
     for at in range(0, n, step):
         yield batch.slice(at, min(step, n - at))
+    _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system: a worker process serves many tasks, one after the other."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -175,7 +175,7 @@ def near_links(fps: DataFrame, limit: int = CELL_LIMIT) -> DataFrame:
     connected through a third fingerprint instead of directly.
     """
     # fingerprints are few bytes, so that they would be coalesced into few tasks before they are multiplied
-    dealt = fps.repartition(shuffle_width(fps.sparkSession), "fp")
+    dealt = fps.repartition(shuffle_width(fps.sparkSession), F.xxhash64("fp"))
     cells = dealt.select(F.explode(grid_cells(F.col("fp"))).alias("cell"), "fp")
     found = cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_verified(limit), "a bigint, b bigint")
     found = written(found.distinct())

@@ -514,15 +514,17 @@ def _with_spans(docs: DataFrame, spans: DataFrame, text_at: int, measures: tuple
                 column = batch.column(batch.num_columns - 1)
                 null = column.is_null().to_pylist()
                 texts = byte_values(column)
-                keys = [_keyed(t) if len(t) >= least else (None, None) for t in texts]
+                keys = map(_keyed, texts)
                 raw = packed(None if n else t for n, t in zip(null, texts))
                 yield pa.record_batch([*batch.columns[:-1], raw, *(pa.array(k, pa.int64()) for k in zip(*keys))], names=[f.name for f in schema])
 
-    rows = docs.select(*others, text).mapInArrow(run, schema)
+    longer = F.coalesce(F.octet_length(text) >= least, F.lit(False))
+    rows = docs.filter(longer).select(*others, text).mapInArrow(run, schema)
     wide = [f.name for f in spans.schema.fields if f.name not in ("k1", "k2")]
-    longer = rows.filter("k1 is not null").join(spans, ["k1", "k2"], "left").select(*others, "packed", *wide)
+    found = rows.join(spans, ["k1", "k2"], "left").select(*others, "packed", *wide)
     none = [F.lit(None).cast(spans.schema[w].dataType).alias(w) for w in wide]
-    return longer.unionAll(rows.filter("k1 is null").select(*others, "packed", *none))
+    # short texts go to the next Python step as they are
+    return found.unionAll(docs.filter(~longer).select(*others, F.col(text).cast("binary").alias("packed"), *none))
 
 
 _REPORT = pa.schema(
