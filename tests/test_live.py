@@ -91,3 +91,14 @@ def test_checks(spark):
     assert validate.check_schema(spark.range(1), {"id": "bigint", "x": "double"}) == ["x: missing"]
     assert validate.required_rows(24, 6, 20) == 50
     assert ordinal.PENALTY[0][4] == 2.0 and targets.VARIED["direction"] == "sensitivity" and measures.REGIME_FACTOR["bull"] == 1.05
+
+
+def test_best_overlap():
+    from tidebar.operators.audits import best_overlap
+    from tidebar.operators.sequences import expected_count, step_size
+
+    for wanted in (1, 5, 20, 60):
+        o = best_overlap(200, 24, 6, wanted)
+        assert expected_count(200, 24, step_size(o, 24), 6) >= wanted
+        assert o == 0 or expected_count(200, 24, step_size(o, 24) + 1, 6) < wanted
+    assert best_overlap(200, 24, 6, 10_000) == pytest.approx(1 - 1 / 24)
