@@ -10,8 +10,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.llm import attention, mixing, pieces, sharding, simhash, suffixes
-from tests.llm.helpers import WORD, components, covered, docs_of
+from tidebar.llm import attention, mixing, pieces, sharding, suffixes
+from tests.llm.helpers import WORD, components, covered, docs_of, lower
 
 
 def plain_capacity(sizes, shards):
@@ -93,6 +93,66 @@ def test_mixing(spark):
     assert {r.target for r in mixing.plan(docs_of(spark, [(1, ""), (2, None)])).collect()} == {0.0}
 
 
+def plain_extra(rows, lacks, weight):
+    """Rows (size, digest) that get one more copy: certain ones, then by rank while the sum of sizes stays nearest."""
+    rows = [r for r in rows if weight(r) > 0 and r[0] > 0]
+    chance, certain = None, set()
+    if lacks <= 0:
+        return certain
+    for level in sorted({weight(r) for r in rows}, reverse=True):
+        heavier = sum(r[0] for r in rows if weight(r) > level)
+        c = (lacks - heavier) / sum(weight(r) * r[0] for r in rows if weight(r) <= level)
+        if c * level < 1:
+            chance, certain = c, {r for r in rows if weight(r) > level}
+            break
+    if chance is None:
+        return set(rows)
+    lacks -= sum(r[0] for r in certain)
+
+    def rank(r):
+        u = (int(r[1][:12], 16) + 0.5) / 2**48
+        p = chance * weight(r)
+        return (u / (1 - u)) / (p / (1 - p)), r[1]
+
+    total = 0
+    for r in sorted((r for r in rows if r not in certain), key=rank):
+        if total + r[0] - lacks > lacks - total:
+            break
+        total += r[0]
+        certain.add(r)
+    return certain
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_mixing_ranks_by_odds_over_inclusion_odds(spark, weighted):
+    rng = random.Random(14)
+    rows = [(k, " ".join("w" for _ in range(int(2 ** rng.uniform(0, 9)))), rng.choice("aaaabbc"), rng.choice([0, 1, 1, 2, 30, None])) for k in range(500)]
+    docs = docs_of(spark, [r[:3] for r in rows]).join(spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id bigint, w int"), "doc_id")
+    got = mixing.plan(docs, bins=16, weight_col="w" if weighted else None).collect()
+    digest = {r[0]: hashlib.md5(f"mix-1:{r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest() for r in rows}
+    own = {digest[r[0]]: r[3] or 0 for r in rows}
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    unequal = 0
+    for some in by.values():
+        size, target = some[0].source_size, some[0].target
+        base = int(target // size)
+        extra = plain_extra([(r["size"], digest[r.doc_id]) for r in some], target - base * size, (lambda x: own[x[1]]) if weighted else (lambda x: x[0].bit_length()))
+        for r in some:
+            assert r.copies == base + ((r["size"], digest[r.doc_id]) in extra)
+        unequal += len({r.copies for r in some}) > 1
+    assert unequal
+    assert Counter(r.doc_id for r in mixing.mix(docs, bins=16, weight_col="w" if weighted else None).collect()) == +Counter({r.doc_id: r.copies for r in got})
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = docs_of(spark, [(k, "a b c " * k, "s" + str(k % 2)) for k in range(20)])
+    odd = docs.withColumns({n: F.lit("mine") for n in ("digest", "_digest", "s", "rank", "copy", "weight", "base", "c0", "_mix_s")})
+    out = mixing.mix(odd)
+    assert out.columns == odd.columns and {r["digest"] for r in out.collect()} == {"mine"}
+
+
 def test_difference_cover_order():
     import numpy as np
 
@@ -112,22 +172,26 @@ def test_removal(spark, crowd, run_bytes):
     docs = docs_of(spark, enumerate(texts)).withColumn("anchor", F.lit("clash"))
     raw = [(t or "").encode() for t in texts]
     flags = covered(raw, 40)
-    options = {"length": 40, "gram": 12, "crowd": crowd, "run_bytes": run_bytes}
-    for r in suffixes.report(docs, **options).collect():
+    options = {"crowd": crowd, "run_bytes": run_bytes}
+    short = {"measure": suffixes.Measure("bytes", 40, 12), "passages": suffixes.Measure("words", 6, 2)}
+    words = covered([WORD.findall(t or "") for t in texts], 6)
+    for r in suffixes.report(docs, **short, **options).collect():
         t, f = raw[r.doc_id], flags[r.doc_id]
         kept = bytes(b for b, gone in zip(t, f) if not gone)
         spans = sum(1 for k, gone in enumerate(f) if gone and (k == 0 or not f[k - 1]))
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), sum(f), spans, hashlib.sha256(kept).hexdigest())
-    for r in suffixes.remove(docs, **options).collect():
+        w = words[r.doc_id]
+        assert (r.n_repeated_words, r.n_passages) == (sum(w), sum(1 for k, gone in enumerate(w) if gone and (k == 0 or not w[k - 1])))
+    for r in suffixes.remove(docs, 40, 12, **options).collect():
         kept = bytes(b for b, gone in zip(raw[r.doc_id], flags[r.doc_id]) if not gone).decode("utf-8", "ignore")
         assert (r.text or "") == kept and r.anchor == "clash"
-    assert suffixes.report(docs.filter("false"), **options).count() == 0
+    assert suffixes.report(docs.filter("false"), **short, **options).count() == 0
 
 
 def test_removal_of_repeated_rows(spark):
     text = "unique words in a row that nobody else has at all " * 1
     docs = docs_of(spark, [(1, text), (1, text), (None, "z" * 10)])
-    assert sorted((r.n_bytes, r.n_removed) for r in suffixes.report(docs, length=20, gram=5).collect()) == [(10, 0), (50, 50), (50, 50)]
+    assert sorted((r.n_bytes, r.n_removed) for r in suffixes.report(docs, measure=suffixes.Measure("bytes", 20, 5)).collect()) == [(10, 0), (50, 50), (50, 50)]
 
 
 def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
@@ -155,17 +219,26 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
     kept = {r for r, s in zip(rows, scores) if s >= 0.5}
     assert {(r.doc_id, r.text) for r in read("quality").collect()} == kept == made["near_copies_in"]
 
-    prints = {i: simhash.fingerprint(t.encode()) for i, t in kept}
-    roots = components(prints, lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 2)
-    assert {r.doc_id for r in read("near_copies").collect()} == {i for i in prints if roots[i] == i}
+    def shingles(t):
+        words = WORD.findall(lower(t))
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {i: shingles(t) for i, t in kept}
+    roots = components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert {r.doc_id for r in read("near_copies").collect()} == {i for i in sets if roots[i] == i}
 
     rows = sorted(made["passages_in"])
-    raw = [t.encode() for _, t in rows]
     want = set()
-    for (i, t), b, f in zip(rows, raw, covered(raw, 400)):
-        left = bytes(x for x, gone in zip(b, f) if not gone).decode("utf-8", "ignore")
-        if left or not t:
+    for (i, t), gone in zip(rows, covered([WORD.findall(t) for _, t in rows], 51)):
+        left, at = "", 0
+        for k, m in enumerate(WORD.finditer(t)):
+            if gone[k]:
+                left += t[at : m.start()] if k == 0 or not gone[k - 1] else ""
+                at = m.end()
+        left += t[at:]
+        if left.strip() or not t:
             want.add((i, left))
+    assert len(want) and {r[1] for r in want} != {t for _, t in rows}
     assert {(r.doc_id, r.text) for r in read("passages").collect()} == want
     assert all(r.n_chars == len(r.text) for r in read("passages").collect())
 
@@ -208,3 +281,39 @@ def test_passages_of_just_over_fifty_words(spark):
     whole = " ".join(passage)
     out = corpus_pipeline.passages(spark, docs_of(spark, [(1, whole), (2, whole.replace(" ", "\n", 3)), (3, None), (4, "")]), "").collect()
     assert sorted(r.doc_id for r in out) == [3, 4]
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    long = " ".join(f"word{k % 977} of {k}" for k in range(9000))
+    rows = [(None, None, None), (None, "", "a"), (1, None, "a"), (2, "", "b"), (3, " \n ", "b"), (4, long, "c"), (4, long, "c"), (5, long + " end", "c"), (6, "a b c d e f", "a"), (6, "a b c d e f", "a"), (None, "a b c d e f", "a")]
+    docs = docs_of(spark, rows).withColumns({n: F.lit("mine") for n in ("_score", "_before", "node", "spans", "piece_ids", "digest")})
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.filter("false"), sf_dir).count() == 0
+        out = stage(spark, docs, sf_dir)
+        got = out.collect()
+        if name == "tokens":
+            assert len(got) == len(rows) and all(r.lossless for r in got)
+            continue
+        assert out.columns == list(pipeline.COLUMNS)
+        texts = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got)
+        if name == "near_copies":  # one of the rows without words, of the long ones and of the short ones
+            assert texts == [(False, 1, ""), (False, 4, long), (False, 6, "a b c d e f")]
+        if name == "passages":  # the long texts repeat as a whole, but for a word
+            assert sorted(t for *_, t in texts) == ["", "", "", "", " \n "[:3], " end", *["a b c d e f"] * 3]
+
+
+def test_report_shows_passages_that_are_shorter_than_its_strings(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    texts = [[word() for _ in range(rng.randrange(150, 400))] for _ in range(60)]
+    planted = {}
+    for k in range(0, 40, 2):
+        passage = [word() for _ in range(rng.randrange(51, 81))]
+        for at in (k, k + 1):
+            texts[at][60:60] = passage
+            planted[at] = len(passage)
+    got = {r.doc_id: r for r in suffixes.report(docs_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])).collect()}
+    assert {i: r.n_repeated_words for i, r in got.items() if r.n_repeated_words} == planted
+    assert all(got[i].n_passages == 1 for i in planted) and sum(got[i].n_removed == 0 for i in planted) > 10

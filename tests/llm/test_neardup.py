@@ -109,6 +109,10 @@ def test_edit_check_with_null_and_repeated_ids(spark):
     rows = [(None, "x y z"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "q")]
     assert sketch.edit_check(docs_of(spark, rows)).count() == 4
     assert sketch.edit_check(docs_of(spark, [(None, "x"), (None, "y")])).count() == 2
+    far = [((1 << 62) + k, f"text of {k}") for k in range(40)]
+    edited = [t[: len(t) - len(t) // 2] + far[(k + 1) % 40][1][: len(t) // 2] for k, (_, t) in enumerate(far)]
+    want = {i: hashlib.sha256(e.encode()).hexdigest() for (i, _), e in zip(far, edited)}
+    assert {r.doc_id: r.edited_sha256 for r in sketch.edit_check(docs_of(spark, far)).collect()} == want
 
 
 def test_near_copies_by_five_word_sets(spark):
@@ -147,3 +151,64 @@ def test_near_copies_rows_without_or_with_equal_ids(spark):
     rows = [(7, same), (7, "another text under the same number as that"), (None, same), (None, "only null rows hold this text of words"), (None, "only null rows hold this text of words"), (9, None), (8, " ")]
     kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in nearcopies.one_of_each(docs_of(spark, rows)).collect())
     assert kept == [(-1, rows[3][1]), (7, rows[1][1]), (7, same), (8, " ")]
+
+
+def test_edit_check_splits_an_id_that_many_share(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, None, 4, 4, 4, k]), " ".join(rng.choice("abc") for _ in range(rng.randrange(40)))) for k in range(300)]
+    docs = docs_of(spark, rows)
+    kept = docs.select("doc_id", F.shiftright(F.xxhash64("text"), 11).alias("tie"), "text")
+    bounds = sketch._bounds(kept, 12)
+    assert len(bounds) >= 8 and sum(b[0] for b in bounds) > 2 and sum(b[:2] == (False, 4) for b in bounds) > 3
+    ordered = sorted((r.doc_id is None, r.doc_id or 0, r.tie, r.text) for r in kept.collect())
+    want = []
+    for k, (_, _, _, t) in enumerate(ordered):
+        following, half = ordered[(k + 1) % len(ordered)][3], len(t) // 2
+        want.append(hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest())
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        assert sorted(r.edited_sha256 for r in sketch.edit_check(docs).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_likeness_columns_are_those_of_the_shingle_sets(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice(["a", "b", "c", "d", "e"]) for _ in range(rng.randrange(0, 100)))) for k in range(12)]
+    got = {r.doc_id: r for r in sketch.edit_check(docs_of(spark, rows)).collect()}
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    for k, (i, t) in enumerate(rows):  # fewer than 128 shingles in all: exact
+        following = rows[(k + 1) % len(rows)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        if len(shingles(t) | shingles(edited)) < 128:
+            assert got[i].near_edited == pytest.approx(like(shingles(t), shingles(edited)))
+        if len(shingles(t) | shingles(following)) < 128:
+            assert got[i].near_next == pytest.approx(like(shingles(t), shingles(following)))
+        assert len(got[i].fingerprint) == 8 * min(128, len(shingles(t))) and (got[i].fingerprint == got[rows[(k + 1) % 12][0]].fingerprint) == (shingles(t) == shingles(following))
+
+
+def test_operators_take_columns_of_any_name(spark):
+    from tidebar.llm import nearcopies, pieces, suffixes
+
+    docs = docs_of(spark, [(k, f"some words of text {k} and more " * 3) for k in range(6)] + [(9, "some words of text 1 and more " * 3)])
+    odd = docs
+    for name in ("_id", "id", "_key", "key", "spans", "spans0", "fingerprint", "_digest", "digest", "k1", "_sa_k1", "packed", "node", "none", "c0", "fp", "salt", "anchor"):
+        odd = odd.withColumn(name, F.lit("mine"))
+    for made in (
+        simhash.one_of_each(odd),
+        nearcopies.one_of_each(odd),
+        suffixes.remove(odd, 20, 5),
+        suffixes.remove_passages(odd, 5),
+    ):
+        assert made.columns == odd.columns
+        rows = made.collect()
+        assert rows and all(r["_id"] == r["spans"] == r["packed"] == r["c0"] == r["node"] == "mine" for r in rows)
+    assert {r["_key"] for r in pieces.encode_table(odd, pieces.read_model("/opt/tokenizers/piece_bpe_32k.model")).collect()} == {"mine"}
+    assert {(r["_digest"], len(r["fingerprint"]) > 8) for r in sketch.sketches(odd).collect()} == {("mine", True)}
+    assert simhash.near_groups(odd).count() == sketch.edit_check(odd).count() == suffixes.report(odd).count() == 7
