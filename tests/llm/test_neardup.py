@@ -212,3 +212,31 @@ def test_operators_take_columns_of_any_name(spark):
     assert {r["_key"] for r in pieces.encode_table(odd, pieces.read_model("/opt/tokenizers/piece_bpe_32k.model")).collect()} == {"mine"}
     assert {(r["_digest"], len(r["fingerprint"]) > 8) for r in sketch.sketches(odd).collect()} == {("mine", True)}
     assert simhash.near_groups(odd).count() == sketch.edit_check(odd).count() == suffixes.report(odd).count() == 7
+
+
+def test_near_copies_of_a_crowd_that_is_not_alike(spark):
+    from tidebar.llm import nearcopies
+
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(500)}" for _ in range(200)]
+    rows = []
+    for k in range(120):  # up to 16 edits: some are near the base, most not near each other
+        own = list(base)
+        for _ in range(rng.randrange(1, 17)):
+            own[rng.randrange(200)] = f"own{k}-{rng.randrange(9)}"
+        rows.append((k, " ".join(own)))
+    rows += [(200, " ".join(base)), (300, " ".join(f"v{rng.randrange(500)}" for _ in range(200)))]
+    sets = {i: nearcopies.shingle_set(t.encode()) for i, t in rows}
+    near = lambda a, b: nearcopies.similarity(sets[a], sets[b]) >= 0.8
+    roots = plain_components(sets, near)
+    docs = docs_of(spark, rows)
+    for small, heads in ((16, 512), (2, 3)):
+        held = nearcopies.SMALL, nearcopies.HEADS
+        nearcopies.SMALL, nearcopies.HEADS = small, heads
+        try:
+            kept = {r.doc_id for r in nearcopies.one_of_each(docs, small=small).collect()}
+        finally:
+            nearcopies.SMALL, nearcopies.HEADS = held
+        assert kept >= {i for i in sets if roots[i] == i} and 300 in kept
+        assert not any(near(a, b) for a in kept for b in kept if a < b)
+        assert len(kept) < 100
