@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, pieces
+from .common import byte_values, give_back, pieces
 from .labelled import PER_CLASS, held_out, sample
 
 PASSAGE = 64
@@ -132,6 +132,7 @@ def train(texts: list[bytes], y: np.ndarray, counts: dict[int, int], epochs: int
         return {"constant": counts.get(1, 0) / total if total else 0.5}
     each = [encode(t) for t in texts]
     everything = np.concatenate(each)
+    each = np.split(everything, np.cumsum([len(e) for e in each])[:-1])  # views
     rng = np.random.default_rng(seed)
     d = everything.shape[1]
     m = {
@@ -180,9 +181,11 @@ def train(texts: list[bytes], y: np.ndarray, counts: dict[int, int], epochs: int
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", usable: Column | None = None, per_class: int = PER_CLASS) -> dict:
     """A model from the labelled rows of ``docs`` that are ``usable``."""
     rows, counts = sample(docs, labels, label_col, usable, per_class)
-    found = sorted(((r["doc_id"], r["text"] or "", r["y"]) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1]))
-    texts = [t.encode("utf-8", "surrogatepass") for _, t, _ in found]
-    return train(texts, np.array([y for _, _, y in found], np.float64), counts)
+    found = sorted((r["doc_id"], (r["text"] or "").encode("utf-8", "surrogatepass"), r["y"]) for r in rows.toLocalIterator())
+    model = train([t for _, t, _ in found], np.array([y for _, _, y in found], np.float64), counts)
+    del found
+    give_back()
+    return model
 
 
 def scores(model: dict, texts: list[bytes]) -> np.ndarray:

@@ -130,10 +130,10 @@ def pieces(batch: pa.RecordBatch, text_bytes: int = 16 << 20, column: str = "tex
     step = max(1, int(n * text_bytes / max(total, 1)))
     for at in range(0, n, step):
         yield batch.slice(at, min(step, n - at))
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Freed memory goes back to the system: a worker process serves many tasks, one after the other."""
     pa.default_memory_pool().release_unused()
     trim = getattr(_LIBC, "malloc_trim", None)

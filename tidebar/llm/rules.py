@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, pieces
+from .common import byte_values, give_back, pieces
 from .labelled import PER_CLASS, sample
 from .sketch import Hasher
 
@@ -167,8 +167,11 @@ def train(texts: list[bytes], y: np.ndarray, counts: dict[int, int], steps: int
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS) -> dict | None:
     """The model of the labelled rows of ``docs``."""
     rows, counts = sample(docs, labels, label_col, None, per_class)
-    found = sorted(((r["doc_id"], r["text"] or "", r["y"]) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1]))
-    return train([t.encode("utf-8", "surrogatepass") for _, t, _ in found], np.array([y for _, _, y in found], np.float64), counts)
+    found = sorted((r["doc_id"], (r["text"] or "").encode("utf-8", "surrogatepass"), r["y"]) for r in rows.toLocalIterator())
+    model = train([t for _, t, _ in found], np.array([y for _, _, y in found], np.float64), counts)
+    del found
+    give_back()
+    return model
 
 
 def probability(model: dict | None, text: bytes, hashes: np.ndarray) -> float:
