@@ -61,6 +61,66 @@ select doc_id, size::bigint as size, source_size, target,
 from o
 """
 
+#: Levels of the trees that the statement spells out: 16**6 rows a source, 16**3 sources.
+_LEVELS, _CROWN = 6, 3
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _fields(text: str) -> str:
+    values = ["doc_id::varchar", "source", "lang", "n_chars::varchar", text]
+    return " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values)
+
+
+def _tree(name: str, of: str, levels: int) -> str:
+    """CTEs {name}0.. of (s, n, pos, h), each level made of the one before, from ``of``; runs {name}r0.. hold the digests of each run."""
+    out = [f"{name}0 as (select s, n, pos, h from {of})"]
+    for k in range(levels):
+        out.append(f"{name}r{k} as (select s, any_value(n) as n, pos // 16 as up, list(h order by pos) as run from {name}{k} group by s, pos // 16)")
+        out.append(f"{name}{k + 1} as (select s, (n + 15) // 16 as n, up as pos, case when n = 1 then run[1] else sha256(array_to_string(run, '')) end as h from {name}r{k})")
+    return ",\n".join(out)
+
+
+def _climb(name: str, of: str, levels: int) -> str:
+    """CTEs {name}f0.. that fold column ``v`` of ``of`` (s, pos, v, proof) upward level by level."""
+    out, last = [], of
+    for k in range(levels):
+        left, right = f"array_to_string(run[1:pos % 16], '')", "array_to_string(run[pos % 16 + 2:], '')"
+        out.append(
+            f"{name}f{k} as (select f.* replace (pos // 16 as pos, case when r.n = 1 then v else sha256({left} || v || {right}) end as v, "
+            f"case when r.n = 1 then proof else proof || {left} || {right} end as proof) from {last} f join {name}r{k} r on f.s = r.s and f.pos // 16 = r.up)"
+        )
+        last = f"{name}f{k}"
+    return ",\n".join(out)
+
+
+OP12 = f"""
+with d as (
+    select *, sha256({_fields("text")}) as leaf,
+           xor(list_reduce(
+               [4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+               lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))
+           ), 4294967295) as crc
+    from documents
+),
+e as (
+    select *, case when crc % 5 = 0 then sha256({_fields(f"translate(text, '{_UPPER}', '{_LOWER}')")}) else leaf end as shown,
+           dense_rank() over (order by source nulls first) - 1 as s, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos,
+           count(*) over (partition by source) as n
+    from d
+),
+l as (select s, n, pos, leaf as h from e),
+{_tree("t", "l", _LEVELS)},
+c as (select 0 as s, (select count(*) from t{_LEVELS}) as n, s as pos, h from t{_LEVELS}),
+{_tree("u", "c", _CROWN)},
+b as (select doc_id, leaf, s, pos, s as place, shown as v, '' as proof from e),
+{_climb("t", "b", _LEVELS)},
+g as (select f.doc_id, f.leaf, t.h as subroot, 0 as s, f.place as pos, f.v, f.proof from tf{_LEVELS - 1} f join t{_LEVELS} t on f.s = t.s),
+{_climb("u", "g", _CROWN)}
+select doc_id, leaf, subroot, r.h as root, sha256(proof) as proof_sha256, v as folded_root, v = r.h as verified
+from uf{_CROWN - 1}, u{_CROWN} r
+"""
+
 ORACLE: dict[str, str] = {
     "op10_mixing": OP10,
+    "op12_merkle": OP12,
 }
