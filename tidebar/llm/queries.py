@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, licenses, lm, merkle, mixing, pieces, rules, sharding, simhash, sketch, suffixes
+from . import attention, licenses, lm, merkle, mixing, phrases, pieces, rules, sharding, simhash, sketch, suffixes
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -64,6 +64,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.lowered_fifth())
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
@@ -76,4 +80,5 @@ QUERIES = {
     "op9_rules": op9_rules,
     "op10_mixing": op10_mixing,
     "op12_merkle": op12_merkle,
+    "op13_phrases": op13_phrases,
 }

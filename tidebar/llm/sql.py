@@ -120,7 +120,40 @@ select doc_id, leaf, subroot, r.h as root, sha256(proof) as proof_sha256, v as f
 from uf{_CROWN - 1}, u{_CROWN} r
 """
 
+OP13 = r"""
+with t as (
+    select coalesce(lang, 'und') as lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from t),
+g as (
+    select lang, m, array_to_string(w[s:s + m - 1], ' ') as phrase
+    from (select lang, w, unnest(range(1, len(w) + 1)) as s from p) x, (select unnest([1, 2, 3, 4]) as m) y where s + m - 1 <= len(w)
+),
+f as (select lang, m, phrase, count(*) as f from g group by all having count(*) >= 30),
+n as (select lang, count(*) as n from g where m = 1 group by lang),
+c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1),
+k as (select *, unnest(range(1, m)) as k from c),
+s as (
+    select k.lang, k.phrase, a, k, x.f as l, y.f as r, (2000000::hugeint * a // (x.f + y.f))::bigint as score
+    from k join f x on x.lang = k.lang and x.phrase = array_to_string(w[1:k], ' ') join f y on y.lang = k.lang and y.phrase = array_to_string(w[k + 1:], ' ')
+),
+b as (select lang, phrase, any_value(a) as a, min({'score': score, 'k': k, 'l': l, 'r': r}) as least from s group by lang, phrase),
+h as (
+    select lang, array_to_string(w[s:s + v - 1], ' ') as phrase, max(a) as longer
+    from (select *, unnest(range(1, m)) as s from c) x, (select unnest([2, 3]) as v) y where v < m and s + v - 1 <= m group by 1, 2
+),
+z as (
+    select b.lang, b.phrase, b.a, least.l as l, least.r as r, least.score as score
+    from b left join h on h.lang = b.lang and h.phrase = b.phrase where h.longer is null or 100::hugeint * h.longer < 80::hugeint * b.a
+),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from z)
+select o.lang, rank, phrase, a, l, r, n, score from o join n on n.lang = o.lang where rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op10_mixing": OP10,
     "op12_merkle": OP12,
+    "op13_phrases": OP13,
 }
