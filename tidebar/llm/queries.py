@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, licenses, lm, merkle, mixing, phrases, pieces, rules, sharding, simhash, sketch, suffixes
+from . import attention, licenses, lm, merkle, mixing, neighbours, phrases, pieces, rules, sharding, simhash, sketch, suffixes
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -60,6 +60,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.lowered_fifth())
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_rules": op9_rules,
     "op10_mixing": op10_mixing,
+    "op11_neighbours": op11_neighbours,
     "op12_merkle": op12_merkle,
     "op13_phrases": op13_phrases,
 }
