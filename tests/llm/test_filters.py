@@ -207,6 +207,31 @@ def test_training_rows_do_not_follow_the_partitions(spark):
     assert some == take(5, most_bytes=300) and 0 < len(some) < 30
 
 
+def test_a_long_text_does_not_empty_the_training_rows(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+    from tidebar.llm import attention, labelled, rules
+
+    first = min(range(40), key=lambda k: spark.range(1).select(F.xxhash64(F.lit(k).cast("bigint"))).first()[0])
+    rows = [(k, f"{'good plain prose of words' if k % 2 else '#$ %& spam *** $$'} {k} " * 2) for k in range(40)]
+    rows[first] = (first, rows[first][1] * 60)
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int")
+    most = len(rows[first][1]) // 2
+    assert sum(len(t) for k, t in rows if k != first) > most > 1000
+    taken = labelled.sample(docs, labels, "quality", most_bytes=most)[0].collect()
+    assert first not in {r.doc_id for r in taken} and {r.y for r in taken} == {0, 1}
+    assert most * 0.9 < sum(len(r.text) for r in taken) <= most
+    with pytest.raises(ValueError, match="label 1"):
+        labelled.sample(docs.filter("doc_id < 1 or doc_id % 2 = 1"), labels, "quality", most_bytes=len(rows[0][1]))
+    monkeypatch.setattr(labelled.sample, "__defaults__", (None, labelled.PER_CLASS, most))
+    assert "constant" not in attention.fit(docs, labels)
+    judged = {r.doc_id: r.kept for r in rules.judge(docs, rules.fit(docs, labels)).collect()}
+    assert len(judged) == 40
+    labels.withColumn("toxic", F.lit(0)).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert kept and kept <= {k for k in range(40) if k % 2}
+
+
 def test_attention_scores_by_a_plain_forward_pass():
     import math
 

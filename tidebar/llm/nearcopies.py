@@ -14,9 +14,14 @@ what many copies come from shares more keys than the copies among themselves. On
 in the first round, then up to ``HEADS``. Heads come first in a bucket's sorted stream,
 which is cut into chunks of about ``CHUNK`` classes with the heads in each; a class is
 linked to the first head that it is near to, so no pairs are made. Linked classes leave
-all buckets, heads leave theirs, and the rest goes on until none is left. So of two
-near copies that share a key at most one stays; a chain of near copies whose ends are
-none may end in several groups.
+all buckets, heads leave theirs, and the rest goes on until none is left.
+
+A class that left is stood for by its head. One minus the similarity is a metric, so
+two classes can be near only if their heads are at 0.4 or more (0.6 if one of them is a
+head itself, or stood for by none). In every crowded bucket whose classes are not one group
+by then, heads of followers are compared with all others of other groups, and where two
+are that alike, their followers with each other. So two near copies that share a key are
+always in one group.
 
 Texts are not exchanged but for those that have a candidate, and for the result.
 
@@ -168,52 +173,120 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _against_heads(least: float):
-    """Rows (key, chunk, place, node, hashes) sorted by key, chunk and place, heads with places from 1, others with none after them, to links (head, class)."""
+class _Heads:
+    """Sets that others are compared with."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, heads, index = None, [], None
+    def __init__(self):
+        self.nodes: list[int] = []
+        self.hashes: list[np.ndarray] = []
+        self.index: tuple | None = None
+
+    def add(self, node: int, hashes: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.hashes.append(hashes)
+        self.index = None
 
-        def indexed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """All hashes of the heads in order, the head of each, and the heads' sizes."""
-            sizes = np.array([len(h) for _, h in heads])
-            hashes = np.concatenate([h for _, h in heads])
+    def near(self, own: np.ndarray, least: float) -> np.ndarray:
+        """Places of the heads of that similarity or more, in order."""
+        if self.index is None:
+            sizes = np.array([len(h) for h in self.hashes])
+            hashes = np.concatenate(self.hashes)
             order = np.argsort(hashes, kind="stable")
-            return hashes[order], np.repeat(np.arange(len(heads)), sizes)[order], sizes
-
-        def first_near(own: np.ndarray) -> int:
-            """The first of the heads that is near, -1: none."""
-            hashes, owner, sizes = index
-            low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, side="right")
-            n = high - low
-            found = owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-            both = np.bincount(found, minlength=len(heads))
-            near = np.flatnonzero(both >= least * (len(own) + sizes - both))
-            return int(near[0]) if len(near) else -1
+            self.index = hashes[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes
+        hashes, owner, sizes = self.index
+        low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, side="right")
+        n = high - low
+        found = owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        both = np.bincount(found, minlength=len(sizes))
+        return np.flatnonzero(both >= least * (len(own) + sizes - both))
+
+
+def _against_heads(least: float, alike: bool = False):
+    """Rows (key, chunk, place, node, hashes) sorted by key, chunk and place, heads with places from 1, others with none after them, to links (head, class).
 
+    A class has one link, to the first head that is near. With ``alike`` rows also have their
+    (root, leads), and (a, b) are all pairs of different roots that are alike enough
+    for their followers to be near: twice the distance of a near copy, three times if both lead.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heads, roots = None, _Heads(), []
+        far = 1 - least
         for batch in batches:
             links: list[tuple[int, int]] = []
-            for key, chunk, place, node, raw in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for key, chunk, place, node, raw, *group in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
                 own = np.frombuffer(raw, np.uint64)
                 if (key, chunk) != at:
-                    at, heads, index = (key, chunk), [], None
+                    at, heads, roots = (key, chunk), _Heads(), []
                 if place:
-                    heads.append((node, own))
-                    index = None
-                    continue
-                if not heads:
-                    continue
-                if index is None:
-                    index = indexed()
-                f = first_near(own)
-                if f >= 0:
-                    links.append((heads[f][0], node))
+                    heads.add(node, own)
+                    roots.append(group[0] if group else None)
+                elif heads.nodes and not alike:
+                    links += [(heads.nodes[f], node) for f in heads.near(own, least)[:1].tolist()]
+                elif heads.nodes:
+                    # a hair less, as rounding must lose none
+                    found = heads.near(own, 1 - (3 if group[1] else 2) * far - 1e-9).tolist()
+                    links += [(heads.nodes[f], node) for f in found if roots[f] != group[0]]
             if links:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], schema=_LINK)
 
     return run
 
 
+def _streamed(heads: DataFrame, others: DataFrame, sets: DataFrame, run, more: tuple[str, ...] = ()) -> DataFrame:
+    """``run`` over every bucket: its ``heads`` (key, slice, place, node, n: how many others, ...) before its ``others`` (key, node, slices: of heads, ...).
+
+    Each slice of heads meets the others in chunks, of which each has a copy of the slice.
+    """
+    of = lambda n: F.greatest(F.ceil(n / CHUNK).cast("int"), F.lit(1))
+    chunks = of(F.col("n"))
+    first = heads.select("key", "slice", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "place", "node", *more)
+    own = F.pmod(F.xxhash64("node", "key"), of(F.col("n"))).cast("int")
+    after = others.select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), own.alias("chunk"), F.lit(0).alias("place"), "node", *more)
+    held = first.unionAll(after).join(sets, "node").select("key", (F.col("slice").cast("bigint") * (1 << 32) + F.col("chunk")).alias("chunk"), "place", "node", "hashes", *more)
+    laid = held.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.col("place") == 0, "place")
+    return laid.mapInArrow(run, "a bigint, b bigint")
+
+
+def _sliced(rows: DataFrame) -> DataFrame:
+    """Rows of each ``key`` with a slice of about ``HEADS`` of them, by hash, and a place in it that is not 0."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HEADS).cast("int").alias("slices"))
+    return rows.join(sizes, "key").withColumns({"slice": F.pmod(F.xxhash64("node", "key"), F.col("slices")).cast("int"), "place": F.lit(1)})
+
+
+def _completed(crowded: DataFrame, followers: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of classes that share a key of ``crowded`` (key, node) and are in different groups of ``links``, because one left for its head.
+
+    ``followers``: (head, class), each class once.
+    """
+    stood = followers.select(F.col("b").alias("node"), F.col("a").alias("head"))
+    leading = stood.select(F.col("head").alias("node")).distinct().withColumn("leads", F.lit(True))
+    roots = connected(links)
+    root = roots.select("node", "root")
+    shown = crowded.join(stood, "node", "left").select("key", F.coalesce("head", "node").alias("node")).distinct()
+    shown = shown.join(leading, "node", "left").join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("leads", F.lit(False)).alias("leads"))
+    shown = written(shown)
+    mixed = shown.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.count_if("leads").alias("led"))
+    mixed = written(mixed.filter("low <> high and led > 0").select("key", "n", F.ceil(F.col("led") / HEADS).cast("int").alias("slices")))
+    if mixed.isEmpty():
+        discard(shown, mixed)
+        return links.limit(0)
+    open_ = shown.join(mixed, "key")
+    place = F.pmod(F.xxhash64("node", "key"), F.col("slices")).cast("int")
+    leads = open_.filter("leads").select("key", place.alias("slice"), F.lit(1).alias("place"), "node", "n", "root", "leads")
+    pairs = _streamed(leads, open_.select("key", "node", "n", "slices", "root", "leads"), sets, _against_heads(least, True), ("root", "leads"))
+    pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().withColumn("key", F.xxhash64("a", "b")))
+    both = stood.select("head", "node").unionAll(stood.select("head", F.col("head").alias("node")).distinct())
+    followed = lambda side: pairs.join(both, pairs[side] == both["head"], "left").select("key", F.coalesce("node", side).alias("node"))
+    first, others = written(_sliced(followed("a"))), written(followed("b"))
+    n = others.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    slices = first.groupBy("key").agg(F.first("slices").alias("slices"))
+    found = _streamed(first.join(n, "key"), others.join(n, "key").join(slices, "key"), sets, _against_heads(least))
+    found = written(found.filter("a <> b").distinct())
+    discard(shown, mixed, pairs, first, others)
+    return found
+
+
 def _simhash_pairs(heads: DataFrame) -> DataFrame:
     """(a, b): classes of one fingerprint with the first of them, and the first ones of linked fingerprints."""
     firsts = written(heads.groupBy("fp").agg(F.min("node").alias("first")))
@@ -243,7 +316,7 @@ def near_links(heads: DataFrame, rows: DataFrame, least: float = SIMILARITY, sma
     left = written(entries.join(asked.join(popular, "node"), "node").select("key", "node", at.alias("at")))
     discard(entries)
 
-    links, heads_a_round = _linked(similar, sets, least), 1
+    links, heads_a_round, crowded, followers = _linked(similar, sets, least), 1, None, None
     while True:
         sizes = written(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         if sizes.isEmpty():
@@ -254,26 +327,27 @@ def near_links(heads: DataFrame, rows: DataFrame, least: float = SIMILARITY, sma
         many = written(left.join(sizes.filter(F.col("n") > small), "key"))
         if many.isEmpty():
             break
+        crowded = written(many.select("key", "node")) if crowded is None else crowded
         if heads_a_round == 1:
             heads = many.groupBy("key", "n").agg(F.min("at").alias("at")).select("key", "n", F.col("at.node").alias("node"), F.lit(1).alias("place"))
         else:
             place = F.row_number().over(Window.partitionBy("key").orderBy("at"))
             heads = many.withColumn("place", place).filter(F.col("place") <= heads_a_round).select("key", "n", "node", "place")
         heads = written(heads)
-        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-        own = F.pmod(F.xxhash64("node", "key"), chunks).cast("int")
-        rows = many.select("key", own.alias("chunk"), F.lit(0).alias("place"), "node")
-        rows = rows.unionAll(heads.select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "place", "node"))
-        held = rows.join(sets, "node").select("key", "chunk", "place", "node", "hashes")
-        laid = held.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.col("place") == 0, "place")
-        good = written(laid.mapInArrow(_against_heads(least), "a bigint, b bigint").filter("a <> b").distinct())
+        one = F.lit(0).alias("slice")
+        found = _streamed(heads.withColumn("slice", one), many.select("key", "node", "n", F.lit(1).alias("slices")), sets, _against_heads(least))
+        good = written(found.filter("a <> b").distinct())
         links = links.unionAll(good)
+        followers = good if followers is None else followers.unionAll(good)
         # heads are rows of their chunks too, so they are compared among themselves
         gone = good.select(F.col("b").alias("node")).distinct()
         rest = written(many.drop("n").join(heads.select("key", "node"), ["key", "node"], "left_anti").join(gone, "node", "left_anti"))
         discard(left, sizes, many, heads)
         left, heads_a_round = rest, HEADS if heads_a_round > 1 else 32
     links = written(links)
+    if followers is not None:
+        one_each = followers.groupBy("b").agg(F.min("a").alias("a"))
+        links = written(links.unionAll(_completed(crowded, one_each, links, sets, least)))
     discard(sets, similar, asked)
     return links
 
