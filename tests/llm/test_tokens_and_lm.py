@@ -56,55 +56,12 @@ def test_table(spark, model):
     assert pieces.encode_table(docs.filter("false"), model).count() == 0
 
 
-def test_cross_entropy_difference(spark):
-    texts = ["a b a b c", "a a b", "", "c c c d", "b a d d d d", None]
-    good = ["a b a b c", "a a b"]
-    background, target = docs_of(spark, enumerate(texts)), docs_of(spark, enumerate(good))
-    models = lm.fit(target, background, size=3)
-    got = {r.doc_id: r for r in lm.score(background, models).collect()}
-    counts = Counter(w for t in texts for w in (t or "").split())
-    known = [w for w in counts if sum(n >= counts[w] for n in counts.values()) <= 3]
-
-    def tokens(t):
-        return ["^", *(w if w in known else "?" for w in (t or "").split())]
-
-    def table(corpus):
-        one, two = Counter(), Counter()
-        for t in corpus:
-            s = tokens(t)
-            one.update(s)
-            two.update(zip(s, s[1:]))
-        return one, two, sum(n for w, n in one.items() if w != "^")
-
-    made = {"t": table(good), "b": table(texts)}
-    scale = {"t": 1.0, "b": made["t"][2] / made["b"][2]}
-
-    def loss(name, v, w):
-        one, two, total = made[name]
-        k = scale[name]
-        share = (one[w] * k + 1) / (total * k + len(known) + 1)
-        return -math.log((min(two[v, w] * k, one[v] * k) + lm.MU * share) / (one[v] * k + lm.MU))
-
-    for k, t in enumerate(texts):
-        s = tokens(t)
-        each = [loss("t", v, w) - loss("b", v, w) for v, w in zip(s, s[1:])]
-        assert got[k].n_tokens == len(each)
-        assert got[k].score == pytest.approx(sum(each) / len(each) if each else 0.0, abs=1e-5)
-    assert lm.score(background.filter("false"), models).count() == 0
-
-
 def test_no_target(spark):
     background = docs_of(spark, [(1, "a b c")])
     models = lm.fit(background.filter("false"), background)
     assert lm.score(background, models).count() == 1
 
 
-def test_labelled_target(spark):
-    docs = docs_of(spark, [(1, "x"), (2, "y"), (3, "z"), (3, "z")])
-    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 1), (None, 1)], "doc_id bigint, quality int")
-    assert sorted(r.text for r in lm.labelled_target(docs, labels).collect()) == ["x", "z", "z"]
-
-
 def test_every_occurrence_draws_on_its_own(model):
     e = pieces.Encoder(model, 0.3, 1)
     texts = ["international waters"] * 300
@@ -158,7 +115,7 @@ def test_labelled_rows_are_the_target(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(45)] + [(7, 1), (None, 1)], "doc_id bigint, quality int")
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score)
     one = sorted(lm.score(docs, lm.fit_labelled(docs, labels)).collect(), key=key)
-    two = sorted(lm.score(docs, lm.fit(lm.labelled_target(docs, labels), docs)).collect(), key=key)
+    two = sorted(lm.score(docs, lm.fit(docs.join(labels.filter("quality = 1"), "doc_id", "left_semi"), docs)).collect(), key=key)
     assert len(one) == len(rows) and [r.n_tokens for r in one] == [r.n_tokens for r in two]
     assert [r.score for r in one] == pytest.approx([r.score for r in two]) and any(r.score for r in one)
     part = docs.filter("doc_id < 20")

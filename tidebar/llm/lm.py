@@ -1,19 +1,14 @@
 """Cross-entropy difference scores from two matched bigram models.
 
-By default every word and every pair of words has a count of its own, held as a
+Every word and every pair of words has a count of its own, held as a
 distributed table: blocks of texts send the distinct keys that they hold, with
 their counts, to the part of each key; parts sum over all blocks and answer each
 block that asks. A frequent key comes once a block, so none is crowded. Keys are
 48-bit hashes, sent as compressed differences. A block's rows come in the order of id
 and text hash, so counting and scoring see the same blocks whenever a task is run again.
 
-With a ``size`` both models fit in memory and share one vocabulary: the most frequent words of the background
-corpus, all of it counted, at most ``VOCABULARY``; where words of one frequency
-don't all fit, none of them is taken. Any other word is one unknown token. They
-also share order, smoothing and layout. Counts of word pairs are kept in
-``1 << PAIR_BITS`` hashed cells, so a model's size is fixed however large the
-corpora are; the counts come from every document. Background counts are scaled
-to the target's number of tokens.
+Both models share the vocabulary (all words of the background), order and smoothing.
+Background counts are scaled to the target's number of tokens.
 
 p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU), p(w) = (c(w) + 1) / (N + V).
 
@@ -21,20 +16,15 @@ A document's score is the mean over its tokens of target loss less background
 loss, in nats: below 0 it resembles the target more than the corpus at large.
 Each text is one sequence that begins with a boundary token.
 
-Every task sends its counts in compressed blocks of cells, one row a block; the
-blocks are summed in a stream, so no task holds more than one sum and a batch.
-
 Defined results: a null or empty text, or one without words, has 0 tokens and
 losses and score 0. Without a target all scores are those of an empty target
 model. Null ids and repeated rows are rows like others. Very long texts are whole; memory
-follows the longest. With a ``size``,
-words of over ``LONGEST`` bytes are unknown. An empty table gives an empty result. Other
+follows the longest. Words of equal counts need no order. An empty table gives an empty result. Other
 columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,166 +36,13 @@ from pyspark.sql import functions as F
 
 from .common import byte_values, packed, pieces, shuffle_width, written
 
-VOCABULARY = 1 << 16
-PAIR_BITS = 20
 MU = 200.0
-LONGEST = 64
-_BLOCK = 1 << 14
 _KEPT_WORDS = 1 << 19
-_FLUSH = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BOUNDARY = np.uint64(0x5851F42D4C957F2D)
 BLOCK_BYTES = 16 << 20
 
 
-def _mark(word: bytes) -> int:
-    """A word's number in the vocabulary count: its hash as a signed 64-bit integer."""
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the most frequent words, at most ``size``: all from the lowest frequency level that still fits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            made = [(_mark(w), n) for w, n in seen.items() if len(w) <= LONGEST]
-            seen.clear()
-            return pa.record_batch([pa.array([m for m, _ in made], pa.int64()), pa.array([n for _, n in made], pa.int64())], names=["word", "n"])
-
-        for whole in batches:
-            for batch in pieces(whole, 4 << 20):
-                for text in byte_values(batch.column(0)):
-                    seen.update(text.lower().split())
-                    if len(seen) > _FLUSH:
-                        yield rows()
-        if seen:
-            yield rows()
-
-    counted = written(docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    # words by level of frequency: exact below 1024, then 64 levels an octave; a few thousand rows at most
-    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) - 640 + 1024)
-    levels = sorted(((r[0], r[1]) for r in counted.groupBy(level.alias("level")).count().collect()), reverse=True)
-    least, taken = None, 0
-    for at, n in levels:
-        if taken + n > size:
-            break
-        least, taken = at, taken + n
-    if least is None:
-        return np.empty(0, np.int64)
-    return np.sort(np.array([r[0] for r in counted.filter(level >= least).select("word").collect()], np.int64))
-
-
-class Tokens(dict):
-    """Numbers of words: 0 the boundary, 1 unknown, then the vocabulary in order; fills itself as words come."""
-
-    def __init__(self, known: np.ndarray):
-        super().__init__()
-        self.known = known
-
-    def __missing__(self, word: bytes) -> int:
-        number = 1
-        if len(word) <= LONGEST and len(self.known):
-            mark = _mark(word)
-            at = int(np.searchsorted(self.known, mark))
-            if at < len(self.known) and self.known[at] == mark:
-                number = at + 2
-        self[word] = number
-        return number
-
-    def of(self, text: bytes) -> np.ndarray:
-        """A boundary, then the number of each word."""
-        if len(self) > _KEPT_WORDS:
-            self.clear()
-        words = text.lower().split()
-        out = np.zeros(len(words) + 1, np.int64)
-        out[1:] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return out
-
-
-def pair_cell(left: np.ndarray, right: np.ndarray, bits: int = PAIR_BITS) -> np.ndarray:
-    """The hashed cell of each pair of token numbers."""
-    key = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
-    key = (key ^ (key >> np.uint64(15))) * _MIX
-    key = (key ^ (key >> np.uint64(31))) * _MIX
-    return (key >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def counts(docs: DataFrame, known: np.ndarray, bits: int = PAIR_BITS) -> np.ndarray:
-    """Counts of each token, then of each pair cell, in one array."""
-    words = len(known) + 2
-    total = words + (1 << bits)
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most VOCABULARY numbers
-    schema = pa.schema([("block", pa.int32()), ("packed", pa.binary())])
-
-    def packed(table: np.ndarray) -> pa.RecordBatch:
-        press = zstandard.ZstdCompressor(level=1)
-        at = [k for k in range(0, total, _BLOCK) if table[k : k + _BLOCK].any()]
-        return pa.record_batch(
-            [pa.array([k // _BLOCK for k in at], pa.int32()), pa.array([press.compress(table[k : k + _BLOCK].tobytes()) for k in at], pa.binary())], schema=schema
-        )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, tokens = np.zeros(total, np.int64), Tokens(shared.value)
-        for whole in batches:
-            for batch in pieces(whole, 4 << 20):
-                for text in byte_values(batch.column(0)):
-                    t = tokens.of(text)
-                    np.add.at(table, t, 1)
-                    np.add.at(table, words + pair_cell(t[:-1], t[1:], bits), 1)
-        yield packed(table)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        undo, block, held = zstandard.ZstdDecompressor(), None, None
-
-        def row() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([block], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(held.tobytes())], pa.binary())], schema=schema)
-
-        for batch in batches:
-            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(undo.decompress(raw), np.int64)
-                if at == block:
-                    held += part
-                else:
-                    if held is not None:
-                        yield row()
-                    block, held = at, part.copy()
-        if held is not None:
-            yield row()
-
-    made = docs.select("text").mapInArrow(count, "block int, packed binary")
-    summed = made.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, packed binary")
-    out = np.zeros(total, np.int64)
-    for r in summed.toLocalIterator():  # total / _BLOCK rows
-        part = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["packed"])), np.int64)
-        out[r["block"] * _BLOCK : r["block"] * _BLOCK + len(part)] = part
-    return out
-
-
-class Models:
-    """Target and background over one vocabulary; ``losses`` are per token, in nats."""
-
-    def __init__(self, known: np.ndarray, target: np.ndarray, background: np.ndarray, bits: int = PAIR_BITS, mu: float = MU):
-        self.known, self.bits, self.mu = known, bits, np.float32(mu)
-        words = len(known) + 2
-        tokens = [float(c[1:words].sum()) for c in (target, background)]
-        scale = tokens[0] / tokens[1] if tokens[0] and tokens[1] else 1.0
-        self.tables = []
-        for table, factor, total in ((target, 1.0, tokens[0]), (background, scale, tokens[1] * scale)):
-            single = (table[:words] * factor).astype(np.float32)
-            share = ((single + 1) / (total + words - 1)).astype(np.float32)
-            self.tables.append((single, share, (table[words:] * factor).astype(np.float32)))
-
-    def losses(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = tokens[:-1], tokens[1:]
-        cell = pair_cell(left, right, self.bits)
-        out = [
-            np.log(single[left] + self.mu) - np.log(np.minimum(pairs[cell], single[left]) + self.mu * share[right]) for single, share, pairs in self.tables
-        ]
-        return out[0], out[1]
-
-
 class Hashes(dict):
     """Hash of each word; fills itself as words come."""
 
@@ -489,44 +326,11 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     return Tables(None, docs, mu, good)
 
 
-def fit(target: DataFrame, background: DataFrame, size: int | None = None, bits: int = PAIR_BITS, mu: float = MU) -> Models | Tables:
-    """Models of the texts of two tables; with a ``size``, of at most so many words and in memory."""
-    if size is None:
-        return Tables(target, background, mu)
-    known = vocabulary(background, size)
-    return Models(known, counts(target, known, bits), counts(background, known, bits), bits, mu)
+def fit(target: DataFrame, background: DataFrame, mu: float = MU) -> Tables:
+    """Models of the texts of two tables."""
+    return Tables(target, background, mu)
 
 
-def score(docs: DataFrame, models: Models | Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, models: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, loss_target, loss_background and score, their difference."""
-    if isinstance(models, Tables):
-        return _score_tables(docs, models, id_col, text_col)
-    kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # fixed by VOCABULARY and PAIR_BITS
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((n, pa.float64()) for n in ("loss_target", "loss_background", "score"))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        tokens = Tokens(known.known)
-        for whole in batches:
-            for batch in pieces(whole, 4 << 20):
-                rows = []
-                for text in byte_values(batch.column(1)):
-                    t = tokens.of(text)
-                    if len(t) == 1:
-                        rows.append((0, 0.0, 0.0, 0.0))
-                        continue
-                    a, b = (float(x.mean(dtype=np.float64)) for x in known.losses(t))
-                    rows.append((len(t) - 1, a, b, a - b))
-                yield pa.record_batch([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:]))], schema=schema)
-
-    return kept.mapInArrow(run, "doc_id bigint, n_tokens bigint, loss_target double, loss_background double, score double")
-
-
-def labelled_target(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
-    """The texts of documents that are labelled 1.
-
-    Labels grow with the documents, so both sides are exchanged at every size.
-    """
-    good = labels.filter(F.col(label_col) == 1).select(F.col("doc_id").cast("bigint").alias("_id")).filter("_id is not null").distinct()
-    return docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text").join(good.hint("merge"), "_id", "left_semi").select("text")
+    return _score_tables(docs, models, id_col, text_col)
