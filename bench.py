@@ -19,7 +19,7 @@ RUNS = 3
 def operators() -> dict:
     """Name to a function of (bars, bars with their base columns) that gives the operator's rows."""
     from tidebar.functions.windows import staged
-    from tidebar.operators import balance, channels, folds, metrics, pipelines, preprocess, sequences, targets, trend, volatility
+    from tidebar.operators import balance, channels, metrics, pipelines, preprocess, recurrences, sequences, targets, trend, volatility
 
     def summaries(b):
         return sequences.summaries(b, 24, 12, 6)
@@ -35,12 +35,12 @@ def operators() -> dict:
         "obv": lambda b, w: staged(w, {"signed": volatility.signed_volume()}, {"obv": volatility.obv()}),
         "vwap": lambda b, w: w.withColumns({"vwap_20": volatility.periodic_vwap(20), "vwap": volatility.cumulative_vwap()}),
         "realized_volatility": lambda b, w: w.withColumn("realized_vol", volatility.realized_vol()),
-        "ema": lambda b, w: folds.fold(b, lambda: folds.EmaFold(9), lambda: folds.EmaFold(21)),
-        "rsi": lambda b, w: folds.fold(b, lambda: folds.RsiFold(14)),
-        "macd": lambda b, w: folds.fold(b, folds.MacdFold),
-        "atr": lambda b, w: folds.fold(b, lambda: folds.AtrFold(14)),
-        "all_indicators": lambda b, w: folds.fold(
-            staged(w, {**trend.bollinger(), **trend.engineered(), **channels.donchian(20), **trend.money_flow()}, {"mfi": trend.mfi(14), "vwap_20": volatility.periodic_vwap(20)}), lambda: folds.RsiFold(14), lambda: folds.AtrFold(14), folds.MacdFold
+        "ema": lambda b, w: recurrences.apply(b, recurrences.Ema(9), recurrences.Ema(21)),
+        "rsi": lambda b, w: recurrences.apply(b, recurrences.Rsi(14)),
+        "macd": lambda b, w: recurrences.apply(b, recurrences.Macd()),
+        "atr": lambda b, w: recurrences.apply(b, recurrences.Atr(14)),
+        "all_indicators": lambda b, w: recurrences.apply(
+            staged(w, {**trend.bollinger(), **trend.engineered(), **channels.donchian(20), **trend.money_flow()}, {"mfi": trend.mfi(14), "vwap_20": volatility.periodic_vwap(20)}), recurrences.Rsi(14), recurrences.Atr(14), recurrences.Macd()
         ),
         "sequence_summaries": lambda b, w: summaries(b),
         "all_targets": lambda b, w: targets.all_targets(summaries(b), 24),

@@ -1,26 +1,9 @@
-"""First-order recurrences over a symbol's bars: the moving-average family, RSI, ATR, MACD, Keltner, KAMA, GARCH.
-
-Rows are dealt by symbol and sorted by time; each partition is folded as a stream
-of Arrow batches with a few numbers of state per fold, so memory does not grow
-with a symbol's history. All folds asked for run in one pass.
-
-Choices where smoothing conventions differ: an EMA has k = 2 / (n + 1) and starts
-from the first value; its first output is null. The first true range is high less
-low. RSI smooths rises and falls with an EMA (``wilder=True``: k = 1 / n) and is
-50 without movement. Null inputs leave the state as it is and give null.
-"""
+"""Recurrences one bar at a time, as the library's parallel ones must come out."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-FIELDS = ("open", "high", "low", "close", "volume")
 Row = tuple[float | None, ...]
 
 
@@ -199,31 +182,6 @@ class GarchFold(Fold):
         return (math.sqrt(self.variance) * math.sqrt(24.0),)
 
 
-def fold(bars: DataFrame, *folds: Callable[[], Fold]) -> DataFrame:
-    """``bars`` with the columns of every fold. Each argument makes a fresh fold, for one symbol.
-
-    Symbols are dealt by hash, so a symbol is folded by one task, in a stream. Rows
-    without a time go. Extra columns pass through.
-    """
-    names = [n for f in folds for n in f().names]
-    columns = bars.columns
-    at = [columns.index(c) for c in ("symbol", *FIELDS)]
-    schema = T.StructType([*bars.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, own, i = object(), [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, *values = (batch.column(k).to_pylist() for k in at)
-            out: list[tuple] = []
-            for key, *bar in zip(keys, *values):
-                if key != symbol:
-                    symbol, own, i = key, [f() for f in folds], 0
-                out.append(tuple(v for f in own for v in f(i, bar)))
-                i += 1
-            made = [pa.array(c, pa.float64()) for c in zip(*out)]
-            yield pa.record_batch([*batch.columns, *made], names=[*columns, *names])
-
-    laid = bars.filter(F.col("ts").isNotNull()).repartition("symbol").sortWithinPartitions("symbol", "ts")
-    return laid.mapInArrow(run, schema)
+def fold(bars: list[Row], *folds: Fold) -> list[tuple[float | None, ...]]:
+    """Outputs of all folds for the bars (open, high, low, close, volume) of one symbol."""
+    return [tuple(v for f in folds for v in f(i, bar)) for i, bar in enumerate(bars)]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions.windows import staged, with_base
-from tidebar.operators import balance, folds, fractal, metrics, preprocess, sequences, targets, trend, validate, volatility
+from tidebar.operators import balance, fractal, metrics, preprocess, recurrences, sequences, targets, trend, validate, volatility
 from tidebar.sources import bars as source
 from tidebar.streaming import bars as stream
 
@@ -78,7 +78,7 @@ def test_no_feature_looks_ahead(spark):
     made = {"rsi_14", "sma", "cvd", "pos", "chop", "vol", "slope"}
 
     def features(r):
-        b = with_base(folds.fold(make(spark, r), lambda: folds.RsiFold(14)))
+        b = with_base(recurrences.apply(make(spark, r), recurrences.Rsi(14)))
         b = b.withColumns({"sma": trend.sma("close", 9), "cvd": volatility.volume_delta(), "pos": volatility.position_in_range(9), "chop": volatility.choppiness(9), "vol": volatility.realized_vol(9), "slope": trend.slope("close", 9)})
         return {c: column(b, c) for c in made}
 
@@ -87,24 +87,6 @@ def test_no_feature_looks_ahead(spark):
         assert whole[c][:60] == pytest.approx(part[c], abs=1e-9, nan_ok=True) if None not in part[c] else [x for x in whole[c][:60]] == pytest.approx(part[c])
 
 
-def test_folds_keep_state_over_batches_and_symbols(spark):
-    one, two = make(spark, walk(50, 1), "a"), make(spark, walk(50, 2), "b")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        both = folds.fold(one.unionByName(two), lambda: folds.EmaFold(5), folds.GarchFold, lambda: folds.KamaFold(5))
-        got = {r.symbol: None for r in both.collect()}
-        for s, rows in (("a", walk(50, 1)), ("b", walk(50, 2))):
-            e, want = None, []
-            for r in rows:
-                e = r[3] if e is None else r[3] / 3 + e * 2 / 3
-                want.append(e)
-            assert column(both.filter(F.col("symbol") == s), "ema_5")[1:] == pytest.approx(want[1:])
-        assert set(got) == {"a", "b"}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert folds.fold(one.filter("false"), folds.GarchFold).count() == 0
-
-
 def test_fractal_measures(spark):
     flat = fractal.measures(make(spark, [(50, 50, 50, 50, 1)] * 130))
     assert {r.hurst for r in flat.collect()} == {None, 0.4} and {r.fractal_dimension for r in flat.collect()} == {None, 1.5}

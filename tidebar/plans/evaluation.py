@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folds as R
+from ..operators import recurrences as R
 from ..operators import fractal
 from ..operators import metrics as M
 from ..operators import preprocess as P
@@ -245,21 +245,10 @@ add(
 )
 
 
-class _Smooth(R.Fold):
-    """Exponential smoothing of predictions (in the place of the close) with k 0.3, from the first one."""
-
-    names = ("smoothed",)
-
-    def __init__(self) -> None:
-        self.of = R.Ema(1, 0.3)
-
-    def __call__(self, i, bar):
-        return (self.of(bar[3]),)
-
-
 def _smoothed(s: SparkSession, d: str) -> DataFrame:
     predicted = _probabilities(s, d).select("symbol", "ts", "open", "high", "low", F.col("confidence").alias("close"), "volume")
-    return shown(R.fold(predicted, _Smooth), ["smoothed"])
+    smoothing = R.Ema(1, name="smoothed", k=0.3, first=0)  # of the confidence, which stands in the place of the close
+    return shown(R.apply(predicted, smoothing), ["smoothed"])
 
 
 add(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import from_index, lag, staged, with_base
 from ..operators import crossasset as X
-from ..operators import folds as R
+from ..operators import recurrences as R
 from ..operators import trend as T
 from ..operators import volatility as V
 from ..sources.bars import resample
@@ -369,13 +369,16 @@ add(
 )
 
 
-# recurrences: the statement follows the bars one by one
-def add_fold(name: str, folds: list[Callable[[], R.Fold]], state: dict[str, tuple[str, str]], out: dict[str, str]) -> None:
+# recurrences: the statement follows the bars one by one; these hourly bars are cut into weeks, so that every symbol is in several blocks
+SPAN = 7 * 24 * 3600
+
+
+def add_recurrence(name: str, parts: list[R.Recurrence], state: dict[str, tuple[str, str]], out: dict[str, str]) -> None:
     """``state``: name to (start, step) in terms of the bar ``b`` and the state before ``r``."""
     names = list(out)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown(R.fold(bars(spark, sf_dir), *folds), names)
+        return shown(R.apply(bars(spark, sf_dir), *parts, span=SPAN), names)
 
     QUERIES[name] = query
     start = ", ".join(f"({a})::double as {n}" for n, (a, _) in state.items())
@@ -392,33 +395,33 @@ def _ema(n: int, x: str, e: str) -> str:
     return f"{2.0 / (n + 1)!r}::double * ({x}) + (1 - {2.0 / (n + 1)!r}::double) * r.{e}"
 
 
-add_fold("ema", [lambda: R.EmaFold(9), lambda: R.EmaFold(21)], {"e9": ("b.close", _ema(9, "b.close", "e9")), "e21": ("b.close", _ema(21, "b.close", "e21"))}, {"ema_9": "case when i >= 1 then e9 end", "ema_21": "case when i >= 1 then e21 end"})
+add_recurrence("ema", [R.Ema(9), R.Ema(21)], {"e9": ("b.close", _ema(9, "b.close", "e9")), "e21": ("b.close", _ema(21, "b.close", "e21"))}, {"ema_9": "case when i >= 1 then e9 end", "ema_21": "case when i >= 1 then e21 end"})
 _E1 = _ema(10, "b.close", "e1")
 _E2 = f"case when b.i = 1 then {_E1} else {_ema(10, _E1, 'e2')} end"
 _E3 = f"case when b.i <= 1 then null when b.i = 2 then ({_E2}) else {_ema(10, _E2, 'e3')} end"
-add_fold(
+add_recurrence(
     "dema_tema",
-    [lambda: R.DemaFold(10), lambda: R.TemaFold(10)],
+    [R.Dema(10), R.Tema(10)],
     {"e1": ("b.close", _E1), "e2": ("null", _E2), "e3": ("null", _E3)},
     {"dema_10": "case when i >= 19 then 2 * e1 - e2 end", "tema_10": "case when i >= 28 then 3 * e1 - 3 * e2 + e3 end"},
 )
 _UP, _DN = "greatest(b.chg, 0)", "greatest(-b.chg, 0)"
-add_fold("rsi", [lambda: R.RsiFold(14)], {"u": ("0", _ema(14, _UP, "u")), "d": ("0", _ema(14, _DN, "d"))}, {"rsi_14": "case when i >= 14 then coalesce(100 * u / nullif(u + d, 0), 50) end"})
-add_fold("atr", [lambda: R.AtrFold(14)], {"a": ("b.tr", _ema(14, "b.tr", "a"))}, {"atr_14": "case when i >= 14 then a end"})
-add_fold(
+add_recurrence("rsi", [R.Rsi(14)], {"u": ("0", _ema(14, _UP, "u")), "d": ("0", _ema(14, _DN, "d"))}, {"rsi_14": "case when i >= 14 then coalesce(100 * u / nullif(u + d, 0), 50) end"})
+add_recurrence("atr", [R.Atr(14)], {"a": ("b.tr", _ema(14, "b.tr", "a"))}, {"atr_14": "case when i >= 14 then a end"})
+add_recurrence(
     "keltner",
-    [lambda: R.KeltnerFold(20, 2.0)],
+    [R.Keltner(20, 2.0)],
     {"m": ("b.close", _ema(20, "b.close", "m")), "a": ("b.tr", _ema(20, "b.tr", "a"))},
     {"keltner_upper": "case when i >= 20 then m + 2 * a end", "keltner_middle": "case when i >= 20 then m end", "keltner_lower": "case when i >= 20 then m - 2 * a end"},
 )
 _F, _SL = _ema(12, "b.close", "f"), _ema(26, "b.close", "s")
-add_fold(
+add_recurrence(
     "macd",
-    [lambda: R.MacdFold()],
+    [R.Macd()],
     {"f": ("b.close", _F), "s": ("b.close", _SL), "g": ("0", _ema(9, f"({_F}) - ({_SL})", "g"))},
     {"macd": "case when i >= 34 then f - s end", "macd_signal": "case when i >= 34 then g end", "macd_hist": "case when i >= 34 then f - s - g end"},
 )
-QUERIES["zlema_kama"] = lambda spark, sf_dir: shown(R.fold(bars(spark, sf_dir), lambda: R.ZlemaFold(9), lambda: R.KamaFold(10)), ["zlema_9", "kama_10"])
+QUERIES["zlema_kama"] = lambda spark, sf_dir: shown(R.apply(bars(spark, sf_dir), R.Zlema(9), R.Kama(10), span=SPAN), ["zlema_9", "kama_10"])
 _K = "pow(er * (2.0::double / 3 - 2.0::double / 31) + 2.0::double / 31, 2)"
 ORACLE["zlema_kama"] = (
     f"with recursive {S.BASE}, c0 as (select *, 2 * close - {S.lag('close', 4)} as z, coalesce(abs(close - {S.lag('close', 10)}) / nullif({S.inc('sum(abs(chg))', 10)}, 0), 0) as er from b), "
@@ -428,7 +431,7 @@ ORACLE["zlema_kama"] = (
     f"from r join c0 c on c.symbol = r.symbol and c.i = r.i + 1) "
     "select symbol, epoch(ts)::bigint as t, round(case when i >= 12 then e end + 1e-9, 6) as zlema_9, round(k + 1e-9, 6) as kama_10 from r"
 )
-QUERIES["garch"] = lambda spark, sf_dir: shown(R.fold(bars(spark, sf_dir), R.GarchFold), ["garch_vol"])
+QUERIES["garch"] = lambda spark, sf_dir: shown(R.apply(bars(spark, sf_dir), R.Garch(), span=SPAN), ["garch_vol"])
 ORACLE["garch"] = (
     f"with recursive {S.BASE}, c0 as (select *, {S.lag('lret')} as p from b), "
     "r as (select symbol, ts, i, null::double as v from c0 where i = 0 union all select c.symbol, c.ts, c.i, "
@@ -438,7 +441,7 @@ ORACLE["garch"] = (
 
 
 def _atr_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = with_base(R.fold(bars(spark, sf_dir), lambda: R.AtrFold(14)))
+    b = with_base(R.apply(bars(spark, sf_dir), R.Atr(14), span=SPAN))
     b = staged(b, {"atr_mom": T.momentum("atr_14", 5)}, {"atr_accel": T.acceleration("atr_mom"), "atr_slope": from_index(T.slope("atr_14", 10), 23)})
     return shown(b, ["atr_14", "atr_mom", "atr_accel", "atr_slope"])
 
