@@ -1,43 +1,55 @@
 """Balancing, splitting and calibrating labelled sequences (symbol, seq, class, strength).
 
-Undefined classes are left out everywhere. Ranks are over (class, ...) groups of
-sequences, which are a small part of the bars.
+Undefined classes are left out everywhere. Ranks within a class are counted over
+sorted ranges (``ranks``), so a class may hold all rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
 from .targets import Direction, direction
 
 
-def balance_to_min(labelled: DataFrame) -> DataFrame:
-    """As many rows of each class as the rarest has, the strongest first."""
-    rows = labelled.filter("class is not null")
-    least = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
-    order = Window.partitionBy("class").orderBy(F.desc("strength"), "symbol", "seq")
-    ranked = rows.withColumn("_r", F.row_number().over(order))
-    return ranked.join(F.broadcast(least), F.col("_r") <= F.col("least")).drop("_r", "least")
+def _strongest_first() -> list[Column]:
+    return [F.desc("strength"), F.col("symbol").asc(), F.col("seq").asc()]
+
+
+def balance_to_min(labelled: DataFrame, required: int = 0) -> DataFrame:
+    """As many rows of each class as the rarest has, the strongest first; with ``required``, an error if there are fewer classes."""
+    return _as_the_rarest(labelled.filter("class is not null"), ["class"], required)
+
+
+def _as_the_rarest(rows: DataFrame, keys: list[str], required: int = 0) -> DataFrame:
+    least = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("groups")).first()
+    if least["groups"] < required:
+        raise ValueError(f"{required} classes are required, {least['groups']} have rows")
+    places = ranked(rows, keys, _strongest_first(), "_r", "_n")
+    return places.filter(F.col("_r") < F.lit(least["least"])).drop("_r", "_n")
+
+
+def _spans(rows: DataFrame, buckets: int, name: str) -> DataFrame:
+    """Adds the number of the row's span, of ``buckets`` equal ones, in its class's range of starts."""
+    ends = rows.groupBy(F.col("class").alias("_class")).agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"))
+    share = F.floor(F.try_divide((F.col("seq") - F.col("_low")) * float(buckets), F.col("_high") - F.col("_low") + 1))
+    spread = rows.join(ends, F.col("class") == F.col("_class"))
+    return spread.withColumn(name, F.least(share, F.lit(buckets - 1)).cast("int")).drop("_class", "_low", "_high")
 
 
 def strongest_per_bucket(labelled: DataFrame, buckets: int = 5) -> DataFrame:
     """The strongest row of each class in each of so many equal spans of the class's range of starts."""
-    own = Window.partitionBy("class")
-    low, high = F.min("seq").over(own), F.max("seq").over(own)
-    rows = labelled.filter("class is not null").withColumn(
-        "bucket", F.least(F.floor(F.try_divide((F.col("seq") - low) * float(buckets), high - low + 1)), F.lit(buckets - 1)).cast("int")
-    )
-    order = Window.partitionBy("class", "bucket").orderBy(F.desc("strength"), "symbol", "seq")
-    return rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    rows = _spans(labelled.filter("class is not null"), buckets, "bucket")
+    order = Window.partitionBy("class", "bucket").orderBy(*_strongest_first())
+    return rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")  # each partition keeps one before the exchange
 
 
 def stratified_split(labelled: DataFrame, val: float, test: float) -> DataFrame:
     """Adds ``split``: within a class, validation rows at an even stride, then test rows, the rest for training."""
-    r = F.row_number().over(Window.partitionBy("class").orderBy("symbol", "seq")) - 1
-    rows = labelled.filter("class is not null").withColumn("_r", r)
+    rows = ranked(labelled.filter("class is not null"), ["class"], ["symbol", "seq"], "_r", "_n")
     crossed = lambda share, shift: F.floor((F.col("_r") + 1) * F.lit(share) + shift) > F.floor(F.col("_r") * F.lit(share) + shift)
-    return rows.withColumn("split", F.when(crossed(val, 0.0), "val").when(crossed(test, 0.5), "test").otherwise("train")).drop("_r")
+    return rows.withColumn("split", F.when(crossed(val, 0.0), "val").when(crossed(test, 0.5), "test").otherwise("train")).drop("_r", "_n")
 
 
 def chronological_split(bars: DataFrame, train: float, val: float = 0.0) -> DataFrame:
@@ -110,31 +122,25 @@ def shuffled(rows: DataFrame, seed: int) -> DataFrame:
 
 def global_balance(targets: DataFrame) -> DataFrame:
     """As many rows of every class of every target as the rarest of them all has, the strongest first."""
-    rows = targets.filter("class is not null")
-    least = rows.groupBy("target", "class").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
-    order = Window.partitionBy("target", "class").orderBy(F.desc("strength"), "symbol", "seq")
-    return rows.withColumn("_r", F.row_number().over(order)).join(F.broadcast(least), F.col("_r") <= F.col("least")).drop("_r", "least")
+    return _as_the_rarest(targets.filter("class is not null"), ["target", "class"])
 
 
 def exact_split(labelled: DataFrame, val: int, test: int, train: int) -> DataFrame:
     """Adds ``split``: of each class exactly so many rows, validation and then test at even strides, the first of the rest for training.
 
     Rows beyond are left out. A class with fewer rows than all three ask for is an error.
+    Of n rows of which k are taken at an even stride, ceil(r k / n) are before the r-th, so
+    one rank in the class gives the ranks among the rest.
     """
-    own = Window.partitionBy("class").orderBy("symbol", "seq")
-    rows = labelled.filter("class is not null")
-    stride = lambda r, n, k: F.ceil((r + 1) * k / n) > F.ceil(r * k / n)
-    n = F.count(F.lit(1)).over(Window.partitionBy("class"))
+    rows = ranked(labelled.filter("class is not null"), ["class"], ["symbol", "seq"], "_r", "_n")
     short = F.raise_error(F.concat(F.lit("too few rows of class "), F.col("class").cast("string")))
-    rows = rows.withColumns({"_n": n, "_r": F.row_number().over(own) - 1})
     rows = rows.withColumn("_n", F.when(F.col("_n") >= val + test + train, F.col("_n")).otherwise(short.cast("bigint")))
-    rows = rows.withColumn("_v", stride(F.col("_r"), F.col("_n"), val))
-    rest = Window.partitionBy("class", "_v").orderBy("symbol", "seq")
-    rows = rows.withColumn("_r", F.row_number().over(rest) - 1)
-    rows = rows.withColumn("_t", ~F.col("_v") & stride(F.col("_r"), F.col("_n") - val, test))
-    left = Window.partitionBy("class", "_v", "_t").orderBy("symbol", "seq")
-    rows = rows.withColumn("_r", F.row_number().over(left))
-    split = F.when(F.col("_v"), "val").when(F.col("_t"), "test").when(F.col("_r") <= train, "train")
+    before = lambda r, n, k: F.ceil(r * k / n)
+    stride = lambda r, n, k: before(r + 1, n, k) > before(r, n, k)
+    r, n = F.col("_r"), F.col("_n")
+    rows = rows.withColumns({"_v": stride(r, n, val), "_r": r - before(r, n, val)})
+    rows = rows.withColumns({"_t": ~F.col("_v") & stride(r, n - val, test), "_r": r - before(r, n - val, test)})
+    split = F.when(F.col("_v"), "val").when(F.col("_t"), "test").when(r < train, "train")
     return rows.withColumn("split", split).filter("split is not null").drop("_n", "_r", "_v", "_t")
 
 
@@ -145,16 +151,16 @@ def diverse(labelled: DataFrame, count: int, gap: int = 0) -> DataFrame:
     ``gap`` bars after that of the span before it has no precedence.
     """
     buckets = min(max(count // 10, 3), 10)
-    own = Window.partitionBy("class")
-    low, high = F.min("seq").over(own), F.max("seq").over(own)
-    rows = labelled.filter("class is not null")
-    rows = rows.withColumn("_b", F.least(F.floor(F.try_divide((F.col("seq") - low) * float(buckets), high - low + 1)), F.lit(buckets - 1)).cast("int"))
-    strongest = F.row_number().over(Window.partitionBy("class", "_b").orderBy(F.desc("strength"), "symbol", "seq")) == 1
-    rows = rows.withColumn("_first", strongest)
-    before = F.lag("seq").over(Window.partitionBy("class", "_first").orderBy("_b"))
-    rows = rows.withColumn("_first", F.col("_first") & F.coalesce(F.col("seq") - before >= gap, F.lit(True)))
-    order = Window.partitionBy("class").orderBy(F.desc("_first"), F.desc("strength"), "symbol", "seq")
-    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= count).drop("_b", "_first", "_r")
+    rows = _spans(labelled.filter("class is not null"), buckets, "_b")
+    # a row a class and span, whose precedence depends on the span before
+    best = rows.groupBy("class", "_b").agg(F.min(F.struct((-F.col("strength")).alias("s"), "symbol", "seq")).alias("_best"))
+    before = F.lag("_best.seq").over(Window.partitionBy("class").orderBy("_b"))
+    best = best.withColumn("_free", F.coalesce(F.col("_best.seq") - before >= gap, F.lit(True))).select("class", "_b", F.col("_best.symbol").alias("_symbol"), F.col("_best.seq").alias("_seq"), "_free")
+    rows = rows.join(best, ["class", "_b"], "left")
+    rows = rows.withColumn("_first", F.col("_free") & F.col("symbol").eqNullSafe(F.col("_symbol")) & (F.col("seq") == F.col("_seq")))
+    order = Window.partitionBy("class").orderBy(F.desc("_first"), *_strongest_first())
+    best = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= count)  # each partition keeps ``count`` of a class before the exchange
+    return best.select(*labelled.columns)
 
 
 def even_sample(rows: DataFrame, count: int) -> DataFrame:

@@ -1,9 +1,9 @@
 """Statistics, outliers and normalisation of numeric columns, by symbol or over a whole table.
 
 Percentiles follow the nearest-rank rule round(p (n - 1)). By symbol they come from
-ranks in the symbol's window. Over a whole table (``global_rank``) an approximate
-percentile gives a narrow range of values around each rank; values inside it are
-counted by value, so no task sorts the table.
+ranks in the symbol's window. Over a whole table (``global_rank``) approximate
+percentiles give ever narrower ranges of values around each rank, until few are left to
+be counted by value, so no task sorts the table.
 """
 
 from __future__ import annotations
@@ -13,36 +13,59 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import div, finite
 from ..functions.windows import by_symbol
+from .ranks import ranked
+
+#: Different values that are counted on the driver.
+FEW = 10_000
 
 
 def column_stats(rows: DataFrame, c: str, key: str = "symbol") -> DataFrame:
     """By key: mean, population deviation, min, max, median and quartiles (nearest rank) of finite values."""
     x = rows.filter(finite(c)).select(key, F.col(c).alias("x"))
     w = Window.partitionBy(key).orderBy("x")
-    ranked = x.withColumns({"_r": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(key))})
+    places = x.withColumns({"_r": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(key))})
     at = lambda p: F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * p + 0.5), F.col("x")))
-    return ranked.groupBy(key).agg(
+    return places.groupBy(key).agg(
         F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), at(0.5).alias("median"), at(0.25).alias("q25"), at(0.75).alias("q75")
     )
 
 
 def global_rank(df: DataFrame, c: str, shares: list[float], accuracy: int = 10_000) -> list[float | None]:
-    """Exact nearest-rank percentiles of a column of any size."""
+    """Exact nearest-rank percentiles of a column of any size.
+
+    Approximate percentiles bound the value, and again within those bounds, until
+    the values between are few; their counts are then summed on the driver.
+    """
     x = df.filter(finite(c)).select(F.col(c).cast("double").alias("x"))
     n = x.count()
     if n == 0:
         return [None for _ in shares]
-    out = []
     slack = 2.0 / accuracy
+    found = []
     for p in shares:
-        low, high = x.agg(F.percentile_approx("x", [max(0.0, p - slack), min(1.0, p + slack)], accuracy)).first()[0]
-        below = x.filter(F.col("x") < low).count() if low is not None else 0
-        rank = int((n - 1) * p + 0.5)
-        counts = x.filter((F.col("x") >= low) & (F.col("x") <= high)).groupBy("x").agg(F.count(F.lit(1)).alias("m"))
-        upto = F.sum("m").over(Window.orderBy("x")) + F.lit(below)
-        row = counts.withColumn("upto", upto).filter(F.col("upto") > rank).agg(F.min("x")).first()
-        out.append(row[0])
-    return out
+        rank, within, below, held = int((n - 1) * p + 0.5), x, 0, n
+        while True:
+            own = min(1.0, max(0.0, (rank - below) / max(1, held - 1)))
+            low, high = within.agg(F.percentile_approx("x", [max(0.0, own - slack), min(1.0, own + slack)], accuracy)).first()[0]
+            between = F.col("x").between(low, high)
+            less, some, kinds = within.agg(F.count_if(F.col("x") < low), F.count_if(between), F.count_distinct(F.when(between, F.col("x")))).first()
+            below, within = below + less, within.filter(between)
+            if kinds <= FEW or some == held:
+                break
+            held = some
+        counts = sorted(tuple(r) for r in within.groupBy("x").count().collect()) if kinds <= FEW else _middle(within, rank - below)
+        for value, m in counts:
+            below += m
+            if below > rank:
+                break
+        found.append(value)
+    return found
+
+
+def _middle(x: DataFrame, rank: int) -> list[tuple[float, int]]:
+    """The value of that rank where bounds no longer shrink, with a count that ends the search."""
+    places = ranked(x.withColumn("tie", F.monotonically_increasing_id()), [], ["x", "tie"])
+    return [(places.filter(F.col("rank") == rank).first()["x"], rank + 1)]
 
 
 def with_stats(rows: DataFrame, c: str, key: str = "symbol") -> DataFrame:
