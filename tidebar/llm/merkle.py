@@ -13,7 +13,7 @@ sibling digests of the path above it, and the last one expands them to its leave
 so a path travels once for ``FAN`` leaves. Leaves are hashed by Spark's own
 functions where the text is; only ids and digests move.
 
-The rows are range-sorted once. Each partition reports its first and last source and
+Digests are written once and range-sorted once. Each partition reports its first and last source and
 how many rows they have, so that places in a source follow without a count in one
 task; the driver holds one such line a partition, and the root. Parents of every
 level are written to the shared folder: lost executors cost the running superstep.
@@ -35,7 +35,7 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _path, shared_folder, shuffle_width
+from .common import _path, shared_folder, shuffle_width, written
 
 FAN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -122,7 +122,7 @@ def _placed(spans: dict) -> Callable[[int, Iterator], Iterator[tuple[Key, tuple[
 def _gathered(messages: RDD, width: int) -> RDD:
     """Parents with all the children that wrote to them, in order."""
     joined = messages.reduceByKey(lambda a, b: (a[0], a[1] + b[1]), width)
-    return joined.mapValues(lambda v: (v[0], sorted(v[1], key=lambda c: c[0])))
+    return joined.mapValues(lambda v: (v[0], sorted(v[1], key=lambda c: c[0]))).coalesce(width)
 
 
 def _forward(parent: tuple[Key, tuple[int, list[Child]]]) -> tuple[Key, tuple[int, list[Child]]]:
@@ -160,9 +160,9 @@ def sink(levels: list[RDD], given: RDD, width: int) -> RDD:
     sent = None
     for depth in reversed(range(len(levels))):
         wide = max(1, -(-width // FAN**depth))
-        ready = levels[depth].filter(lambda p: p[1][0] == 1).map(lambda p: (p[0][0], p[0])).join(given, wide).values()
+        ready = levels[depth].filter(lambda p: p[1][0] == 1).map(lambda p: (p[0][0], p[0])).join(given, wide).values().coalesce(wide)
         arrived = ready if sent is None else ready.union(sent)
-        met = levels[depth].join(arrived, wide).map(lambda kv: ((kv[0], kv[1][0]), kv[1][1]))
+        met = levels[depth].join(arrived, wide).coalesce(wide).map(lambda kv: ((kv[0], kv[1][0]), kv[1][1]))
         if depth == 0:
             return met.flatMap(lambda m: [(child, path) for _, child, path in _paths(m)])
         sent = met.flatMap(lambda m: [((m[0][0][0], m[0][0][1] * FAN + k), path) for k, _, path in _paths(m)])
@@ -186,7 +186,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     shown = leaf() if tampered is None else leaf(text=tampered)
     rows = docs.select("source", F.col("doc_id").cast("bigint").alias("doc_id"), leaf().alias("leaf"), shown.alias("shown"))
     # the last key parts rows that are equal in all, which may be many
-    rows = rows.withColumn("tie", F.monotonically_increasing_id())
+    rows = written(rows).withColumn("tie", F.monotonically_increasing_id())
     in_order = rows.orderBy(F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "leaf", "tie").select("source", "doc_id", "leaf", "shown").rdd
     spans = _spans(in_order.mapPartitionsWithIndex(_ends).collect())
     if not spans:
