@@ -15,8 +15,8 @@ rows are cut by hash into blocks of about ``BLOCK`` and its queries into
 blocks of ``ASKED``; each pair of blocks is one group, so neither a crowded partition
 nor a vector that many rows share is ever in one task. In a group equal vectors count once
 and keep the first ``k + 1`` ids, which is all that can be among the nearest. Rows
-of a group stream by, one block of vectors is held. The k best of each group are
-ranked again per query.
+of a group stream by, one block of vectors is held. A task keeps the k best of each query
+over its groups, and what all tasks found is ranked again per query.
 
 Defined results: vectors that are null, all zero, empty, or hold a null or non-finite
 component take no part, nor do vectors of another length than the commonest (of
@@ -46,6 +46,7 @@ ROWS = 512  # rows of a partition that are wanted
 RECALL = 0.95  # on vectors that the network was not trained on
 BLOCK = 1 << 16
 ASKED = 1 << 15
+HELD = 1 << 20  # found rows that a task holds before it lets them go
 WIDTH = 128
 EPOCHS = 30
 RATE = 0.004
@@ -289,12 +290,42 @@ class _Held:
         return query[first], place[first], exact[first]
 
 
+class _Best:
+    """The ``k`` best found so far of each query, over the groups of one task."""
+
+    def __init__(self, k: int):
+        self.k, self.found, self.size = k, [], 0
+
+    def add(self, *columns: np.ndarray) -> bool:
+        """Takes (query row, query id, row, id, known, score); whether there is more than should be held."""
+        self.found.append(columns)
+        self.size += len(columns[0])
+        if self.size < HELD:
+            return False
+        self.compact()
+        return self.size > HELD // 2
+
+    def compact(self) -> None:
+        columns = [np.concatenate(c) for c in zip(*self.found)]
+        query, _, rows, ids, known, score = columns
+        order = np.lexsort((rows, ids, ~known, -score, query))
+        query = query[order]
+        kept = order[np.arange(len(query)) - np.searchsorted(query, query) < self.k]
+        self.found, self.size = [[c[kept] for c in columns]], len(kept)
+
+    def emitted(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self.compact()
+            query, query_id, rows, ids, known, score = self.found[0]
+            yield pa.record_batch([pa.array(query), pa.array(query_id), pa.array(rows), pa.array(ids, mask=~known), pa.array(score)], names=["query_row", "query_id", "row", "vec_id", "score"])
+        self.found, self.size = [], 0
+
+
 def _compared(d: int, k: int):
-    """Groups, candidates first, to (query_row, query_id, id, row, score)."""
-    names = ["query_row", "query_id", "row", "vec_id", "score"]
+    """Groups, candidates first, to (query_row, query_id, row, id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, gathered, held = None, [], None
+        group, gathered, held, best = None, [], None, _Best(k)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -318,8 +349,9 @@ def _compared(d: int, k: int):
                 for low in range(at, end, step):
                     some = slice(low, min(low + step, end))
                     query, place, score = held.best(rows[some], x[some])
-                    found = pa.array(held.ids[place], mask=~held.known[place])
-                    yield pa.record_batch([pa.array(rows[some][query]), pa.array(ids[some][query]), pa.array(held.rows[place]), found, pa.array(score)], names=names)
+                    if best.add(rows[some][query], ids[some][query], held.rows[place], held.ids[place], held.known[place], score):
+                        yield from best.emitted()
+        yield from best.emitted()
 
     return run
 
