@@ -34,19 +34,6 @@ def test_stored_models(spark, tmp_path):
     assert settings.load_model(str(tmp_path / "m"), "first").transform(rows).first().v.toArray().tolist() == [1.0, 2.0]
 
 
-def test_appended_lines(spark, tmp_path):
-    path = tmp_path / "bars.csv"
-    path.write_text("1,2\n3,é\n5,")
-    lines, seen = live.appended(spark, str(path), 0)
-    assert [r.value for r in lines.collect()] == ["1,2", "3,é"]
-    with path.open("a") as f:
-        f.write("6\n7,8\n")
-    lines, seen = live.appended(spark, str(path), seen)
-    assert [r.value for r in lines.collect()] == ["5,6", "7,8"] and seen == path.stat().st_size
-    lines, again = live.appended(spark, str(path), seen)
-    assert lines.count() == 0 and again == seen
-
-
 def test_sink_and_health(spark, tmp_path):
     spark.range(20).write.parquet(str(tmp_path / "in"))
     health = live.Health(most=0)

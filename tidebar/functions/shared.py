@@ -6,15 +6,12 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir``, with its partitions and their order as they are.
-
-    Losing executors afterwards costs nothing. Only on a single machine a temporary folder is made where none is named.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only on a single machine a temporary one is made where none is named."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None:
@@ -23,4 +20,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="tidebar-checkpoint-")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, with its partitions and their order as they are; losing executors afterwards costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

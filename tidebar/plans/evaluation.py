@@ -280,5 +280,27 @@ add(
 add("stream_dedup", stream.replayed_unique, "select distinct event_type as symbol, epoch(date_trunc('minute', ts))::bigint as t from events")
 
 
+_FINE = "open > 0 and low > 0 and high > 0 and close > 0 and high >= low and high >= close and low <= close"
+add(
+    "stream_ring",
+    stream.replayed_ring,
+    f"""with {S.BARS}, v as (select *, row_number() over (partition by symbol order by ts desc) as back, count(*) over (partition by symbol) as n from bars where {_FINE})
+    select symbol, least(any_value(n), 300)::bigint as n, epoch(min(ts))::bigint as first_t, epoch(max(ts))::bigint as last_t,
+           {_q('last_close: last(close order by ts)', 'mean_close: avg(close)', 'high: max(high)', 'low: min(low)')} from v where back <= 50 and n >= 50 group by symbol""",
+)
+add(
+    "stream_join",
+    stream.replayed_joins,
+    """select p.user_id, p.event_id, c.event_id as earlier_id, epoch_us(p.ts) - epoch_us(c.ts) as gap_us, c_mktsegment as segment
+    from events p join events c on c.user_id = p.user_id and c.ts < p.ts and c.ts >= p.ts - interval 6 hour join customer on c_custkey = p.user_id
+    where p.event_type = 'purchase' and c.event_type = 'click'""",
+)
+add(
+    "stream_tail",
+    stream.replayed_tail,
+    f"""with {S.BARS}, v as (select *, (epoch(ts)::bigint // 3600) % 9 <> 0 and {_FINE} as ok from bars)
+    select symbol, ok, count(*) as n, round(sum(round(close, 6)) + 1e-9, 5) as sum_close, epoch(max(ts))::bigint as last_t from v group by symbol, ok""",
+)
+
 # pattern measures in Arrow batches; no SQL form, tested on hand-made windows
 add("fractal_measures", lambda s, d: shown(fractal.measures(bars(s, d)), ["hurst", "fractal_dimension"]))

@@ -1,30 +1,13 @@
-"""Predictions of a running stream: appended lines of one file, a sink, and the stream's health."""
+"""Predictions of a running stream: a sink, and the stream's health."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
-def appended(spark: SparkSession, path: str, seen: int) -> tuple[DataFrame, int]:
-    """Lines of a growing text file past the first ``seen`` bytes, up to its last line end, and the bytes seen then.
-
-    A scheduler calls it again and again with what it returned; a file that shrank is read anew.
-    """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    size = at.getFileSystem(conf).getFileStatus(at).getLen()
-    start = seen if size >= seen else 0
-    raw = spark.read.format("binaryFile").load(path).select(F.expr(f"substring(content, {start + 1}, {size - start})").alias("b"))
-    text = raw.select(F.decode("b", "UTF-8").alias("t")).withColumn("t", F.regexp_extract("t", r"(?s)^(.*\n)", 1))
-    length = text.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    lines = text.select(F.explode(F.split("t", "\n")).alias("value")).filter(F.trim("value") != "")
-    return lines, start + length
-
-
 def prediction_sink(predictions: DataFrame, folder: str, checkpoint: str, predict: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Writes each micro-batch as JSON below ``folder``, a folder a batch, so that a repeated batch replaces itself."""
 
