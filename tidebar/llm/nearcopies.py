@@ -275,10 +275,15 @@ def _completed(crowded: DataFrame, followers: DataFrame, links: DataFrame, sets:
     place = F.pmod(F.xxhash64("node", "key"), F.col("slices")).cast("int")
     leads = open_.filter("leads").select("key", place.alias("slice"), F.lit(1).alias("place"), "node", "n", "root", "leads")
     pairs = _streamed(leads, open_.select("key", "node", "n", "slices", "root", "leads"), sets, _against_heads(least, True), ("root", "leads"))
-    pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().withColumn("key", F.xxhash64("a", "b")))
+    led = stood.groupBy("head").agg(F.count(F.lit(1)).alias("led"))
+    size = lambda side: led.select(F.col("head").alias(side), F.struct("led", F.col("head").alias("of")).alias(f"n_{side}"))
+    pairs = pairs.distinct().join(size("a"), "a", "left").join(size("b"), "b", "left")
+    # the one with more followers is the key, so that they come once for all that they are compared with
+    swap = F.coalesce(F.col("n_b") > F.col("n_a"), F.col("n_b").isNotNull())
+    pairs = written(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("key"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("other")).distinct())
     both = stood.select("head", "node").unionAll(stood.select("head", F.col("head").alias("node")).distinct())
-    followed = lambda side: pairs.join(both, pairs[side] == both["head"], "left").select("key", F.coalesce("node", side).alias("node"))
-    first, others = written(_sliced(followed("a"))), written(followed("b"))
+    first = written(_sliced(pairs.select("key").distinct().join(both, F.col("key") == F.col("head")).select("key", "node")))
+    others = written(pairs.join(both, pairs["other"] == both["head"], "left").select("key", F.coalesce("node", "other").alias("node")).distinct())
     n = others.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     slices = first.groupBy("key").agg(F.first("slices").alias("slices"))
     found = _streamed(first.join(n, "key"), others.join(n, "key").join(slices, "key"), sets, _against_heads(least))
