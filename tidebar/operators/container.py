@@ -46,7 +46,7 @@ class Container:
             if name in self.first and name in self.second:
                 out, stage, p = self.second[name].transform(out), 2, vector_to_array(f"_p2_{name}")
             # models know the classes up to the largest that they saw
-            p = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k, p=p: F.coalesce(F.get(p, k), F.lit(0.0)))
+            p = F.array(*[F.coalesce(F.get(p, F.lit(k)), F.lit(0.0)) for k in range(CLASSES)])
             best = (F.array_position(F.col(f"p_{name}"), F.array_max(f"p_{name}")) - 1).cast("int")
             out = out.withColumn(f"p_{name}", p).withColumns({f"predicted_{name}": best if most is not None else F.lit(None).cast("int"), f"stage_{name}": F.lit(stage)})
         return out.select(*[c for c in out.columns if not c.startswith(("_features", "_p1_", "_p2_", "_r1_", "_r2_", "_y1_", "_y2_", "_both_"))])
