@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.shared import shared_folder
 from ..operators import balance as B
 from ..operators import container, intervals, model, parabolic, paths, search
+from ..operators import diversity as D
 from ..operators import sequences as Q
 from ..operators import targets as T
 from . import sqlkit as S
 from .evaluation import _q, _r
 from .indicators import bars, shown
-from .sequence_queries import LENGTH, STEP, _summary
+from .sequence_queries import _DIR, _SUMMARY, HORIZON, LENGTH, STEP, _labelled, _summary
 from .target_queries import GRID, HORIZONS, ORACLE as TARGET_ORACLE, _volume_target
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +70,36 @@ ORACLE["path_statistics"] = f"""with {S.BASE}, n as (select *, count(*) over (pa
   select symbol, seq, {_q('rise: rise', 'fall: fall', 'mean_rise: mean_rise', 'mean_fall: mean_fall', 'entropy: coalesce(entropy, 0)', 'hurst: coalesce(case when n = 2 and half > 0 and whole > 0 then ln(whole / half) / ln(2) end, 0.5)')}
   from e left join en using (symbol, seq) join rs using (symbol, seq) join rw using (symbol, seq)"""
 
+# weighted diversity: the statement makes all pairs
+_BARS5 = ("open", "high", "low", "close", "volume")
+
+
+def _described(s: SparkSession, d: str) -> DataFrame:
+    rows = D.described(Q.tensors(bars(s, d), list(_BARS5), LENGTH, STEP, HORIZON, False))
+    return rows.join(_labelled(s, d), ["symbol", "seq"]).filter("class is not null")
+
+
+QUERIES["weighted_diversity"] = lambda s, d: _r(D.weighted(_described(s, d), LENGTH * len(_BARS5), "symbol"), "feature", "temporal", "market_part", "target", "composite").select(
+    "symbol", "seq", "class", "feature", "temporal", "market_part", "target", "composite"
+)
+ORACLE["weighted_diversity"] = f"""with {_SUMMARY}, l as ({_DIR}), m5 as (
+    select x.symbol, x.i as seq, list([y.open, y.high, y.low, y.close, y.volume] order by y.i) as a
+    from (select *, count(*) over (partition by symbol) as n_bars from b) x join b y on y.symbol = x.symbol and y.i >= x.i and y.i < x.i + {LENGTH}
+    where x.i % {STEP} = 0 and x.i + {LENGTH} + {HORIZON} <= x.n_bars group by x.symbol, x.i),
+  c as (
+    select symbol, seq, flatten(a) as u, list_avg(list_transform(a, lambda r: r[4])) as mean,
+           list_avg(list_transform(range(2, {LENGTH + 1}), lambda k: greatest(a[k][2] - a[k][3], abs(a[k][2] - a[k - 1][4]), abs(a[k][3] - a[k - 1][4])))) as tr,
+           list_sum(list_transform(range(1, {LENGTH + 1}), lambda k: (k - 1 - {(LENGTH - 1) / 2}) * a[k][4])) / {sum((k - (LENGTH - 1) / 2) ** 2 for k in range(LENGTH))} as slope,
+           list_avg(list_transform(a, lambda r: r[5])) as vol, list_max(list_transform(a, lambda r: r[2])) - list_min(list_transform(a, lambda r: r[3])) as reach
+    from m5),
+  r as (select c.symbol, c.seq, class, u, [tr, slope, case when mean > 0 then vol / mean else 0 end, reach / mean] as m from c join l using (symbol, seq) where class is not null),
+  g as (select *, count(*) over (partition by symbol) as n, count(*) over (partition by symbol, class) as same, min(seq) over (partition by symbol) as lo, max(seq) over (partition by symbol) as hi from r),
+  p as (select x.symbol, x.seq, avg(1 - list_cosine_similarity(x.u, y.u)) as f, avg(1 - list_cosine_similarity(x.m, y.m)) as k from r x join r y on x.symbol = y.symbol and x.seq <> y.seq group by 1, 2),
+  z as (select g.symbol, g.seq, class, coalesce(f, 1) as feature, case when (hi - lo) // 2 > 0 then least(abs(g.seq - (hi + lo) // 2) / ((hi - lo) // 2), 1) else 1 end as temporal,
+               case when n = 1 then 0.5 else greatest(least(k, 1), 0) end as market_part, 0.2 + 0.6 * (1 - same / n) as target from g left join p on p.symbol = g.symbol and p.seq = g.seq)
+  select symbol, seq, class, {_q('feature: feature', 'temporal: temporal', 'market_part: market_part', 'target: target', 'composite: 0.3 * feature + 0.25 * temporal + 0.25 * market_part + 0.2 * target')} from z"""
+QUERIES["diverse_picks"] = lambda s, d: D.farthest_first(_described(s, d), 8, "symbol")
+
 # a recurrence that switches direction; the statement follows the bars one by one
 QUERIES["parabolic"] = lambda s, d: shown(parabolic.parabolic(bars(s, d)).withColumn("sar_rising", F.col("sar_rising").cast("double")), ["sar", "sar_rising"])
 _AT = "case when r.up then least(r.v + r.a * (r.e - r.v), c.l1, coalesce(c.l2, c.l1)) else greatest(r.v + r.a * (r.e - r.v), c.h1, coalesce(c.h2, c.h1)) end"
