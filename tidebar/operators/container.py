@@ -88,7 +88,7 @@ def fit(rows: DataFrame, features: list[str], names: list[str], trees: int = 20,
             if later.count() < least or later.select(name).distinct().count() < 2:
                 continue
             both = VectorAssembler(inputCols=["_features", f"_p1_{name}"], outputCol=f"_both_{name}")
-            logistic = LogisticRegression(labelCol=name, featuresCol=f"_both_{name}", regParam=0.05, maxIter=30, probabilityCol=f"_p2_{name}", rawPredictionCol=f"_r2_{name}", predictionCol=f"_y2_{name}")
+            logistic = LogisticRegression(labelCol=name, featuresCol=f"_both_{name}", regParam=0.05, maxIter=12, probabilityCol=f"_p2_{name}", rawPredictionCol=f"_r2_{name}", predictionCol=f"_y2_{name}")
             made.second[name] = PipelineModel(stages=[both, logistic.fit(both.transform(made.first[name].transform(later)))])
     finally:
         rows.unpersist()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import clamp, col, div, safe_corr
@@ -143,6 +143,13 @@ def sweeps(n: int = 20) -> dict[str, Column]:
     }
 
 
+def sweep_strength(atr: str, n: int = 20) -> Column:
+    """How far a sweep goes beyond the extreme, in average true ranges of the bar: above 0 upward, below 0 downward, a downward one if both; 0 without a range."""
+    parts = sweeps(n)
+    size = F.when(F.col(atr) > 0, div(parts["sweep_size"], atr))
+    return F.coalesce(F.when(parts["sweep_down"] == 1, -size).when(parts["sweep_up"] == 1, size), F.lit(0.0))
+
+
 def volume_delta() -> Column:
     """Running sum of buying less selling volume; the close's place in the range splits a bar's volume."""
     share = F.coalesce(div(F.col("close") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5))
@@ -226,3 +233,32 @@ def tightness() -> Column:
 def true_range_share(c: Column | str = "tr") -> Column:
     """True range over close."""
     return div(col(c), "close")
+
+
+def liquidity(bars: DataFrame, n: int = 20, atr: int = 14) -> DataFrame:
+    """Bars with all ``liq_`` columns: parts of the range, sweeps and their strength over the average true range, slope and divergence of the running volume delta."""
+    from ..functions.windows import staged, with_base
+    from .recurrences import Atr, apply
+
+    b = with_base(apply(bars, Atr(atr)))
+    spread = F.col("high") - F.col("low")
+    share = lambda x: F.coalesce(div(x, spread), F.lit(0.0))
+    found = sweeps(n)
+    made = staged(
+        b,
+        {
+            "liq_upper_wick_ratio": share(F.col("high") - F.greatest("open", "close")),
+            "liq_lower_wick_ratio": share(F.least("open", "close") - F.col("low")),
+            "liq_body_ratio": share(F.abs(F.col("close") - F.col("open"))),
+            f"liq_sweep_up_{n}": found["sweep_up"],
+            f"liq_sweep_down_{n}": found["sweep_down"],
+            f"liq_sweep_strength_{n}": sweep_strength(f"atr_{atr}", n),
+            "_delta": volume_delta(),
+        },
+        {
+            "liq_wick_asymmetry": F.col("liq_upper_wick_ratio") - F.col("liq_lower_wick_ratio"),
+            f"liq_cvd_slope_{n}": F.coalesce(normalized_slope("_delta", n), F.lit(0.0)),
+            f"liq_cvd_price_div_{n}": divergence("_delta", "close", n),
+        },
+    )
+    return made.select(*bars.columns, "i", *[c for c in made.columns if c.startswith("liq_")])

@@ -454,6 +454,19 @@ ORACLE["atr_features"] = (
 )
 
 
+_LIQ = ("liq_upper_wick_ratio", "liq_lower_wick_ratio", "liq_body_ratio", "liq_wick_asymmetry", "liq_sweep_up_20", "liq_sweep_down_20", "liq_sweep_strength_20", "liq_cvd_slope_20", "liq_cvd_price_div_20")
+QUERIES["liquidity_driver"] = lambda spark, sf_dir: shown(V.liquidity(bars(spark, sf_dir), 20, 14), list(_LIQ))
+ORACLE["liquidity_driver"] = f"""{_ATR}, w as (select b.*, atr_14, {S.full("max(high)", "high", 20, S.exc).replace(S.W, "partition by b.symbol order by b.ts")} as t20, {S.full("min(low)", "low", 20, S.exc).replace(S.W, "partition by b.symbol order by b.ts")} as b20,
+    {S.ever("sum((2 * coalesce((close - low) / nullif(high - low, 0), 0.5) - 1) * volume)").replace(S.W, "partition by b.symbol order by b.ts")} as cvd from b join q on q.symbol = b.symbol and q.i = b.i),
+  x as (select *, coalesce(high > t20 and close < t20, false) as u, coalesce(low < b20 and close > b20, false) as d, coalesce((high - greatest(open, close)) / nullif(high - low, 0), 0) as liq_upper_wick_ratio,
+    coalesce((least(open, close) - low) / nullif(high - low, 0), 0) as liq_lower_wick_ratio, coalesce(abs(close - open) / nullif(high - low, 0), 0) as liq_body_ratio,
+    {S.inc("stddev_pop(cvd)", 20)} as sd1, {S.inc("stddev_pop(close)", 20)} as sd2, {S.slope("cvd", 20)} as sl, {S.lag("cvd", 19)} as l1, {S.lag("close", 19)} as l2 from w),
+  y as (select *, liq_upper_wick_ratio - liq_lower_wick_ratio as liq_wick_asymmetry, u::int as liq_sweep_up_20, d::int as liq_sweep_down_20,
+    coalesce(case when d then case when atr_14 > 0 then -(b20 - low) / atr_14 end when u then case when atr_14 > 0 then (high - t20) / atr_14 end end, 0) as liq_sweep_strength_20,
+    case when i >= 19 then coalesce(sl / nullif(sd1, 0), 0) else 0 end as liq_cvd_slope_20, case when i >= 19 then coalesce((cvd - l1) / nullif(sd1, 0), 0) - coalesce((close - l2) / nullif(sd2, 0), 0) else 0 end as liq_cvd_price_div_20 from x)
+  select symbol, epoch(ts)::bigint as t, {", ".join(f"round(({c})::double + {S.TIE!r}, 6) as {c}" for c in _LIQ)} from y"""
+
+
 # cross-asset
 def add_market(name: str, column: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_folder
+from ..functions.shared import checkpointed, shared_folder
 from ..operators import balance as B
 from ..operators import container, intervals, model, parabolic, paths, search
 from ..operators import diversity as D
@@ -124,10 +124,10 @@ _NAMED = [(t, h) for t in ("direction", "volatility", "volume") for h in HORIZON
 
 def _backtest(s: SparkSession, d: str) -> DataFrame:
     classes = B.extracted(T.by_horizon(bars(s, d), LENGTH, STEP, HORIZONS), _NAMED)
-    rows = model.sequence_features(_summary(s, d)).join(classes, ["symbol", "seq"])
+    rows = checkpointed(model.sequence_features(_summary(s, d)).join(classes, ["symbol", "seq"]))
     early, later = container.early_and_later(rows)
     folder = f"{shared_folder(s)}/models-{uuid.uuid4().hex}"
-    container.fit(early, list(model.FEATURES), [f"{t}_{h}" for t, h in _NAMED]).save(s, folder)
+    container.fit(early, list(model.FEATURES), [f"{t}_{h}" for t, h in _NAMED], trees=10, depth=4).save(s, folder)
     return container.scored(container.Container.load(s, folder), later)
 
 
