@@ -51,9 +51,9 @@ def plain(rows, folds):
     return out
 
 
-def check(spark, rows, span, *names):
+def check(spark, rows, span, *names, whole=3):
     parts = [PARTS[n][0]() for n in names]
-    made = R.apply(spark.createDataFrame(rows, SCHEMA).repartition(3), *parts, span=span)
+    made = R.apply(spark.createDataFrame(rows, SCHEMA).repartition(3), *parts, span=span, whole=whole)
     want = plain(rows, [PARTS[n][1] for n in names])
     columns = [c for p in parts for c in p.names]
     found = made.collect()
@@ -71,6 +71,11 @@ def test_block_size_changes_nothing(spark, span):
     check(spark, ROWS, span, *PARTS)
 
 
+def test_only_large_symbols_are_cut(spark):
+    check(spark, ROWS, 30 * 60, *PARTS, whole=80)
+    check(spark, ROWS, 30 * 60, *PARTS, whole=10**6)
+
+
 @pytest.mark.parametrize("span, gaps", [(20 * 60, 0.3), (60, 0.1), (400 * 60, 0.9), (10**9, 0.5)])
 def test_nulls_anywhere(spark, span, gaps):
     rows = bars_of("a", 250, 6, gaps) + bars_of("b", 60, 7, gaps) + bars_of("c", 25, 8, 1.0)
@@ -95,7 +100,7 @@ def test_one_symbol_is_cut_over_several_tasks(spark):
     rows = bars_of("a", 600, 11)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        made = R.apply(spark.createDataFrame(rows, SCHEMA), R.Ema(5), span=3600)
+        made = R.apply(spark.createDataFrame(rows, SCHEMA), R.Ema(5), span=3600, whole=10)
         assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -104,7 +109,7 @@ def test_one_symbol_is_cut_over_several_tasks(spark):
 def test_other_columns_and_odd_tables(spark):
     rows = bars_of("a", 50, 12)
     bars = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as block", "1 as of", "2 as since", "3 as start", "4 as carried", "5 as low_")
-    made = R.apply(bars, R.Ema(5), span=600)
+    made = R.apply(bars, R.Ema(5), span=600, whole=10)
     assert made.columns == [*bars.columns, "ema_5"] and {(r["block"], r["of"], r["carried"]) for r in made.collect()} == {("x", 1, 4)}
     assert R.apply(bars.filter("false"), R.Garch()).count() == 0
     assert R.apply(bars.withColumn("ts", F.expr("if(close > 100, ts, null)")), R.Ema(5)).count() == sum(r[5] > 100 for r in rows)

@@ -1,8 +1,8 @@
 """Recurrences over a symbol's bars, in parallel over blocks of time: the moving-average family, RSI, ATR, MACD, Keltner, KAMA, GARCH.
 
 Each of them takes its state by an affine step, s' = a s + b, where a and b follow
-from the bars alone. Affine steps compose, so a symbol is cut into blocks of ``SPAN`` of
-time that are worked on by different tasks:
+from the bars alone. Affine steps compose, so a symbol of over ``WHOLE`` bars is cut into
+blocks of ``SPAN`` of time that are worked on by different tasks:
 
 1. every block is run as if nothing were before it; from the place on at which all its states
    have a value, its steps are composed into one,
@@ -10,7 +10,7 @@ time that are worked on by different tasks:
    each block starts from,
 3. every block is run from there.
 
-The first two steps concern symbols of several blocks only. Within a batch of rows all
+The first two steps concern such symbols only. Within a batch of rows all
 symbols are run at once, by a prefix scan over pairs (a, b): no Python call a bar. The bars are
 exchanged once, by symbol and block; what moves besides is a few bars and numbers a block.
 
@@ -34,6 +34,10 @@ from pyspark.sql import types as T
 FIELDS = ("open", "high", "low", "close", "volume")
 #: Seconds of a block: 30 days, 43,200 minute bars. Any span gives the same values.
 SPAN = 30 * 24 * 3600
+#: Bars up to which a symbol is one block.
+WHOLE = 100_000
+#: Symbols of several blocks that are broadcast.
+FEW = 50_000
 
 
 def scan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -439,21 +443,36 @@ def _finished(program: _Program, at: list[int], columns: list[str], shown: int):
     return run
 
 
-def apply(bars: DataFrame, *parts: Recurrence, span: int = SPAN) -> DataFrame:
+def apply(bars: DataFrame, *parts: Recurrence, span: int = SPAN, whole: int = WHOLE) -> DataFrame:
     """``bars`` with the columns of every recurrence.
 
-    Rows without a time go. Other columns pass through, whatever their names.
+    Symbols of more than ``whole`` bars are cut into blocks of ``span`` seconds; their number is
+    looked up first. Rows without a time go. Other columns pass through, whatever their names.
     """
     program = _Program(parts)
     columns = bars.columns
     block, carried, of, since, start = (_free(name, columns) for name in ("block", "carried", "of", "since", "start"))
-    timed = bars.filter(F.col("ts").isNotNull()).withColumn(block, F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / span).cast("bigint"))
+    timed = bars.filter(F.col("ts").isNotNull())
+    several = timed.groupBy(F.col("symbol").alias(of)).count().filter(F.col("count") > whole).select(of, F.lit(True).alias(start))
+    large = several.limit(FEW + 1).count()
+    if large:
+        several = F.broadcast(several) if large <= FEW else several
+        number = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / span).cast("bigint")
+        marked = timed.join(several, F.col("symbol").eqNullSafe(F.col(of)), "left")
+        timed = marked.withColumn(block, F.when(F.col(start), number).otherwise(0)).select(*[F.col(f"`{c}`") for c in columns], block)
+    else:
+        timed = timed.withColumn(block, F.lit(0).cast("bigint"))
     at = [timed.columns.index(c) for c in ("symbol", block, "ts", *FIELDS)]
     every = [F.col(f"`{c}`") for c in timed.columns]
     dealt = timed.repartition("symbol", block)
 
-    several = timed.groupBy(F.col("symbol").alias(of)).agg(F.min(block).alias("low"), F.max(block).alias("high")).filter("low < high").select(of)
     key = [timed.schema["symbol"], T.StructField("block", T.LongType()), timed.schema["ts"]]
+    names = [*columns, *program.names]
+    schema = T.StructType([*bars.schema.fields, *(T.StructField(n, T.DoubleType()) for n in program.names)])
+    finish = lambda laid: laid.sortWithinPartitions("symbol", block, "ts").mapInArrow(_finished(program, at, names, len(columns)), schema)
+    if not large:
+        return finish(dealt.withColumn(carried, F.lit(None).cast("binary")))
+
     cut = dealt.join(several, F.col("symbol").eqNullSafe(F.col(of)), "left_semi").sortWithinPartitions("symbol", block, "ts")
     summed = cut.mapInArrow(_summaries(program, at), T.StructType([*key, T.StructField("packed", T.BinaryType())]))
     begun = summed.repartition("symbol").sortWithinPartitions("symbol", "block").mapInArrow(_carried(program), T.StructType([*key, T.StructField("carried", T.BinaryType())]))
@@ -461,10 +480,7 @@ def apply(bars: DataFrame, *parts: Recurrence, span: int = SPAN) -> DataFrame:
     # the state goes with a block's first bar
     begun = begun.select(F.col("symbol").alias(of), F.col("block").alias(since), F.col("ts").alias(start), F.col("carried").alias(carried))
     met = F.col("symbol").eqNullSafe(F.col(of)) & (F.col(block) == F.col(since)) & (F.col("ts") <= F.col(start))
-    laid = dealt.join(begun, met, "left").select(*every, carried).sortWithinPartitions("symbol", block, "ts")
-    names = [*columns, *program.names]
-    schema = T.StructType([*bars.schema.fields, *(T.StructField(n, T.DoubleType()) for n in program.names)])
-    return laid.mapInArrow(_finished(program, at, names, len(columns)), schema)
+    return finish(dealt.join(begun, met, "left").select(*every, carried))
 
 
 def _free(name: str, taken: list[str]) -> str:

@@ -370,7 +370,7 @@ add(
 
 
 # recurrences: the statement follows the bars one by one; these hourly bars are cut into weeks, so that every symbol is in several blocks
-SPAN = 7 * 24 * 3600
+CUT = {"span": 7 * 24 * 3600, "whole": 100}
 
 
 def add_recurrence(name: str, parts: list[R.Recurrence], state: dict[str, tuple[str, str]], out: dict[str, str]) -> None:
@@ -378,7 +378,7 @@ def add_recurrence(name: str, parts: list[R.Recurrence], state: dict[str, tuple[
     names = list(out)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown(R.apply(bars(spark, sf_dir), *parts, span=SPAN), names)
+        return shown(R.apply(bars(spark, sf_dir), *parts, **CUT), names)
 
     QUERIES[name] = query
     start = ", ".join(f"({a})::double as {n}" for n, (a, _) in state.items())
@@ -421,7 +421,7 @@ add_recurrence(
     {"f": ("b.close", _F), "s": ("b.close", _SL), "g": ("0", _ema(9, f"({_F}) - ({_SL})", "g"))},
     {"macd": "case when i >= 34 then f - s end", "macd_signal": "case when i >= 34 then g end", "macd_hist": "case when i >= 34 then f - s - g end"},
 )
-QUERIES["zlema_kama"] = lambda spark, sf_dir: shown(R.apply(bars(spark, sf_dir), R.Zlema(9), R.Kama(10), span=SPAN), ["zlema_9", "kama_10"])
+QUERIES["zlema_kama"] = lambda spark, sf_dir: shown(R.apply(bars(spark, sf_dir), R.Zlema(9), R.Kama(10), **CUT), ["zlema_9", "kama_10"])
 _K = "pow(er * (2.0::double / 3 - 2.0::double / 31) + 2.0::double / 31, 2)"
 ORACLE["zlema_kama"] = (
     f"with recursive {S.BASE}, c0 as (select *, 2 * close - {S.lag('close', 4)} as z, coalesce(abs(close - {S.lag('close', 10)}) / nullif({S.inc('sum(abs(chg))', 10)}, 0), 0) as er from b), "
@@ -431,7 +431,7 @@ ORACLE["zlema_kama"] = (
     f"from r join c0 c on c.symbol = r.symbol and c.i = r.i + 1) "
     "select symbol, epoch(ts)::bigint as t, round(case when i >= 12 then e end + 1e-9, 6) as zlema_9, round(k + 1e-9, 6) as kama_10 from r"
 )
-QUERIES["garch"] = lambda spark, sf_dir: shown(R.apply(bars(spark, sf_dir), R.Garch(), span=SPAN), ["garch_vol"])
+QUERIES["garch"] = lambda spark, sf_dir: shown(R.apply(bars(spark, sf_dir), R.Garch(), **CUT), ["garch_vol"])
 ORACLE["garch"] = (
     f"with recursive {S.BASE}, c0 as (select *, {S.lag('lret')} as p from b), "
     "r as (select symbol, ts, i, null::double as v from c0 where i = 0 union all select c.symbol, c.ts, c.i, "
@@ -441,7 +441,7 @@ ORACLE["garch"] = (
 
 
 def _atr_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = with_base(R.apply(bars(spark, sf_dir), R.Atr(14), span=SPAN))
+    b = with_base(R.apply(bars(spark, sf_dir), R.Atr(14), **CUT))
     b = staged(b, {"atr_mom": T.momentum("atr_14", 5)}, {"atr_accel": T.acceleration("atr_mom"), "atr_slope": from_index(T.slope("atr_14", 10), 23)})
     return shown(b, ["atr_14", "atr_mom", "atr_accel", "atr_slope"])
 
