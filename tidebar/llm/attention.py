@@ -14,7 +14,8 @@ Arrow batches, and exchanges nothing.
 Defined results: a null or empty text, or one without words, is a bag of one
 empty passage and has a score like any other. Without labels of both classes
 every score is the share of label 1 (0.5 without any). Null ids are never held
-out or learned from. Repeated rows are scored alike. An empty table gives an
+out or learned from. Repeated rows are scored alike; ids that tie in the
+order of hashes are taken by number. Very long texts are whole; memory follows the longest. An empty table gives an
 empty result. Other columns, labels among them, are never read.
 """
 

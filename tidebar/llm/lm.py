@@ -19,7 +19,7 @@ Each text is one sequence that begins with a boundary token.
 Defined results: a null or empty text, or one without words, has 0 tokens and
 losses and score 0. Without a target all scores are those of an empty target
 model. Null ids and repeated rows are rows like others. Very long texts are whole; memory
-follows the longest. Words of equal counts need no order. An empty table gives an empty result. Other
+follows the longest. No result depends on an order, so ties play no part. An empty table gives an empty result. Other
 columns are ignored.
 """
 

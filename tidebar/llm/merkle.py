@@ -141,10 +141,10 @@ def rise(spark: SparkSession, messages: RDD, width: int) -> list[RDD]:
         levels.append(level)
 
 
-def tops(levels: list[RDD]) -> RDD:
-    """(start, digest) of every tree."""
-    ready = [level.filter(lambda p: p[1][0] == 1).map(lambda p: (p[0][0], p[1][1][0][1])) for level in levels]
-    return ready[0].context.union(ready)
+def tops(spark: SparkSession, levels: list[RDD], width: int) -> RDD:
+    """(start, (digest, depth)) of every tree, from one pass over the levels."""
+    ready = [level.filter(lambda p: p[1][0] == 1).map(lambda p, depth=depth: (p[0][0], (p[1][1][0][1], depth))) for depth, level in enumerate(levels)]
+    return _stored(spark, spark.sparkContext.union(ready).coalesce(max(1, width // FAN)))
 
 
 def _paths(parent: tuple) -> Iterator[tuple[int, Child, tuple[bytes, list]]]:
@@ -155,12 +155,12 @@ def _paths(parent: tuple) -> Iterator[tuple[int, Child, tuple[bytes, list]]]:
         yield k, child, (top, own + above)
 
 
-def sink(levels: list[RDD], given: RDD, width: int) -> RDD:
-    """Reverse supersteps: ``given`` (start, (top, path above it)) goes down to (child, (top, path)) of the lowest level."""
+def sink(levels: list[RDD], found: RDD, width: int) -> RDD:
+    """Reverse supersteps: ``found`` (start, depth, (top, path above it)) goes down to (child, (top, path)) of the lowest level."""
     sent = None
     for depth in reversed(range(len(levels))):
         wide = max(1, -(-width // FAN**depth))
-        ready = levels[depth].filter(lambda p: p[1][0] == 1).map(lambda p: (p[0][0], p[0])).join(given, wide).values().coalesce(wide)
+        ready = found.filter(lambda f, depth=depth: f[1] == depth).map(lambda f: ((f[0], 0), f[2]))
         arrived = ready if sent is None else ready.union(sent)
         met = levels[depth].join(arrived, wide).coalesce(wide).map(lambda kv: ((kv[0], kv[1][0]), kv[1][1]))
         if depth == 0:
@@ -193,19 +193,22 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
     levels = rise(spark, in_order.mapPartitionsWithIndex(_placed(spans)), width)
 
-    subroots = tops(levels).sortByKey(numPartitions=max(1, width // FAN)).zipWithIndex()
-    n_sources = subroots.count()
-    crown = rise(spark, subroots.map(lambda s: ((0, s[1] // FAN), (n_sources, [(s[1] % FAN, s[0][1], s[0][0])]))), max(1, width // FAN))
-    root = tops(crown).first()[1]
-    above = sink(crown, spark.sparkContext.parallelize([(0, (root, []))], 1), max(1, width // FAN))
-    given = _stored(spark, above.map(lambda found: (found[0][2], (found[0][1], found[1][1]))))
+    few = max(1, width // FAN)
+    ready = tops(spark, levels, width)
+    subroots = ready.mapValues(lambda v: v[0]).sortByKey(numPartitions=few).zipWithIndex()
+    n_sources = ready.count()
+    crown = rise(spark, subroots.map(lambda s: ((0, s[1] // FAN), (n_sources, [(s[1] % FAN, s[0][1], s[0][0])]))), few)
+    _, (root, depth) = tops(spark, crown, 1).first()
+    above = sink(crown, spark.sparkContext.parallelize([(0, depth, (root, []))], 1), few)
+    given = above.map(lambda found: (found[0][2], (found[0][1], found[1][1])))
+    placed = _stored(spark, ready.join(given, few).map(lambda f: (f[0], f[1][0][1], f[1][1])).coalesce(few))
 
     def row(found: tuple[Child, tuple[bytes, list]]) -> tuple:
         (_, value, (doc_id, checked)), (top, path) = found
         folded = fold(checked, path)
         return doc_id, value.hex(), top.hex(), root.hex(), digest(s for _, siblings in path for s in siblings).hex(), folded.hex(), folded == root
 
-    return spark.createDataFrame(sink(levels, given, width).map(row), SCHEMA, verifySchema=False)
+    return spark.createDataFrame(sink(levels, placed, width).map(row), SCHEMA, verifySchema=False)
 
 
 def lowered_fifth(doc_id: str = "doc_id", text: str = "text") -> Column:

@@ -421,7 +421,8 @@ def encode_table(
     """``docs`` without its text, plus ``piece_ids``, ``n_pieces`` and ``lossless``.
 
     ``lossless`` tells whether decoding gave back the text (null: the empty text);
-    null where not ``checked``. Other columns pass through.
+    null where not ``checked``. Other columns pass through; any that are named like the
+    three are left out. Equal rows, and copies of a row, are segmented alike: the draws depend on the id.
     """
     added = [("piece_ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("lossless", T.BooleanType())]
     taken = {name for name, _ in added}
@@ -452,7 +453,7 @@ def encode_table(
 
 
 def decode_table(coded: DataFrame, model: bytes, ids_col: str = "piece_ids") -> DataFrame:
-    """``coded`` with ``piece_ids`` replaced by the decoded ``text`` (null ids: null)."""
+    """``coded`` with ``piece_ids`` replaced by the decoded ``text`` (null ids: null); a column ``text`` that it has goes."""
     others = [c for c in coded.columns if c not in (ids_col, "text")]
     schema = coded.select(*[F.col(f"`{c}`") for c in others]).schema.add("text", "string")
     shared = coded.sparkSession.sparkContext.broadcast(model)
