@@ -120,11 +120,36 @@ def _placed(spans: dict) -> Callable[[int, Iterator], Iterator[tuple[Key, tuple[
 
 
 def _gathered(messages: RDD, width: int) -> RDD:
-    """Parents with all the children that wrote to them, in order."""
-    joined = messages.reduceByKey(lambda a, b: (a[0], a[1] + b[1]), width)
+    """Parents with all the children that wrote to them, in order. A level that fits one partition is not exchanged."""
+    if width > 1:
+        joined = messages.reduceByKey(lambda a, b: (a[0], a[1] + b[1]), width)
+    else:
+        joined = messages.coalesce(1).mapPartitions(_merged)
     return joined.mapValues(lambda v: (v[0], sorted(v[1], key=lambda c: c[0]))).coalesce(width)
 
 
+def _merged(messages: Iterator) -> Iterator:
+    found: dict[Key, tuple[int, list[Child]]] = {}
+    for key, (n, children) in messages:
+        found.setdefault(key, (n, []))[1].extend(children)
+    return iter(found.items())
+
+
+def _met(level: RDD, arrived: RDD, width: int) -> RDD:
+    """(key, (parent, what arrived for it)); as with ``_gathered``, one partition is not exchanged."""
+    if width > 1:
+        return level.join(arrived, width).coalesce(width)
+
+    def both(rows: Iterator) -> Iterator:
+        parents: dict[Key, object] = {}
+        sent: dict[Key, object] = {}
+        for is_parent, (key, value) in rows:
+            (parents if is_parent else sent)[key] = value
+        return iter([(key, (parents[key], value)) for key, value in sent.items() if key in parents])
+
+    return level.map(lambda kv: (True, kv)).union(arrived.map(lambda kv: (False, kv))).coalesce(1).mapPartitions(both)
+
+
 def _forward(parent: tuple[Key, tuple[int, list[Child]]]) -> tuple[Key, tuple[int, list[Child]]]:
     (start, up), (n, children) = parent
     return (start, up // FAN), (-(-n // FAN), [(up % FAN, digest(c[1] for c in children), None)])
@@ -162,7 +187,7 @@ def sink(levels: list[RDD], found: RDD, width: int) -> RDD:
         wide = max(1, -(-width // FAN**depth))
         ready = found.filter(lambda f, depth=depth: f[1] == depth).map(lambda f: ((f[0], 0), f[2]))
         arrived = ready if sent is None else ready.union(sent)
-        met = levels[depth].join(arrived, wide).coalesce(wide).map(lambda kv: ((kv[0], kv[1][0]), kv[1][1]))
+        met = _met(levels[depth], arrived, wide).map(lambda kv: ((kv[0], kv[1][0]), kv[1][1]))
         if depth == 0:
             return met.flatMap(lambda m: [(child, path) for _, child, path in _paths(m)])
         sent = met.flatMap(lambda m: [((m[0][0][0], m[0][0][1] * FAN + k), path) for k, _, path in _paths(m)])
