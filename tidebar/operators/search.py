@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import checkpointed
-from .sequences import summaries
+from .sequences import summaries_by_horizon
 from .targets import Parameters, _plans
 
 #: Least and most of each parameter that is searched.
@@ -78,11 +78,7 @@ def searched(
     bars: DataFrame, length: int, step: int, horizons: tuple[int, ...], given: dict[str, list[Point]] | None = None, start: int = START, batch: int = BATCH, rounds: int = ROUNDS, seed: int = SEED
 ) -> dict[tuple[str, int], tuple[float, Point]]:
     """(score, parameters) of the best point of each target and horizon, in ``rounds`` passes."""
-    parts = [summaries(bars, length, step, h, reach=max(horizons)).withColumn("horizon", F.lit(h)) for h in horizons]
-    held = parts[0]
-    for part in parts[1:]:
-        held = held.unionAll(part)
-    held = checkpointed(held)
+    held = checkpointed(summaries_by_horizon(bars, length, step, horizons))
     best: dict[tuple[str, int], tuple[float, Point]] = {}
     radius: dict[tuple[str, int], float] = {}
     seen: dict[tuple[str, int], list[np.ndarray]] = {}

@@ -105,44 +105,85 @@ def prediction_sequence(bars: DataFrame, features: list[str], length: int) -> Da
     return rows.withColumns({f"{c}_z": (F.col(c) - F.avg(c).over(own)) / F.greatest(F.stddev_pop(c).over(own), F.lit(1e-6)) for c in features})
 
 
-def summaries(bars: DataFrame, length: int, step: int, horizon: int, decay: float = 0.9, smoothing: int = 3, reach: int | None = None) -> DataFrame:
-    """One row a sequence with what the targets need of it and of its horizon."""
+def _dealt(bars: DataFrame, length: int, step: int, horizon: int, reach: int | None) -> DataFrame:
+    """``members`` with ``_div``, a bar's own divergence: log volume ratio to the bar before, inside the sequence."""
     m = members(bars, length, step, horizon, reach)
-    seq, hor = F.col("part") == "s", F.col("part") == "h"
-    place = lambda n: F.pow((F.col("k") + 1) / F.lit(float(n)), F.lit(2.0))
-    of = lambda part, x: F.when(part, x)
-    ohlc4 = (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4
-    mid = (F.col("open") + F.col("close")) / 2
-    share = F.when((F.col("tr") > 0) & (F.col("close") > 0) & (F.col("k") >= 1), F.col("tr") / F.col("close"))
-    aged = F.pow(F.lit(decay), F.lit(horizon) - F.col("k") - 1)
-    positive = F.when(F.col("volume") > 0, F.col("volume"))
-    # a bar's own divergence: log volume ratio to the bar before less its price change, inside the sequence
     before = F.greatest(F.lag("volume").over(Window.partitionBy("symbol", "seq", "part").orderBy("k")), F.lit(1.0))
-    m = m.withColumn("_div", F.when(F.col("volume") > 0, F.log(F.col("volume") / before)))
-    sorted_of = lambda x: F.array_sort(F.collect_list(of(seq, x)))
-    return m.groupBy("symbol", "seq").agg(
-        div(F.sum(of(seq, F.col("close") * place(length))), F.sum(of(seq, place(length)))).alias("s_wclose"),
-        div(F.sum(of(hor, F.col("close") * place(horizon))), F.sum(of(hor, place(horizon)))).alias("h_wclose"),
+    return m.withColumn("_div", F.when(F.col("volume") > 0, F.log(F.col("volume") / before)))
+
+
+def _ohlc4() -> Column:
+    return (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4
+
+
+def _share() -> Column:
+    return F.when((F.col("tr") > 0) & (F.col("close") > 0) & (F.col("k") >= 1), F.col("tr") / F.col("close"))
+
+
+def _place(n: int) -> Column:
+    return F.pow((F.col("k") + 1) / F.lit(float(n)), F.lit(2.0))
+
+
+def _of_sequence(length: int, smoothing: int) -> list[Column]:
+    """What the targets need of a sequence's own bars, as aggregates over ``_dealt`` rows."""
+    seq = F.col("part") == "s"
+    of = lambda x: F.when(seq, x)
+    sorted_of = lambda x: F.array_sort(F.collect_list(of(x)))
+    positive = F.when(F.col("volume") > 0, F.col("volume"))
+    return [
+        div(F.sum(of(F.col("close") * _place(length))), F.sum(of(_place(length)))).alias("s_wclose"),
         sorted_of(F.col("close")).alias("s_closes"),
         sorted_of(F.col("low")).alias("s_lows"),
         sorted_of(F.col("high")).alias("s_highs"),
         sorted_of(F.col("volume")).alias("s_volumes"),
         sorted_of(F.col("_div")).alias("s_divs"),
-        F.transform(F.array_sort(F.collect_list(of(seq, F.struct("k", ohlc4.alias("p"))))), lambda r: r["p"]).alias("s_path"),
-        F.array_sort(F.collect_list(of(hor, F.struct("k", "low", "high")))).alias("h_bars"),
-        F.max(of(hor & (F.col("k") == 0), ohlc4)).alias("h_first"),
-        F.max(of(hor & (F.col("k") == horizon - 1), ohlc4)).alias("h_last"),
-        F.max(of(hor & (F.col("k") == 0), mid)).alias("h_mid0"),
-        F.max(of(hor & (F.col("k") == horizon - 1), mid)).alias("h_mid1"),
-        F.avg(of(seq, ohlc4)).alias("s_mean"),
-        F.stddev_pop(of(seq, ohlc4)).alias("s_std"),
-        F.avg(of(seq, share)).alias("s_atr"),
-        div(F.sum(of(hor, share * aged)), F.sum(of(hor & share.isNotNull(), aged))).alias("h_atr"),
-        F.avg(of(seq, F.col("volume"))).alias("s_volume"),
-        F.avg(of(hor, F.col("volume"))).alias("h_volume"),
-        F.coalesce(F.avg(of(seq & (F.col("k") >= length - smoothing), positive)), F.lit(1.0)).alias("s_smooth"),
-        F.coalesce(F.avg(of(hor & (F.col("k") >= horizon - smoothing), positive)), F.lit(1.0)).alias("h_smooth"),
-    )
+        F.transform(F.array_sort(F.collect_list(of(F.struct("k", _ohlc4().alias("p"))))), lambda r: r["p"]).alias("s_path"),
+        F.avg(of(_ohlc4())).alias("s_mean"),
+        F.stddev_pop(of(_ohlc4())).alias("s_std"),
+        F.avg(of(_share())).alias("s_atr"),
+        F.avg(of(F.col("volume"))).alias("s_volume"),
+        F.coalesce(F.avg(F.when(seq & (F.col("k") >= length - smoothing), positive)), F.lit(1.0)).alias("s_smooth"),
+    ]
+
+
+def _of_horizon(horizon: int, decay: float, smoothing: int) -> list[Column]:
+    """What the targets need of the first ``horizon`` bars after a sequence."""
+    hor = (F.col("part") == "h") & (F.col("k") < horizon)
+    of = lambda x: F.when(hor, x)
+    at = lambda k, x: F.max(F.when(hor & (F.col("k") == k), x))
+    mid = (F.col("open") + F.col("close")) / 2
+    aged = F.pow(F.lit(decay), F.lit(horizon) - F.col("k") - 1)
+    positive = F.when(F.col("volume") > 0, F.col("volume"))
+    return [
+        div(F.sum(of(F.col("close") * _place(horizon))), F.sum(of(_place(horizon)))).alias("h_wclose"),
+        F.array_sort(F.collect_list(of(F.struct("k", "low", "high")))).alias("h_bars"),
+        at(0, _ohlc4()).alias("h_first"),
+        at(horizon - 1, _ohlc4()).alias("h_last"),
+        at(0, mid).alias("h_mid0"),
+        at(horizon - 1, mid).alias("h_mid1"),
+        div(F.sum(of(_share() * aged)), F.sum(F.when(hor & _share().isNotNull(), aged))).alias("h_atr"),
+        F.avg(of(F.col("volume"))).alias("h_volume"),
+        F.coalesce(F.avg(F.when(hor & (F.col("k") >= horizon - smoothing), positive)), F.lit(1.0)).alias("h_smooth"),
+    ]
+
+
+def summaries(bars: DataFrame, length: int, step: int, horizon: int, decay: float = 0.9, smoothing: int = 3, reach: int | None = None) -> DataFrame:
+    """One row a sequence with what the targets need of it and of its horizon."""
+    return _dealt(bars, length, step, horizon, reach).groupBy("symbol", "seq").agg(*_of_sequence(length, smoothing), *_of_horizon(horizon, decay, smoothing))
+
+
+def summaries_by_horizon(bars: DataFrame, length: int, step: int, horizons: tuple[int, ...], decay: float = 0.9, smoothing: int = 3) -> DataFrame:
+    """``summaries`` of several horizons, named by ``horizon``: a sequence's bars are dealt and summarised once for all of them.
+
+    The sequences are those that leave room for the longest horizon.
+    """
+    if not horizons:
+        raise ValueError("at least one horizon is needed")
+    own = _of_sequence(length, smoothing)
+    after = [F.struct(F.lit(h).alias("horizon"), *_of_horizon(h, decay, smoothing)).alias(f"_after_{h}") for h in dict.fromkeys(horizons)]
+    held = _dealt(bars, length, step, max(horizons), None).groupBy("symbol", "seq").agg(*own, *after)
+    names = [c for c in held.columns if not c.startswith("_after_")]
+    return held.select(*names, F.inline(F.array(*[c for c in held.columns if c.startswith("_after_")])))
 
 
 def ranked(values: Column, share: float, rule: str = "floor") -> Column:

@@ -6,13 +6,13 @@ class, strength). Boundaries are strict or inclusive as each target states.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import clamp, div
-from .sequences import ranked
+from .sequences import ranked, summaries_by_horizon
 
 
 @dataclass(frozen=True)
@@ -259,26 +259,42 @@ def _plans(length: int, p: Parameters) -> dict:
     }
 
 
-def all_targets(s: DataFrame, length: int, p: Parameters = Parameters()) -> DataFrame:
-    """(symbol, seq, target, class, strength): every target as rows, from one pass over the summaries."""
+def all_targets(s: DataFrame, length: int, p: Parameters = Parameters(), *keys: str) -> DataFrame:
+    """(symbol, seq, target, class, strength), after further ``keys``: every target as rows, from one pass over the summaries."""
     found = []
     for name, make in _plans(length, p).items():
         plan = make(s)
         s = plan.rows.withColumn(f"_c_{name}", plan.cls.cast("int"))
         s = s.withColumn(f"_f_{name}", plan.strength(F.col(f"_c_{name}")))
         found.append(F.struct(F.lit(name).alias("target"), F.col(f"_c_{name}").alias("class"), F.col(f"_f_{name}").alias("strength")))
-    return s.select("symbol", "seq", F.inline(F.array(*found)))
-
-
-def by_horizon(bars: DataFrame, length: int, step: int, horizons: tuple[int, ...], p: Parameters = Parameters()) -> DataFrame:
-    """(horizon, symbol, seq, target, class, strength): all targets of several horizons over the same sequences."""
-    from .sequences import summaries
-
-    parts = [all_targets(summaries(bars, length, step, h, reach=max(horizons)), length, p).select(F.lit(h).alias("horizon"), "*") for h in horizons]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    return s.select(*keys, "symbol", "seq", F.inline(F.array(*found)))
+
+
+def of_horizon(params: dict[int, Parameters]) -> Parameters:
+    """Parameters that follow the row's ``horizon``, so that one pass serves horizons with values of their own; values that all share stay plain."""
+    out = {}
+    for f in fields(Parameters):
+        own = {h: getattr(p, f.name) for h, p in params.items()}
+        first = next(iter(own.values()))
+        varied = {}
+        for g in fields(first):
+            values = {h: getattr(o, g.name) for h, o in own.items()}
+            if len(set(values.values())) > 1:
+                chosen = None
+                for h, v in values.items():
+                    chosen = F.when(F.col("horizon") == h, float(v)) if chosen is None else chosen.when(F.col("horizon") == h, float(v))
+                varied[g.name] = chosen
+        out[f.name] = replace(first, **varied)
+    return Parameters(**out)
+
+
+def by_horizon(bars: DataFrame, length: int, step: int, horizons: tuple[int, ...], p: Parameters | dict[int, Parameters] = Parameters()) -> DataFrame:
+    """(horizon, symbol, seq, target, class, strength): all targets of several horizons over the same sequences, in one pass.
+
+    ``p``: parameters of all horizons, or of each.
+    """
+    s = summaries_by_horizon(bars, length, step, horizons)
+    return all_targets(s, length, of_horizon(p) if isinstance(p, dict) else p, "horizon")
 
 
 #: The parameter of each target that calibration varies.
