@@ -55,17 +55,17 @@ def likely(p: Column) -> Column:
     return F.size(p) - F.array_position(F.reverse(p), F.array_max(p)).cast("int")
 
 
-def expectations(s: DataFrame, length: int, p: dict[str, Column], params: Parameters = Parameters()) -> DataFrame:
-    """(symbol, seq, price, stop, momentum, atr_ratio, stop_factor, divergence, volume_ratio): what each target's probabilities expect.
+def expected_values(s: DataFrame, length: int, p: dict[str, Column], params: Parameters = Parameters()) -> DataFrame:
+    """The summaries with what each target's probabilities expect (``_e_`` columns, see ``expectations``), and the edges of price and stop ranges.
 
-    ``p``: a column of probabilities for each target, of the summaries ``s``. Stops
-    follow the direction that the direction's probabilities favour, up if equal.
+    ``_e_price_edges`` and ``_e_stop_edges`` are six prices, class 0 first; ``_e_width`` is the price target's bandwidth, null on a flat sequence.
     """
     plans = _plans(length, params)
     price = plans["price_level"](s)
     b, w = price.bounds, price.width
     edges = [b[0] - w, b[0], b[1], b[2], b[3], b[3] + w]
-    s = price.rows.withColumn("_e_price", _mean(p["price_level"], [(edges[k] + edges[k + 1]) / 2 for k in range(5)]))
+    s = price.rows.withColumns({"_e_price_edges": F.array(*edges), "_e_width": w})
+    s = s.withColumn("_e_price", _mean(p["price_level"], [(edges[k] + edges[k + 1]) / 2 for k in range(5)]))
 
     up = (F.get(p["direction"], F.lit(3)) + F.get(p["direction"], F.lit(4))) >= (F.get(p["direction"], F.lit(0)) + F.get(p["direction"], F.lit(1)))
     bands, side = params.stop_level, F.when(up, F.col("s_lows")).otherwise(F.col("s_highs"))
@@ -75,6 +75,7 @@ def expectations(s: DataFrame, length: int, p: dict[str, Column], params: Parame
     reach = F.col("_e_reach")
     width, middle, half = reach * bands.bandwidth, (lo + hi) / 2, reach * bands.neutral / 2
     edges = [lo - 2 * width, lo - width, middle - half, middle + half, hi + width, hi + 2 * width]
+    s = s.withColumn("_e_stop_edges", F.when(up, F.array(*edges)).otherwise(F.array(*edges[::-1])))
     rising = [(edges[k] + edges[k + 1]) / 2 for k in range(5)]
     s = s.withColumn("_e_stop", F.when(up, _mean(p["stop_level"], rising)).otherwise(_mean(p["stop_level"], rising[::-1])))
 
@@ -88,15 +89,23 @@ def expectations(s: DataFrame, length: int, p: dict[str, Column], params: Parame
         made[f"_e_{target}"] = _mean(p[target], centres)
         s = s.withColumn(f"_e_{target}", made[f"_e_{target}"])
     cv = F.when(F.abs(F.col("s_mean")) > 1e-10, F.col("s_std") / F.col("s_mean")).otherwise(0.01)
-    ratio = 1 + F.col("_e_volatility")
-    return s.select(
+    return s.withColumns({"_e_momentum": F.col("_e_direction") * (1 + cv), "_e_ratio": 1 + F.col("_e_volatility"), "_e_change": F.exp("_e_volume")})
+
+
+def expectations(s: DataFrame, length: int, p: dict[str, Column], params: Parameters = Parameters()) -> DataFrame:
+    """(symbol, seq, price, stop, momentum, atr_ratio, stop_factor, divergence, volume_ratio): what each target's probabilities expect.
+
+    ``p``: a column of probabilities for each target, of the summaries ``s``. Stops
+    follow the direction that the direction's probabilities favour, up if equal.
+    """
+    return expected_values(s, length, p, params).select(
         "symbol",
         "seq",
         F.col("_e_price").alias("price"),
         F.col("_e_stop").alias("stop"),
-        (F.col("_e_direction") * (1 + cv)).alias("momentum"),
-        ratio.alias("atr_ratio"),
-        clamp(ratio, 0.5, 2.5).alias("stop_factor"),
+        F.col("_e_momentum").alias("momentum"),
+        F.col("_e_ratio").alias("atr_ratio"),
+        clamp("_e_ratio", 0.5, 2.5).alias("stop_factor"),
         F.col("_e_sentiment").alias("divergence"),
-        F.exp("_e_volume").alias("volume_ratio"),
+        F.col("_e_change").alias("volume_ratio"),
     )

@@ -487,3 +487,19 @@ def _free(name: str, taken: list[str]) -> str:
     while name in taken:
         name += "_"
     return name
+
+
+def smoothed(rows: DataFrame, columns: list[str], rate: float) -> DataFrame:
+    """``rows`` with numeric columns replaced by their running means by symbol and time, each step a share ``rate`` of the way to the new value.
+
+    The first value stands as it is; a null stays null and leaves the mean alone. Rows without a time go.
+    """
+    for at in range(0, len(columns), len(FIELDS)):
+        some = columns[at : at + len(FIELDS)]
+        names = rows.columns
+        own = [f"own_{k}" for k in range(len(names))]
+        values = [F.col(f"`{c}`").cast("double") for c in some] + [F.lit(None).cast("double")] * (len(FIELDS) - len(some))
+        held = rows.select("symbol", "ts", *[F.col(f"`{n}`").alias(o) for n, o in zip(names, own)], *[v.alias(f) for v, f in zip(values, FIELDS)])
+        made = apply(held, *[Ema(1, of=f, name=f"smooth_{k}", k=rate, first=0) for k, f in enumerate(FIELDS[: len(some)])])
+        rows = made.select(*[F.col(f"smooth_{some.index(n)}").alias(n) if n in some else F.col(o).alias(n) for n, o in zip(names, own)])
+    return rows
