@@ -144,6 +144,26 @@ def exact_split(labelled: DataFrame, val: int, test: int, train: int) -> DataFra
     return rows.withColumn("split", split).filter("split is not null").drop("_n", "_r", "_v", "_t")
 
 
+def truncated(labelled: DataFrame, count: int, classes: int = 5) -> DataFrame:
+    """``count`` rows of a balanced table, as many of each class, at even strides of its rows by symbol and start.
+
+    Of a class's n rows those nearest to the strides of n over its share are taken, halves upwards. A count
+    that the classes don't divide or that is beyond the rows, and a table that isn't balanced, are errors.
+    """
+    if count <= 0 or count % classes:
+        raise ValueError(f"{count} rows can't be {classes} equal classes")
+    held = labelled.filter("class is not null")
+    sizes = {r["class"]: r["count"] for r in held.groupBy("class").count().limit(classes + 1).collect()}
+    if len(sizes) != classes or len(set(sizes.values())) != 1:
+        raise ValueError(f"the classes are not balanced: {sizes}")
+    n, k = next(iter(sizes.values())), count // classes
+    if k > n:
+        raise ValueError(f"{count} rows are asked for, there are {n * classes}")
+    rows = ranked(held, ["class"], ["symbol", "seq"], "_r", "_n")
+    ends = lambda r: F.ceil(F.greatest((2 * r + 1) * k, F.lit(0)) / (2 * n))
+    return rows.filter(ends(F.col("_r")) > ends(F.col("_r") - 1)).drop("_r", "_n")
+
+
 def diverse(labelled: DataFrame, count: int, gap: int = 0) -> DataFrame:
     """At most ``count`` rows of each class: the strongest of equal spans of the class's starts first, then by strength.
 

@@ -10,6 +10,8 @@ from ..functions.windows import by_symbol, ever
 
 # Factor of the composite score by market regime.
 REGIME_FACTOR = {"high_volatility": 0.9, "low_volatility": 1.1, "bull": 1.05, "bear": 1.05, "medium_volatility": 1.0, "range_bound": 0.95}
+# Factor of the true range by volatility label.
+ATR_FACTOR = {"VERY_LOW": 0.7, "LOW": 0.85, "MEDIUM": 1.0, "HIGH": 1.3, "VERY_HIGH": 1.6}
 
 
 def strategy_return(signal: Column, ret: Column) -> Column:
@@ -151,6 +153,14 @@ def sequence_atr(b: DataFrame, n: int) -> Column:
     return F.avg(share).over(by_symbol().rowsBetween(-(n - 1), 0))
 
 
+def adjusted_atr(atr: Column, label: Column) -> Column:
+    """A range in percent by the predicted volatility: tighter where it is low, wider where it is high; any other label leaves it."""
+    out = None
+    for name, factor in ATR_FACTOR.items():
+        out = F.when(label == name, atr * factor) if out is None else out.when(label == name, atr * factor)
+    return out.otherwise(atr)
+
+
 def pinball(actual: Column, quantile: Column, share: float) -> Column:
     """Loss of a quantile prediction."""
     off = actual - quantile

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,12 +85,12 @@ def correlations(rows: DataFrame, features: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])))
 
 
-def select_features(table: list[tuple[str, str, float]], features: list[str], limit: float = 0.95) -> list[str]:
-    """Features left when, of each pair correlated beyond the limit, the longer name goes (the later of equals)."""
+def select_features(table: list[tuple[str, str, float]], features: list[str], limit: float = 0.95, preferred: Callable[[str], bool] | None = None) -> list[str]:
+    """Features left when, of each pair correlated beyond the limit, the one that is not ``preferred`` goes, else the longer name (the later of equals)."""
     gone: set[str] = set()
     for a, b, r in sorted(table):
         if abs(r) > limit and a not in gone and b not in gone:
-            gone.add(max((a, b), key=lambda n: (len(n), n)))
+            gone.add(max((a, b), key=lambda n: (not preferred(n) if preferred else False, len(n), n)))
     return [f for f in features if f not in gone]
 
 

@@ -61,17 +61,24 @@ def replacement(name: str) -> str:
 
 
 def cleaned(rows: DataFrame, features: list[str], k: float = 1.5) -> DataFrame:
-    """``rows`` (with ``i``) with values beyond k quartile ranges replaced by each column's rule."""
-    for f in features:
-        rows = P.with_stats(rows, f)
-        rows = rows.withColumn("_out", P.is_outlier(f, P.iqr_bounds(k)))
-        made: Column = {
-            "cap": P.capped(f, P.iqr_bounds(k)),
-            "centre": F.when(F.col("_out"), F.col("median")).otherwise(F.col(f)),
-            "interpolate": P.interpolated(f, "_out"),
-        }[replacement(f)]
-        rows = rows.withColumn(f, made).drop("_out", *STATISTICS)
-    return rows
+    """``rows`` (with ``i``) with values beyond k quartile ranges replaced by each column's rule; statistics of all columns come from one pass."""
+    of = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c)))
+    wide = fit(rows, features).groupBy("symbol").agg(*[of(f, c).alias(f"_{c}_{n}") for n, f in enumerate(features) for c in ("q25", "q75", "median")])
+    made: dict[str, Column] = {}
+    out: dict[str, Column] = {}
+    for n, f in enumerate(features):
+        low, high = F.col(f"_q25_{n}"), F.col(f"_q75_{n}")
+        spread = high - low
+        bounds = F.when(spread > 0, low - k * spread), F.when(spread > 0, high + k * spread)
+        out[f"_out_{n}"] = P.is_outlier(f, bounds)
+        rule = replacement(f)
+        if rule == "cap":
+            made[f] = P.capped(f, bounds)
+        elif rule == "centre":
+            made[f] = F.when(F.col(f"_out_{n}"), F.col(f"_median_{n}")).otherwise(F.col(f))
+        else:
+            made[f] = P.interpolated(f, f"_out_{n}")
+    return rows.join(wide, "symbol", "left").withColumns(out).withColumns(made).drop(*wide.columns[1:], *out)
 
 
 def training(bars: DataFrame, features: dict[str, Column], how: str = "robust") -> tuple[DataFrame, DataFrame]:

@@ -88,7 +88,7 @@ def is_outlier(c: str, bounds: tuple[Column, Column]) -> Column:
 
 
 def capped(c: str, bounds: tuple[Column, Column]) -> Column:
-    return F.when(bounds[0].isNull(), F.col(c)).otherwise(F.least(F.greatest(F.col(c), bounds[0]), bounds[1]))
+    return F.when(bounds[0].isNull() | F.col(c).isNull(), F.col(c)).otherwise(F.least(F.greatest(F.col(c), bounds[0]), bounds[1]))
 
 
 def modified_z(rows: DataFrame, c: str, limit: float = 3.5, key: str = "symbol") -> DataFrame:

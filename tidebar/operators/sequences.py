@@ -55,6 +55,37 @@ def starts(bars: DataFrame, length: int, step: int, horizon: int) -> DataFrame:
     return b.filter((F.col("i") % step == 0) & (F.col("i") + length + horizon <= F.col("n_bars"))).select("symbol", F.col("i").alias("seq"))
 
 
+def alignment(starts: DataFrame, targets: DataFrame, bars: DataFrame) -> DataFrame:
+    """By symbol: numbers of sequences, targets and bars, and what doesn't fit.
+
+    ``starts`` and ``targets``: (symbol, seq), a target once for each name and horizon is one. ``unlabelled``: sequences
+    without a target; ``unmatched``: targets of no sequence; ``repeated``: sequences that are there
+    more than once; ``outside``: starts of either beyond the symbol's bars, or before their first.
+    Everything is counted by (symbol, seq) first, so no symbol meets in one task whole.
+    """
+    tagged = starts.select("symbol", F.col("seq").cast("bigint").alias("seq"), F.lit(1).alias("s"), F.lit(0).alias("t"))
+    tagged = tagged.unionAll(targets.select("symbol", F.col("seq").cast("bigint").alias("seq"), F.lit(0).alias("s"), F.lit(1).alias("t")))
+    each = tagged.groupBy("symbol", "seq").agg(F.sum("s").alias("s"), F.max("t").alias("t"))
+    found = each.groupBy("symbol").agg(
+        F.sum("s").alias("n_sequences"),
+        F.sum("t").alias("n_targets"),
+        F.count_if((F.col("s") > 0) & (F.col("t") == 0)).alias("unlabelled"),
+        F.count_if((F.col("s") == 0) & (F.col("t") > 0)).alias("unmatched"),
+        F.count_if(F.col("s") > 1).alias("repeated"),
+    )
+    sizes = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
+    beyond = each.join(sizes, "symbol", "left").groupBy("symbol").agg(F.count_if((F.col("seq") < 0) | (F.col("seq") >= F.coalesce("n_bars", F.lit(0)))).alias("outside"))
+    every = found.join(beyond, "symbol").join(sizes, "symbol", "full")
+    return every.fillna(0, ["n_sequences", "n_targets", "unlabelled", "unmatched", "repeated", "outside", "n_bars"])
+
+
+def check_alignment(report: DataFrame) -> None:
+    """An error that names the symbols (ten at most) where sequences and targets don't fit."""
+    bad = report.filter("unlabelled + unmatched + repeated + outside > 0").orderBy("symbol").limit(10).collect()
+    if bad:
+        raise ValueError("sequences and targets don't fit: " + "; ".join(f"{r['symbol']}: {r['unlabelled']} unlabelled, {r['unmatched']} unmatched, {r['repeated']} repeated, {r['outside']} outside" for r in bad))
+
+
 def members(bars: DataFrame, length: int, step: int, horizon: int, reach: int | None = None) -> DataFrame:
     """A row for each bar of each sequence (``part`` s, place ``k`` from 0) and of its horizon (``part`` h).
 

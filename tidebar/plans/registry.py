@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import adaptive_queries, audit_queries, channel_queries, confidence_queries, evaluation, forecast_queries, indicators, path_queries, prediction_queries, preparation_queries, report_queries, sequence_queries, target_queries
+from . import adaptive_queries, audit_queries, channel_queries, confidence_queries, evaluation, forecast_queries, indicators, path_queries, prediction_queries, preparation_queries, report_queries, selection_queries, sequence_queries, target_queries
 
-_PARTS = (indicators, sequence_queries, evaluation, prediction_queries, confidence_queries, target_queries, channel_queries, preparation_queries, report_queries, adaptive_queries, audit_queries, path_queries, forecast_queries)
+_PARTS = (indicators, sequence_queries, evaluation, prediction_queries, confidence_queries, target_queries, channel_queries, preparation_queries, report_queries, adaptive_queries, audit_queries, path_queries, forecast_queries, selection_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
