@@ -84,8 +84,11 @@ def enriched(stream: DataFrame, static: DataFrame, stream_key: str, static_key:
     return stream.join(static, stream[stream_key] == static[static_key])
 
 
-def _replay(spark: SparkSession, stream: DataFrame, mode: str, settings: dict[str, str] | None = None) -> DataFrame:
-    """Everything a stream gives when run over what is there, as a table in the shared folder; the driver holds none of it."""
+def _replay(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """Everything a stream gives when run over what is there, as a table in the shared folder; the driver holds none of it.
+
+    State is kept by RocksDB, on disk rather than on the executors' heap; the session's own setting comes back afterwards.
+    """
     folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     schema = stream.schema
 
@@ -93,8 +96,8 @@ def _replay(spark: SparkSession, stream: DataFrame, mode: str, settings: dict[st
         # a folder a batch, so that a repeated one replaces itself; a complete result replaces all
         batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in settings or {}}
-    for k, v in (settings or {}).items():
+    before = {k: spark.conf.get(k, None) for k in ROCKS}
+    for k, v in ROCKS.items():
         spark.conf.set(k, v)
     try:
         stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
@@ -122,7 +125,7 @@ def replayed_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
     hourly(spark.read.parquet(f"{sf_dir}/events.parquet")).write.parquet(folder)
     bars = spark.readStream.schema(BAR_COLUMNS).parquet(folder)
-    rows = _replay(spark, ring_buffer(bars, 300, 50), "append", ROCKS)
+    rows = _replay(spark, ring_buffer(bars, 300, 50), "append")
     rounded = [F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("last_close", "mean_close", "high", "low")]
     return rows.select("symbol", "n", F.unix_timestamp("first_ts").alias("first_t"), F.unix_timestamp("last_ts").alias("last_t"), *rounded)
 
