@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidebar.operators import diversity as D
 
@@ -87,3 +88,16 @@ def test_farthest_first_picks(spark):
         while len(taken) < min(6, len(own)):
             taken.append(min((r for r in own if r not in taken), key=lambda r: (-round(min(off(r, t) for t in taken), 12), r[1])))
         assert [q for _, q in sorted(got[s])] == [t[1] for t in taken]
+
+
+def test_picks_have_each_column_once_and_null_groups(spark, sf_dir, tmp_path):
+    from tidebar.plans import path_queries
+
+    got = path_queries.QUERIES["diverse_picks"](spark, sf_dir)
+    got.write.parquet(f"{tmp_path}/picks")
+    assert got.columns == ["symbol", "seq", "place"] and spark.read.parquet(f"{tmp_path}/picks").count() == got.distinct().count() > 0
+    rows = described(spark, sequences(12)).withColumn("lot", F.when(F.col("seq") > 20, F.lit(7)))
+    picks = D.farthest_first(rows, 3, "lot")
+    assert picks.columns == ["lot", "symbol", "seq", "place"]
+    assert sorted((r.lot or 0, r.place) for r in picks.collect()) == [(g, k) for g in (0, 7) for k in range(3)]
+    assert D.farthest_first(rows.filter("false"), 3, "lot").count() == 0

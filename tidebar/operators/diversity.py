@@ -120,16 +120,14 @@ def weighted(rows: DataFrame, size: int, *keys: str) -> DataFrame:
 
 
 def farthest_first(rows: DataFrame, count: int, key: str) -> DataFrame:
-    """Of each group ``count`` rows (symbol, seq, place): the strongest, then round by round the one that is farthest from all taken before.
+    """Of each group ``count`` rows (the key, symbol, seq, place; each column once): the strongest, then round by round the one that is farthest from all taken before.
 
     A distance is the weighted sum of the cosine distances of ``unit`` and ``market``, of the starts over the group's
     range, and 1 for another class. One pass a round: rows meet their group's picks, of which there are at
-    most ``count`` a group; ties go to the smaller (symbol, seq). The driver holds the picks alone.
+    most ``count`` a group; ties go to the smaller (symbol, seq). A null key is a group of its own. Picks are kept in the shared folder.
     """
-    spark = rows.sparkSession
     ends = rows.groupBy(F.col(key).alias("_of")).agg((F.max("seq") - F.min("seq")).alias("_span"))
-    held = checkpointed(rows.join(ends, F.col(key) == F.col("_of")).select(F.col(key).cast("string").alias("_of"), "symbol", "seq", "class", "strength", "unit", "market", "_span"))
-    fields = held.select("_of", F.struct("symbol", "seq", "class", "unit", "market").alias("pick")).schema
+    held = checkpointed(rows.join(ends, F.col(key).eqNullSafe(F.col("_of"))).select("_of", "symbol", "seq", "class", "strength", "unit", "market", "_span"))
     cosine = lambda a, b: F.coalesce(1 - _sum(F.zip_with(a, b, lambda x, y: x * y)), F.lit(1.0))
 
     def off(p: Column) -> Column:
@@ -137,22 +135,19 @@ def farthest_first(rows: DataFrame, count: int, key: str) -> DataFrame:
         other = F.when(F.col("class").eqNullSafe(p["class"]), 0.0).otherwise(1.0)
         return WEIGHTS[0] * cosine(F.col("unit"), p["unit"]) + WEIGHTS[1] * time + WEIGHTS[2] * cosine(F.col("market"), p["market"]) + WEIGHTS[3] * other
 
-    picks: list[tuple] = []
-    places: dict[tuple, int] = {}
+    picks = held.limit(0).select("_of", F.struct("symbol", "seq", "class", "unit", "market").alias("pick"), F.lit(0).alias("place"))
     for place in range(count):
         if not place:
             ranked_ = held.withColumn("_by", F.coalesce("strength", F.lit(-1.0)))
         else:
-            taken = spark.createDataFrame(picks, fields).groupBy(F.col("_of").alias("_to")).agg(F.collect_list("pick").alias("_picks"))
-            met = held.join(taken, F.col("_of") == F.col("_to"))
-            free = ~F.exists("_picks", lambda p: (p["symbol"] == F.col("symbol")) & (p["seq"] == F.col("seq")))
+            taken = picks.groupBy(F.col("_of").alias("_to")).agg(F.collect_list("pick").alias("_picks"))
+            met = held.join(taken, F.col("_of").eqNullSafe(F.col("_to")))
+            free = ~F.exists("_picks", lambda p: p["symbol"].eqNullSafe(F.col("symbol")) & p["seq"].eqNullSafe(F.col("seq")))
             ranked_ = met.filter(free).withColumn("_by", F.array_min(F.transform("_picks", off)))
         best = F.min(F.struct((-F.round("_by", 12)).alias("by"), "symbol", "seq", F.struct("symbol", "seq", "class", "unit", "market").alias("pick"))).alias("best")
-        found = ranked_.groupBy("_of").agg(best).select("_of", "best.pick").collect()
-        if not found:
+        found = checkpointed(ranked_.groupBy("_of").agg(best).select("_of", "best.pick", F.lit(place).alias("place")))
+        if found.isEmpty():
             break
-        for r in found:
-            picks.append((r["_of"], r["pick"]))
-            places[r["_of"], r["pick"]["symbol"], r["pick"]["seq"]] = place
-    out = [(g, s, q, p) for (g, s, q), p in places.items()]
-    return spark.createDataFrame(out, f"{key} string, symbol string, seq bigint, place int")
+        picks = picks.unionAll(found)
+    group = [F.col("_of").alias(key)] if key not in ("symbol", "seq") else []
+    return picks.select(*group, "pick.symbol", "pick.seq", "place")
