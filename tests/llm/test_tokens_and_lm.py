@@ -77,6 +77,24 @@ def test_every_occurrence_draws_on_its_own(model):
     assert e.encode_many(some, list(range(len(some)))) == [e.encode_many([t], [k])[0] for k, t in enumerate(some)]
 
 
+def test_outcomes_with_skips_are_kept(model, monkeypatch):
+    e = pieces.Encoder(model, 0.3, 1)
+    texts = ["international waters run through crowded valleys " * 6] * 300
+    merged = []
+    plain = pieces.Encoder.merge_many
+    monkeypatch.setattr(pieces.Encoder, "merge_many", lambda self, chunks, *a, **k: merged.append(len(chunks)) or plain(self, chunks, *a, **k))
+    for at in range(0, 3000, 300):
+        keys = list(range(at, at + 300))
+        merged.clear()
+        coded = e.encode_many(texts, keys)
+    assert sum(merged) < 0.35 * 300 * 36  # over half of the occurrences skip something
+    fresh = pieces.Encoder(model, 0.3, 1)
+    cut = e.chunks(texts[0])
+    for k, got in list(zip(keys, coded))[::60]:
+        assert pieces._unpacked(got) == [i for c, key in zip(cut, e._keys(k, len(cut)).tolist()) for i in e.merge(c, None, key)]
+        assert fresh.encode(texts[0], k) == pieces._unpacked(got)
+
+
 def test_every_word_and_pair_has_its_own_count(spark):
     rare = " ".join(f"w{k} v{k % 7}" for k in range(70_000))  # more words than fit in 65,536
     texts = ["a b a b c", "a a b", "", "c c c d", "x" * 70 + " d d " + "x" * 70, None, rare]

@@ -10,7 +10,9 @@ others. Without dropout the result is that of the vocabulary's own encoder.
 
 Every occurrence of a chunk draws on its own. A worker keeps the plain outcome of
 chunks that it meets often, about ``CACHE`` of them, with the candidates that led to it: where
-an occurrence skips none of these, its outcome is the plain one. The others are
+an occurrence skips none of these, its outcome is the plain one. Where it skips some, the outcome
+without these takes the plain one's place, and is kept in the same way (about ``VARIANTS`` of them), until none of
+the candidates that led to it is skipped. The others are
 merged together, one agenda step of each at a time, in array operations; long ones
 go one by one.
 
@@ -30,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,9 @@ SPACE = "▁"
 DROPOUT = 0.1
 SEED = 20240
 CACHE = 100_000
-_LONG = 40
-_TOGETHER = 30_000
+VARIANTS = 200_000
+_LONG = 40  # such a chunk has at most 40 merges, and places below 64
+_TOGETHER = 10_000
 _OWN = "own mark"
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _ALL = (1 << 64) - 1
@@ -61,6 +65,11 @@ def _draw_part(left: np.ndarray, right: np.ndarray, piece: np.ndarray) -> np.nda
     return (left.astype(np.uint64) * np.uint64(_M1)) ^ (right.astype(np.uint64) * np.uint64(_M2)) ^ (piece.astype(np.uint64) * np.uint64(_M3))
 
 
+def _part_of(code: np.ndarray) -> np.ndarray:
+    """The draw part of candidates (left place, right place, piece in 6, 6 and 20 bits)."""
+    return _draw_part(code >> 26, code >> 20 & 63, code & 0xFFFFF)
+
+
 def _drawn(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(_M2)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(_M3)
@@ -83,9 +92,19 @@ class Encoder:
             raise ValueError("dropout must be in [0, 1)")
         self.model, self.dropout, self.seed = model, dropout, seed
         self.below = int(dropout * 2**64)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Kept outcomes by number: the pieces, the merges taken and their draw parts, the chunk, and the candidates it goes without."""
         self.kept: dict[str, int] = {}
         self.plain: list[bytes] = []
+        self.codes: list[np.ndarray] = []
         self.taken: list[np.ndarray] = []
+        self.chunk: list[str] = []
+        self.without: list[np.ndarray] = []
+        # number << 40 | skipped ones of its merges as bits: the number of the outcome without these
+        self.variants: dict[int, int] = {}
+        self.met: set[int] = set()
 
     @cached_property
     def _vocabulary(self) -> tuple[dict[str, int], list[float], list[int], list]:
@@ -169,8 +188,11 @@ class Encoder:
         _, _, slots, joined, bits, longest = self._tables
         key = left.astype(np.int64) << 32 | right
         at = ((key.view(np.uint64) * np.uint64(_M1)) >> np.uint64(64 - bits)).astype(np.int64)
-        out = np.where(slots[at] == key, joined[at], -1)
-        open_ = np.flatnonzero((slots[at] != key) & (slots[at] != -1))
+        found = slots[at]
+        hit = found == key
+        out = np.full(len(key), -1, np.int64)
+        out[hit] = joined[at[hit]]
+        open_ = np.flatnonzero(~hit & (found != -1))
         at = at[open_]
         for _ in range(longest):
             if not len(open_):
@@ -183,66 +205,73 @@ class Encoder:
             open_, at = open_[go], at[go]
         return out
 
-    def merge_many(self, items: list[tuple[str, int | None]], keys: np.ndarray | None = None, trace: list | None = None) -> list[bytes]:
+    def merge_many(self, chunks: list[str], stream: int | None = None, keys: np.ndarray | None = None, trace: list | None = None, without: np.ndarray | None = None) -> list[bytes]:
         """``merge`` of many short chunks at once, one agenda step of each at a time; ids as packed 32-bit numbers.
 
-        ``keys``: the keys of the draws, in place of the streams. ``trace`` takes the
-        merges of each step: number of the chunk and the unkeyed part of the draw.
+        ``keys``: the keys of the draws, in place of a stream. ``trace`` takes the
+        merges of each step: number of the chunk and code of the candidate (see ``_part_of``).
+        ``without``: candidates that are skipped, as chunk number << 32 | code, ordered.
         """
         of_char, rank, _, _, _, _ = self._tables
-        n = len(items)
-        size = np.fromiter((len(c) + 1 for c, _ in items), np.int64, n)
-        points = np.frombuffer("".join([" " + c for c, _ in items]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        raw = points
+        n = len(chunks)
+        size = np.fromiter(map(len, chunks), np.int64, n) + 1
+        raw = np.frombuffer((" " + " ".join(chunks)).encode("utf-32-le", "surrogatepass"), np.uint32)
         points = np.where(raw == 32, np.uint32(ord(SPACE)), raw)
-        sampled = keys is not None or items[0][1] is not None
+        sampled = keys is not None or stream is not None
         if sampled and keys is None:
-            keys = np.fromiter((self._key(c, t) for c, t in items), np.uint64, n)
+            keys = np.fromiter((self._key(c, stream) for c in chunks), np.uint64, n)
         symbol = of_char[points].astype(np.int64)
         apart = (symbol < 0) | (raw == ord(SPACE))  # unknown characters and own space marks join nothing
         symbol[apart] = -2 - points[apart].astype(np.int64)
         total = len(symbol)
-        word = np.repeat(np.arange(n), size)
         origin = np.arange(total)
+        word = np.repeat(np.arange(n), size)
         place = origin - np.repeat(np.cumsum(size) - size, size)
         final = np.full(total, -1, np.int64)
 
-        def proposals(at: np.ndarray) -> np.ndarray:
-            """Joined piece of each of the symbols at ``at`` with its right neighbour, -1: none or skipped."""
-            out = np.full(len(at), -1, np.int64)
-            ok = np.flatnonzero((at >= 0) & (at + 1 < len(symbol)))
-            ok = ok[word[at[ok]] == word[at[ok] + 1]]
-            left = at[ok]
-            piece = self._join(symbol[left], symbol[left + 1]).astype(np.int64)
-            good = piece >= 0
-            if sampled and good.any():
-                k = np.flatnonzero(good)
-                draw = _mixed(keys[word[left[k]]], place[left[k]].astype(np.uint64), place[left[k] + 1].astype(np.uint64), piece[k].astype(np.uint64))
-                piece[k[draw < np.uint64(self.below)]] = -1
-            out[ok] = piece
-            return out
-
-        joins = proposals(np.arange(total))
+        def proposals(left: np.ndarray, right: np.ndarray, at: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Joined piece of each pair of symbols of one chunk, and its value; -1 and 0: none or skipped. ``at``, ``after``: their first characters."""
+            piece = self._join(left, right)
+            k = np.flatnonzero(piece >= 0)
+            if sampled and len(k):
+                draw = _mixed(keys[word[at[k]]], place[at[k]], place[after[k]], piece[k])
+                skipped = draw < np.uint64(self.below)
+                piece[k[skipped]] = -1
+                k = k[~skipped]
+            if without is not None and len(k):
+                code = word[at[k]] << 32 | place[at[k]] << 26 | place[after[k]] << 20 | piece[k]
+                skipped = without[np.minimum(np.searchsorted(without, code), len(without) - 1)] == code
+                piece[k[skipped]] = -1
+                k = k[~skipped]
+            value = np.zeros(len(piece), np.int64)
+            value[k] = rank[piece[k]] << 32 | (total - at[k])  # the best score, leftmost first
+            return piece, value
+
+        joins, value = np.full(total, -1, np.int64), np.zeros(total, np.int64)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        joins[inner], value[inner] = proposals(symbol[inner], symbol[inner + 1], inner, inner + 1)
+        lengths = size
         while len(symbol):
-            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            value = np.where(joins >= 0, rank[joins] << 32, 0) + (len(symbol) - 1 - np.arange(len(symbol)))
-            best = np.maximum.reduceat(value, starts)
-            alive = best >> 32 > 0
-            lengths = np.diff(np.append(starts, len(symbol)))
-            at = len(symbol) - 1 - (best[alive] & 0xFFFFFFFF)
+            best = np.maximum.reduceat(value, np.cumsum(lengths) - lengths)
+            alive = best > 0
+            each = np.repeat(best, lengths)
+            at = np.flatnonzero((value == each) & (each > 0))
+            keep = each > 0
             if trace is not None:
-                trace.append((word[at], _draw_part(place[at], place[at + 1], joins[at])))
+                trace.append((word[origin[at]], place[origin[at]] << 26 | place[origin[at + 1]] << 20 | joins[at]))
             symbol[at] = joins[at]
-            keep = np.repeat(alive, lengths)
-            final[origin[~keep]] = symbol[~keep]
+            done = np.flatnonzero(~keep)
+            final[origin[done]] = symbol[done]
             keep[at + 1] = False
-            moved = np.cumsum(keep) - 1
-            at = moved[at]
-            symbol, word, origin, place, joins = symbol[keep], word[keep], origin[keep], place[keep], joins[keep]
-            joins[at] = proposals(at)
-            before = at[(at > 0)] - 1
-            before = before[word[before] == word[before + 1]]
-            joins[before] = proposals(before)
+            left = np.flatnonzero(keep)
+            at = (np.cumsum(keep) - 1)[at]
+            symbol, origin, joins, value = symbol[left], origin[left], joins[left], value[left]
+            lengths = lengths[alive] - 1
+            own = word[origin]
+            joins[at], value[at] = -1, 0
+            first = np.concatenate([at[at > 0] - 1, at[at + 1 < len(symbol)]])
+            first = first[own[first] == own[first + 1]]
+            joins[first], value[first] = proposals(symbol[first], symbol[first + 1], origin[first], origin[first + 1])
         here = final != -1
         count = np.bincount(np.repeat(np.arange(n), size)[here], minlength=n)
         ends = np.cumsum(count)
@@ -259,7 +288,7 @@ class Encoder:
         plain = [c for c in chunks if 0 < len(c) <= _LONG]
         for at in range(0, len(plain), _TOGETHER):
             some = plain[at : at + _TOGETHER]
-            found.update(zip(some, self.merge_many([(c, stream) for c in some])))
+            found.update(zip(some, self.merge_many(some, stream)))
         for c in chunks:
             if not 0 < len(c) <= _LONG:
                 found[c] = _packed(self.merge(c, stream))
@@ -315,31 +344,77 @@ class Encoder:
         k = np.arange(n, dtype=np.uint64)
         return _mixed(base, k, k, k)
 
-    def _meet(self, chunks: list[str]) -> None:
-        """Keeps the plain outcome of new short chunks, and the draws that must all fail to skip for it."""
+    def _keep(self, chunks: list[str], without: list[np.ndarray]) -> None:
+        """Keeps outcomes of short chunks, and the draws that must all fail to skip for them."""
         for at in range(0, len(chunks), _TOGETHER):
-            some = chunks[at : at + _TOGETHER]
+            some, barred = chunks[at : at + _TOGETHER], without[at : at + _TOGETHER]
             trace: list[tuple[np.ndarray, np.ndarray]] = []
-            outcomes = self.merge_many([(c, None) for c in some], trace=trace)
+            all_barred = np.concatenate([*barred, np.empty(0, np.int64)])
+            all_barred = np.sort(np.repeat(np.arange(len(some)) << 32, [len(w) for w in barred]) | all_barred)
+            outcomes = self.merge_many(some, trace=trace, without=all_barred if len(all_barred) else None)
             word = np.concatenate([w for w, _ in trace]) if trace else np.empty(0, np.int64)
-            part = np.concatenate([p for _, p in trace]) if trace else np.empty(0, np.uint64)
+            code = np.concatenate([p for _, p in trace]) if trace else np.empty(0, np.int64)
             order = np.argsort(word, kind="stable")
-            parts = np.split(part[order], np.cumsum(np.bincount(word, minlength=len(some)))[:-1])
-            for c, o, p in zip(some, outcomes, parts):
-                self.kept[c] = len(self.plain)
-                self.plain.append(o)
-                self.taken.append(p.copy())
+            word, code = word[order], code[order]
+            cuts = np.cumsum(np.bincount(word, minlength=len(some)))[:-1]
+            self.plain += outcomes
+            self.codes += [c.copy() for c in np.split(code, cuts)]
+            self.taken += [c.copy() for c in np.split(_part_of(code), cuts)]
+            self.chunk += some
+            self.without += barred
+
+    def _meet(self, chunks: list[str]) -> None:
+        """Keeps the plain outcome of new short chunks."""
+        self.kept.update(zip(chunks, range(len(self.plain), len(self.plain) + len(chunks))))
+        self._keep(chunks, [np.empty(0, np.int64)] * len(chunks))
+
+    def _skipped(self, draws: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which merges of its kept outcome each occurrence skips, as bits."""
+        met, kind = np.unique(number, return_inverse=True)
+        taken = [self.taken[k] for k in met.tolist()]
+        sizes = np.fromiter(map(len, taken), np.int64, len(taken))
+        flat = np.concatenate([*taken, np.empty(0, np.uint64)])
+        starts = np.cumsum(sizes) - sizes
+        bits = np.zeros(len(number), np.int64)
+        for a in range(0, len(number), _TOGETHER):
+            own = kind[a : a + _TOGETHER]
+            n = sizes[own]
+            owner = np.repeat(np.arange(len(own)), n)
+            inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            skips = np.flatnonzero(_drawn(draws[a : a + _TOGETHER][owner] ^ flat[starts[own][owner] + inner]) < np.uint64(self.below))
+            # different powers of two below 2**53: sums of doubles are exact
+            bits[a : a + _TOGETHER] = np.bincount(owner[skips], np.exp2(inner[skips]), len(own)).astype(np.int64)
+        return bits
+
+    def _variant(self, number: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """The number of the outcome without the skipped merges; -1 where it was not met before."""
+        pairs, at, times = np.unique(number << 40 | bits, return_inverse=True, return_counts=True)
+        wanted = pairs.tolist()
+        found = [self.variants.get(p, -1) for p in wanted]
+        new = [k for k, (p, f, n) in enumerate(zip(wanted, found, times.tolist())) if f < 0 and (n > 1 or p in self.met)]
+        self.met.update(p for p, f in zip(wanted, found) if f < 0)
+        first = len(self.plain)
+        barred = []
+        for k in new:
+            codes, mask = self.codes[wanted[k] >> 40], wanted[k] & (1 << 40) - 1
+            barred.append(np.concatenate([self.without[wanted[k] >> 40], codes[[i for i in range(len(codes)) if mask >> i & 1]]]))
+        self._keep([self.chunk[wanted[k] >> 40] for k in new], barred)
+        for i, k in enumerate(new):
+            found[k] = self.variants[wanted[k]] = first + i
+        return np.array(found, np.int64)[at]
 
     def encode_many(self, texts: list[str | None], keys: list[int], sampled: bool = True) -> list[bytes]:
         """Packed piece ids of each text. A text's key and a chunk's place key the chunk's draws."""
         sampled = sampled and self.dropout > 0
         cuts = [self.chunks(text) for text in texts]
-        words = [c for cut in cuts for c in cut]
-        if len(self.kept) > CACHE:
-            self.kept, self.plain, self.taken = {}, [], []
-        times = Counter(words)
-        self._meet([c for c, n in times.items() if (n > 1 or not sampled) and 0 < len(c) <= _LONG and c not in self.kept])
-        number = np.fromiter((self.kept.get(c, -1) for c in words), np.int64, len(words))
+        words = list(chain.from_iterable(cuts))
+        if len(self.kept) > CACHE or len(self.variants) > VARIANTS or len(self.met) > 4 * VARIANTS:
+            self._forget()
+        number = np.fromiter(map(self.kept.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0).tolist()
+        times = Counter([words[k] for k in new])
+        self._meet([c for c, n in times.items() if (n > 1 or not sampled) and 0 < len(c) <= _LONG])
+        number[new] = [self.kept.get(words[k], -1) for k in new]
         plain = self.plain
         out = [plain[k] if k >= 0 else b"" for k in number.tolist()]
         if not sampled:
@@ -347,32 +422,27 @@ class Encoder:
                 out[k] = _packed(self.merge(words[k], None))
         elif words:
             draws = np.concatenate([self._keys(key, len(cut)) for key, cut in zip(keys, cuts)])
-            new = np.flatnonzero(number < 0).tolist()
-            once = [k for k in new if 0 < len(words[k]) <= _LONG]
-            for a in range(0, len(once), _TOGETHER):
-                some = once[a : a + _TOGETHER]
-                for k, o in zip(some, self.merge_many([(words[k], None) for k in some], draws[some])):
-                    out[k] = o
-            for k in new:
-                if not 0 < len(words[k]) <= _LONG:
+            alone = []  # merged by their own draws
+            for k in np.flatnonzero(number < 0).tolist():
+                if 0 < len(words[k]) <= _LONG:
+                    alone.append(k)
+                else:
                     out[k] = _packed(self.merge(words[k], None, int(draws[k])))
             here = np.flatnonzero(number >= 0)
-            met, at = np.unique(number[here], return_inverse=True)
-            taken = [self.taken[k] for k in met.tolist()]
-            sizes = np.fromiter(map(len, taken), np.int64, len(taken))
-            flat = np.concatenate([*taken, np.empty(0, np.uint64)])
-            starts = np.cumsum(sizes) - sizes
-            for a in range(0, len(here), _TOGETHER):
-                some, kind = here[a : a + _TOGETHER], at[a : a + _TOGETHER]
-                n = sizes[kind]
-                owner = np.repeat(np.arange(len(some)), n)
-                inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                skips = _drawn(draws[some][owner] ^ flat[starts[kind][owner] + inner]) < np.uint64(self.below)
-                other = some[np.bincount(owner[skips], minlength=len(some)) > 0]
-                if len(other):
-                    found = self.merge_many([(words[k], None) for k in other.tolist()], draws[other])
-                    for k, o in zip(other.tolist(), found):
-                        out[k] = o
+            number = number[here]
+            while len(here):
+                bits = self._skipped(draws[here], number)
+                other = bits > 0
+                here = here[other]
+                number = self._variant(number[other], bits[other])
+                alone += here[number < 0].tolist()
+                here, number = here[number >= 0], number[number >= 0]
+                for k, v in zip(here.tolist(), number.tolist()):
+                    out[k] = plain[v]
+            for a in range(0, len(alone), _TOGETHER):
+                some = alone[a : a + _TOGETHER]
+                for k, o in zip(some, self.merge_many([words[k] for k in some], keys=draws[some])):
+                    out[k] = o
         ends = np.cumsum([len(cut) for cut in cuts]).tolist()
         return [b"".join(out[e - len(cut) : e]) for e, cut in zip(ends, cuts)]
 
@@ -381,19 +451,12 @@ class Encoder:
         return _unpacked(self.encode_many([text], [key], sampled)[0])
 
     @cached_property
-    def _shown(self) -> tuple[list[str], frozenset[int]]:
-        surfaces = self._vocabulary[3]
-        return [s.replace(SPACE, " ") if isinstance(s, str) else "" for s in surfaces], frozenset(i for i, s in enumerate(surfaces) if isinstance(s, int))
+    def _shown(self) -> list[bytes]:
+        return [bytes((x,)) if isinstance(x, int) else x.replace(SPACE, " ").encode("utf-8") for x in self._vocabulary[3]]
 
     def decode(self, ids) -> str:
         """The text that was encoded."""
-        shown, octet_ids = self._shown
-        if octet_ids.isdisjoint(ids):
-            text = "".join(map(shown.__getitem__, ids))
-            return text[1:] if text[:1] == " " else text
-        surfaces = self._vocabulary[3]
-        raw = b"".join(bytes((surfaces[i],)) if i in octet_ids else shown[i].encode("utf-8") for i in ids)
-        text = raw.decode("utf-8", "surrogatepass")
+        text = b"".join(map(self._shown.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if text[:1] == " " else text
 
 
