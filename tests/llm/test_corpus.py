@@ -188,6 +188,29 @@ def test_removal(spark, crowd, run_bytes):
     assert suffixes.report(docs.filter("false"), **short, **options).count() == 0
 
 
+def test_crowded_parts_stay_one_row_each(spark):
+    rng = random.Random(4)
+    make = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    measure, shared = suffixes.Measure("bytes", 40, 12), make(70)
+    cut = {}
+    for _ in range(150):
+        low = rng.randrange(30)
+        text = make(20) + shared[low : rng.randrange(low + 20, 71)] + make(20)
+        for anchor, content, at, n in suffixes.tiles(measure.symbols(text), measure):
+            cut[anchor, content] = text[at : at + n + 39]
+    # a window has one anchor, so equal ones lie in tiles of one anchor
+    flags = dict(zip(cut, suffixes.repeated_starts([measure.symbols(t) for t in cut.values()], 40)))
+    rows = spark.createDataFrame([(0, a, c, bytearray(t)) for (a, c), t in cut.items()], "kind int, anchor bigint, content bigint, tile binary")
+    found = suffixes._crowded_runs(rows, (measure,))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    runs = [(r.anchor, r.content, *x) for r in got for x in r.runs]
+    windows = {(a, c, k) for a, c, start, number in runs for k in range(start, start + number)}
+    assert windows == {(*key, k) for key, f in flags.items() for k, again in enumerate(f) if again} and windows
+    # a row a part with a repeat, its neighbouring windows as one run
+    assert len(got) <= len(runs) < len(windows) / 2 and sum(n for *_, n in runs) == len(windows)
+
+
 def test_removal_of_repeated_rows(spark):
     text = "unique words in a row that nobody else has at all " * 1
     docs = docs_of(spark, [(1, text), (1, text), (None, "z" * 10)])

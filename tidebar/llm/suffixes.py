@@ -168,6 +168,23 @@ def _spans_hash(symbols: np.ndarray, width: int) -> np.ndarray:
         step *= 2
 
 
+def _gram_hashes(symbols: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the ``width`` symbols from each place, from differences of one sum. It chooses anchors only; ``_spans_hash`` stands for windows."""
+    n = len(symbols)
+    up, down = _powers(n + 1)
+    values = _OCTET[symbols] if symbols.dtype == np.uint8 else (symbols.astype(np.uint64) + np.uint64(1)) * _A
+    values *= up[:n]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    x = total[width:] - total[: n - width + 1]
+    x *= down[: n - width + 1]
+    x ^= x >> np.uint64(32)
+    x *= _B
+    x ^= x >> np.uint64(29)
+    x *= _A
+    return x
+
+
 def _least_place(values: np.ndarray, width: int) -> np.ndarray:
     """The place of the least value among the ``width`` from each place, leftmost if equal.
 
@@ -188,7 +205,7 @@ def tiles(symbols: np.ndarray, measure: Measure = BYTES) -> list[tuple[int, int,
     """(anchor hash, content hash, first window start, number of starts) of each tile of a text."""
     if len(symbols) < measure.length:
         return []
-    hashes = _spans_hash(symbols, measure.gram)
+    hashes = _gram_hashes(symbols, measure.gram)
     places = _least_place(hashes, measure.length - measure.gram + 1)
     cuts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
     sizes = np.diff(np.append(cuts, len(places)))
@@ -199,7 +216,7 @@ def tiles(symbols: np.ndarray, measure: Measure = BYTES) -> list[tuple[int, int,
 
 def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Order of the keys, the rank of each among distinct ones from 1, and how many are distinct."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # the order of equal keys is of no use
     ordered = keys[order]
     fresh = np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)])
     rank = np.empty(len(keys), np.int64)
@@ -228,7 +245,7 @@ def difference_cover_order(symbols: np.ndarray) -> np.ndarray:
     first = first[first < n]
     # suffixes at places divisible by 3: their first symbol, then the rank of the next place
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort((s[rest] << 32) | rank[rest + 1], kind="stable")]
+    rest = rest[np.argsort((s[rest] << 32) | rank[rest + 1])]
     # merge by comparing with each kind of sampled suffix
     kind = first % 3 == 1
     one, two = first[kind], first[~kind]
@@ -396,7 +413,7 @@ def _cut_parts(measures: tuple[Measure, ...]):
                 measure = measures[kind]
                 tile, length = measure.loads(raw), measure.length
                 n, step = len(tile) - length + 1, measure.part
-                place = int(_least_place(_spans_hash(tile, measure.gram), length - measure.gram + 1)[0])
+                place = int(_least_place(_gram_hashes(tile, measure.gram), length - measure.gram + 1)[0])
                 # distance of a start to the anchor, cut at multiples of the parts' size
                 for q in range(max(0, place - n + 1) // step, place // step + 1):
                     last = min(n - 1, place - q * step)
@@ -436,19 +453,24 @@ def _spread(measures: tuple[Measure, ...]):
 
 
 def _crowded_runs(crowded: DataFrame, measures: tuple[Measure, ...]) -> DataFrame:
-    """(anchor, content, start, number) of the repeated windows of crowded tiles (kind, anchor, content, tile)."""
+    """(anchor, content, runs) of the repeated windows of crowded tiles (kind, anchor, content, tile): a row a part, with its runs as (start, number)."""
     parts = written(crowded.mapInArrow(_cut_parts(measures), _ddl(_PART_ROW)))
     key = ["h1", "h2", "part"]
     kinds = written(parts.groupBy(*key, "kind", "number", "raw").agg(F.count(F.lit(1)).alias("times")))
     cores = kinds.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h1", "h2")
     windows = written(kinds.join(cores, ["h1", "h2"]).select(*key, "kind", "raw").mapInArrow(_spread(measures), _ddl(_WINDOW)))
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("w1", "w2")
-    some = windows.join(twice, ["w1", "w2"]).select(*key, "within", F.lit(1).alias("number"))
-    whole = kinds.filter("times > 1").select(*key, F.lit(0).alias("within"), "number")
-    runs = written(some.unionAll(whole).groupBy(*key).agg(F.collect_set(F.struct("within", "number")).alias("runs")))
+    # a part's repeated windows are bits of one number, and its row stays one row
+    bit = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    some = windows.join(twice, ["w1", "w2"]).select(*key, bit(F.col("within")).alias("mask"))
+    whole = kinds.filter("times > 1").select(*key, (bit(F.col("number")) - 1).alias("mask"))
+    masks = written(some.unionAll(whole).groupBy(*key).agg(F.bit_or("mask").alias("mask")))
     discard(kinds, windows)
-    hit = parts.select(*key, "anchor", "content", "start").join(runs, key)
-    return hit.select("anchor", "content", "start", F.inline("runs")).select("anchor", "content", (F.col("start") + F.col("within")).alias("start"), "number")
+    hit = parts.select(*key, "anchor", "content", "start").join(masks, key)
+    down = lambda k: F.call_function("shiftright", F.col("mask"), k)
+    first = F.filter(F.sequence(F.lit(0), F.lit(max(m.part for m in measures) - 1)), lambda k: (down(k).bitwiseAND(1) == 1) & ((k == 0) | (down(k - 1).bitwiseAND(1) == 0)))
+    ones = lambda x: F.bit_count(x.bitwiseXOR(x + 1)) - 1  # noqa: E731  # from the lowest bit
+    return hit.select("anchor", "content", F.transform(first, lambda k: F.struct((F.col("start") + k).alias("start"), ones(down(k)).cast("int").alias("number"))).alias("runs"))
 
 
 def repeated_spans(docs: DataFrame, measures: tuple[Measure, ...], text_col: str = "text", crowd: int = CROWD, run_bytes: int = RUN_BYTES) -> DataFrame:
@@ -475,7 +497,8 @@ def repeated_spans(docs: DataFrame, measures: tuple[Measure, ...], text_col: str
     sorted_ = light.mapInArrow(_sort_runs(measures, run_bytes), _ddl(_FOUND))
     crowded = _crowded_runs(cut.filter("crowded").select("kind", "anchor", "content", "tile"), measures)
     whole = found.filter("times > 1").select("anchor", "content", F.lit(0).alias("start"), F.col("one.n").alias("number"))
-    per_tile = written(sorted_.unionAll(crowded).unionAll(whole).groupBy("anchor", "content").agg(F.collect_set(F.struct("start", "number")).alias("runs")))
+    runs = sorted_.unionAll(whole).select("anchor", "content", F.array(F.struct("start", "number")).alias("runs")).unionAll(crowded)
+    per_tile = written(runs.groupBy("anchor", "content").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")))
     discard(cut, found)
     moved = F.flatten(F.transform("at", lambda a: F.transform("runs", lambda r: F.struct((r["start"] + a).alias("start"), r["number"].alias("number")))))
     back = once.join(per_tile, ["anchor", "content"]).select("k1", "k2", "kind", moved.alias("runs"))
