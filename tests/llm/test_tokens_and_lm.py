@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -95,6 +98,33 @@ def test_outcomes_with_skips_are_kept(model, monkeypatch):
         assert fresh.encode(texts[0], k) == pieces._unpacked(got)
 
 
+def test_kept_outcomes_are_compact(model):
+    e = pieces.Encoder(model, 0.3, 1)
+    texts = [" ".join(f"water{k}side{k * k}" for k in range(at, at + 20)) for at in range(2000)] * 2
+    e.encode_many(texts[:1], [0])  # the vocabulary's tables
+    e.forget()
+    tracemalloc.start()
+    try:
+        e.encode_many(texts, list(range(len(texts))))
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(e.plain) > 10_000 and held / len(e.plain) < 500  # an array for each list of merges: over 1000
+
+
+def test_workers_keep_no_outcomes_for_the_jobs_after(spark, model):
+    docs = docs_of(spark, [(k, f"international waters {k % 7} " * 9) for k in range(200)])
+    assert pieces.encode_table(docs, model).filter("lossless").count() == 200
+
+    def held(batches):
+        found = sum(len(x.plain) for x in gc.get_objects() if isinstance(x, pieces.Encoder))
+        for b in batches:
+            yield pa.record_batch([pa.array([found] * b.num_rows, pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 32).mapInArrow(held, "n bigint").collect()} == {0}
+
+
 def test_every_word_and_pair_has_its_own_count(spark):
     rare = " ".join(f"w{k} v{k % 7}" for k in range(70_000))  # more words than fit in 65,536
     texts = ["a b a b c", "a a b", "", "c c c d", "x" * 70 + " d d " + "x" * 70, None, rare]

@@ -8,7 +8,7 @@ chunk's place in it and the candidate's place falls below the rate. The same see
 the same pieces on any machine and in any order of rows; another seed gives
 others. Without dropout the result is that of the vocabulary's own encoder.
 
-Every occurrence of a chunk draws on its own. A worker keeps the plain outcome of
+Every occurrence of a chunk draws on its own. A task keeps the plain outcome of
 chunks that it meets often, about ``CACHE`` of them, with the candidates that led to it: where
 an occurrence skips none of these, its outcome is the plain one. Where it skips some, the outcome
 without these takes the plain one's place, and is kept in the same way (about ``VARIANTS`` of them), until none of
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -41,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
 from .common import pieces as parts_of
 
 SPACE = "▁"
@@ -48,11 +50,13 @@ DROPOUT = 0.1
 SEED = 20240
 CACHE = 100_000
 VARIANTS = 200_000
+_MET_BITS = 22
 _LONG = 40  # such a chunk has at most 40 merges, and places below 64
 _TOGETHER = 10_000
 _OWN = "own mark"
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _ALL = (1 << 64) - 1
+_MERGES = (1 << 40) - 1
 
 
 def _mixed(key: np.ndarray, left: np.ndarray, right: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -92,19 +96,19 @@ class Encoder:
             raise ValueError("dropout must be in [0, 1)")
         self.model, self.dropout, self.seed = model, dropout, seed
         self.below = int(dropout * 2**64)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Kept outcomes by number: the pieces, the merges taken and their draw parts, the chunk, and the candidates it goes without."""
         self.kept: dict[str, int] = {}
         self.plain: list[bytes] = []
-        self.codes: list[np.ndarray] = []
-        self.taken: list[np.ndarray] = []
         self.chunk: list[str] = []
-        self.without: list[np.ndarray] = []
-        # number << 40 | skipped ones of its merges as bits: the number of the outcome without these
+        # merges of all outcomes in one row each, as an array of its own would take more than what it holds; those of k end where k + 1 starts
+        self.codes, self.taken, self.starts = array("I"), array("Q"), array("q", [0])
+        # number << 40 | skipped ones of its merges as bits: the number of the outcome without these; of each outcome, from which it came
         self.variants: dict[int, int] = {}
-        self.met: set[int] = set()
+        self.origin = array("q")
+        self.met = np.zeros(1 << _MET_BITS, bool)  # by hash: who meets another's place is kept one meeting early
 
     @cached_property
     def _vocabulary(self) -> tuple[dict[str, int], list[float], list[int], list]:
@@ -344,44 +348,53 @@ class Encoder:
         k = np.arange(n, dtype=np.uint64)
         return _mixed(base, k, k, k)
 
-    def _keep(self, chunks: list[str], without: list[np.ndarray]) -> None:
+    def _without(self, origin: int) -> list[int]:
+        """The candidates skipped on the way to an outcome that came from ``origin``; 0: a plain one."""
+        codes = []
+        while origin:
+            number, bits = origin >> 40, origin & _MERGES
+            first = self.starts[number]
+            codes += [self.codes[first + k] for k in range(bits.bit_length()) if bits >> k & 1]
+            origin = self.origin[number]
+        return codes
+
+    def _keep(self, chunks: list[str], origins: list[int]) -> None:
         """Keeps outcomes of short chunks, and the draws that must all fail to skip for them."""
         for at in range(0, len(chunks), _TOGETHER):
-            some, barred = chunks[at : at + _TOGETHER], without[at : at + _TOGETHER]
+            some, came = chunks[at : at + _TOGETHER], origins[at : at + _TOGETHER]
             trace: list[tuple[np.ndarray, np.ndarray]] = []
-            all_barred = np.concatenate([*barred, np.empty(0, np.int64)])
+            barred = [self._without(o) for o in came]
+            all_barred = np.fromiter(chain.from_iterable(barred), np.int64)
             all_barred = np.sort(np.repeat(np.arange(len(some)) << 32, [len(w) for w in barred]) | all_barred)
             outcomes = self.merge_many(some, trace=trace, without=all_barred if len(all_barred) else None)
             word = np.concatenate([w for w, _ in trace]) if trace else np.empty(0, np.int64)
             code = np.concatenate([p for _, p in trace]) if trace else np.empty(0, np.int64)
             order = np.argsort(word, kind="stable")
             word, code = word[order], code[order]
-            cuts = np.cumsum(np.bincount(word, minlength=len(some)))[:-1]
+            ends = self.starts[-1] + np.cumsum(np.bincount(word, minlength=len(some)))
             self.plain += outcomes
-            self.codes += [c.copy() for c in np.split(code, cuts)]
-            self.taken += [c.copy() for c in np.split(_part_of(code), cuts)]
+            self.codes.frombytes(code.astype(np.uint32).tobytes())
+            self.taken.frombytes(_part_of(code).tobytes())
+            self.starts.frombytes(ends.tobytes())
             self.chunk += some
-            self.without += barred
+            self.origin.extend(came)
 
     def _meet(self, chunks: list[str]) -> None:
         """Keeps the plain outcome of new short chunks."""
         self.kept.update(zip(chunks, range(len(self.plain), len(self.plain) + len(chunks))))
-        self._keep(chunks, [np.empty(0, np.int64)] * len(chunks))
+        self._keep(chunks, [0] * len(chunks))
 
     def _skipped(self, draws: np.ndarray, number: np.ndarray) -> np.ndarray:
         """Which merges of its kept outcome each occurrence skips, as bits."""
-        met, kind = np.unique(number, return_inverse=True)
-        taken = [self.taken[k] for k in met.tolist()]
-        sizes = np.fromiter(map(len, taken), np.int64, len(taken))
-        flat = np.concatenate([*taken, np.empty(0, np.uint64)])
-        starts = np.cumsum(sizes) - sizes
+        taken, starts = np.frombuffer(self.taken, np.uint64), np.frombuffer(self.starts, np.int64)  # gone before these grow
         bits = np.zeros(len(number), np.int64)
         for a in range(0, len(number), _TOGETHER):
-            own = kind[a : a + _TOGETHER]
-            n = sizes[own]
+            own = number[a : a + _TOGETHER]
+            first = starts[own]
+            n = starts[own + 1] - first
             owner = np.repeat(np.arange(len(own)), n)
             inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            skips = np.flatnonzero(_drawn(draws[a : a + _TOGETHER][owner] ^ flat[starts[own][owner] + inner]) < np.uint64(self.below))
+            skips = np.flatnonzero(_drawn(draws[a : a + _TOGETHER][owner] ^ taken[first[owner] + inner]) < np.uint64(self.below))
             # different powers of two below 2**53: sums of doubles are exact
             bits[a : a + _TOGETHER] = np.bincount(owner[skips], np.exp2(inner[skips]), len(own)).astype(np.int64)
         return bits
@@ -389,27 +402,23 @@ class Encoder:
     def _variant(self, number: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """The number of the outcome without the skipped merges; -1 where it was not met before."""
         pairs, at, times = np.unique(number << 40 | bits, return_inverse=True, return_counts=True)
-        wanted = pairs.tolist()
-        found = [self.variants.get(p, -1) for p in wanted]
-        new = [k for k, (p, f, n) in enumerate(zip(wanted, found, times.tolist())) if f < 0 and (n > 1 or p in self.met)]
-        self.met.update(p for p, f in zip(wanted, found) if f < 0)
-        first = len(self.plain)
-        barred = []
-        for k in new:
-            codes, mask = self.codes[wanted[k] >> 40], wanted[k] & (1 << 40) - 1
-            barred.append(np.concatenate([self.without[wanted[k] >> 40], codes[[i for i in range(len(codes)) if mask >> i & 1]]]))
-        self._keep([self.chunk[wanted[k] >> 40] for k in new], barred)
-        for i, k in enumerate(new):
-            found[k] = self.variants[wanted[k]] = first + i
-        return np.array(found, np.int64)[at]
+        found = np.fromiter(map(self.variants.get, pairs.tolist(), repeat(-1)), np.int64, len(pairs))
+        places = (pairs.view(np.uint64) * np.uint64(_M1)) >> np.uint64(64 - _MET_BITS)
+        new = np.flatnonzero((found < 0) & ((times > 1) | self.met[places]))
+        self.met[places] = True
+        first, wanted = len(self.plain), pairs[new].tolist()
+        self._keep([self.chunk[p >> 40] for p in wanted], wanted)
+        self.variants.update(zip(wanted, range(first, len(self.plain))))
+        found[new] = np.arange(first, len(self.plain))
+        return found[at]
 
     def encode_many(self, texts: list[str | None], keys: list[int], sampled: bool = True) -> list[bytes]:
         """Packed piece ids of each text. A text's key and a chunk's place key the chunk's draws."""
         sampled = sampled and self.dropout > 0
         cuts = [self.chunks(text) for text in texts]
         words = list(chain.from_iterable(cuts))
-        if len(self.kept) > CACHE or len(self.variants) > VARIANTS or len(self.met) > 4 * VARIANTS:
-            self._forget()
+        if len(self.kept) > CACHE or len(self.variants) > VARIANTS:
+            self.forget()
         number = np.fromiter(map(self.kept.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(number < 0).tolist()
         times = Counter([words[k] for k in new])
@@ -462,7 +471,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def _encoder(model: bytes, dropout: float, seed: int) -> Encoder:
-    """A worker process keeps its encoder, with the chunks it has met, over its tasks."""
+    """A worker process keeps its encoder over its tasks, but not the outcomes."""
     return Encoder(model, dropout, seed)
 
 
@@ -500,17 +509,21 @@ def encode_table(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(shared.value, dropout, seed)
-        for whole in batches:
-            for batch in parts_of(whole, 1 << 20):
-                keys, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-                coded = coder.encode_many(texts, [-1 if k is None else k for k in keys])
-                same = [coder.decode(_unpacked(c)) == (t or "") for c, t in zip(coded, texts)] if checked else [None] * len(texts)
-                flat = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]), pa.int32()),
-                    pa.array(np.frombuffer(b"".join(coded), np.int32)),
-                )
-                columns = [flat, pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(same, pa.bool_())]
-                yield pa.record_batch([*batch.columns[:-2], *columns], names=[f.name for f in schema])
+        try:
+            for whole in batches:
+                for batch in parts_of(whole, 1 << 20):
+                    keys, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+                    coded = coder.encode_many(texts, [-1 if k is None else k for k in keys])
+                    same = [coder.decode(_unpacked(c)) == (t or "") for c, t in zip(coded, texts)] if checked else [None] * len(texts)
+                    flat = pa.ListArray.from_arrays(
+                        pa.array(np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]), pa.int32()),
+                        pa.array(np.frombuffer(b"".join(coded), np.int32)),
+                    )
+                    columns = [flat, pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(same, pa.bool_())]
+                    yield pa.record_batch([*batch.columns[:-2], *columns], names=[f.name for f in schema])
+        finally:  # Spark takes more workers than run at once, in turn, and keeps them for the jobs after
+            coder.forget()
+            give_back()
 
     return kept.mapInArrow(run, schema).toDF(*others, *(n for n, _ in added))
 
