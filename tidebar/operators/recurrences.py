@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -489,17 +490,53 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
+def _running(x: np.ndarray, rate: float, mean: float | None) -> tuple[np.ndarray, float | None]:
+    """The running mean at each value of one symbol, and the last one, from the one before, if any; NaN stays and is passed over."""
+    at, out = ~np.isnan(x), np.full(len(x), np.nan)
+    parts = (rate * x[at]).tolist()
+    n = len(parts)
+    if not n:
+        return out, mean
+    if mean is None:
+        mean, parts = float(x[at][0]), parts[1:]
+    steps = list(accumulate(parts, lambda s, part: part + (1.0 - rate) * s, initial=mean))
+    out[at] = steps[-n:]
+    return out, steps[-1]
+
+
+def _means(of: int, at: list[int], rate: float):
+    """Rows sorted by symbol (column ``of``) and time to rows whose columns ``at`` are running means."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, means = None, [None] * len(at)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(of)
+            cuts = np.flatnonzero(_changes(names, np.zeros(len(names))))
+            begun = last is not None and last[0] == names[0].as_py()
+            made = list(batch.columns)
+            for k, column in enumerate(at):
+                parts = []
+                for s, x in enumerate(np.split(_floats(batch.column(column)), cuts[1:])):
+                    part, means[k] = _running(x, rate, means[k] if begun and not s else None)
+                    parts.append(part)
+                values = np.concatenate(parts)
+                made[column] = pa.array(values, pa.float64(), mask=np.isnan(values))
+            last = (names[-1].as_py(),)
+            yield pa.record_batch(made, names=batch.schema.names)
+
+    return run
+
+
 def smoothed(rows: DataFrame, columns: list[str], rate: float) -> DataFrame:
     """``rows`` with numeric columns replaced by their running means by symbol and time, each step a share ``rate`` of the way to the new value.
 
     The first value stands as it is; a null stays null and leaves the mean alone. Rows without a time go.
+    The steps are taken one by one, so means are to the last bit those of the plain recurrence: what is
+    filtered by quartiles afterwards may depend on it. A symbol is gone through by one task, as in windows.
     """
-    for at in range(0, len(columns), len(FIELDS)):
-        some = columns[at : at + len(FIELDS)]
-        names = rows.columns
-        own = [f"own_{k}" for k in range(len(names))]
-        values = [F.col(f"`{c}`").cast("double") for c in some] + [F.lit(None).cast("double")] * (len(FIELDS) - len(some))
-        held = rows.select("symbol", "ts", *[F.col(f"`{n}`").alias(o) for n, o in zip(names, own)], *[v.alias(f) for v, f in zip(values, FIELDS)])
-        made = apply(held, *[Ema(1, of=f, name=f"smooth_{k}", k=rate, first=0) for k, f in enumerate(FIELDS[: len(some)])])
-        rows = made.select(*[F.col(f"smooth_{some.index(n)}").alias(n) if n in some else F.col(o).alias(n) for n, o in zip(names, own)])
-    return rows
+    numbers = rows.filter(F.col("ts").isNotNull()).select(*[F.col(f"`{n}`").cast("double").alias(n) if n in columns else F.col(f"`{n}`") for n in rows.columns])
+    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in columns else f for f in rows.schema.fields])
+    of, at = rows.columns.index("symbol"), [rows.columns.index(c) for c in columns]
+    return numbers.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInArrow(_means(of, at, rate), schema)
