@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_DIR
-from tidebar.operators import volatility
+from tidebar.operators import adaptive, volatility
 from tidebar.operators.recurrences import smoothed
 from tidebar.plans import registry
 
@@ -71,3 +73,30 @@ def test_volatility_features_of_a_bar_that_falls_to_zero(spark, tmp_path):
     want = con.execute(f"select t, range_vol from ({registry.oracle()['volatility_features']}) order by t").fetchall()
     assert sum(v == math.inf for _, v in want) == 1 and sum(math.isnan(v) for _, v in want) == 1
     assert [tuple(r) for r in got] == [(t, pytest.approx(v, abs=1e-6, nan_ok=True)) for t, v in want]
+
+
+def test_array_normalizers_work_out_an_array_once(spark):
+    """Statistics made anew for each element take minutes on arrays of this length."""
+    v = np.random.default_rng(1).normal(3, 2, 3000)
+    rows = spark.createDataFrame([(v.tolist(),)], "v array<double>")
+    made = rows.select(adaptive.array_zscore(F.col("v")).alias("z"), adaptive.array_minmax(F.col("v")).alias("m"), adaptive.array_robust(F.col("v")).alias("r"))
+    begun = time.monotonic()
+    got = made.first()
+    assert time.monotonic() - begun < 60
+    o = np.sort(v)
+    assert got["z"] == pytest.approx((v - v.mean()) / v.std()) and got["m"] == pytest.approx((v - o[0]) / (o[-1] - o[0]))
+    assert got["r"] == pytest.approx((v - o[1500]) / (o[2249] - o[750]))
+
+
+def test_array_normalizers_of_odd_arrays(spark):
+    nan = math.nan
+    rows = spark.createDataFrame([(0, None), (1, []), (2, [7.0]), (3, [2.0, None, 4.0, 3.0]), (4, [1.0, nan, 3.0])], "k int, v array<double>")
+    made = rows.select("k", adaptive.array_zscore(F.col("v")).alias("z"), adaptive.array_minmax(F.col("v")).alias("m"), adaptive.array_robust(F.col("v")).alias("r"))
+    got = [str(tuple(r[1:])) for r in made.orderBy("k").collect()]
+    assert got == [
+        "(None, None, None)",
+        "([], [], [])",
+        "([0.0], [0.0], [0.0])",
+        "([None, None, None, None], [0.0, None, 1.0, 0.5], [-2.0, None, 0.0, -1.0])",
+        "([nan, nan, nan], [nan, nan, nan], [nan, nan, nan])",
+    ]

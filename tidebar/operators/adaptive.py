@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import clamp
+from ..functions.safe import clamp, div
 from .sequences import members
 
 
@@ -95,28 +97,44 @@ def volatility_score(bars: DataFrame, length: int, step: int, horizon: int, leas
 # arrays of features
 
 
-def _stat(x: Column) -> tuple[Column, Column]:
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-    return mean, F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, however often the body names it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(x: Column, of: Callable[[Column], Column] = lambda v: v) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + of(v))
 
 
 def array_zscore(x: Column) -> Column:
-    mean, std = _stat(x)
-    return F.transform(x, lambda v: (v - mean) / F.greatest(std, F.lit(1e-6)))
+    def scored(s: Column) -> Column:
+        v, mean = s["v"], s["mean"]
+        std = F.sqrt(div(_sum(v, lambda y: (y - mean) * (y - mean)), F.size(v)))
+        return _let(F.greatest(std, F.lit(1e-6)), lambda d: F.transform(v, lambda y: (y - mean) / d))
+
+    return _let(x, lambda v: _let(F.struct(v.alias("v"), div(_sum(v), F.size(v)).alias("mean")), scored))
 
 
 def array_minmax(x: Column) -> Column:
-    low, high = F.array_min(x), F.array_max(x)
-    return F.transform(x, lambda v: F.when(high > low, (v - low) / (high - low)).otherwise(0.0))
+    def scaled(s: Column) -> Column:
+        low, high = s["low"], s["high"]
+        return F.transform(s["v"], lambda y: F.when(high > low, (y - low) / (high - low)).otherwise(0.0))
+
+    return _let(x, lambda v: _let(F.struct(v.alias("v"), F.array_min(v).alias("low"), F.array_max(v).alias("high")), scaled))
 
 
 def array_robust(x: Column) -> Column:
     """Less the median, over the quartile range (nearest rank); without range only shifted."""
-    ordered, n = F.array_sort(x), F.size(x)
-    at = lambda p: F.get(ordered, F.floor((n - 1) * p + 0.5).cast("int"))
-    spread = at(0.75) - at(0.25)
-    return F.transform(x, lambda v: (v - at(0.5)) / F.when(spread > 0, spread).otherwise(1.0))
+
+    def shifted(s: Column) -> Column:
+        n = F.size(s["v"])
+        at = lambda p: F.get(s["ordered"], F.floor((n - 1) * p + 0.5).cast("int"))
+        spread = at(0.75) - at(0.25)
+        parts = F.struct(at(0.5).alias("median"), F.when(spread > 0, spread).otherwise(1.0).alias("spread"))
+        return _let(parts, lambda m: F.transform(s["v"], lambda y: (y - m["median"]) / m["spread"]))
+
+    # nulls stand last: what is beyond the others' number is null
+    return _let(x, lambda v: _let(F.struct(v.alias("v"), F.sort_array(F.array_compact(v)).alias("ordered")), shifted))
 
 
 def sequence_moments(tensors: DataFrame, names: list[str]) -> DataFrame:

@@ -49,7 +49,7 @@ ORACLE["sequence_moments"] = f"with {_SUMMARY}, u as (" + " union all ".join(f"s
 def _arrays(s: SparkSession, d: str) -> DataFrame:
     rows = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     made = {"z": A.array_zscore(F.col("v")), "m": A.array_minmax(F.col("v")), "r": A.array_robust(F.col("v"))}
-    return _r(rows.select("vec_id", *[F.get(c, F.lit(k)).alias(f"{n}{k}") for n, c in made.items() for k in (0, 5)]), *[f"{n}{k}" for n in made for k in (0, 5)])
+    return _r(rows.select("vec_id", *[c.alias(n) for n, c in made.items()]).select("vec_id", *[F.get(n, F.lit(k)).alias(f"{n}{k}") for n in made for k in (0, 5)]), *[f"{n}{k}" for n in made for k in (0, 5)])
 
 
 QUERIES["array_normalizers"] = _arrays
